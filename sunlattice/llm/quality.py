@@ -35,17 +35,17 @@ MAX_LOSS_PERCENT = 50
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """How many words lie in a window of `window` words (a power of two) that occurs twice or more in the text."""
+    def joined(step: int):
+        def pair(h: Column) -> Column:
+            n = F.greatest(F.size(h) - step, F.lit(0))
+            return F.zip_with(F.slice(h, 1, n), F.slice(h, F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+
+        return pair
+
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     width = 1
     while width < window:
-        hashes = bound(
-            hashes,
-            lambda h, step=width: F.zip_with(
-                F.slice(h, 1, F.greatest(F.size(h) - step, F.lit(0))),
-                F.slice(h, F.lit(step + 1), F.greatest(F.size(h) - step, F.lit(0))),
-                lambda a, b: F.xxhash64(a, b),
-            ),
-        )
+        hashes = bound(hashes, joined(width))
         width *= 2
 
     def covered(h: Column) -> Column:

@@ -114,13 +114,13 @@ r AS (
          md5('42:stratum:' || stratum) AS sh FROM d),
 p AS (
   SELECT *, (k + (('0x' || substr(sh, 1, 8))::BIGINT // 2)::DOUBLE / 2147483648.0::DOUBLE) / n::DOUBLE AS place FROM r),
-o AS (
-  SELECT *, row_number() OVER (ORDER BY place, stratum, h) - 1 AS pos, count(*) OVER () AS total FROM p),
+o AS MATERIALIZED (
+  SELECT *, hex(body) AS hx, row_number() OVER (ORDER BY place, stratum, h) - 1 AS pos, count(*) OVER () AS total FROM p),
 t AS (
   SELECT list(list_reduce([i] || range(8), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
               ORDER BY i) AS tab FROM range(256) AS g(i))
 SELECT doc_id, octet_length(body)::BIGINT + 1 AS size,
-       xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(body)), lambda i: ('0x' || substr(hex(body), 2 * i + 1, 2))::BIGINT),
+       xor(list_reduce([4294967295::BIGINT] || list_transform(range(octet_length(body)), lambda i: ('0x' || substr(hx, 2 * i + 1, 2))::BIGINT),
            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
        'rows' AS law, (pos * 8 // total)::INTEGER AS shard,
        (pos - ((pos * 8 // total) * total + 7) // 8)::BIGINT AS slot, NULL::INTEGER AS grown_shard
