@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sunlattice.llm import packing, quality, sharding, warc
+from sunlattice.llm import ann, lines, minhash, packing, pii, quality, sharding, warc
 
 
 def queries() -> dict:
     return {
+        "op1_ivfpq_search": ann.op1_ivfpq_search,
+        "op2_line_dedup": lines.op2_line_dedup,
+        "op3_minhash_neardup": minhash.op3_minhash_neardup,
         "op4_stratified_sharding": sharding.op4_stratified_sharding,
         "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op8_pii_sanitisation": pii.op8_pii_sanitisation,
         "op9_bestfit_packing": packing.op9_bestfit_packing,
+        "pipeline": corpus_pipeline.pipeline,
     }
 
 
 def oracle_sql() -> dict:
     return {
+        "op3_minhash_neardup": minhash.OP3_SQL,
         "op4_stratified_sharding": sharding.OP4_SQL,
         "op5_warc_revisits": warc.OP5_SQL,
         "op6_quality_rules": quality.OP6_SQL,

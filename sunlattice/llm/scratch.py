@@ -50,7 +50,7 @@ def maybe_in(ids: DataFrame, name: str) -> Column:
     words = (
         ids.select(spot.alias("spot"))
         .groupBy((F.col("spot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits"))
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits"))
         .groupBy((F.col("word") / 512).cast("int").alias("page"))
         .agg(F.collect_list(F.struct("word", "bits")).alias("words"))
     )
