@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sunlattice.llm import ann, lines, minhash, packing, pii, quality, sharding, warc
+from sunlattice.llm import ann, licenses, lines, minhash, packing, pii, quality, sentencepieces, sharding, warc
 
 
 def queries() -> dict:
@@ -14,8 +14,10 @@ def queries() -> dict:
         "op4_stratified_sharding": sharding.op4_stratified_sharding,
         "op5_warc_revisits": warc.op5_warc_revisits,
         "op6_quality_rules": quality.op6_quality_rules,
+        "op7_license_scan": licenses.op7_license_scan,
         "op8_pii_sanitisation": pii.op8_pii_sanitisation,
         "op9_bestfit_packing": packing.op9_bestfit_packing,
+        "op10_sentencepiece": sentencepieces.op10_sentencepiece,
         "pipeline": corpus_pipeline.pipeline,
     }
 
@@ -26,4 +28,5 @@ def oracle_sql() -> dict:
         "op4_stratified_sharding": sharding.OP4_SQL,
         "op5_warc_revisits": warc.OP5_SQL,
         "op6_quality_rules": quality.OP6_SQL,
+        "op7_license_scan": licenses.OP7_SQL,
     }
