@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm.links import linked_groups
-from sunlattice.llm.scratch import cut, maybe_in
+from sunlattice.llm.scratch import cut, maybe_in, reducer, split_by
 from sunlattice.llm.words import lines_of
 
 MIN_WORDS = 8
@@ -170,7 +170,7 @@ def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
         pairs = cut(pairs.distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
         wanted = cut(ids.join(classes, "uid").select("uid", "own.*"))
-        bodies = docs.select("doc_id", "text").where(maybe_in(wanted.select("doc_id"), "doc_id"))
+        bodies = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id"))
         lines = bodies.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
         form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
         found = lines.join(wanted, ["doc_id", "line_no"]).select("uid", form.alias("line")).dropDuplicates(["uid"])
@@ -222,12 +222,11 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     drops = cut(removed_lines(docs, **options))
     drops = drops.withColumnRenamed("drop", "_drop")
     base = docs.drop("n_lines", "n_removed").withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
-    touched = maybe_in(drops.select("doc_id"), "doc_id")
-    same = base.where(~touched).withColumn("n_removed", F.lit(0).cast("long"))
+    touched, untouched = split_by(base, "doc_id", reducer(drops.select("doc_id")))
+    same = untouched.withColumn("n_removed", F.lit(0).cast("long"))
     split = F.transform(F.array(lines_of(F.col("text"))), _without)[0]
     changed = (
-        base.where(touched)
-        .join(drops, "doc_id", "left")
+        touched.join(drops, "doc_id", "left")
         .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(split))
     )

@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = THRE
     def prepare(shared: DataFrame):
         wanted = cut(shared.distinct().join(classes.select("uid", "own.*"), "uid"))
         bodies = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        bodies = bodies.where(maybe_in(wanted.select("doc_id"), "doc_id"))
+        bodies = maybe_in(bodies, "doc_id", wanted.select("doc_id"))
         texts = bodies.join(wanted, ["doc_id", "text_hash"]).select("uid", "text").dropDuplicates(["uid"])
         return _confirm(cut(texts), shingle_words, percent)
 

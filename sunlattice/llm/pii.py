@@ -151,7 +151,7 @@ def disclosing_terms(
     )
     together = cut(together)
     spread = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    spread = spread.where(maybe_in(together.select("term"), "term"))
+    spread = maybe_in(spread, "term", together.select("term"))
     counts = spread.groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(max(total, 1)))
     information = F.log(n / F.col("n_entity"))

@@ -9,11 +9,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of the reducer bitmap: 4 MB whatever the input's size.
-REDUCER_BITS = 1 << 25
+#: Bits of the reducer bitmap: at most REDUCER_BITS / 64 rows of 16 bytes, 4 MB, whatever the input's size.
+REDUCER_BITS = 1 << 24
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,26 +39,27 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_in(ids: DataFrame, name: str) -> Column:
-    """A test on a column `name` that is true for every value in the one-column `ids`, and for few others.
+def reducer(ids: DataFrame) -> DataFrame:
+    """A bitmap of fixed size over the values of the one-column `ids`, as a table (word, bits).
 
-    The values are hashed into a bitmap of fixed size (REDUCER_BITS), built by an aggregation of at most
-    REDUCER_BITS / 32768 rows, so what reaches the driver and the executors doesn't grow with the data. It only
-    reduces what a following exact join has to shuffle; once the bitmap is full it lets everything through.
+    It has REDUCER_BITS / 64 rows at most, so it may be broadcast. It only spares a following exact join from shuffling
+    rows that can't match; once the bitmap is full it lets everything through.
     """
     spot = F.pmod(F.xxhash64(F.col(ids.columns[0])), F.lit(REDUCER_BITS))
-    words = (
-        ids.select(spot.alias("spot"))
-        .groupBy((F.col("spot") / 64).cast("int").alias("word"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))).alias("bits"))
-        .groupBy((F.col("word") / 512).cast("int").alias("page"))
-        .agg(F.collect_list(F.struct("word", "bits")).alias("words"))
-    )
-    bitmap = bytearray(REDUCER_BITS // 8)
-    for page in words.toLocalIterator():
-        for word, bits in page["words"]:
-            bitmap[word * 8 : word * 8 + 8] = (bits & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
-    own = F.pmod(F.xxhash64(F.col(name)), F.lit(REDUCER_BITS))
-    at = F.floor(own / 8).cast("int") + 1
-    octet = F.conv(F.hex(F.substring(F.lit(bitmap), at, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(octet, F.pmod(own, F.lit(8)).cast("int")) == 1, F.lit(False))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("spot", F.lit(64)).cast("int"))
+    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return cut(words)
+
+
+def split_by(df: DataFrame, name: str, bitmap: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of `df` whose column `name` may be among the values of the `reducer`, rows for which it certainly isn't)."""
+    spot = F.pmod(F.xxhash64(F.col(name)), F.lit(REDUCER_BITS))
+    words = F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("bits").alias("_bits")))
+    joined = df.join(words, F.shiftright(spot, 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.getbit("_bits", F.pmod(spot, F.lit(64)).cast("int")) == 1, F.lit(False))
+    return joined.where(hit).drop("_word", "_bits"), joined.where(~hit).drop("_word", "_bits")
+
+
+def maybe_in(df: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of `df` whose column `name` may be among the values of the one-column `ids`."""
+    return split_by(df, name, reducer(ids))[0]
