@@ -94,8 +94,8 @@ def valid_requests(s, d):
 
 @register(
     "trig_features",
-    f"""WITH {SITES} SELECT site_id, round(sin(radians(lat)), 6) AS lat_sin, round(cos(radians(lat)), 6) AS lat_cos,
-      round(sin(radians(lon)), 6) AS lon_sin, round(cos(radians(lon)), 6) AS lon_cos FROM sites""",
+    f"""WITH {SITES} SELECT site_id, round(sin(radians(lat)), 6) + 0.0::DOUBLE AS lat_sin, round(cos(radians(lat)), 6) + 0.0::DOUBLE AS lat_cos,
+      round(sin(radians(lon)), 6) + 0.0::DOUBLE AS lon_sin, round(cos(radians(lon)), 6) + 0.0::DOUBLE AS lon_cos FROM sites""",
 )
 def trig_features(s, d):
     return sites(s, d).select("site_id", *r6(**scoring.trig(F.col("lat"), F.col("lon"))))
