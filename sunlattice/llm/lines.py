@@ -30,6 +30,12 @@ MIN_SIMILARITY = 0.9
 LONG_LINE = 2_000
 TEXT_BYTES = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
+_NOT_WORD_IN_LINE = re.compile(r"(?:[^\w\n]|_)+")
+#: For ASCII texts the same as a table: letters to lower case, digits and newlines stay, the rest becomes a space.
+_ASCII = bytes(c if chr(c).isdigit() or c == 10 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes([32] * 128)
+#: For each byte that starts a character, one of eight byte-wide counters; the bytes that continue one count nothing.
+_SHAPE = np.array([0 if 0x80 <= c < 0xC0 else 1 << (8 * (c % 8)) for c in range(256)], np.uint64)
+_STARTS = np.array([0 if 0x80 <= c < 0xC0 else 1 for c in range(256)], np.int64)
 #: For each byte, its eight bits as eight byte-wide counters.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -38,22 +44,51 @@ def normal_form(line: str) -> str:
     return _NOT_WORD.sub(" ", line.lower()).strip()
 
 
+def normal_lines(text: str) -> list[list[bytes]]:
+    """The words of the normal form of each line of a text."""
+    if text.isascii():
+        flat = text.encode().translate(_ASCII)
+    else:
+        flat = _NOT_WORD_IN_LINE.sub(" ", text.lower()).encode()
+    return [line.split() for line in flat.split(b"\n")]
+
+
+def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of given lengths cut into pieces of 255 (what a byte-wide counter holds): run, start, first piece of a run."""
+    starts = np.cumsum(lengths) - lengths
+    parts = -(-lengths // 255)
+    run = np.repeat(np.arange(len(lengths)), parts)
+    firsts = np.cumsum(parts) - parts
+    return run, starts[run] + 255 * (np.arange(len(run)) - np.repeat(firsts, parts)), firsts
+
+
+def shapes(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each form: characters in each of eight classes, 255 at most, as one long; and its number of characters.
+
+    One edit changes two of the counts by one at most, so forms whose counts differ by more than twice a distance in
+    total are further apart than it.
+    """
+    flat = np.frombuffer(b"".join(forms), np.uint8)
+    lengths = np.fromiter(map(len, forms), np.int64, len(forms))
+    _, starts, firsts = _pieces(lengths)
+    counts = np.add.reduceat(_SHAPE[flat], starts).view(np.uint8).reshape(-1, 8)
+    counts = np.add.reduceat(counts, firsts, axis=0, dtype=np.int64)
+    packed = np.minimum(counts, 255).astype(np.uint8)
+    return np.ascontiguousarray(packed).view(np.int64).ravel(), np.add.reduceat(_STARTS[flat], np.cumsum(lengths) - lengths)
+
+
 def simhashes(word_hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The SimHash of each run of `lengths` word hashes (all at least 1): bit i is set if most of its words have it."""
     lanes = _LANES[word_hashes.view(np.uint8).reshape(-1, 8)]
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    parts = -(-lengths // 255)  # a byte-wide counter holds 255 words
-    of = np.repeat(np.arange(len(lengths)), parts)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-    counts = np.add.reduceat(lanes, starts[of] + 255 * nth, axis=0).view(np.uint8).reshape(len(of), 64)
-    if len(of) > len(lengths):
-        counts = np.add.reduceat(counts, np.cumsum(parts) - parts, axis=0, dtype=np.int32)
+    run, starts, firsts = _pieces(lengths)
+    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(len(run), 64)
+    if len(run) > len(lengths):
+        counts = np.add.reduceat(counts, firsts, axis=0, dtype=np.int32)
     bits = (2 * counts.astype(np.int32) > lengths[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1).view(np.int64).ravel()
 
 
-_LINES = "doc_id long, line_no int, line_hi long, line_lo long, simhash long, n_chars int"
+_LINES = "doc_id long, line_no int, line_hi long, line_lo long, simhash long, shape long, n_chars int"
 
 
 def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -70,25 +105,20 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
             edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
             for a, b in zip(edges, edges[1:], strict=False):
-                ids, numbers, digests, chars, lengths, hashed = [], [], [], [], [], []
+                ids, numbers, forms, lengths, hashed = [], [], [], [], []
                 pairs = zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a), strict=True)
                 for doc_id, text in pairs:
-                    for number, line in enumerate((text.as_py() or "").split("\n")):
-                        if len(line) < 2 * min_words - 1:
-                            continue
-                        form = normal_form(line).encode()
-                        found = form.split(b" ")
-                        if len(found) < min_words:
-                            continue
-                        ids.append(doc_id)
-                        numbers.append(number)
-                        digests.append(xxhash.xxh3_128_digest(form))
-                        chars.append(len(form))
-                        lengths.append(len(found))
-                        hashed.extend(map(words.__getitem__, found))
+                    for number, found in enumerate(normal_lines(text.as_py() or "")):
+                        if len(found) >= min_words:
+                            ids.append(doc_id)
+                            numbers.append(number)
+                            forms.append(b" ".join(found))
+                            lengths.append(len(found))
+                            hashed.extend(map(words.__getitem__, found))
                 if not ids:
                     continue
-                digest = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)), np.int64).reshape(-1, 2)
+                shape, chars = shapes(forms)
                 similar = simhashes(np.asarray(hashed, np.uint64), np.asarray(lengths))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -97,9 +127,10 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                         pa.array(np.ascontiguousarray(digest[:, 0])),
                         pa.array(np.ascontiguousarray(digest[:, 1])),
                         pa.array(similar),
-                        pa.array(chars, pa.int32()),
+                        pa.array(shape),
+                        pa.array(chars.astype(np.int32)),
                     ],
-                    names=["doc_id", "line_no", "line_hi", "line_lo", "simhash", "n_chars"],
+                    names=["doc_id", "line_no", "line_hi", "line_lo", "simhash", "shape", "n_chars"],
                 )
 
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
@@ -125,9 +156,13 @@ def block_keys(simhash: Column, max_hamming: int = MAX_HAMMING) -> Column:
 def _close(similarity: float, max_hamming: int):
     def condition(a: str, b: str) -> Column:
         few = F.bit_count(F.col(f"{a}simhash").bitwiseXOR(F.col(f"{b}simhash"))) <= max_hamming
-        # lengths are of UTF-8 bytes, of which a character has four at most
-        small, large = F.least(f"{a}n_chars", f"{b}n_chars"), F.greatest(f"{a}n_chars", f"{b}n_chars")
-        return few & (4 * small >= similarity * large)
+        # a distance of d needs lengths that differ by d at most, and class counts that differ by 2 d at most in total
+        most = F.floor((1 - similarity) * F.greatest(f"{a}n_chars", f"{b}n_chars") + F.lit(1e-9))
+        apart = F.lit(0)
+        for i in range(8):
+            counts = [F.shiftrightunsigned(F.col(f"{x}shape"), 8 * i).bitwiseAND(F.lit(255)) for x in (a, b)]
+            apart = apart + F.abs(counts[0] - counts[1])
+        return few & (F.abs(F.col(f"{a}n_chars") - F.col(f"{b}n_chars")) <= most) & (apart <= 2 * most)
 
     return condition
 
@@ -194,10 +229,12 @@ def removed_lines(
     classes = lines.groupBy("line_hi", "line_lo").agg(
         F.min(F.struct("doc_id", "line_no")).alias("own"),
         F.first("simhash").alias("simhash"),
+        F.first("shape").alias("shape"),
         F.first("n_chars").alias("n_chars"),
     )
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "own", "simhash", "n_chars"))
-    members = classes.select("uid", block_keys(F.col("simhash"), max_hamming).alias("keys"), "simhash", "n_chars")
+    columns = ["simhash", "shape", "n_chars"]
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "own", *columns))
+    members = classes.select("uid", block_keys(F.col("simhash"), max_hamming).alias("keys"), *columns)
     verify = _confirm(docs, classes, similarity)
     groups = linked_groups(members, _close(similarity, max_hamming), lambda _: verify)
     grouped = groups.join(classes.select(F.col("uid").alias("node"), "own"), "node")
@@ -219,8 +256,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     document may end up with an empty text. An empty table gives an empty one; other columns pass through, and columns
     named n_lines or n_removed are replaced.
     """
-    drops = cut(removed_lines(docs, **options))
-    drops = drops.withColumnRenamed("drop", "_drop")
+    drops = cut(removed_lines(docs, **options).withColumnRenamed("drop", "_drop"))
     base = docs.drop("n_lines", "n_removed").withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
     touched, untouched = split_by(base, "doc_id", reducer(drops.select("doc_id")))
     same = untouched.withColumn("n_removed", F.lit(0).cast("long"))
