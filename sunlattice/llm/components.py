@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sunlattice.llm.scratch import cut
+from sunlattice.llm.scratch import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(down.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        now = cut(small)
+        before, now = now, cut(small)
+        discard(before)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm.links import linked_groups
-from sunlattice.llm.scratch import cut, maybe_in, reducer, split_by
+from sunlattice.llm.scratch import cut, made, maybe_in, reducer, release, split_by
 from sunlattice.llm.words import lines_of
 
 MIN_WORDS = 8
@@ -256,7 +256,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     document may end up with an empty text. An empty table gives an empty one; other columns pass through, and columns
     named n_lines or n_removed are replaced.
     """
+    mark = made()
     drops = cut(removed_lines(docs, **options).withColumnRenamed("drop", "_drop"))
+    release(docs.sparkSession, mark, (drops,))
     base = docs.drop("n_lines", "n_removed").withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
     touched, untouched = split_by(base, "doc_id", reducer(drops.select("doc_id")))
     same = untouched.withColumn("n_removed", F.lit(0).cast("long"))

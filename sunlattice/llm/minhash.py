@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm.links import linked_groups
-from sunlattice.llm.scratch import cut, maybe_in
+from sunlattice.llm.scratch import cut, made, maybe_in, release
 
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
 THRESHOLD_PERCENT = 80
@@ -180,6 +180,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = THRE
     results; rows that share a doc_id but not the text are judged by their texts. A row with a null doc_id has the
     component of rows with equal sets if these have ids, else null, and isn't kept. An empty table gives an empty one.
     """
+    mark = made()
     signed = cut(signatures(docs, shingle_words))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("set_hi", "set_lo").agg(
@@ -212,12 +213,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = THRE
         of_class, ["set_hi", "set_lo"], "left"
     )
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select(
-        "doc_id",
-        "n_shingles",
-        component_id.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept"),
-    )
+    kept = F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept")
+    result = cut(result.select("doc_id", "n_shingles", component_id.alias("component_id"), kept))
+    release(docs.sparkSession, mark, (result,))
+    return result
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

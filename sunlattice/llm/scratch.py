@@ -31,12 +31,42 @@ def new_path(spark: SparkSession, kind: str = "tables") -> str:
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
+#: Tables that this driver has written and not removed yet, oldest first.
+_made: list[str] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and return a DataFrame that reads them."""
     spark = df.sparkSession
     path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._scratch_path = path
+    return read
+
+
+def made() -> int:
+    """How many tables stand; a mark for `release`."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Remove the tables written since a mark, but for those of `keep`. Plans that read removed tables fail afterwards."""
+    kept = {df._scratch_path for df in keep}
+    for path in [p for p in _made[since:] if p not in kept]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _made.remove(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Remove one table that `cut` has made."""
+    since = _made.index(df._scratch_path)
+    keep = [p for p in _made[since + 1 :]]
+    del _made[since + 1 :]
+    release(df.sparkSession, since)
+    _made.extend(keep)
 
 
 def reducer(ids: DataFrame) -> DataFrame:
