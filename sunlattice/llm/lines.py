@@ -2,9 +2,10 @@
 
 Lines are normalised (lower case, runs of anything but letters and digits become one space) and get a 64-bit SimHash of
 their words. Equal normalised lines are one class. Classes meet in the buckets of pairs of pigeonhole blocks (64 bits in
-MAX_HAMMING + 2 blocks: two hashes that differ in MAX_HAMMING bits or fewer agree in two blocks at least), are kept as
-candidates at that Hamming distance and confirmed by edit similarity. Of each connected group the first occurrence by
-(doc_id, line number) stays. Texts themselves are shuffled only for documents that may have a line to confirm or remove.
+MAX_HAMMING + 2 blocks: two hashes that differ in MAX_HAMMING bits or fewer agree in two blocks at least) and of bands of
+lengths, are kept as candidates at that Hamming distance and confirmed by edit similarity. Of each connected group the
+first occurrence by (doc_id, line number) stays. Texts themselves are shuffled only for documents that may have a line to
+confirm or remove.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,15 @@ from sunlattice.llm.words import lines_of
 MIN_WORDS = 8
 MAX_HAMMING = 3
 MIN_SIMILARITY = 0.9
-#: Up to this length the built-in banded distance is used; beyond it a bit-parallel one.
-LONG_LINE = 2_000
+#: Lengths in a band grow by this factor (by the inverse of the similarity, if that is more).
+BAND_RATIO = 1.6
 TEXT_BYTES = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
-_NOT_WORD_IN_LINE = re.compile(r"(?:[^\w\n]|_)+")
-#: For ASCII texts the same as a table: letters to lower case, digits and newlines stay, the rest becomes a space.
-_ASCII = bytes(c if chr(c).isdigit() or c == 10 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(128)) + bytes([32] * 128)
+#: The same for bytes: ASCII letters to lower case, digits and newlines stay, other ASCII becomes a space.
+_TABLE = bytes(
+    c if c > 127 or chr(c).isdigit() or c == 10 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in range(256)
+)
+_ASCII_BYTES = bytes(range(128))
 #: For each byte that starts a character, one of eight byte-wide counters; the bytes that continue one count nothing.
 _SHAPE = np.array([0 if 0x80 <= c < 0xC0 else 1 << (8 * (c % 8)) for c in range(256)], np.uint64)
 _STARTS = np.array([0 if 0x80 <= c < 0xC0 else 1 for c in range(256)], np.int64)
@@ -46,11 +50,12 @@ def normal_form(line: str) -> str:
 
 def normal_lines(text: str) -> list[list[bytes]]:
     """The words of the normal form of each line of a text."""
-    if text.isascii():
-        flat = text.encode().translate(_ASCII)
-    else:
-        flat = _NOT_WORD_IN_LINE.sub(" ", text.lower()).encode()
-    return [line.split() for line in flat.split(b"\n")]
+    if not text.isascii():
+        text = text.lower()
+        for c in set(text.encode().translate(None, _ASCII_BYTES).decode()):
+            if not c.isalnum():
+                text = text.replace(c, " ")
+    return [line.split() for line in text.encode().translate(_TABLE).split(b"\n")]
 
 
 def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,8 +142,14 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.mapInArrow(run, _LINES)
 
 
-def block_keys(simhash: Column, max_hamming: int = MAX_HAMMING) -> Column:
-    """One int for each pair of blocks; the pair's number is its high part."""
+def block_keys(
+    simhash: Column, n_chars: Column, max_hamming: int = MAX_HAMMING, similarity: float = MIN_SIMILARITY
+) -> Column:
+    """One long for each pair of blocks and band of lengths: band, pair's number, bits of both blocks.
+
+    A line of n characters is in the bands from its own to that of n / similarity, the longest line that may be linked
+    to it (mostly one band, two at times), so two lines that may be linked share a band.
+    """
     blocks = max_hamming + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     part = [
@@ -150,7 +161,10 @@ def block_keys(simhash: Column, max_hamming: int = MAX_HAMMING) -> Column:
     for number, (i, j) in enumerate(combinations(range(blocks), 2)):
         joined = F.shiftleft(part[i].cast("long"), width).bitwiseOR(part[j].cast("long"))
         keys.append(joined.bitwiseOR(F.lit(number << (2 * width))))
-    return F.array(*keys)
+    step = log(max(BAND_RATIO, 1 / similarity))
+    bands = [F.floor(F.log(n) / F.lit(step)).cast("long") for n in (n_chars + 1, (n_chars + 1) / F.lit(similarity) + F.lit(1.0))]
+    apart = F.transform(F.sequence(*bands), lambda band: F.shiftleft(band, 48))
+    return F.flatten(F.transform(apart, lambda band: F.transform(F.array(*keys), lambda key: key.bitwiseOR(band))))
 
 
 def _close(similarity: float, max_hamming: int):
@@ -167,15 +181,42 @@ def _close(similarity: float, max_hamming: int):
     return condition
 
 
+def _shared_start(a: str, b: str) -> int:
+    """How many characters at the start are equal, by bisection over comparisons of slices."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a[low:middle] == b[low:middle] else (low, middle - 1)
+    return low
+
+
+def _differing(a: str, b: str) -> tuple[str, str]:
+    """Both without what their ends have in common."""
+    start = _shared_start(a, b)
+    a, b = a[start:], b[start:]
+    end = _shared_start(a[::-1], b[::-1])
+    return a[: len(a) - end], b[: len(b) - end]
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is at most `most`; exact distances only where simple bounds don't settle it.
+
+    What is left between equal ends bounds it from above, and so does replacing word by word.
+    """
+    if abs(len(a) - len(b)) > most:
+        return False
+    a, b = _differing(a, b)
+    if max(len(a), len(b)) <= most:
+        return True
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
+        return True
+    return edit_distance(a, b) <= most
+
+
 def edit_distance(a: str, b: str) -> int:
     """Levenshtein distance by bit-parallel columns (Myers), after what the ends have in common."""
-    start, most = 0, min(len(a), len(b))
-    while start < most and a[start] == b[start]:
-        start += 1
-    end = 0
-    while end < most - start and a[-1 - end] == b[-1 - end]:
-        end += 1
-    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    a, b = _differing(a, b)
     if not a or not b:
         return len(a) + len(b)
     where: dict[str, int] = {}
@@ -194,33 +235,35 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
-    def long_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                keep.append(edit_distance(x, y) <= (1 - similarity) * max(len(x), len(y)))
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                keep.append(within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs.distinct())
         ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        wanted = cut(ids.join(classes, "uid").select("uid", "own.*"))
+        wanted = ids.join(classes, "uid").select("uid", "own.*")
+        wanted = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "uid")).alias("wanted")))
         bodies = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id"))
-        lines = bodies.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
+        split = F.transform(F.array(lines_of(F.col("text"))), _wanted)[0]
+        found = bodies.join(wanted, "doc_id").select(F.inline(split)).where("line is not null")
         form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
-        found = lines.join(wanted, ["doc_id", "line_no"]).select("uid", form.alias("line")).dropDuplicates(["uid"])
+        found = found.select("uid", form.alias("line")).dropDuplicates(["uid"])
         one = found.select(F.col("uid").alias("a"), F.col("line").alias("x"))
         two = found.select(F.col("uid").alias("b"), F.col("line").alias("y"))
-        both = cut(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y"))
-        longest = F.greatest(F.length("x"), F.length("y"))
-        most = F.floor((1 - similarity) * longest + F.lit(1e-9)).cast("int")
-        within = F.expr("levenshtein(x, y, most_)")
-        short = both.where(longest <= LONG_LINE).withColumn("most_", most).where(within >= 0).select("a", "b")
-        return short.unionByName(both.where(longest > LONG_LINE).mapInArrow(long_pairs, "a long, b long"))
+        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
+        return both.mapInArrow(linked, "a long, b long")
 
     return verify
 
 
+def _wanted(lines: Column) -> Column:
+    return F.transform("wanted", lambda w: F.struct(w["uid"].alias("uid"), F.get(lines, w["line_no"]).alias("line")))
+
+
 def removed_lines(
     docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int = MAX_HAMMING, similarity: float = MIN_SIMILARITY
 ) -> DataFrame:
@@ -234,7 +277,8 @@ def removed_lines(
     )
     columns = ["simhash", "shape", "n_chars"]
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "own", *columns))
-    members = classes.select("uid", block_keys(F.col("simhash"), max_hamming).alias("keys"), *columns)
+    keys = block_keys(F.col("simhash"), F.col("n_chars"), max_hamming, similarity)
+    members = classes.select("uid", keys.alias("keys"), *columns)
     verify = _confirm(docs, classes, similarity)
     groups = linked_groups(members, _close(similarity, max_hamming), lambda _: verify)
     grouped = groups.join(classes.select(F.col("uid").alias("node"), "own"), "node")

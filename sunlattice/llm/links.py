@@ -25,16 +25,15 @@ def linked_groups(
 ) -> DataFrame:
     """(node, label) for the members that have a link.
 
-    members: a table (not a plan: it is read several times) with uid (long, unique), keys (array, the i-th key of two
-    members equal only if they share bucket i) and what `close` needs. close(a, b): a condition on columns with the
-    prefixes a and b that no true link fails (or only with the probability its author states). prepare: is given the
-    members that share a bucket (uid, repeated) and returns a function that takes pairs (a, b) of uids and returns those
-    that are links.
+    members: a table (not a plan: it is read several times) with uid (long, unique), keys (array of buckets) and what
+    `close` needs. close(a, b): a condition on columns with the prefixes a and b that no true link fails (or only with
+    the probability its author states). prepare: is given the members that share a bucket (uid, repeated) and returns a
+    function that takes a table of distinct pairs (a, b) of uids and returns those that are links.
     """
     payload = [c for c in members.columns if c not in ("uid", "keys")]
 
-    def side(name: str, *more: str) -> DataFrame:
-        return members.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in (*payload, *more)])
+    def side(name: str) -> DataFrame:
+        return members.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in payload])
 
     placed = members.select("uid", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -42,7 +41,7 @@ def linked_groups(
     verify = prepare(shared.select("uid"))
     stars = shared.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
     stars = stars.join(side("b"), "b").join(side("a"), "a").where(close("a_", "b_")).select("a", "b")
-    first = cut(verify(stars))
+    first = cut(verify(cut(stars)))
     groups = connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     labelled = (
@@ -54,12 +53,11 @@ def linked_groups(
     still = cut(labelled.join(mixed.select("key"), "key").where("uid <> hub"))
     if still.isEmpty():
         return groups
-    full = still.join(members, "uid")
+    full = still.select("key", "uid", "group").join(members.drop("keys"), "uid")
 
     def open_side(name: str) -> DataFrame:
-        return full.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "group", "keys", *payload)])
+        return full.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "group", *payload)])
 
-    same = F.zip_with("a_keys", "b_keys", lambda x, y: x == y)
     across = (
         open_side("a")
         .join(open_side("b"), "key")
@@ -67,10 +65,10 @@ def linked_groups(
             (F.col("a_uid") < F.col("b_uid"))
             & (F.col("a_group") != F.col("b_group"))
             & close("a_", "b_")
-            & (F.array_position(same, True) == F.array_position("a_keys", F.col("key")))
         )
         .select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"))
+        .distinct()
     )
-    second = cut(verify(across))
+    second = cut(verify(cut(across)))
     known = groups.select(F.col("node").alias("u"), F.col("label").alias("v"))
     return connected_components(known.unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v"))))

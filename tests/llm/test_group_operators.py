@@ -138,6 +138,9 @@ def test_edit_distance_and_long_simhash():
         a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
         b = "".join(rng.choice("abc") for _ in range(rng.randint(0, 12)))
         assert lines.edit_distance(a, b) == plain(a, b)
+        assert [lines.within(a, b, most) for most in range(13)] == [plain(a, b) <= most for most in range(13)]
+        spaced = " ".join(rng.choice(("ab", "cab", "b")) for _ in range(6)), " ".join(rng.choice(("ab", "cab", "b")) for _ in range(6))
+        assert [lines.within(*spaced, most) for most in range(20)] == [plain(*spaced) <= most for most in range(20)]
     import xxhash
 
     groups = [prose(n).split() for n in (1, 255, 256, 700, 3)]
@@ -154,11 +157,12 @@ def test_block_keys_meet_within_the_hamming_distance(spark):
         for bit in rng.sample(range(64), rng.randint(0, 3)):
             b ^= 1 << bit
         signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-        pairs.append((signed(a), signed(b)))
-    df = spark.createDataFrame(pairs, "a long, b long")
-    met = F.arrays_overlap(lines.block_keys(F.col("a")), lines.block_keys(F.col("b")))
-    assert df.where(~met).count() == 0
-    assert df.select(F.size(F.array_distinct(lines.block_keys(F.col("a")))).alias("n")).where("n <> 10").count() == 0
+        longer = rng.randint(1, 3000)
+        pairs.append((signed(a), signed(b), longer, longer - rng.randint(0, int(0.1 * longer + 1e-9))))
+    df = spark.createDataFrame(pairs, "a long, b long, n int, m int")
+    one, two = (lines.block_keys(F.col(h), F.col(n)) for h, n in (("a", "n"), ("b", "m")))
+    assert df.where(~F.arrays_overlap(one, two)).count() == 0
+    assert df.where((F.size(F.array_distinct(one)) != F.size(one)) | ~F.size(one).isin(10, 20)).where("n > 20").count() == 0
 
 
 def test_sharding(spark):
