@@ -198,10 +198,16 @@ def _differing(a: str, b: str) -> tuple[str, str]:
     return a[: len(a) - end], b[: len(b) - end]
 
 
+def _pair_counts(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount((codes[:-1] * np.uint32(37) + codes[1:]) % np.uint32(1024), minlength=1024)
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is at most `most`; exact distances only where simple bounds don't settle it.
 
-    What is left between equal ends bounds it from above, and so does replacing word by word.
+    What is left between equal ends bounds it from above, and so does replacing word by word. It is bounded from below
+    by the counts of pairs of neighbouring characters: an edit changes two pairs at most in either text.
     """
     if abs(len(a) - len(b)) > most:
         return False
@@ -211,6 +217,8 @@ def within(a: str, b: str, most: int) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
         return True
+    if np.abs(_pair_counts(a) - _pair_counts(b)).sum() > 4 * most:
+        return False
     return edit_distance(a, b) <= most
 
 
