@@ -3,17 +3,24 @@
 Words (a run of the space mark and what follows it up to the next one) are encoded once each: their substrings of
 bounded length are exploded, joined to the piece table on equality, grouped by word into a lattice of edges, and a
 higher-order aggregate folds the lattice into ids. No piece of a model of this kind spans a word's start, so
-words can be encoded apart. Word occurrences are then joined to the word table: the FREQUENT most frequent short words,
-a bounded number, are broadcast, so that no frequent word is shuffled; the rest goes through a shuffle join.
+words can be encoded apart. Word occurrences are then joined to the word table: short words that make up one in FREQUENT
+of all occurrences or more, so a bounded number, are broadcast, and no frequent word is shuffled; the rest goes through a
+shuffle join.
 
 Folds. For unigram models the fold is Viterbi over edge scores. The models whose pieces have merge ranks as scores
 (byte-pair models) are not encoded by the best sum of scores: on the test corpus Viterbi gives other ids than the
-library for 59 % of distinct words. For these the fold replays the merges on the same lattice: one merge a step, the edge
-of two adjacent symbols with the best score, leftmost of equals, which gives the library's ids.
+library for 59 % of distinct words. For these the fold replays the merges on the same lattice: edges in the order of
+rank, start and length; the state is a long whose bits are the borders between symbols, and an edge that spans exactly
+two symbols removes the border between them. One pass in that order is the library's encoding if no merge enables
+another that comes before it. What can be merged inside a piece doesn't depend on its surroundings, so this is decided
+for each piece by encoding it alone; words that hold a piece for which it isn't so (runs of spaces, in the model at
+hand) are folded by looking for the best edge anew after each merge.
 """
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +28,15 @@ from sunlattice.llm.scratch import cut
 from sunlattice.llm.words import bound
 
 MARK = "▁"
-#: Words that are broadcast: at most so many, of at most so many characters (below 20 MB with their ids).
+#: Words that make up at least this part of all occurrences are broadcast, so there are FREQUENT of them at most; of at
+#: most so many characters (below 20 MB with their ids).
 FREQUENT, FREQUENT_CHARS = 65_536, 32
-#: Words longer than this are cut where no piece can cross, before the lattice is built.
-LONG_WORD = 64
+#: Longer words are merged apart: the borders of a word have to fit the bits of a long.
+LONG_WORD = 60
+#: An edge is a long: rank, start from 0, length, id; these are the widths of the last three.
+_START, _LENGTH, _ID = 6, 6, 20
+#: Set in an edge whose piece one pass in the order of ranks may miss.
+_ODD = 1 << 62
 
 
 class Model:
@@ -49,8 +61,18 @@ class Model:
             raise ValueError("a piece spans the start of a word")
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(piece, id, score); its size is the model's vocabulary, and so broadcast."""
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
+        """(piece, id, score, edge); its size is the model's vocabulary, and so broadcast.
+
+        The empty piece stands for a word's own row in the lattice, so that a word without pieces has one.
+        """
+        order = {score: rank for rank, score in enumerate(sorted({-s for _, _, s in self.pieces}))}
+        merges = Merges(self)
+        shift = _START + _LENGTH + _ID
+        rows = [("", 0, 0.0, 0)]
+        for piece, i, score in self.pieces:
+            edge = (order[-score] << shift) + (len(piece) << _ID) + i
+            rows.append((piece, i, score, edge if merges.in_order(piece) else edge + _ODD))
+        return spark.createDataFrame(rows, "piece string, id int, score double, edge long")
 
     def byte_ids(self) -> Column:
         return F.array(*[F.lit(self.bytes[b]) for b in range(256)])
@@ -66,50 +88,111 @@ def words_in(text: Column) -> Column:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, edges): for each word the map from start * 2^20 + length to (score, id) of its substrings that are pieces."""
+    """`words` (distinct words, other columns pass) with all pieces that are substrings of the word.
+
+    These are two arrays of equal order: edges (longs) and ways (score, start from 1, length n, id); what isn't used of
+    them isn't gathered. Dealt by word once; the substrings stay where their word is.
+    """
     length = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), length)).alias("start"))
+    others = [c for c in words.columns if c != "word"]
+    dealt = words.select("word", F.struct(F.lit(0).alias("_"), *others).alias("others")).repartition("word")
+    starts = dealt.select("*", F.explode(F.sequence(F.lit(1), length)).alias("start"))
     most = F.least(F.lit(model.longest), length - F.col("start") + 1)
-    subs = starts.select("word", "start", F.explode(F.sequence(F.lit(1), most)).alias("n"))
+    least = F.when(F.col("start") == 1, 0).otherwise(1)
+    subs = starts.select("*", F.explode(F.sequence(least, most)).alias("n"))
     subs = subs.withColumn("piece", F.substring(F.col("word"), F.col("start"), F.col("n")))
     joined = subs.join(F.broadcast(model.table(words.sparkSession)), "piece")
-    edge = F.struct("start", "n", "score", "id")
-    return joined.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    placed = F.col("edge") + F.shiftleft((F.col("start") - 1).cast("long"), _LENGTH + _ID)
+    way = F.struct("start", "n", "score", "id")
+    gathered = joined.groupBy("word").agg(
+        F.first("others").alias("others"), F.collect_list(placed).alias("edges"), F.collect_list(way).alias("ways")
+    )
+    return gathered.select("word", *[f"others.{c}" for c in others], "edges", "ways")
 
 
-def _merges(word: Column, edges: Column) -> Column:
-    """The starts of a word's symbols, closed by the end, after all merges: best score first, leftmost of equals.
+def _shift(direction: str, value: Column, by: Column) -> Column:
+    return F.call_function(f"shift{direction}", value, by.cast("int"))
 
-    A merge removes a start; there are fewer merges than characters, and once none applies the state stays.
-    """
-    n = F.length(word)
 
-    def folded(pairs: Column) -> Column:
-        def step(state: Column, _: Column) -> Column:
-            starts = state["starts"]
+def _start(edge: Column) -> Column:
+    return F.shiftright(edge, _LENGTH + _ID).bitwiseAND(F.lit((1 << _START) - 1))
+
+
+def _length(edge: Column) -> Column:
+    return F.shiftright(edge, _ID).bitwiseAND(F.lit((1 << _LENGTH) - 1))
+
+
+def _borders_in(borders: Column, edge: Column) -> Column:
+    """The bits of `borders` from the edge's start to its end, the start's as the lowest."""
+    mask = _shift("left", F.lit(2).cast("long"), _length(edge)) - 1
+    return _shift("right", borders, _start(edge)).bitwiseAND(mask)
+
+
+def _ends(edge: Column) -> Column:
+    return _shift("left", F.lit(1).cast("long"), _length(edge)) + 1
+
+
+def _one_pass(word: Column, edges: Column) -> Column:
+    """The borders of a word's symbols after all merges, as bits; `edges` are longs in order."""
+
+    def step(borders: Column, edge: Column) -> Column:
+        inside, ends = _borders_in(borders, edge), _ends(edge)
+        two = (F.bit_count(inside) == 3) & (inside.bitwiseAND(ends) == ends)
+        return F.when(two, borders - _shift("left", inside - ends, _start(edge))).otherwise(borders)
+
+    every = _shift("left", F.lit(2).cast("long"), F.length(word)) - 1
+    return F.aggregate(F.filter(edges, lambda e: _length(e) > 1), every, step)
 
-            def joins_two(e: Column) -> Column:
-                at = F.array_position(starts, e["start"])
-                return (at > 0) & (F.get(starts, (at + 1).cast("int")) == e["start"] + e["n"])
 
-            def applied(best: Column) -> Column:
-                at = F.array_position(starts, best["start"]).cast("int")
-                fewer = F.concat(F.slice(starts, F.lit(1), at), F.slice(starts, at + 2, F.size(starts)))
-                done = F.struct(starts.alias("starts"), F.lit(True).alias("done"))
-                return F.when(best.isNull(), done).otherwise(
-                    F.struct(fewer.alias("starts"), F.lit(False).alias("done"))
-                )
+def _best_first(word: Column, edges: Column) -> Column:
+    """The same as `_one_pass`, for any edges: the first one that spans two symbols is looked for anew in each step."""
 
-            keys = F.transform(
-                F.filter(pairs, joins_two), lambda e: F.struct((-e["score"]).alias("s"), e["start"].alias("start"))
-            )
-            return F.when(state["done"], state).otherwise(bound(F.array_min(keys), applied))
+    def step(borders: Column, _: Column) -> Column:
+        def two(edge: Column) -> Column:
+            inside, ends = _borders_in(borders, edge), _ends(edge)
+            return (F.bit_count(inside) == 3) & (inside.bitwiseAND(ends) == ends)
 
-        first = F.struct(F.sequence(F.lit(1), n + 1).alias("starts"), (F.size(pairs) == 0).alias("done"))
-        steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, first, step, lambda state: state["starts"])
+        def applied(edge: Column) -> Column:
+            inside, ends = _borders_in(borders, edge), _ends(edge)
+            return F.when(edge.isNull(), borders).otherwise(borders - _shift("left", inside - ends, _start(edge)))
 
-    return bound(F.filter(edges, lambda e: e["n"] > 1), folded)
+        return bound(F.get(F.filter(edges, two), F.lit(0)), applied)
+
+    every = _shift("left", F.lit(2).cast("long"), F.length(word)) - 1
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), every, step)
+
+
+def _merged(word: Column, edges: Column, byte_ids: Column) -> Column:
+    """Ids after all merges. The edges that are symbols, in the order of starts; if they leave characters, with bytes."""
+    odd = F.exists(edges, lambda e: e >= _ODD)
+    plain = F.sort_array(F.transform(edges, lambda e: e.bitwiseAND(F.lit(_ODD - 1))))
+
+    def folded(own: Column) -> Column:
+        return F.when(odd, _best_first(word, own)).otherwise(_one_pass(word, own))
+
+    def spelled(borders: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: F.getbit(borders, i) == 1)
+        ways = F.transform(
+            edges,
+            lambda e: F.struct(
+                (_start(e) + 1).alias("start"), _length(e).alias("n"), e.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int").alias("id")
+            ),
+        )
+        return bound(ways, lambda w: _ids(word, w, F.transform(starts, lambda i: i + 1), byte_ids))
+
+    def ids(own: Column, borders: Column) -> Column:
+        low = F.lit((1 << (_START + _LENGTH + _ID)) - 1)
+        symbols = F.filter(own, lambda e: (_length(e) > 0) & (_borders_in(borders, e) == _ends(e)))
+        symbols = F.sort_array(F.transform(symbols, lambda e: e.bitwiseAND(low)))
+
+        def chosen(found: Column) -> Column:
+            covered = F.aggregate(found, F.lit(0).cast("long"), lambda n, e: n + _length(e))
+            those = F.transform(found, lambda e: e.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int"))
+            return F.when(covered == F.length(word), those).otherwise(spelled(borders))
+
+        return bound(symbols, chosen)
+
+    return bound(plain, lambda own: bound(folded(own), lambda borders: ids(own, borders)))
 
 
 def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
@@ -158,38 +241,44 @@ def _ids(word: Column, edges: Column, starts: Column, byte_ids: Column) -> Colum
 
 
 def encode_words(words: DataFrame, model: Model, fold: str = "merges") -> DataFrame:
-    """`words` (distinct words, other columns pass) with ids: lattice, fold, byte fallback. fold: "merges" or "viterbi"."""
-    none = F.array().cast("array<struct<start:int,n:int,score:double,id:int>>")
-    built = words.join(lattice(words.select("word"), model), "word", "left")
-    built = built.withColumn("edges", F.coalesce("edges", none))
-    least = min(s for _, _, s in model.pieces if s > -1e6) - 10.0
-    starts = _merges(F.col("word"), F.col("edges")) if fold == "merges" else _viterbi(F.col("word"), F.col("edges"), least)
-    ids = bound(starts, lambda s: _ids(F.col("word"), F.col("edges"), s, model.byte_ids()))
-    return built.withColumn("ids", ids).drop("edges")
+    """`words` (distinct words, other columns pass) with ids: lattice, fold, byte fallback. fold: "merges" or "viterbi".
+
+    Merges are for words of LONG_WORD characters at most.
+    """
+    built = lattice(words, model)
+    word, byte_ids = F.col("word"), model.byte_ids()
+    if fold == "merges":
+        ids = _merged(word, F.col("edges"), byte_ids)
+    else:
+        least = min(s for _, _, s in model.pieces if s > -1e6) - 10.0
+        ids = bound(_viterbi(word, F.col("ways"), least), lambda s: _ids(word, F.col("ways"), s, byte_ids))
+    return built.withColumn("ids", ids).drop("edges", "ways")
 
 
-def _long_words(model: Model):
-    """Exact merges for words too long for the array fold (a heap instead of a scan for each merge)."""
-    import heapq
+class Merges:
+    """Exact merges of single words, with a heap, for words too long for a fold and for checks of pieces."""
 
-    ranks = {p: (-s, i) for p, i, s in model.pieces}
-    of_byte = model.bytes
+    def __init__(self, model: Model):
+        self.ranks = {p: (-s, i) for p, i, s in model.pieces}
+        self.of_byte = model.bytes
 
-    def encode(word: str) -> list[int]:
+    def run(self, word: str) -> tuple[list[str], list[tuple[float, int, int]]]:
+        """The symbols that are left, and the merges as (negative score, start, length) in the order they took place."""
         symbols, left, right = list(word), list(range(-1, len(word) - 1)), [*range(1, len(word)), -1]
-        heap = []
+        heap, done = [], []
 
         def offer(a: int) -> None:
             b = right[a]
-            if b >= 0 and (rank := ranks.get(symbols[a] + symbols[b])):
+            if b >= 0 and (rank := self.ranks.get(symbols[a] + symbols[b])):
                 heapq.heappush(heap, (rank[0], a, b, symbols[a] + symbols[b]))
 
         for k in range(len(symbols) - 1):
             offer(k)
         while heap:
-            _, a, b, piece = heapq.heappop(heap)
+            score, a, b, piece = heapq.heappop(heap)
             if right[a] != b or symbols[a] + symbols[b] != piece or not symbols[a]:
                 continue
+            done.append((score, a, len(piece)))
             symbols[a], symbols[b], right[a] = piece, "", right[b]
             if right[b] >= 0:
                 left[right[b]] = a
@@ -197,30 +286,35 @@ def _long_words(model: Model):
             if left[a] >= 0:
                 offer(left[a])
             offer(a)
+        return [s for s in symbols if s], done
+
+    def in_order(self, piece: str) -> bool:
+        """Whether the merge that ends in the whole piece comes after all merges it needs, in the order of edges."""
+        symbols, done = self.run(piece)
+        return len(symbols) > 1 or len(done) < 2 or done[-1] > max(done[:-1])
+
+    def encode(self, word: str) -> list[int]:
         out = []
-        for s in symbols:
-            if s in ranks:
-                out.append(ranks[s][1])
-            elif s:
-                out += [of_byte[x] for x in s.encode()]
+        for s in self.run(word)[0]:
+            if s in self.ranks:
+                out.append(self.ranks[s][1])
+            else:
+                out += [self.of_byte[x] for x in s.encode()]
         return out
 
-    return encode
-
 
 def word_table(docs: DataFrame, model: Model) -> DataFrame:
     """(word, n, ids, exact) for the distinct words of all texts: n occurrences; exact if the ids decode to the word."""
     spark = docs.sparkSession
     counted = docs.select(F.explode(words_in(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = cut(counted)
     usual = encode_words(counted.where(F.length("word") <= LONG_WORD), model)
-    encoder = spark.sparkContext.broadcast((model.pieces, model.bytes))
+    encoder = spark.sparkContext.broadcast(Merges(model))
 
     def long_ids(batches):
         import pyarrow as pa
 
-        held = Model.__new__(Model)
-        held.pieces, held.bytes = encoder.value
-        encode_one = _long_words(held)
+        encode_one = encoder.value.encode
         for batch in batches:
             found = [encode_one(w) for w in batch.column(0).to_pylist()]
             ids = pa.array(found, pa.list_(pa.int32()))
@@ -240,9 +334,9 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     model = model or Model()
     table = word_table(docs, model)
-    frequent = table.where(F.length("word") <= FREQUENT_CHARS).orderBy(F.desc("n"), "word").limit(FREQUENT).drop("n")
-    frequent = cut(frequent)
-    rest = table.drop("n").join(F.broadcast(frequent.select("word")), "word", "left_anti")
+    total = table.agg(F.sum("n")).first()[0] or 0
+    often = (F.length("word") <= FREQUENT_CHARS) & (F.col("n") * FREQUENT >= total)
+    frequent, rest = table.where(often).drop("n"), table.where(~often).drop("n")
     occurring = docs.select("doc_id", F.posexplode(words_in(F.col("text"))).alias("word_no", "word"))
     looked = occurring.join(F.broadcast(frequent), "word", "left")
     known = looked.where("ids is not null")
