@@ -56,6 +56,8 @@ class Model:
                 self.bytes[int(piece[3:5], 16)] = i
             elif not (library.is_control(i) or library.is_unknown(i) or library.is_unused(i)):
                 self.pieces.append((piece, i, library.get_score(i)))
+        #: The score of a character without a piece.
+        self.unknown = min(s for _, _, s in self.pieces if s > -1e6) - 10.0
         self.longest = max(len(p) for p, _, _ in self.pieces)
         if any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
             raise ValueError("a piece spans the start of a word")
@@ -63,7 +65,8 @@ class Model:
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, edge); its size is the model's vocabulary, and so broadcast.
 
-        The empty piece stands for a word's own row in the lattice, so that a word without pieces has one.
+        The empty piece stands for a word's own row in the lattice, so that a word without pieces has one. Characters of
+        one byte that have no piece (such as newlines) are rows with the id of their byte.
         """
         order = {score: rank for rank, score in enumerate(sorted({-s for _, _, s in self.pieces}))}
         merges = Merges(self)
@@ -72,6 +75,9 @@ class Model:
         for piece, i, score in self.pieces:
             edge = (order[-score] << shift) + (len(piece) << _ID) + i
             rows.append((piece, i, score, edge if merges.in_order(piece) else edge + _ODD))
+        known = {piece for piece, _, _ in self.pieces}
+        single = {chr(b): i for b, i in self.bytes.items() if b < 128 and chr(b) not in known}
+        rows += [(c, i, self.unknown, (1 << _ID) + i) for c, i in single.items()]
         return spark.createDataFrame(rows, "piece string, id int, score double, edge long")
 
     def byte_ids(self) -> Column:
@@ -250,8 +256,7 @@ def encode_words(words: DataFrame, model: Model, fold: str = "merges") -> DataFr
     if fold == "merges":
         ids = _merged(word, F.col("edges"), byte_ids)
     else:
-        least = min(s for _, _, s in model.pieces if s > -1e6) - 10.0
-        ids = bound(_viterbi(word, F.col("ways"), least), lambda s: _ids(word, F.col("ways"), s, byte_ids))
+        ids = bound(_viterbi(word, F.col("ways"), model.unknown), lambda s: _ids(word, F.col("ways"), s, byte_ids))
     return built.withColumn("ids", ids).drop("edges", "ways")
 
 
@@ -354,7 +359,8 @@ def decode(words: DataFrame, model: Model | None = None) -> DataFrame:
     spelled = [(i, p.encode().hex()) for p, i, _ in model.pieces] + [(i, f"{b:02x}") for b, i in model.bytes.items()]
     table = F.broadcast(words.sparkSession.createDataFrame(spelled, "id int, spelled string"))
     others = [c for c in words.columns if c != "word"]
-    keyed = words.select("*", F.posexplode("ids").alias("at", "id")).join(table, "id")
+    # the outer form, or Spark filters by the size of ids before and computes them once more for it
+    keyed = words.select("*", F.posexplode_outer("ids").alias("at", "id")).join(table, "id")
     parts = keyed.groupBy("word").agg(
         F.array_sort(F.collect_list(F.struct("at", "spelled"))).alias("parts"), *[F.first(c).alias(c) for c in others]
     )
