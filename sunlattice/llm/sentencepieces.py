@@ -33,6 +33,8 @@ MARK = "▁"
 FREQUENT, FREQUENT_CHARS = 65_536, 32
 #: Longer words are merged apart: the borders of a word have to fit the bits of a long.
 LONG_WORD = 60
+#: Words a task: some 25 edges each, which are sorted by word in memory then.
+WORDS_A_TASK = 20_000
 #: An edge is a long: rank, start from 0, length, id; these are the widths of the last three.
 _START, _LENGTH, _ID = 6, 6, 20
 #: Set in an edge whose piece one pass in the order of ranks may miss.
@@ -93,7 +95,7 @@ def words_in(text: Column) -> Column:
     return F.regexp_extract_all(normalise(F.coalesce(text, F.lit(""))), F.lit(f"{MARK}+[^{MARK}]*+"), F.lit(0))
 
 
-def lattice(words: DataFrame, model: Model) -> DataFrame:
+def lattice(words: DataFrame, model: Model, tasks: int | None = None) -> DataFrame:
     """`words` (distinct words, other columns pass) with all pieces that are substrings of the word.
 
     These are two arrays of equal order: edges (longs) and ways (score, start from 1, length n, id); what isn't used of
@@ -101,7 +103,8 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     """
     length = F.length("word")
     others = [c for c in words.columns if c != "word"]
-    dealt = words.select("word", F.struct(F.lit(0).alias("_"), *others).alias("others")).repartition("word")
+    dealt = words.select("word", F.struct(F.lit(0).alias("_"), *others).alias("others"))
+    dealt = dealt.repartition(tasks, "word") if tasks else dealt.repartition("word")
     starts = dealt.select("*", F.explode(F.sequence(F.lit(1), length)).alias("start"))
     most = F.least(F.lit(model.longest), length - F.col("start") + 1)
     least = F.when(F.col("start") == 1, 0).otherwise(1)
@@ -246,12 +249,12 @@ def _ids(word: Column, edges: Column, starts: Column, byte_ids: Column) -> Colum
     return F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts) - 2), of))
 
 
-def encode_words(words: DataFrame, model: Model, fold: str = "merges") -> DataFrame:
+def encode_words(words: DataFrame, model: Model, fold: str = "merges", tasks: int | None = None) -> DataFrame:
     """`words` (distinct words, other columns pass) with ids: lattice, fold, byte fallback. fold: "merges" or "viterbi".
 
-    Merges are for words of LONG_WORD characters at most.
+    Merges are for words of LONG_WORD characters at most. tasks: into how many the words are dealt, if not the usual number.
     """
-    built = lattice(words, model)
+    built = lattice(words, model, tasks)
     word, byte_ids = F.col("word"), model.byte_ids()
     if fold == "merges":
         ids = _merged(word, F.col("edges"), byte_ids)
@@ -313,7 +316,8 @@ def word_table(docs: DataFrame, model: Model) -> DataFrame:
     spark = docs.sparkSession
     counted = docs.select(F.explode(words_in(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = cut(counted)
-    usual = encode_words(counted.where(F.length("word") <= LONG_WORD), model)
+    short = counted.where(F.length("word") <= LONG_WORD)
+    usual = encode_words(short, model, tasks=-(-counted.count() // WORDS_A_TASK) or None)
     encoder = spark.sparkContext.broadcast(Merges(model))
 
     def long_ids(batches):
