@@ -161,13 +161,15 @@ def test_sentencepiece_ids_are_the_librarys(spark):
         (None, "no id"),
         (7, "twice"),
         (7, "twice"),
+        (8, "runs" + " " * 15 + "of" + " " * 16 + "spaces" + " " * 37 + "end\n\n\x01\u6f22\n tail  "),
+        (9, " " * 75 + "x"),
     ]
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     got = {}
     for r in sentencepieces.encode(docs(spark, rows)).orderBy("word_no").collect():
         got.setdefault(r.doc_id, []).extend([r.ids])
         assert r.exact
-    for doc_id, text in rows[:6]:
+    for doc_id, text in rows[:6] + rows[-2:]:
         assert [i for ids in got.get(doc_id, []) for i in ids] == library.encode(text or ""), doc_id
     assert len(got[7]) == 2 and got[7][0] == got[7][1]
     assert sentencepieces.encode(docs(spark, [])).count() == 0
