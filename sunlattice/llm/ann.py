@@ -2,9 +2,12 @@
 
 Equal vectors are one item of the index (with the k + 1 smallest ids, more can't be among the k nearest), so a vector
 that many rows share takes one place in candidate lists. Coarse centroids and codebooks are fitted on TRAIN items chosen
-by hash; every item is indexed. A query probes its nearest lists until they are PROBES and hold RERANK items. Lists and
-the queries that probe them are dealt out in blocks, so a list with a third of all items is searched by many tasks, and
-each task returns the RERANK best items of each query by asymmetric distance. Those are reranked on original vectors.
+by hash; every item is indexed. How many lists are probed and how many items reranked is measured on the table: the exact
+neighbours of SAMPLE queries chosen by hash are found by brute force, and the numbers are the least (PROBES and RERANK at
+least) that find a share of TARGET of them. A query probes its nearest lists until they are so many and hold as many items
+as are reranked. Lists and the queries that probe them are dealt out in blocks, so a list with a third of all items is
+searched by many tasks, and each task returns the best items of each query by asymmetric distance, as many as are reranked
+and none beyond what the fitted items show to be too far. Those are reranked on original vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from sunlattice.llm.scratch import cut
 #: Lists, codebooks a vector, codes a codebook, fitted items and rounds.
 LISTS, PARTS, CODES, TRAIN, ROUNDS = 128, 16, 256, 16_384, 8
 PROBES, RERANK = 32, 200
+#: Queries by which probes and reranked items are chosen, and the share of their neighbours to be found.
+SAMPLE, TARGET = 256, 0.97
 #: Items and queries of one search task.
 ITEM_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
@@ -58,6 +63,7 @@ class Model:
             k_means(residual[:, a:b], CODES, ROUNDS, seed + 1 + i)
             for i, (a, b) in enumerate(zip(self.edges, self.edges[1:], strict=False))
         ]
+        self.fitted = self.encode(sample)
 
     def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
         return zip(self.edges, self.edges[1:], self.books, strict=False)
@@ -67,6 +73,23 @@ class Model:
         residual = x - self.centres[lists]
         return lists, np.stack([_nearest(residual[:, a:b], book) for a, b, book in self.parts()], 1).astype(np.uint8)
 
+    def decode(self, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that the codes stand for; distances to them are the asymmetric distances."""
+        return self.centres[lists] + np.concatenate([book[codes[:, j]] for j, (_, _, book) in enumerate(self.parts())], 1)
+
+    def bounds(self, queries: np.ndarray, probed: np.ndarray, n: int) -> np.ndarray:
+        """For each query, at least the n-th least asymmetric distance in its probed lists: that among fitted items."""
+        lists, codes = self.fitted
+        out = np.full(len(queries), np.inf)
+        if len(lists) >= n:
+            vectors = self.decode(lists, codes)
+            for i in range(0, len(queries), 128):
+                q = queries[i : i + 128]
+                d = np.where(probed[i : i + 128][:, lists], _distances(q, vectors), np.inf)
+                nth = np.partition(d, n - 1, axis=1)[:, n - 1]
+                out[i : i + 128] = nth * (1 + 1e-5) + 1e-9 * (q * q).sum(1)  # distances of items are summed in single precision
+        return out
+
     def asymmetric(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the coded items of list `at`, from one table a part."""
         residual = queries - self.centres[at]
@@ -88,6 +111,62 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
+def effort(asked: np.ndarray, items: DataFrame, coded: DataFrame, model, k: int) -> tuple[int, int]:
+    """(probes, reranked): the least, PROBES and RERANK at least, that find TARGET of the k nearest items of `asked`.
+
+    `asked` are vectors of items. One pass over the items finds the exact neighbours of each, a second one the places of
+    those by asymmetric distance among all items.
+    """
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            x = _matrix(batch.column(1))
+            if not len(x):
+                continue
+            lists, codes = model.value.encode(x)
+            # own vector included: it is always the first
+            d, coarse = _distances(asked, x), _distances(asked, model.value.decode(lists, codes))
+            new = np.stack([d, np.broadcast_to(lists, d.shape), coarse])
+            kept = new if kept is None else np.concatenate([kept, new], 2)
+            kept = np.take_along_axis(kept, kept[0].argsort(1, kind="stable")[None, :, : k + 1], 2)
+        if kept is not None:
+            of = np.repeat(np.arange(len(asked)), kept.shape[2])
+            columns = [of, kept[0].ravel(), kept[1].ravel().astype(np.int32), kept[2].ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "d", "list", "coarse"])
+
+    found = items.select("uid", "v").mapInArrow(nearest, "s long, d double, list int, coarse double")
+    nth = F.row_number().over(Window.partitionBy("s").orderBy("d", "coarse"))
+    near = found.withColumn("n", nth).where(F.col("n").between(2, k + 1)).select("s", "list", "coarse").collect()
+    if not near:
+        return PROBES, RERANK
+    of, lists, coarse = (np.array([r[c] for r in near]) for c in ("s", "list", "coarse"))
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(of), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                at = batch.column(0).to_numpy()
+                for i in range(0, len(at), 4096):
+                    d = np.sort(_distances(asked, model.value.decode(at[i : i + 4096], codes[i : i + 4096])), axis=1)
+                    for s in np.unique(of):
+                        total[of == s] += np.searchsorted(d[s], coarse[of == s] - 1e-9)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of))), pa.array(total)], names=["i", "n"])
+
+    counts = coded.select("list", "code").mapInArrow(ahead, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
+    before = np.zeros(len(of), np.int64)
+    for row in counts.collect():  # SAMPLE * k rows at most
+        before[row["i"]] = row["n"]
+    places = _distances(asked, model.value.centres).argsort(1, kind="stable").argsort(1)[of, lists]
+
+    def least(needed: np.ndarray, share: float) -> int:
+        return int(np.sort(needed)[int(np.ceil(share * len(needed))) - 1]) + 1
+
+    rerank = max(RERANK, least(before, (1 + TARGET) / 2))
+    return max(PROBES, least(np.where(before < rerank, places, len(model.value.centres)), TARGET)), rerank
+
+
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -130,21 +209,29 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
     sizes = dict(coded.groupBy("list").count().collect())  # a row a list
     item_blocks = {n: -(-c // ITEM_BLOCK) for n, c in sizes.items()}
 
+    queries = clean.where("q").select("id", "v").distinct()
+    queries = cut(queries.select(F.monotonically_increasing_id().alias("qid"), "id", "v"))
+    some = queries.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
+    if not some:
+        return spark.createDataFrame([], _RESULT)
+    n_probes, n_rerank = effort(np.asarray([r["v"] for r in some], np.float64), items, coded, model, k)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.array([sizes.get(n, 0) for n in range(len(model.value.centres))])
         for batch in batches:
-            away = _distances(_matrix(batch.column(1)), model.value.centres)
+            asking = _matrix(batch.column(1))
+            away = _distances(asking, model.value.centres)
             order = away.argsort(1, kind="stable")
             before = held[order].cumsum(1) - held[order]
-            take = ((np.arange(order.shape[1])[None, :] < PROBES) | (before < RERANK)) & (held[order] > 0)
+            take = ((np.arange(order.shape[1])[None, :] < n_probes) | (before < n_rerank)) & (held[order] > 0)
             row, nth = np.nonzero(take)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row)), pa.array(order[row, nth].astype(np.int32))], names=["qid", "list"]
-            )
+            probed = np.zeros(take.shape, bool)
+            probed[row, order[row, nth]] = True
+            bound = model.value.bounds(asking, probed, n_rerank) if len(asking) else np.zeros(0)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(order[row, nth].astype(np.int32)), pa.array(bound[row])]
+            yield pa.RecordBatch.from_arrays(columns, names=["qid", "list", "bound"])
 
-    queries = clean.where("q").select("id", "v").distinct()
-    queries = cut(queries.select(F.monotonically_increasing_id().alias("qid"), "id", "v"))
-    probes = cut(queries.select("qid", "v").mapInArrow(probe, "qid long, list int"))
+    probes = cut(queries.select("qid", "v").mapInArrow(probe, "qid long, list int, bound double"))
     asked = dict(probes.groupBy("list").count().collect())
     query_blocks = {n: -(-c // QUERY_BLOCK) for n, c in asked.items()}
 
@@ -177,14 +264,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
         out = []
         for at in range(0, len(asking), 128):
             d = model.value.asymmetric(np.stack(asking["v"].iloc[at : at + 128]).astype(np.float64), int(key[0]), codes)
-            best = np.argpartition(d, RERANK - 1, axis=1)[:, :RERANK] if d.shape[1] > RERANK else np.tile(np.arange(d.shape[1]), (len(d), 1))
+            whole = d.shape[1] <= n_rerank
+            best = np.tile(np.arange(d.shape[1]), (len(d), 1)) if whole else np.argpartition(d, n_rerank - 1, axis=1)[:, :n_rerank]
+            least = np.take_along_axis(d, best, 1)
+            near = least <= asking["bound"].to_numpy()[at : at + 128][:, None]
             out.append(
                 pd.DataFrame(
-                    {
-                        "qid": np.repeat(qids[at : at + 128], best.shape[1]),
-                        "uid": uids[best.ravel()],
-                        "d": np.take_along_axis(d, best, 1).ravel(),
-                    }
+                    {"qid": np.repeat(qids[at : at + 128], near.sum(1)), "uid": uids[best[near]], "d": least[near]}
                 )
             )
         return pd.concat(out)
@@ -196,7 +282,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
         .applyInPandas(search_block, "qid long, uid long, d float")
     )
     best = F.row_number().over(Window.partitionBy("qid").orderBy("d", "uid"))
-    candidates = found.withColumn("n", best).where(F.col("n") <= RERANK)
+    candidates = found.withColumn("n", best).where(F.col("n") <= n_rerank)
     exact = F.sqrt(
         F.aggregate(
             F.zip_with("v", "qv", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))),

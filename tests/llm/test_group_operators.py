@@ -255,3 +255,20 @@ def test_nearest_neighbours(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.search(few, F.col("vec_id") % 100 == 0).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert ann.search(few.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_probes_are_enough_without_clusters(spark):
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(4000, 32)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.search(df, F.col("vec_id") % 40 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(got) == 100
+    hits = 0
+    for q, found in got.items():
+        d = ((m.astype(np.float64) - m[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(found & set(d.argsort()[:10].tolist()))
+    assert hits >= 0.95 * 10 * len(got)
