@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and terms that disclose them.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers with code-point offsets. What they find are the
-protected entities. How strongly a term reveals an entity is estimated from the corpus: with p(c) the share of documents
-that hold entity c, p(t) that of documents that hold term t, and p(c, t) that of distinct contexts of c (CONTEXT
-characters on either side; copied contexts count once) that hold t, the disclosure is PMI(c; t) / IC(c), which is 1 if t
-occurs with c only. Terms of MIN_CONTEXTS contexts or more with a disclosure of at least THRESHOLD are spans too
+protected entities. How strongly a term reveals an entity is estimated from the corpus: with p(c) the share of distinct
+texts that hold entity c, p(t) that of texts that hold term t, and p(c, t) that of texts with a context of c (CONTEXT
+characters on either side) that holds t, the disclosure is PMI(c; t) / IC(c), which is 1 if t occurs with c only. Copies
+of a text count once. Terms of MIN_CONTEXTS distinct contexts or more with a disclosure of at least THRESHOLD are spans too
 (kind "term"), in every document that holds the entity; `sanitise` generalises entities to their kind and removes terms.
 
 Column functions only. Regular expressions start at run boundaries and use possessive quantifiers, so a text of one
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm.scratch import cut, maybe_in
+from sunlattice.llm.scratch import cut, reducer, split_by
 from sunlattice.llm.words import bound, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -128,7 +128,9 @@ def disclosing_terms(
     base: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD
 ) -> DataFrame:
     """(entity, term, disclosure) from the corpus: `base` has doc_key, text and spans of the rows with entities."""
-    total = docs.count()
+    keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", F.xxhash64("text"))
+    texts = cut(keyed.groupBy("doc_key").agg(F.count("*").alias("n")))
+    total = texts.count()
     seen = base.select("doc_key", "text", F.explode("spans").alias("s"))
     near = F.concat(
         F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT))),
@@ -143,16 +145,21 @@ def disclosing_terms(
     often = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= min_contexts)
     together = (
         contexts.join(often.select("entity"), "entity", "left_semi")
-        .select("entity", "context", F.explode("terms").alias("term"))
-        .distinct()
+        .select("entity", "doc_key", "context", F.explode("terms").alias("term"))
         .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_both"))
-        .where(F.col("n_both") >= min_contexts)
+        .agg(F.countDistinct("context").alias("n_contexts"), F.countDistinct("doc_key").alias("n_both"))
+        .where(F.col("n_contexts") >= min_contexts)
     )
     together = cut(together)
-    spread = docs.select(F.explode(_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    spread = maybe_in(spread, "term", together.select("term"))
-    counts = spread.groupBy("term").agg(F.count("*").alias("n_term"))
+    # only rows whose text may have copies are made distinct
+    copied, single = split_by(keyed, "doc_key", reducer(texts.where("n > 1").select("doc_key")))
+    candidates = reducer(together.select("term"))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return split_by(rows.select("doc_key", F.explode(_terms(F.col("text"))).alias("term")), "term", candidates)[0]
+
+    once = spread(copied).distinct().select("term").unionByName(spread(single).select("term"))
+    counts = once.groupBy("term").agg(F.count("*").alias("n_term"))
     n = F.lit(float(max(total, 1)))
     information = F.log(n / F.col("n_entity"))
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))

@@ -121,6 +121,16 @@ def test_disclosing_terms_are_found_and_common_ones_left(spark):
     assert "zebrafish" not in text and "[EMAIL]" in text and "meeting" in text
 
 
+def test_copies_do_not_hide_disclosing_terms(spark):
+    rows = [f"the meeting {'alpha beta gamma delta'.split()[i]} zebrafish of boss@corp.example was short" for i in range(4)] * 30
+    rows += [f"another meeting without anybody, number {i}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: {r.text[s.start : s.end] for s in r.spans if s.kind == "term"} for r in pii.find_spans(df).collect()}
+    assert len(got) == 320
+    assert all("zebrafish" in got[i] and "meeting" not in got[i] for i in range(120))
+    assert not any(got[i] for i in range(120, 320))
+
+
 def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
 
