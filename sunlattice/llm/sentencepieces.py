@@ -1,11 +1,12 @@
 """SentencePiece encoding and decoding as relations.
 
-Words (a run of the space mark and what follows it up to the next one) are encoded once each: their substrings of
-bounded length are exploded, joined to the piece table on equality, grouped by word into a lattice of edges, and a
-higher-order aggregate folds the lattice into ids. No piece of a model of this kind spans a word's start, so
-words can be encoded apart. Word occurrences are then joined to the word table: short words that make up one in FREQUENT
-of all occurrences or more, so a bounded number, are broadcast, and no frequent word is shuffled; the rest goes through a
-shuffle join.
+Texts are cut into units that no piece of the model spans, so that units can be encoded apart: in front of each run of
+space marks and, if the model's pieces allow it, between letters, digits and other characters (`UNIT`; a model with a
+piece across such a border gets the plainer `WORD`). Distinct units are encoded once each: their substrings of bounded
+length are exploded, joined to the piece table on equality, grouped by unit into a lattice of edges, and a higher-order
+aggregate folds the lattice into ids. Occurrences are then joined to the table of units: short units that make up one in
+FREQUENT of all occurrences or more, KEPT of them at most, are broadcast and looked up as arrays, so no frequent unit is
+shuffled; the rest goes through a shuffle join.
 
 Folds. For unigram models the fold is Viterbi over edge scores. The models whose pieces have merge ranks as scores
 (byte-pair models) are not encoded by the best sum of scores: on the test corpus Viterbi gives other ids than the
@@ -13,27 +14,36 @@ library for 59 % of distinct words. For these the fold replays the merges on the
 rank, start and length; the state is a long whose bits are the borders between symbols, and an edge that spans exactly
 two symbols removes the border between them. One pass in that order is the library's encoding if no merge enables
 another that comes before it. What can be merged inside a piece doesn't depend on its surroundings, so this is decided
-for each piece by encoding it alone; words that hold a piece for which it isn't so (runs of spaces, in the model at
+for each piece by encoding it alone; units that hold a piece for which it isn't so (runs of spaces, in the model at
 hand) are folded by looking for the best edge anew after each merge.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm.scratch import cut
+from sunlattice.llm.scratch import cut, discard
 from sunlattice.llm.words import bound
 
 MARK = "▁"
-#: Words that make up at least this part of all occurrences are broadcast, so there are FREQUENT of them at most; of at
-#: most so many characters (below 20 MB with their ids).
-FREQUENT, FREQUENT_CHARS = 65_536, 32
-#: Longer words are merged apart: the borders of a word have to fit the bits of a long.
+#: Where texts are cut if no piece of the model spans such a border, and where they are cut otherwise.
+UNIT = rf"{MARK}*+(?:[a-zA-Z\p{{L}}\p{{M}}]++|[0-9\p{{Nd}}]|[^\p{{L}}\p{{M}}\p{{Nd}}{MARK}]++)|{MARK}++"
+WORD = rf"{MARK}++[^{MARK}]*+|[^{MARK}]++"
+#: Units that make up at least this part of all occurrences and are of at most so many characters are broadcast, and no
+#: more than KEPT of them (below 30 MB with their ids).
+FREQUENT, FREQUENT_CHARS, KEPT = 1 << 21, 32, 1 << 18
+#: Bytes of text that a Python worker takes at once.
+TEXT_BYTES = 16_000_000
+#: Longer units are merged apart: the borders of a unit have to fit the bits of a long.
 LONG_WORD = 60
-#: Words a task: some 25 edges each, which are sorted by word in memory then.
+#: Units a task: some 25 edges each, which are grouped in memory then.
 WORDS_A_TASK = 20_000
 #: An edge is a long: rank, start from 0, length, id; these are the widths of the last three.
 _START, _LENGTH, _ID = 6, 6, 20
@@ -46,6 +56,7 @@ class Model:
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
+        import regex
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
@@ -60,9 +71,13 @@ class Model:
                 self.pieces.append((piece, i, library.get_score(i)))
         #: The score of a character without a piece.
         self.unknown = min(s for _, _, s in self.pieces if s > -1e6) - 10.0
-        self.longest = max(len(p) for p, _, _ in self.pieces)
+        #: Pieces that a unit of LONG_WORD characters can hold; only these are edges.
+        self.longest = min(LONG_WORD, max(len(p) for p, _, _ in self.pieces))
         if any(MARK in p.lstrip(MARK) for p, _, _ in self.pieces):
             raise ValueError("a piece spans the start of a word")
+        if size > 1 << _ID or len({s for _, _, s in self.pieces}) >= 1 << (62 - _START - _LENGTH - _ID):
+            raise ValueError("the model has more pieces than an edge can number")
+        self.pattern = UNIT if all(regex.fullmatch(f"(?:{UNIT})", p) for p, _, _ in self.pieces) else WORD
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, edge); its size is the model's vocabulary, and so broadcast.
@@ -75,6 +90,8 @@ class Model:
         shift = _START + _LENGTH + _ID
         rows = [("", 0, 0.0, 0)]
         for piece, i, score in self.pieces:
+            if len(piece) > LONG_WORD:
+                continue
             edge = (order[-score] << shift) + (len(piece) << _ID) + i
             rows.append((piece, i, score, edge if merges.in_order(piece) else edge + _ODD))
         known = {piece for piece, _, _ in self.pieces}
@@ -85,18 +102,104 @@ class Model:
     def byte_ids(self) -> Column:
         return F.array(*[F.lit(self.bytes[b]) for b in range(256)])
 
+    def spelled(self) -> Column:
+        """The UTF-8 bytes of every id in hexadecimal, as one constant array; its size is the vocabulary's."""
+        texts = {i: p.encode().hex() for p, i, _ in self.pieces} | {i: f"{b:02x}" for b, i in self.bytes.items()}
+        return F.split(F.lit(",".join(texts.get(i, "") for i in range(max(texts) + 1))), ",")
+
 
 def normalise(text: Column) -> Column:
     """The space mark for each space, and one in front of any text that isn't empty."""
     return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
 
 
-def words_in(text: Column) -> Column:
-    return F.regexp_extract_all(normalise(F.coalesce(text, F.lit(""))), F.lit(f"{MARK}+[^{MARK}]*+"), F.lit(0))
+def words_in(text: Column, model: Model) -> Column:
+    """The units of a text in order; together they are the normalised text."""
+    return F.regexp_extract_all(normalise(F.coalesce(text, F.lit(""))), F.lit(model.pattern), F.lit(0))
+
+
+class _Splitter:
+    """The units of batches of texts: each distinct word of a batch is split once, the rest is array gathering."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.word, self.unit = regex.compile(WORD), regex.compile(pattern)
+
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct words, the number of each occurring word in order, words a text)."""
+        plain = [t for t in texts if t and not self._loose(t)]
+        flat = pc.list_flatten(pc.split_pattern(pa.array(plain, pa.large_string()), " ")).dictionary_encode()
+        found = [MARK + w for w in flat.dictionary.to_pylist()]
+        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(plain) == len(texts):
+            return found, which, np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
+        number = {w: i for i, w in enumerate(found)}
+        parts, sizes, at = [], [], 0
+        for t in texts:
+            if t and not self._loose(t):
+                sizes.append(t.count(" ") + 1)
+                parts.append(which[at : at + sizes[-1]])
+                at += sizes[-1]
+            else:
+                own = self.word.findall(MARK + t.replace(" ", MARK)) if t else []
+                parts.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
+                sizes.append(len(own))
+        return list(number), np.concatenate(parts), np.array(sizes, np.int64)
+
+    @staticmethod
+    def _loose(text: str) -> bool:
+        return "  " in text or text[0] == " " or text[-1] == " " or MARK in text
+
+    def units(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct units, the numbers of those of each word, units a word)."""
+        number: dict[str, int] = {}
+        sizes, which = np.zeros(len(words), np.int64), []
+        for i, w in enumerate(words):
+            own = self.unit.findall(w)
+            sizes[i] = len(own)
+            for u in own:
+                which.append(number.setdefault(u, len(number)))
+        return list(number), np.array(which, np.int64), sizes
+
+
+def _spread(which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For rows that stand for a run of places each, which of them: the places of row which[0], of which[1], .."""
+    n = sizes[which]
+    ends = np.cumsum(n)
+    starts = np.cumsum(sizes) - sizes
+    return np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about TEXT_BYTES of text each."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a)
+
+
+def count_units(docs: DataFrame, model: Model) -> DataFrame:
+    """(word, n): the distinct units of all texts and how often they occur."""
+    pattern = model.pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = _Splitter(pattern)
+        for batch in batches:
+            for part in _slices(batch, 0):
+                words, which, _ = splitter.words([t or "" for t in part.column(0).to_pylist()])
+                units, of_word, sizes = splitter.units(words)
+                times = np.repeat(np.bincount(which, minlength=len(words)), sizes)
+                n = np.bincount(of_word, weights=times, minlength=len(units)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n)], names=["word", "n"])
+
+    found = docs.select("text").mapInArrow(run, "word string, n long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lattice(words: DataFrame, model: Model, tasks: int | None = None) -> DataFrame:
-    """`words` (distinct words, other columns pass) with all pieces that are substrings of the word.
+    """`words` (distinct units, other columns pass) with all pieces that are substrings of the word.
 
     These are two arrays of equal order: edges (longs) and ways (score, start from 1, length n, id); what isn't used of
     them isn't gathered. Dealt by word once; the substrings stay where their word is.
@@ -110,7 +213,10 @@ def lattice(words: DataFrame, model: Model, tasks: int | None = None) -> DataFra
     least = F.when(F.col("start") == 1, 0).otherwise(1)
     subs = starts.select("*", F.explode(F.sequence(least, most)).alias("n"))
     subs = subs.withColumn("piece", F.substring(F.col("word"), F.col("start"), F.col("n")))
-    joined = subs.join(F.broadcast(model.table(words.sparkSession)), "piece")
+    # joined on a long, which Spark looks up faster than a string; equal hashes are confirmed on the strings
+    table = model.table(words.sparkSession).withColumnRenamed("piece", "own")
+    same = (F.xxhash64("piece") == F.col("key")) & (F.col("n") == F.length("own")) & F.startswith("piece", "own")
+    joined = subs.join(F.broadcast(table.withColumn("key", F.xxhash64("own"))), same)
     placed = F.col("edge") + F.shiftleft((F.col("start") - 1).cast("long"), _LENGTH + _ID)
     way = F.struct("start", "n", "score", "id")
     gathered = joined.groupBy("word").agg(
@@ -173,11 +279,12 @@ def _best_first(word: Column, edges: Column) -> Column:
 
 def _merged(word: Column, edges: Column, byte_ids: Column) -> Column:
     """Ids after all merges. The edges that are symbols, in the order of starts; if they leave characters, with bytes."""
-    odd = F.exists(edges, lambda e: e >= _ODD)
-    plain = F.sort_array(F.transform(edges, lambda e: e.bitwiseAND(F.lit(_ODD - 1))))
 
     def folded(own: Column) -> Column:
-        return F.when(odd, _best_first(word, own)).otherwise(_one_pass(word, own))
+        # an edge with the mark for a second look is above all others
+        odd = F.get(own, F.size(own) - 1) >= _ODD
+        plain = F.sort_array(F.transform(own, lambda e: e.bitwiseAND(F.lit(_ODD - 1))))
+        return F.when(odd, bound(plain, lambda p: _best_first(word, p))).otherwise(_one_pass(word, own))
 
     def spelled(borders: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.length(word)), lambda i: F.getbit(borders, i) == 1)
@@ -192,16 +299,17 @@ def _merged(word: Column, edges: Column, byte_ids: Column) -> Column:
     def ids(own: Column, borders: Column) -> Column:
         low = F.lit((1 << (_START + _LENGTH + _ID)) - 1)
         symbols = F.filter(own, lambda e: (_length(e) > 0) & (_borders_in(borders, e) == _ends(e)))
-        symbols = F.sort_array(F.transform(symbols, lambda e: e.bitwiseAND(low)))
 
         def chosen(found: Column) -> Column:
-            covered = F.aggregate(found, F.lit(0).cast("long"), lambda n, e: n + _length(e))
-            those = F.transform(found, lambda e: e.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int"))
-            return F.when(covered == F.length(word), those).otherwise(spelled(borders))
+            those = F.transform(
+                F.sort_array(F.transform(found, lambda e: e.bitwiseAND(low))),
+                lambda e: e.bitwiseAND(F.lit((1 << _ID) - 1)).cast("int"),
+            )
+            return F.when(F.size(found) == F.bit_count(borders) - 1, those).otherwise(spelled(borders))
 
         return bound(symbols, chosen)
 
-    return bound(plain, lambda own: bound(folded(own), lambda borders: ids(own, borders)))
+    return bound(F.sort_array(edges), lambda own: bound(folded(own), lambda borders: ids(own, borders)))
 
 
 def _viterbi(word: Column, edges: Column, unknown: float) -> Column:
@@ -250,7 +358,7 @@ def _ids(word: Column, edges: Column, starts: Column, byte_ids: Column) -> Colum
 
 
 def encode_words(words: DataFrame, model: Model, fold: str = "merges", tasks: int | None = None) -> DataFrame:
-    """`words` (distinct words, other columns pass) with ids: lattice, fold, byte fallback. fold: "merges" or "viterbi".
+    """`words` (distinct units, other columns pass) with ids: lattice, fold, byte fallback. fold: "merges" or "viterbi".
 
     Merges are for words of LONG_WORD characters at most. tasks: into how many the words are dealt, if not the usual number.
     """
@@ -312,17 +420,15 @@ class Merges:
 
 
 def word_table(docs: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids, exact) for the distinct words of all texts: n occurrences; exact if the ids decode to the word."""
+    """(word, n, ids, ids_hash, exact) for the distinct units of all texts: n occurrences; exact if the ids decode to
+    the unit; ids_hash has 31 bits."""
     spark = docs.sparkSession
-    counted = docs.select(F.explode(words_in(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    counted = cut(counted)
+    counted = cut(count_units(docs, model))
     short = counted.where(F.length("word") <= LONG_WORD)
     usual = encode_words(short, model, tasks=-(-counted.count() // WORDS_A_TASK) or None)
     encoder = spark.sparkContext.broadcast(Merges(model))
 
-    def long_ids(batches):
-        import pyarrow as pa
-
+    def long_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = encoder.value.encode
         for batch in batches:
             found = [encode_one(w) for w in batch.column(0).to_pylist()]
@@ -330,57 +436,147 @@ def word_table(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
 
     long = counted.where(F.length("word") > LONG_WORD).mapInArrow(long_ids, "word string, n long, ids array<int>")
-    exact = F.replace(F.col("word"), F.lit(MARK), F.lit(" ")) == F.col("decoded")
-    both = [decode(x, model).withColumn("exact", exact).drop("decoded") for x in (usual, long)]
-    return cut(both[0].unionByName(both[1]))
+    both = usual.select("word", "n", "ids").unionByName(long)
+    exact = F.replace(F.col("word"), F.lit(MARK), F.lit(" ")) == decoded(F.col("ids"), model)
+    both = both.select("*", F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_hash"), exact.alias("exact"))
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    usually = spark.conf.get(name)
+    spark.conf.set(name, 4 * WORDS_A_TASK)  # the edges of a task's units are gathered in memory, without a sort
+    try:
+        table = cut(both)
+    finally:
+        spark.conf.set(name, usually)
+    discard(counted)
+    return table
+
+
+def _least_kept(table: DataFrame) -> int:
+    """The least number of occurrences of a unit that is broadcast: one in FREQUENT, and KEPT units or fewer have it."""
+    total = table.agg(F.sum("n")).first()[0] or 0
+    step = F.floor(F.log2("n") * 16).cast("int")
+    short = table.where((F.length("word") <= FREQUENT_CHARS) & (F.col("n") * FREQUENT >= total))
+    counts = short.groupBy(step.alias("step")).agg(F.count("*").alias("units"), F.min("n").alias("n"))
+    least, held = (1 << 62), 0
+    for row in counts.orderBy(F.desc("step")).collect():  # 16 rows for each power of two
+        held += row["units"]
+        if held > KEPT:
+            break
+        least = row["n"]
+    return least
+
+
+class _Known:
+    """The frequent units (KEPT at most) as arrays."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.words = rows["word"].to_pylist()
+        lists = rows["ids"].combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
+        self.ids = lists.flatten().to_numpy().astype(np.int32)
+        self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.hashes = rows["ids_hash"].to_numpy().astype(np.int64)
+        self.exact = rows["exact"].to_numpy(zero_copy_only=False).astype(bool)
+
+
+_PART = "doc_id long, text_hash long, word_no int, n_words int, word string, ids array<int>, checksum long, exact boolean"
+
+
+def _parts(docs: DataFrame, model: Model, known, rare: bool) -> DataFrame:
+    """Runs of frequent units with their ids, or (rare) the other units without."""
+    pattern = model.pattern
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter, table = _Splitter(pattern), known.value
+        place = {w: i for i, w in enumerate(table.words)}
+        for batch in batches:
+            for part in _slices(batch, 2):
+                words, which, sizes = splitter.words([t or "" for t in part.column(2).to_pylist()])
+                units, of_word, per_word = splitter.units(words)
+                own = np.fromiter((place.get(u, -1) for u in units), np.int64, len(units))
+                of = of_word[_spread(which, per_word)]  # the unit of every occurrence
+                at = own[of]
+                doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), per_word[which])
+                per_doc = np.bincount(doc, minlength=len(sizes))
+                number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                if rare:
+                    pick = np.flatnonzero(at < 0)
+                    rows, n = doc[pick], np.ones(len(pick), np.int32)
+                    spelled = pa.array(units, pa.string()).take(pa.array(of[pick]))
+                    ids, checksum, exact = (pa.nulls(len(pick), t) for t in (pa.list_(pa.int32()), pa.int64(), pa.bool_()))
+                    first = number[pick]
+                else:
+                    pick = np.flatnonzero(at >= 0)
+                    place_of, rows_of, number_of = at[pick], doc[pick], number[pick]
+                    new = np.ones(len(pick), bool)
+                    new[1:] = (np.diff(pick) > 1) | (np.diff(rows_of) > 0)
+                    begin = np.flatnonzero(new)
+                    rows, first = rows_of[begin], number_of[begin]
+                    n = np.diff(np.append(begin, len(pick))).astype(np.int32)
+                    spelled = pa.nulls(len(begin), pa.string())
+                    flat = table.ids[_spread(place_of, table.sizes)]
+                    ends = np.concatenate([[0], np.cumsum(table.sizes[place_of])])
+                    ids = pa.ListArray.from_arrays(pa.array(ends[np.append(begin, len(pick))].astype(np.int32)), pa.array(flat))
+                    sums = (table.hashes[place_of] * (2 * number_of + 1)) & ((1 << 31) - 1)
+                    checksum = pa.array(np.add.reduceat(sums, begin) if len(begin) else np.zeros(0, np.int64))
+                    exact = pa.array(np.logical_and.reduceat(table.exact[place_of], begin) if len(begin) else np.zeros(0, bool))
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(n), spelled, ids, checksum, exact],
+                    names=["doc_id", "text_hash", "word_no", "n_words", "word", "ids", "checksum", "exact"],
+                )
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, _PART)
 
 
 def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """One row a word occurrence: doc_id, word_no (from 0), word, ids, exact. A text's ids are those of its words in order.
+    """The ids of all texts in parts: doc_id, text_hash, word_no, n_words, ids, checksum, exact.
+
+    A part is a run of frequent units or one other unit: word_no is the number (from 0) of its first unit in the text and
+    n_words how many it has. A text's ids are those of its parts in order. checksum is the sum, over the part's units, of
+    31 bits of (2 * unit number + 1) * (hash of the unit's ids), so sums over a text don't depend on where parts end;
+    exact says that the ids decode to the part's text.
 
     Null and empty texts have no rows; rows with a null doc_id are encoded too; rows that repeat a doc_id each have
-    theirs; an empty table gives an empty one; other columns are dropped.
+    theirs, those of equal texts with the same text_hash; an empty table gives an empty one; other columns are dropped.
     """
     model = model or Model()
+    spark = docs.sparkSession
     table = word_table(docs, model)
-    total = table.agg(F.sum("n")).first()[0] or 0
-    often = (F.length("word") <= FREQUENT_CHARS) & (F.col("n") * FREQUENT >= total)
-    frequent, rest = table.where(often).drop("n"), table.where(~often).drop("n")
-    occurring = docs.select("doc_id", F.posexplode(words_in(F.col("text"))).alias("word_no", "word"))
-    looked = occurring.join(F.broadcast(frequent), "word", "left")
-    known = looked.where("ids is not null")
-    others = looked.where("ids is null").drop("ids", "exact").join(rest, "word")
-    columns = ["doc_id", "word_no", "word", "ids", "exact"]
-    return known.select(columns).unionByName(others.select(columns))
+    often = (F.length("word") <= FREQUENT_CHARS) & (F.col("n") >= _least_kept(table))
+    known = spark.sparkContext.broadcast(_Known(table.where(often).drop("n").toArrow()))  # KEPT rows at most
+    checksum = F.pmod(F.col("ids_hash") * (2 * F.col("word_no") + 1), F.lit(1 << 31))
+    others = _parts(docs, model, known, rare=True).select("doc_id", "text_hash", "word_no", "n_words", "word")
+    others = others.join(table.where(~often).drop("n"), "word").withColumn("checksum", checksum)
+    columns = ["doc_id", "text_hash", "word_no", "n_words", "ids", "checksum", "exact"]
+    return _parts(docs, model, known, rare=False).select(columns).unionByName(others.select(columns))
 
 
-def decode(words: DataFrame, model: Model | None = None) -> DataFrame:
-    """`words` (distinct words with ids) and `decoded`, the text of the ids with spaces for marks.
+def decoded(ids: Column, model: Model) -> Column:
+    """The text of ids: the bytes of each piece in order, read as UTF-8, with spaces for marks."""
+    spelled = model.spelled()
+    text = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(spelled, i)), "")), "UTF-8")
+    return F.replace(text, F.lit(MARK), F.lit(" "))
 
-    Ids are exploded, joined to the table of pieces and bytes, and gathered in order; bytes are UTF-8 again.
-    """
-    model = model or Model()
-    spelled = [(i, p.encode().hex()) for p, i, _ in model.pieces] + [(i, f"{b:02x}") for b, i in model.bytes.items()]
-    table = F.broadcast(words.sparkSession.createDataFrame(spelled, "id int, spelled string"))
-    others = [c for c in words.columns if c != "word"]
-    # the outer form, or Spark filters by the size of ids before and computes them once more for it
-    keyed = words.select("*", F.posexplode_outer("ids").alias("at", "id")).join(table, "id")
-    parts = keyed.groupBy("word").agg(
-        F.array_sort(F.collect_list(F.struct("at", "spelled"))).alias("parts"), *[F.first(c).alias(c) for c in others]
-    )
-    text = F.decode(F.unhex(F.array_join(F.col("parts.spelled"), "")), "UTF-8")
-    return parts.withColumn("decoded", F.replace(text, F.lit(MARK), F.lit(" "))).drop("parts")
+
+def decode(rows: DataFrame, model: Model | None = None) -> DataFrame:
+    """`rows` (with ids: array<int>) and `decoded`, the text of the ids; null ids give null, no ids an empty text."""
+    return rows.withColumn("decoded", decoded(F.col("ids"), model or Model()))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per row: words, pieces, an order-sensitive checksum of its ids, and whether decoding gives the text back."""
+    """Per row: units, pieces, an order-sensitive checksum of its ids, and whether decoding gives the text back."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    per_doc = encode(docs).groupBy("doc_id").agg(
-        F.count("*").alias("n_words"),
+    sums = encode(docs).groupBy("doc_id", "text_hash").agg(
+        F.sum((F.col("word_no") == 0).cast("long")).alias("rows"),
+        F.sum(F.col("n_words").cast("long")).alias("n_words"),
         F.sum(F.size("ids").cast("long")).alias("n_pieces"),
-        F.sum(F.pmod(F.xxhash64("word_no", "ids"), F.lit(1 << 31))).alias("ids_checksum"),
+        F.sum("checksum").alias("ids_checksum"),
         F.min("exact").alias("round_trip"),
     )
+    # rows of equal doc_id and text were summed together; each of them has one part of number 0
+    shared = [F.expr(f"{c} div rows").alias(c) for c in ("n_words", "n_pieces", "ids_checksum")]
+    per_row = sums.select("doc_id", *shared, "round_trip", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_")).drop("_")
     none = docs.where(F.coalesce(F.length("text"), F.lit(0)) == 0)
     zeros = [F.lit(0).cast("long").alias(c) for c in ("n_words", "n_pieces", "ids_checksum")]
-    return per_doc.unionByName(none.select("doc_id", *zeros, F.lit(True).alias("round_trip")))
+    return per_row.unionByName(none.select("doc_id", *zeros, F.lit(True).alias("round_trip")))

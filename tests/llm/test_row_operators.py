@@ -186,20 +186,54 @@ def test_sentencepiece_ids_are_the_librarys(spark):
 
 
 def test_viterbi_finds_the_best_sum(spark):
+    import random
+
     model = sentencepieces.Model()
     scores = {p: s for p, _, s in model.pieces}
     number = {p: i for p, i, _ in model.pieces}
-    words = ["▁thorrend", "▁hello", "▁international", "▁a"]
+    rng = random.Random(3)
+    parts = [p for p, _, _ in model.pieces if p.isalpha() and p.isascii() and len(p) < 6]
+    words = {"\u2581" + "".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(300)}
 
     def best(word):
-        ways = {0: (0.0, [])}
+        ways = {0: 0.0}
         for end in range(1, len(word) + 1):
-            ways[end] = max((ways[s][0] + scores[word[s:end]], ways[s][1] + [word[s:end]]) for s in range(max(0, end - model.longest), end) if word[s:end] in scores)
-        return ways[len(word)][1]
+            ways[end] = max(ways[s] + scores[word[s:end]] for s in range(max(0, end - model.longest), end) if word[s:end] in scores)
+        return ways[len(word)]
 
+    of_id = {i: scores[p] for p, i in number.items()}
     df = spark.createDataFrame([(w,) for w in words], "word string")
-    for r in sentencepieces.encode_words(df, model, "viterbi").collect():
-        assert list(r.ids) == [number[p] for p in best(r.word)]
+    got = sentencepieces.decode(sentencepieces.encode_words(df, model, "viterbi")).collect()
+    assert len(got) == len(words)
+    for r in got:
+        assert r.decoded == r.word.replace("\u2581", " ")
+        assert abs(sum(of_id[i] for i in r.ids) - best(r.word)) < 1e-6
+
+
+def test_sentencepiece_query_has_a_row_for_each_row(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+
+    rows = [(7, "the end of it"), (7, "the end of it"), (7, "an other text"), (None, "no id"), (1, None), (1, ""), (2, "x\u2581y z"), (3, "long " * 4000), (4, "\u00b2. 12,5")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sentencepieces.op10_sentencepiece(spark, f"file://{tmp_path}").collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = sorted((str(i), len(library.encode(t or "")), "\u2581" not in (t or "")) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_pieces, r.round_trip) for r in got) == want
+    sums = {(r.doc_id, r.n_pieces, r.ids_checksum) for r in got}
+    assert len([s for s in sums if s[0] == 7]) == 2
+
+
+@pytest.mark.parametrize("rare", [0, 1 << 60])
+def test_sentencepiece_sums_do_not_depend_on_what_is_broadcast(spark, monkeypatch, rare):
+    rows = [(i, "some words and some more words, " * (i + 1)) for i in range(5)]
+    sums = []
+    for least in (1, rare):
+        monkeypatch.setattr(sentencepieces, "_least_kept", lambda table, least=least: least)
+        parts = sentencepieces.encode(spark.createDataFrame(rows, "doc_id long, text string"))
+        own = parts.groupBy("doc_id").agg(F.sum("checksum").alias("c"), F.sum("n_words").alias("n"), F.sum(F.size("ids")).alias("k"))
+        sums.append(sorted(map(tuple, own.collect())))
+    assert sums[0] == sums[1] and len(sums[0]) == 5
 
 
 def test_warc_round_trip(spark, tmp_path):
