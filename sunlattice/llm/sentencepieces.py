@@ -40,7 +40,7 @@ WORD = rf"{MARK}++[^{MARK}]*+|[^{MARK}]++"
 #: more than KEPT of them (below 30 MB with their ids).
 FREQUENT, FREQUENT_CHARS, KEPT = 1 << 21, 32, 1 << 18
 #: Bytes of text that a Python worker takes at once.
-TEXT_BYTES = 16_000_000
+TEXT_BYTES = 4_000_000
 #: Longer units are merged apart: the borders of a unit have to fit the bits of a long.
 LONG_WORD = 60
 #: Units a task: some 25 edges each, which are grouped in memory then.
@@ -108,16 +108,6 @@ class Model:
         return F.split(F.lit(",".join(texts.get(i, "") for i in range(max(texts) + 1))), ",")
 
 
-def normalise(text: Column) -> Column:
-    """The space mark for each space, and one in front of any text that isn't empty."""
-    return F.when(F.length(text) > 0, F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK)))).otherwise(F.lit(""))
-
-
-def words_in(text: Column, model: Model) -> Column:
-    """The units of a text in order; together they are the normalised text."""
-    return F.regexp_extract_all(normalise(F.coalesce(text, F.lit(""))), F.lit(model.pattern), F.lit(0))
-
-
 class _Splitter:
     """The units of batches of texts: each distinct word of a batch is split once, the rest is array gathering."""
 
@@ -126,41 +116,46 @@ class _Splitter:
 
         self.word, self.unit = regex.compile(WORD), regex.compile(pattern)
 
-    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct words, the number of each occurring word in order, words a text)."""
-        plain = [t for t in texts if t and not self._loose(t)]
-        flat = pc.list_flatten(pc.split_pattern(pa.array(plain, pa.large_string()), " ")).dictionary_encode()
-        found = [MARK + w for w in flat.dictionary.to_pylist()]
-        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(plain) == len(texts):
-            return found, which, np.fromiter((t.count(" ") + 1 for t in texts), np.int64, len(texts))
-        number = {w: i for i, w in enumerate(found)}
-        parts, sizes, at = [], [], 0
-        for t in texts:
-            if t and not self._loose(t):
-                sizes.append(t.count(" ") + 1)
-                parts.append(which[at : at + sizes[-1]])
-                at += sizes[-1]
-            else:
+        texts = pc.fill_null(texts, "")
+        loose = pc.equal(texts, "")
+        for found in (pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
+            loose = pc.or_(loose, found)
+        lists = pc.split_pattern(texts.filter(pc.invert(loose)), " ")
+        flat = pc.list_flatten(lists).dictionary_encode()
+        words = [MARK + w for w in flat.dictionary.to_pylist()]
+        which = flat.indices.to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(sizes) == len(texts):
+            return words, which, sizes
+        number = {w: i for i, w in enumerate(words)}
+        parts, every, row, at = [], np.zeros(len(texts), np.int64), 0, 0
+        for i, slow in enumerate(loose.to_pylist()):
+            if slow:
+                t = texts[i].as_py()
                 own = self.word.findall(MARK + t.replace(" ", MARK)) if t else []
-                parts.append(np.array([number.setdefault(w, len(number)) for w in own], np.int64))
-                sizes.append(len(own))
-        return list(number), np.concatenate(parts), np.array(sizes, np.int64)
-
-    @staticmethod
-    def _loose(text: str) -> bool:
-        return "  " in text or text[0] == " " or text[-1] == " " or MARK in text
+                parts.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
+                every[i] = len(own)
+            else:
+                every[i] = sizes[row]
+                parts.append(which[at : at + sizes[row]])
+                at, row = at + sizes[row], row + 1
+        return list(number), np.concatenate(parts), every
 
     def units(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """(distinct units, the numbers of those of each word, units a word)."""
         number: dict[str, int] = {}
-        sizes, which = np.zeros(len(words), np.int64), []
+        sizes, which = np.ones(len(words), np.int64), []
         for i, w in enumerate(words):
+            if w[1:].isalpha():  # a mark and letters are one unit by any pattern
+                which.append(number.setdefault(w, len(number)))
+                continue
             own = self.unit.findall(w)
             sizes[i] = len(own)
             for u in own:
                 which.append(number.setdefault(u, len(number)))
-        return list(number), np.array(which, np.int64), sizes
+        return list(number), np.array(which, np.int32), sizes
 
 
 def _spread(which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -188,7 +183,7 @@ def count_units(docs: DataFrame, model: Model) -> DataFrame:
         splitter = _Splitter(pattern)
         for batch in batches:
             for part in _slices(batch, 0):
-                words, which, _ = splitter.words([t or "" for t in part.column(0).to_pylist()])
+                words, which, _ = splitter.words(part.column(0))
                 units, of_word, sizes = splitter.units(words)
                 times = np.repeat(np.bincount(which, minlength=len(words)), sizes)
                 n = np.bincount(of_word, weights=times, minlength=len(units)).astype(np.int64)
@@ -490,19 +485,21 @@ def _parts(docs: DataFrame, model: Model, known, rare: bool) -> DataFrame:
         place = {w: i for i, w in enumerate(table.words)}
         for batch in batches:
             for part in _slices(batch, 2):
-                words, which, sizes = splitter.words([t or "" for t in part.column(2).to_pylist()])
+                words, which, sizes = splitter.words(part.column(2))
                 units, of_word, per_word = splitter.units(words)
                 own = np.fromiter((place.get(u, -1) for u in units), np.int64, len(units))
                 of = of_word[_spread(which, per_word)]  # the unit of every occurrence
                 at = own[of]
                 doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), per_word[which])
                 per_doc = np.bincount(doc, minlength=len(sizes))
+                faithful = pc.invert(pc.match_substring(pc.fill_null(part.column(2), ""), MARK)).to_numpy(zero_copy_only=False)
                 number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
                 if rare:
                     pick = np.flatnonzero(at < 0)
                     rows, n = doc[pick], np.ones(len(pick), np.int32)
                     spelled = pa.array(units, pa.string()).take(pa.array(of[pick]))
-                    ids, checksum, exact = (pa.nulls(len(pick), t) for t in (pa.list_(pa.int32()), pa.int64(), pa.bool_()))
+                    ids, checksum = pa.nulls(len(pick), pa.list_(pa.int32())), pa.nulls(len(pick), pa.int64())
+                    exact = pa.array(faithful[rows])
                     first = number[pick]
                 else:
                     pick = np.flatnonzero(at >= 0)
@@ -518,7 +515,8 @@ def _parts(docs: DataFrame, model: Model, known, rare: bool) -> DataFrame:
                     ids = pa.ListArray.from_arrays(pa.array(ends[np.append(begin, len(pick))].astype(np.int32)), pa.array(flat))
                     sums = (table.hashes[place_of] * (2 * number_of + 1)) & ((1 << 31) - 1)
                     checksum = pa.array(np.add.reduceat(sums, begin) if len(begin) else np.zeros(0, np.int64))
-                    exact = pa.array(np.logical_and.reduceat(table.exact[place_of], begin) if len(begin) else np.zeros(0, bool))
+                    right = table.exact[place_of] & faithful[rows_of]
+                    exact = pa.array(np.logical_and.reduceat(right, begin) if len(begin) else np.zeros(0, bool))
                 take = pa.array(rows)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(take), part.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(n), spelled, ids, checksum, exact],
@@ -535,7 +533,7 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     A part is a run of frequent units or one other unit: word_no is the number (from 0) of its first unit in the text and
     n_words how many it has. A text's ids are those of its parts in order. checksum is the sum, over the part's units, of
     31 bits of (2 * unit number + 1) * (hash of the unit's ids), so sums over a text don't depend on where parts end;
-    exact says that the ids decode to the part's text.
+    exact says that the ids decode to the part's text (never so in a text that holds the mark itself).
 
     Null and empty texts have no rows; rows with a null doc_id are encoded too; rows that repeat a doc_id each have
     theirs, those of equal texts with the same text_hash; an empty table gives an empty one; other columns are dropped.
@@ -546,8 +544,9 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     often = (F.length("word") <= FREQUENT_CHARS) & (F.col("n") >= _least_kept(table))
     known = spark.sparkContext.broadcast(_Known(table.where(often).drop("n").toArrow()))  # KEPT rows at most
     checksum = F.pmod(F.col("ids_hash") * (2 * F.col("word_no") + 1), F.lit(1 << 31))
-    others = _parts(docs, model, known, rare=True).select("doc_id", "text_hash", "word_no", "n_words", "word")
-    others = others.join(table.where(~often).drop("n"), "word").withColumn("checksum", checksum)
+    others = _parts(docs, model, known, rare=True).select("doc_id", "text_hash", "word_no", "n_words", "word", F.col("exact").alias("_faithful"))
+    others = others.join(table.where(~often).drop("n"), "word")
+    others = others.withColumns({"checksum": checksum, "exact": F.col("exact") & F.col("_faithful")})
     columns = ["doc_id", "text_hash", "word_no", "n_words", "ids", "checksum", "exact"]
     return _parts(docs, model, known, rare=False).select(columns).unionByName(others.select(columns))
 

@@ -178,7 +178,7 @@ def test_sentencepiece_ids_are_the_librarys(spark):
     got = {}
     for r in sentencepieces.encode(docs(spark, rows)).orderBy("word_no").collect():
         got.setdefault(r.doc_id, []).extend([r.ids])
-        assert r.exact
+        assert r.exact == (r.doc_id != 4)  # a text that holds the mark comes back with a space
     for doc_id, text in rows[:6] + rows[-2:]:
         assert [i for ids in got.get(doc_id, []) for i in ids] == library.encode(text or ""), doc_id
     assert len(got[7]) == 2 and got[7][0] == got[7][1]
