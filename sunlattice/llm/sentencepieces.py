@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding as relations.
 
 Texts are cut into units that no piece of the model spans, so that units can be encoded apart: in front of each run of
-space marks and, if the model's pieces allow it, between letters, digits and other characters (`UNIT`; a model with a
-piece across such a border gets the plainer `WORD`). Distinct units are encoded once each: their substrings of bounded
+spaces and, if the model's pieces allow it, between ASCII letters and other ASCII characters. Texts are cut, counted and
+looked up as whole Arrow columns. Distinct units are encoded once each: their substrings of bounded
 length are exploded, joined to the piece table on equality, grouped by unit into a lattice of edges, and a higher-order
 aggregate folds the lattice into ids. Occurrences are then joined to the table of units: short units that make up one in
 FREQUENT of all occurrences or more, KEPT of them at most, are broadcast and looked up as arrays, so no frequent unit is
@@ -33,14 +33,17 @@ from sunlattice.llm.scratch import cut, discard
 from sunlattice.llm.words import bound
 
 MARK = "▁"
-#: Where texts are cut if no piece of the model spans such a border, and where they are cut otherwise.
-UNIT = rf"{MARK}*+(?:[a-zA-Z\p{{L}}\p{{M}}]++|[0-9\p{{Nd}}]|[^\p{{L}}\p{{M}}\p{{Nd}}{MARK}]++)|{MARK}++"
-WORD = rf"{MARK}++[^{MARK}]*+|[^{MARK}]++"
 #: Units that make up at least this part of all occurrences and are of at most so many characters are broadcast, and no
 #: more than KEPT of them (below 30 MB with their ids).
-FREQUENT, FREQUENT_CHARS, KEPT = 1 << 21, 32, 1 << 18
+FREQUENT, FREQUENT_CHARS, KEPT = 1 << 22, 32, 1 << 18
 #: Bytes of text that a Python worker takes at once.
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 8_000_000
+#: The class of each byte of a text: part of a character beyond ASCII, ASCII letter, other ASCII character, space.
+_CLASS = np.array([3 if b == 32 else 0 if b > 127 else 1 if chr(b).isalpha() else 2 for b in range(256)], np.uint8)
+#: Whether a text is cut between bytes of two classes (4 * first + second): before spaces, or by the finer rule also
+#: between ASCII letters and other ASCII characters.
+_COARSE = np.array([b == 3 and a != 3 for a in range(4) for b in range(4)])
+_FINE = _COARSE | np.array([(a, b) in ((1, 2), (2, 1)) for a in range(4) for b in range(4)])
 #: Longer units are merged apart: the borders of a unit have to fit the bits of a long.
 LONG_WORD = 60
 #: Units a task: some 25 edges each, which are grouped in memory then.
@@ -56,7 +59,6 @@ class Model:
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
-        import regex
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
@@ -77,7 +79,9 @@ class Model:
             raise ValueError("a piece spans the start of a word")
         if size > 1 << _ID or len({s for _, _, s in self.pieces}) >= 1 << (62 - _START - _LENGTH - _ID):
             raise ValueError("the model has more pieces than an edge can number")
-        self.pattern = UNIT if all(regex.fullmatch(f"(?:{UNIT})", p) for p, _, _ in self.pieces) else WORD
+        uncut = _units(pa.array([p.lstrip(MARK) for p, _, _ in self.pieces]), _FINE)[1] < 2
+        #: Where texts are cut.
+        self.cuts = _FINE if uncut.all() else _COARSE
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, id, score, edge); its size is the model's vocabulary, and so broadcast.
@@ -108,54 +112,24 @@ class Model:
         return F.split(F.lit(",".join(texts.get(i, "") for i in range(max(texts) + 1))), ",")
 
 
-class _Splitter:
-    """The units of batches of texts: each distinct word of a batch is split once, the rest is array gathering."""
-
-    def __init__(self, pattern: str):
-        import regex
-
-        self.word, self.unit = regex.compile(WORD), regex.compile(pattern)
-
-    def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct words, the number of each occurring word in order, words a text)."""
-        texts = pc.fill_null(texts, "")
-        loose = pc.equal(texts, "")
-        for found in (pc.match_substring(texts, "  "), pc.match_substring(texts, MARK), pc.starts_with(texts, " "), pc.ends_with(texts, " ")):
-            loose = pc.or_(loose, found)
-        lists = pc.split_pattern(texts.filter(pc.invert(loose)), " ")
-        flat = pc.list_flatten(lists).dictionary_encode()
-        words = [MARK + w for w in flat.dictionary.to_pylist()]
-        which = flat.indices.to_numpy(zero_copy_only=False)
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(sizes) == len(texts):
-            return words, which, sizes
-        number = {w: i for i, w in enumerate(words)}
-        parts, every, row, at = [], np.zeros(len(texts), np.int64), 0, 0
-        for i, slow in enumerate(loose.to_pylist()):
-            if slow:
-                t = texts[i].as_py()
-                own = self.word.findall(MARK + t.replace(" ", MARK)) if t else []
-                parts.append(np.array([number.setdefault(w, len(number)) for w in own], np.int32))
-                every[i] = len(own)
-            else:
-                every[i] = sizes[row]
-                parts.append(which[at : at + sizes[row]])
-                at, row = at + sizes[row], row + 1
-        return list(number), np.concatenate(parts), every
-
-    def units(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct units, the numbers of those of each word, units a word)."""
-        number: dict[str, int] = {}
-        sizes, which = np.ones(len(words), np.int64), []
-        for i, w in enumerate(words):
-            if w[1:].isalpha():  # a mark and letters are one unit by any pattern
-                which.append(number.setdefault(w, len(number)))
-                continue
-            own = self.unit.findall(w)
-            sizes[i] = len(own)
-            for u in own:
-                which.append(number.setdefault(u, len(number)))
-        return list(number), np.array(which, np.int32), sizes
+def _units(texts: pa.Array, cuts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The units of some texts in order, with a space in front of each text that isn't empty; units a text."""
+    texts = pc.fill_null(texts, "")
+    some = pc.greater(pc.binary_length(texts), 0)
+    spaced = pc.binary_join_element_wise("", texts.filter(some), " ").cast(pa.string())
+    sizes = np.zeros(len(texts), np.int64)
+    if not len(spaced):
+        return pa.array([], pa.string()), sizes
+    _, offsets, data = spaced.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[spaced.offset : spaced.offset + len(spaced) + 1]
+    classes = _CLASS[np.frombuffer(data, np.uint8)[: offsets[-1]]]
+    borders = np.zeros(len(classes), bool)
+    borders[1:] = cuts[4 * classes[:-1] + classes[1:]]
+    borders[offsets[:-1]] = True
+    starts = np.flatnonzero(borders).astype(np.int32)
+    ends = np.append(starts, np.int32(len(classes)))
+    sizes[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(ends, offsets))
+    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), data), sizes
 
 
 def _spread(which: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -177,17 +151,14 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def count_units(docs: DataFrame, model: Model) -> DataFrame:
     """(word, n): the distinct units of all texts and how often they occur."""
-    pattern = model.pattern
+    cuts = model.cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = _Splitter(pattern)
         for batch in batches:
             for part in _slices(batch, 0):
-                words, which, _ = splitter.words(part.column(0))
-                units, of_word, sizes = splitter.units(words)
-                times = np.repeat(np.bincount(which, minlength=len(words)), sizes)
-                n = np.bincount(of_word, weights=times, minlength=len(units)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array(n)], names=["word", "n"])
+                units = _units(part.column(0), cuts)[0].dictionary_encode()
+                n = np.bincount(units.indices.to_numpy(), minlength=len(units.dictionary))
+                yield pa.RecordBatch.from_arrays([units.dictionary, pa.array(n, pa.int64())], names=["word", "n"])
 
     found = docs.select("text").mapInArrow(run, "word string, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -415,24 +386,25 @@ class Merges:
 
 
 def word_table(docs: DataFrame, model: Model) -> DataFrame:
-    """(word, n, ids, ids_hash, exact) for the distinct units of all texts: n occurrences; exact if the ids decode to
-    the unit; ids_hash has 31 bits."""
+    """(word, n, ids, ids_hash, exact) for the distinct units of all texts, spaces and not marks in them: n occurrences;
+    exact if the ids decode to the unit (not so if it holds the mark itself); ids_hash has 31 bits."""
     spark = docs.sparkSession
     counted = cut(count_units(docs, model))
-    short = counted.where(F.length("word") <= LONG_WORD)
-    usual = encode_words(short, model, tasks=-(-counted.count() // WORDS_A_TASK) or None)
+    usual = (F.length("word") <= LONG_WORD) & ~F.contains("word", F.lit(MARK))
+    marked = counted.where(usual).select(F.replace(F.col("word"), F.lit(" "), F.lit(MARK)).alias("word"), "n")
+    short = encode_words(marked, model, tasks=-(-counted.count() // WORDS_A_TASK) or None)
     encoder = spark.sparkContext.broadcast(Merges(model))
 
-    def long_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def other_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_one = encoder.value.encode
         for batch in batches:
-            found = [encode_one(w) for w in batch.column(0).to_pylist()]
+            found = [encode_one(w.replace(" ", MARK)) for w in batch.column(0).to_pylist()]
             ids = pa.array(found, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
 
-    long = counted.where(F.length("word") > LONG_WORD).mapInArrow(long_ids, "word string, n long, ids array<int>")
-    both = usual.select("word", "n", "ids").unionByName(long)
-    exact = F.replace(F.col("word"), F.lit(MARK), F.lit(" ")) == decoded(F.col("ids"), model)
+    others = counted.where(~usual).mapInArrow(other_ids, "word string, n long, ids array<int>")
+    both = short.select(F.replace(F.col("word"), F.lit(MARK), F.lit(" ")).alias("word"), "n", "ids").unionByName(others)
+    exact = F.col("word") == decoded(F.col("ids"), model)
     both = both.select("*", F.pmod(F.xxhash64("ids"), F.lit(1 << 31)).alias("ids_hash"), exact.alias("exact"))
     name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     usually = spark.conf.get(name)
@@ -465,12 +437,12 @@ class _Known:
 
     def __init__(self, rows: pa.Table):
         rows = rows.combine_chunks()
-        self.words = rows["word"].to_pylist()
         lists = rows["ids"].combine_chunks() if len(rows) else pa.array([], pa.list_(pa.int32()))
+        self.words = rows["word"].combine_chunks().cast(pa.string()) if len(rows) else pa.array([], pa.string())
         self.ids = lists.flatten().to_numpy().astype(np.int32)
         self.sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         self.hashes = rows["ids_hash"].to_numpy().astype(np.int64)
-        self.exact = rows["exact"].to_numpy(zero_copy_only=False).astype(bool)
+        self.exact = rows["exact"].to_numpy().astype(bool)
 
 
 _PART = "doc_id long, text_hash long, word_no int, n_words int, word string, ids array<int>, checksum long, exact boolean"
@@ -478,48 +450,38 @@ _PART = "doc_id long, text_hash long, word_no int, n_words int, word string, ids
 
 def _parts(docs: DataFrame, model: Model, known, rare: bool) -> DataFrame:
     """Runs of frequent units with their ids, or (rare) the other units without."""
-    pattern = model.pattern
+    cuts = model.cuts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, table = _Splitter(pattern), known.value
-        place = {w: i for i, w in enumerate(table.words)}
+        table = known.value
         for batch in batches:
             for part in _slices(batch, 2):
-                words, which, sizes = splitter.words(part.column(2))
-                units, of_word, per_word = splitter.units(words)
-                own = np.fromiter((place.get(u, -1) for u in units), np.int64, len(units))
-                of = of_word[_spread(which, per_word)]  # the unit of every occurrence
-                at = own[of]
-                doc = np.repeat(np.repeat(np.arange(len(sizes)), sizes), per_word[which])
-                per_doc = np.bincount(doc, minlength=len(sizes))
-                faithful = pc.invert(pc.match_substring(pc.fill_null(part.column(2), ""), MARK)).to_numpy(zero_copy_only=False)
-                number = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+                flat, per_doc = _units(part.column(2), cuts)
+                units = flat.dictionary_encode()
+                place = pc.fill_null(pc.index_in(units.dictionary, table.words), -1).to_numpy()
+                at = place[units.indices.to_numpy()]  # where each occurring unit is in the table
+                pick = np.flatnonzero(at < 0 if rare else at >= 0)
+                row = np.repeat(np.arange(len(per_doc), dtype=np.int32), per_doc)[pick]
+                number = pick - (np.cumsum(per_doc) - per_doc)[row]
                 if rare:
-                    pick = np.flatnonzero(at < 0)
-                    rows, n = doc[pick], np.ones(len(pick), np.int32)
-                    spelled = pa.array(units, pa.string()).take(pa.array(of[pick]))
-                    ids, checksum = pa.nulls(len(pick), pa.list_(pa.int32())), pa.nulls(len(pick), pa.int64())
-                    exact = pa.array(faithful[rows])
-                    first = number[pick]
+                    n, spelled = np.ones(len(pick), np.int32), flat.take(pa.array(pick))
+                    ids, checksum, exact = (pa.nulls(len(pick), t) for t in (pa.list_(pa.int32()), pa.int64(), pa.bool_()))
                 else:
-                    pick = np.flatnonzero(at >= 0)
-                    place_of, rows_of, number_of = at[pick], doc[pick], number[pick]
+                    at = at[pick]
                     new = np.ones(len(pick), bool)
-                    new[1:] = (np.diff(pick) > 1) | (np.diff(rows_of) > 0)
+                    new[1:] = (np.diff(pick) > 1) | (np.diff(row) > 0)
                     begin = np.flatnonzero(new)
-                    rows, first = rows_of[begin], number_of[begin]
-                    n = np.diff(np.append(begin, len(pick))).astype(np.int32)
-                    spelled = pa.nulls(len(begin), pa.string())
-                    flat = table.ids[_spread(place_of, table.sizes)]
-                    ends = np.concatenate([[0], np.cumsum(table.sizes[place_of])])
-                    ids = pa.ListArray.from_arrays(pa.array(ends[np.append(begin, len(pick))].astype(np.int32)), pa.array(flat))
-                    sums = (table.hashes[place_of] * (2 * number_of + 1)) & ((1 << 31) - 1)
+                    ends = np.append(begin, len(pick))
+                    n, spelled = np.diff(ends).astype(np.int32), pa.nulls(len(begin), pa.string())
+                    pieces = np.concatenate([[0], np.cumsum(table.sizes[at])])
+                    ids = pa.ListArray.from_arrays(pa.array(pieces[ends].astype(np.int32)), pa.array(table.ids[_spread(at, table.sizes)]))
+                    sums = (table.hashes[at] * (2 * number + 1)) & ((1 << 31) - 1)
                     checksum = pa.array(np.add.reduceat(sums, begin) if len(begin) else np.zeros(0, np.int64))
-                    right = table.exact[place_of] & faithful[rows_of]
-                    exact = pa.array(np.logical_and.reduceat(right, begin) if len(begin) else np.zeros(0, bool))
-                take = pa.array(rows)
+                    exact = pa.array(np.logical_and.reduceat(table.exact[at], begin) if len(begin) else np.zeros(0, bool))
+                    row, number = row[begin], number[begin]
+                take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(take), part.column(1).take(take), pa.array(first.astype(np.int32)), pa.array(n), spelled, ids, checksum, exact],
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(number.astype(np.int32)), pa.array(n), spelled, ids, checksum, exact],
                     names=["doc_id", "text_hash", "word_no", "n_words", "word", "ids", "checksum", "exact"],
                 )
 
@@ -544,9 +506,8 @@ def encode(docs: DataFrame, model: Model | None = None) -> DataFrame:
     often = (F.length("word") <= FREQUENT_CHARS) & (F.col("n") >= _least_kept(table))
     known = spark.sparkContext.broadcast(_Known(table.where(often).drop("n").toArrow()))  # KEPT rows at most
     checksum = F.pmod(F.col("ids_hash") * (2 * F.col("word_no") + 1), F.lit(1 << 31))
-    others = _parts(docs, model, known, rare=True).select("doc_id", "text_hash", "word_no", "n_words", "word", F.col("exact").alias("_faithful"))
-    others = others.join(table.where(~often).drop("n"), "word")
-    others = others.withColumns({"checksum": checksum, "exact": F.col("exact") & F.col("_faithful")})
+    others = _parts(docs, model, known, rare=True).select("doc_id", "text_hash", "word_no", "n_words", "word")
+    others = others.join(table.where(~often).drop("n"), "word").withColumn("checksum", checksum)
     columns = ["doc_id", "text_hash", "word_no", "n_words", "ids", "checksum", "exact"]
     return _parts(docs, model, known, rare=False).select(columns).unionByName(others.select(columns))
 
