@@ -94,14 +94,6 @@ def test_denoising_keeps_constants_and_holes(spark, method):
     assert np.isnan(out[2, 3]) and np.allclose(out[~np.isnan(out)], 5.0)
 
 
-def test_wavelet_reconstructs_without_noise():
-    image = np.add.outer(np.arange(8.0), 2 * np.arange(8.0))
-    image[:] = image.mean()
-    assert np.allclose(denoise.wavelet(image), image)
-    with pytest.raises(ValueError):
-        denoise.anisotropic(image, np.ones_like(image, bool), gamma=0.3)
-
-
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "c.csv").write_text("time,ssrd\n2018-01-01 00:00:00,1.5\n2018-01-01 01:00:00,x\n")
     assert [r.solar_radiation for r in readers.insolation_csv(spark, f"file://{tmp_path}/c.csv").collect()] == [1.5, None]
