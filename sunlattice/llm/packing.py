@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 1024
@@ -217,12 +217,18 @@ def _exchange(bins: list[list[int]], room: list[int], sizes: list[int], capacity
         changed = True
         while changed and bins[u]:
             changed = False
+            # only what is given away in total counts: one item or two for each sum that the bin's items make
             own = sorted(bins[u], key=lambda i: -sizes[i])
-            gives = [(i,) for i in own] + [(i, j) for n, i in enumerate(own[:12]) for j in own[n + 1 : 12]]
-            for give in gives:
-                amount = sum(sizes[i] for i in give)
-                if amount > capacity:
-                    continue
+            of_size: dict[int, list[int]] = {}
+            for i in own:
+                of_size.setdefault(sizes[i], []).append(i)
+            gives = {size: (items[0],) for size, items in of_size.items()}
+            for n, (x, xs) in enumerate(of_size.items()):
+                if len(xs) > 1:
+                    gives.setdefault(2 * x, (xs[0], xs[1]))
+                for y in list(of_size)[n + 1 :]:
+                    gives.setdefault(x + y, (xs[0], of_size[y][0]))
+            for amount, give in gives.items():
                 takes = np.flatnonzero(top[:amount] >= amount - spare[:amount])
                 for size in takes.tolist():  # the smallest exchanged item first: the largest gain
                     v = best(size, u)
@@ -266,9 +272,12 @@ def pack_documents(docs: DataFrame, **files) -> DataFrame:
     very long texts are cut into full pieces, the first of which may be shorter. Other columns are dropped.
     """
     blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    pieces = token_pieces(docs, **files)
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(blocks)).cast("long")
-    return pieces.withColumn("block", spread).groupBy("block").applyInPandas(_pack_block, _PACKED)
+    # equal rows are numbered, so that a row repeated very often is dealt to many blocks
+    same = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy(F.lit(0))
+    pieces = token_pieces(docs, **files).withColumn("copy", F.floor(F.row_number().over(same) / BLOCK_ROWS))
+    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(blocks)).cast("long")
+    blocked = pieces.withColumn("block", spread).drop("copy")
+    return blocked.groupBy("block").applyInPandas(_pack_block, _PACKED)
 
 
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
