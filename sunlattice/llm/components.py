@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # the minima are written before they are joined, so that Spark can split the edges of a node with very many
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -42,6 +43,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         before, now = now, cut(small)
         discard(before)
+        discard(least)
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -1,11 +1,13 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, runs of anything but letters and digits become one space) and get a 64-bit SimHash of
-their words. Equal normalised lines are one class. Classes meet in the buckets of pairs of pigeonhole blocks (64 bits in
-MAX_HAMMING + 2 blocks: two hashes that differ in MAX_HAMMING bits or fewer agree in two blocks at least) and of bands of
-lengths, are kept as candidates at that Hamming distance and confirmed by edit similarity. Of each connected group the
-first occurrence by (doc_id, line number) stays. Texts themselves are shuffled only for documents that may have a line to
-confirm or remove.
+Lines are normalised (lower case, runs of anything but letters and digits become one space). Equal normalised lines are
+one class. Longer lines get a 64-bit SimHash whose four blocks of 16 bits are the SimHashes of four parts of the line: its
+first two and its last two runs of words of a common width. An edit changes the blocks of the parts it falls into, so by
+the pigeonhole principle two lines that differ in two places or fewer agree in two blocks at least; classes meet in the
+buckets of pairs of blocks and are confirmed by edit similarity. (A SimHash over all words of a line moves by about 10 of
+64 bits when one word of twelve is replaced; blocks of such a hash, and a limit of 3 bits, found 1 to 18 % of the links
+among lines of 8 to 20 words.) Of each connected group the first occurrence by (doc_id, line number) stays. Texts of lines
+are shuffled only for pairs to confirm, those of documents only where a line goes.
 """
 
 from __future__ import annotations
@@ -22,14 +24,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm.links import linked_groups
-from sunlattice.llm.scratch import cut, made, maybe_in, reducer, release, split_by
+from sunlattice.llm.scratch import cut, maybe_in, owner, reducer, remove, split_by
 from sunlattice.llm.words import lines_of
 
-MIN_WORDS = 8
-MAX_HAMMING = 3
 MIN_SIMILARITY = 0.9
-#: Lengths in a band grow by this factor (by the inverse of the similarity, if that is more).
+#: Lines of MIN_WORDS words or more are hashed by words; shorter ones of MIN_CHARS characters or more (such as lines
+#: without spaces) by pairs of characters; what is shorter still takes part by equality only.
+MIN_WORDS, MIN_CHARS = 8, 24
+PARTS = 4
+#: Lines are in bands by their number of words (or pairs); a band begins at this ratio to the one before.
 BAND_RATIO = 1.6
+#: Lines of at most so many characters are compared by Spark's own edit distance, longer ones in Arrow batches.
+SHORT_CHARS = 2_000
 TEXT_BYTES = 4_000_000
 _NOT_WORD = re.compile(r"[\W_]+")
 #: The same for bytes: ASCII letters to lower case, digits and newlines stay, other ASCII becomes a space.
@@ -82,22 +88,54 @@ def shapes(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(packed).view(np.int64).ravel(), np.add.reduceat(_STARTS[flat], np.cumsum(lengths) - lengths)
 
 
-def simhashes(word_hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The SimHash of each run of `lengths` word hashes (all at least 1): bit i is set if most of its words have it."""
-    lanes = _LANES[word_hashes.view(np.uint8).reshape(-1, 8)]
-    run, starts, firsts = _pieces(lengths)
-    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8).reshape(len(run), 64)
-    if len(run) > len(lengths):
-        counts = np.add.reduceat(counts, firsts, axis=0, dtype=np.int32)
-    bits = (2 * counts.astype(np.int32) > lengths[:, None]).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64).ravel()
+def band_of(n: np.ndarray) -> np.ndarray:
+    """The band of a line of n words (or pairs), MIN_WORDS or more; the first is 0."""
+    return np.floor(np.log(n / MIN_WORDS) / log(BAND_RATIO) + 1e-9).astype(np.int64)
 
 
-_LINES = "doc_id long, line_no int, line_hi long, line_lo long, simhash long, shape long, n_chars int"
+def part_width(band: np.ndarray) -> np.ndarray:
+    """Words a part: a quarter of the band's least number, so that all lines of a band are parted alike."""
+    return np.ceil(MIN_WORDS * BAND_RATIO**band - 1e-6).astype(np.int64) // PARTS
 
 
-def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row a line that takes part: of documents with an id, lines whose normal form has min_words words or more."""
+def simhashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """The SimHash of each of some runs of token hashes: 16 bits for each of four parts as wide as the band has them."""
+    width = part_width(band)
+    begins = np.stack([starts, starts + width, ends - 2 * width, ends - width], 1)
+    borders = np.stack([begins, begins + width[:, None]], 2).ravel()
+    low = hashes.view(np.uint8).reshape(-1, 8)
+    counts = np.empty((len(starts) * PARTS, 16), np.int64)
+    for k in range(2):
+        lanes = np.append(_LANES[low[:, k]], np.uint64(0))
+        counts[:, 8 * k : 8 * k + 8] = np.ascontiguousarray(np.add.reduceat(lanes, borders)[::2]).view(np.uint8).reshape(-1, 8)
+    wide = np.flatnonzero(np.repeat(width > 255, PARTS))  # more than a byte-wide counter holds
+    for i in wide.tolist():
+        a, b = borders[2 * i], borders[2 * i + 1]
+        counts[i] = np.unpackbits(low[a:b, :2], axis=1).sum(axis=0)
+    bits = (2 * counts > np.repeat(width, PARTS)[:, None]).astype(np.uint8)
+    return np.packbits(bits.reshape(len(starts), 64), axis=1).view(np.int64).ravel()
+
+
+def pair_hashes(form: bytes) -> np.ndarray:
+    """A 64-bit hash for each pair of neighbouring characters."""
+    from sunlattice.llm.minhash import _mix
+
+    codes = np.frombuffer(form.decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    return _mix(_mix(codes[:-1] << np.uint64(32) | codes[1:]) + np.uint64(1))
+
+
+_LINES = (
+    "doc_id long, text_hash long, line_no int, again boolean, line_hi long, line_lo long, simhash long, below long, "
+    "band int, shape long, n_chars int"
+)
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """One row a line with a letter or digit, of documents with an id; again: an equal line is above it in its text.
+
+    simhash and band are null for lines that take part by equality only; lines hashed by pairs have negative bands. A
+    line of the least number of words of its band also has a SimHash by the band below, where it meets shorter ones.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -106,77 +144,109 @@ def hashed_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
         words = Words()
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
             edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
             for a, b in zip(edges, edges[1:], strict=False):
-                ids, numbers, forms, lengths, hashed = [], [], [], [], []
-                pairs = zip(batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a), strict=True)
-                for doc_id, text in pairs:
+                rows, numbers, again, forms, lengths, by_words, hashed = [], [], [], [], [], [], []
+                for row, text in enumerate(batch.column(2).slice(a, b - a)):
+                    seen = set()
                     for number, found in enumerate(normal_lines(text.as_py() or "")):
-                        if len(found) >= min_words:
-                            ids.append(doc_id)
+                        if found:
+                            form = b" ".join(found)
+                            rows.append(row)
                             numbers.append(number)
-                            forms.append(b" ".join(found))
-                            lengths.append(len(found))
-                            hashed.extend(map(words.__getitem__, found))
-                if not ids:
+                            again.append(form in seen)
+                            seen.add(form)
+                            forms.append(form)
+                            lengths.append(0)
+                            by_words.append(True)
+                            if len(found) >= MIN_WORDS:
+                                lengths[-1] = len(found)
+                                hashed.append(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
+                            elif len(form) >= MIN_CHARS and len(pairs := pair_hashes(form)) >= MIN_CHARS - 1:
+                                lengths[-1], by_words[-1] = len(pairs), False
+                                hashed.append(pairs)
+                if not rows:
                     continue
                 digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)), np.int64).reshape(-1, 2)
                 shape, chars = shapes(forms)
-                similar = simhashes(np.asarray(hashed, np.uint64), np.asarray(lengths))
+                tokens = np.array(lengths, np.int64)
+                fuzzy = tokens > 0
+                similar, below = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                band, low = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
+                if hashed:
+                    flat, ends = np.concatenate(hashed), np.cumsum(tokens)
+                    band[fuzzy] = band_of(tokens[fuzzy])
+                    low[fuzzy] = (band[fuzzy] > 0) & (band_of(np.maximum(tokens[fuzzy] - 1, MIN_WORDS)) < band[fuzzy])
+                    similar[fuzzy] = simhashes(flat, (ends - tokens)[fuzzy], ends[fuzzy], band[fuzzy])
+                    if low.any():
+                        below[low] = simhashes(flat, (ends - tokens)[low], ends[low], band[low] - 1)
+                    band = np.where(np.array(by_words), band, -1 - band).astype(np.int32)
+                take = pa.array(np.array(rows) + a)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
+                        batch.column(0).take(take),
+                        batch.column(1).take(take),
                         pa.array(numbers, pa.int32()),
+                        pa.array(again),
                         pa.array(np.ascontiguousarray(digest[:, 0])),
                         pa.array(np.ascontiguousarray(digest[:, 1])),
-                        pa.array(similar),
+                        pa.array(similar, mask=~fuzzy),
+                        pa.array(below, mask=~low),
+                        pa.array(band.astype(np.int32), mask=~fuzzy),
                         pa.array(shape),
                         pa.array(chars.astype(np.int32)),
                     ],
-                    names=["doc_id", "line_no", "line_hi", "line_lo", "simhash", "shape", "n_chars"],
+                    names=["doc_id", "text_hash", "line_no", "again", "line_hi", "line_lo", "simhash", "below", "band", "shape", "n_chars"],
                 )
 
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, _LINES)
+    return _identified(docs).select("doc_id", "text_hash", "text").mapInArrow(run, _LINES)
 
 
-def block_keys(
-    simhash: Column, n_chars: Column, max_hamming: int = MAX_HAMMING, similarity: float = MIN_SIMILARITY
-) -> Column:
-    """One long for each pair of blocks and band of lengths: band, pair's number, bits of both blocks.
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (together they are a document) and text of the rows that take part."""
+    rows = docs.where("doc_id is not null and text is not null")
+    return rows.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
-    A line of n characters is in the bands from its own to that of n / similarity, the longest line that may be linked
-    to it (mostly one band, two at times), so two lines that may be linked share a band.
-    """
-    blocks = max_hamming + 2
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    part = [
-        F.shiftrightunsigned(simhash, low).bitwiseAND(F.lit((1 << (high - low)) - 1)).cast("int")
-        for low, high in zip(edges, edges[1:], strict=False)
-    ]
-    width = max(high - low for low, high in zip(edges, edges[1:], strict=False))
-    keys = []
-    for number, (i, j) in enumerate(combinations(range(blocks), 2)):
-        joined = F.shiftleft(part[i].cast("long"), width).bitwiseOR(part[j].cast("long"))
-        keys.append(joined.bitwiseOR(F.lit(number << (2 * width))))
-    step = log(max(BAND_RATIO, 1 / similarity))
-    bands = [F.floor(F.log(n) / F.lit(step)).cast("long") for n in (n_chars + 1, (n_chars + 1) / F.lit(similarity) + F.lit(1.0))]
-    apart = F.transform(F.sequence(*bands), lambda band: F.shiftleft(band, 48))
-    return F.flatten(F.transform(apart, lambda band: F.transform(F.array(*keys), lambda key: key.bitwiseOR(band))))
-
-
-def _close(similarity: float, max_hamming: int):
+
+def _place() -> Column:
+    """A line's place in the corpus, as a hash."""
+    return F.xxhash64("doc_id", "text_hash", "line_no").alias("place")
+
+
+def block_keys(simhash: Column, below: Column, band: Column) -> Column:
+    """One long for each pair of blocks: the pair's number, the band, the bits of both blocks; none without a SimHash."""
+
+    def keys(bits: Column, at: Column) -> Column:
+        part = [F.shiftrightunsigned(bits, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(PARTS)]
+        made = []
+        for number, (i, j) in enumerate(combinations(range(PARTS), 2)):
+            both = F.shiftleft(part[i], 16).bitwiseOR(part[j])
+            place = F.shiftleft((F.pmod(at, F.lit(256)) + F.lit(256 * number)).cast("long"), 32)
+            made.append(both.bitwiseOR(place))
+        return F.array(*made)
+
+    lower = F.when(band < 0, band + 1).otherwise(band - 1)
+    none = F.array().cast("array<long>")
+    own = F.when(simhash.isNotNull(), keys(simhash, band)).otherwise(none)
+    return F.when(below.isNotNull(), F.concat(own, keys(below, lower))).otherwise(own)
+
+
+def _most(a: Column, b: Column, similarity: float) -> Column:
+    """The most edits between lines of so many characters."""
+    return F.floor((1 - similarity) * F.greatest(a, b) + F.lit(1e-9)).cast("int")
+
+
+def _close(similarity: float):
     def condition(a: str, b: str) -> Column:
-        few = F.bit_count(F.col(f"{a}simhash").bitwiseXOR(F.col(f"{b}simhash"))) <= max_hamming
         # a distance of d needs lengths that differ by d at most, and class counts that differ by 2 d at most in total
-        most = F.floor((1 - similarity) * F.greatest(f"{a}n_chars", f"{b}n_chars") + F.lit(1e-9))
+        most = _most(F.col(f"{a}n_chars"), F.col(f"{b}n_chars"), similarity)
         apart = F.lit(0)
         for i in range(8):
             counts = [F.shiftrightunsigned(F.col(f"{x}shape"), 8 * i).bitwiseAND(F.lit(255)) for x in (a, b)]
             apart = apart + F.abs(counts[0] - counts[1])
-        return few & (F.abs(F.col(f"{a}n_chars") - F.col(f"{b}n_chars")) <= most) & (apart <= 2 * most)
+        return (F.abs(F.col(f"{a}n_chars") - F.col(f"{b}n_chars")) <= most) & (apart <= 2 * most)
 
     return condition
 
@@ -243,82 +313,100 @@ def edit_distance(a: str, b: str) -> int:
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
+    """Links among pairs of classes, by the edit distance of their first lines, which are moved for pairs only."""
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()
-                keep.append(within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
+                x, y = x.as_py(), y.as_py()  # null if it is settled
+                keep.append(x is None or within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        wanted = ids.join(classes, "uid").select("uid", "own.*")
-        wanted = cut(wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "uid")).alias("wanted")))
-        bodies = maybe_in(docs.select("doc_id", "text"), "doc_id", wanted.select("doc_id"))
-        split = F.transform(F.array(lines_of(F.col("text"))), _wanted)[0]
-        found = bodies.join(wanted, "doc_id").select(F.inline(split)).where("line is not null")
+        own = maybe_in(classes.select("uid", "place"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+
+        def side(name: str) -> DataFrame:
+            return own.select(F.col("uid").alias(name), F.col("place").alias(f"at_{name}"))
+
+        placed = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
+        split = _identified(docs).select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
+        lines = split.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).select(_place(), "line")
+        lines = maybe_in(lines, "place", placed.select(F.explode(F.array("at_a", "at_b")).alias("place")))
         form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
-        found = found.select("uid", form.alias("line")).dropDuplicates(["uid"])
-        one = found.select(F.col("uid").alias("a"), F.col("line").alias("x"))
-        two = found.select(F.col("uid").alias("b"), F.col("line").alias("y"))
-        both = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-        return both.mapInArrow(linked, "a long, b long")
+        lines = cut(lines.select("place", form.alias("form")).dropDuplicates(["place"]))
 
-    return verify
+        def forms(name: str, to: str) -> DataFrame:
+            return lines.select(F.col("place").alias(f"at_{name}"), F.col("form").alias(to))
 
+        both = placed.join(forms("b", "y"), "at_b").join(forms("a", "x"), "at_a")
+        both = both.withColumn("most", _most(F.length("x"), F.length("y"), similarity))
+        short = F.greatest(F.length("x"), F.length("y")) <= SHORT_CHARS
+        both = both.select("a", "b", "x", "y", short.alias("short"), F.when(short, F.expr("levenshtein(x, y, most) >= 0")).alias("near"))
+        both = both.where("not short or near")
+        left = [F.when(~F.col("short"), F.col(c)).alias(c) for c in ("x", "y")]
+        return both.select("a", "b", *left).mapInArrow(linked, "a long, b long")
 
-def _wanted(lines: Column) -> Column:
-    return F.transform("wanted", lambda w: F.struct(w["uid"].alias("uid"), F.get(lines, w["line_no"]).alias("line")))
+    return verify
 
 
-def removed_lines(
-    docs: DataFrame, min_words: int = MIN_WORDS, max_hamming: int = MAX_HAMMING, similarity: float = MIN_SIMILARITY
-) -> DataFrame:
-    """(doc_id, drop): the numbers of the lines (from 0) that repeat an earlier line, for documents that have any."""
-    lines = cut(hashed_lines(docs, min_words))
-    classes = lines.groupBy("line_hi", "line_lo").agg(
-        F.min(F.struct("doc_id", "line_no")).alias("own"),
+def removed_lines(docs: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(doc_id, text_hash, drop): the numbers of the lines (from 0) that repeat an earlier one, where there are any."""
+    lines = cut(hashed_lines(docs))
+    once = lines.where("not again").withColumn("place", _place())
+    classes = once.groupBy("line_hi", "line_lo").agg(
+        F.min("doc_id").alias("doc_id"),
+        F.min_by("line_no", "doc_id").alias("line_no"),
+        F.min_by("place", "doc_id").alias("place"),
         F.first("simhash").alias("simhash"),
+        F.first("below").alias("below"),
+        F.first("band").alias("band"),
         F.first("shape").alias("shape"),
         F.first("n_chars").alias("n_chars"),
+        F.count("*").alias("n"),
     )
-    columns = ["simhash", "shape", "n_chars"]
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "own", *columns))
-    keys = block_keys(F.col("simhash"), F.col("n_chars"), max_hamming, similarity)
-    members = classes.select("uid", keys.alias("keys"), *columns)
-    verify = _confirm(docs, classes, similarity)
-    groups = linked_groups(members, _close(similarity, max_hamming), lambda _: verify)
-    grouped = groups.join(classes.select(F.col("uid").alias("node"), "own"), "node")
-    least = grouped.groupBy("label").agg(F.min("own").alias("least"))
-    gone = grouped.join(least, "label").where("own <> least").select(F.col("node").alias("uid"))
-    kept = classes.join(gone, "uid", "left_anti").select("own.doc_id", "own.line_no")
-    kept = kept.groupBy("doc_id").agg(F.collect_set("line_no").alias("keep"))
-    part = lines.groupBy("doc_id").agg(F.collect_set("line_no").alias("part"))
-    none = F.array().cast("array<int>")
-    drop = F.array_except("part", F.coalesce("keep", none))
-    return part.join(kept, "doc_id", "left").select("doc_id", drop.alias("drop")).where(F.size("drop") > 0)
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
+    fuzzy = classes.where("simhash is not null")
+    members = fuzzy.select("uid", block_keys(F.col("simhash"), F.col("below"), F.col("band")).alias("keys"), "shape", "n_chars")
+    groups = linked_groups(members, _close(similarity), _confirm(docs, classes, similarity), "n_chars", similarity)
+
+    own = maybe_in(classes.select(F.col("uid").alias("node"), "doc_id", "line_no"), "node", groups.select("node"))
+    grouped = cut(groups.join(own, "node").select("node", "label", F.struct("doc_id", "line_no", "node").alias("own")))
+    least = cut(grouped.groupBy("label").agg(F.min("own").alias("least")))
+    gone = cut(grouped.join(least, "label").where("own <> least").select(F.col("node").alias("uid")))
+    # of a class that goes no line stays, of one that occurs more than once its own line stays
+    may_go, stays = split_by(classes.select("uid", "line_hi", "line_lo", "place", "n"), "uid", reducer(gone))
+    marked = may_go.join(gone.withColumn("gone", F.lit(True)), "uid", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    every = marked.unionByName(stays.withColumn("gone", F.lit(False))).where("gone or n > 1")
+    every = cut(every.select("line_hi", "line_lo", F.when(~F.col("gone"), F.col("place")).alias("stay")))
+    some = maybe_in(once, "line_lo", every.select("line_lo")).join(every, ["line_hi", "line_lo"])
+    some = some.where("stay is null or place <> stay").select("doc_id", "text_hash", "line_no")
+    again = lines.where("again").select("doc_id", "text_hash", "line_no")
+    return some.unionByName(again).groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("drop"))
 
 
 def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     """`docs` with repeated lines removed from the text, and n_lines and n_removed (long).
 
-    Lines of fewer words than min_words never take part. Rows that share a doc_id are one document: a line number kept
-    in one of them is kept in all. Rows with a null doc_id or null text pass unchanged; null text has no lines. A
-    document may end up with an empty text. An empty table gives an empty one; other columns pass through, and columns
-    named n_lines or n_removed are replaced.
+    Lines without a letter or digit never take part. Rows with equal doc_id and text are one document: a line kept in one
+    of them is kept in all. Of rows that share a doc_id but not the text, a line that they have in common stays in one.
+    Rows with a null doc_id or null text pass unchanged; null text has no lines. A document may end up with an empty text.
+    An empty table gives an empty one; other columns pass through, and columns named n_lines or n_removed are replaced.
     """
-    mark = made()
-    drops = cut(removed_lines(docs, **options).withColumnRenamed("drop", "_drop"))
-    release(docs.sparkSession, mark, (drops,))
+    with owner() as tables:
+        drops = cut(removed_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop")))
+        remove(docs.sparkSession, tables, (drops,))
+        known = reducer(drops.select(F.xxhash64("_id", "_hash").alias("_doc")))
     base = docs.drop("n_lines", "n_removed").withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
-    touched, untouched = split_by(base, "doc_id", reducer(drops.select("doc_id")))
-    same = untouched.withColumn("n_removed", F.lit(0).cast("long"))
-    split = F.transform(F.array(lines_of(F.col("text"))), _without)[0]
+    own = {"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")}
+    base = base.withColumns(own).withColumn("_doc", F.xxhash64("_own", "_text"))
+    touched, untouched = split_by(base, "_doc", known)
+    same = untouched.withColumn("n_removed", F.lit(0).cast("long")).drop("_own", "_text", "_doc")
+    left = F.transform(F.array(lines_of(F.col("text"))), _without)[0]
     changed = (
-        touched.join(drops, "doc_id", "left")
+        touched.join(drops, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
         .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
-        .withColumn("text", F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(split))
+        .withColumn("text", F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
     )
     return same.unionByName(changed.select(same.columns))
 

@@ -1,74 +1,100 @@
 """Groups of linked members, from shared bucket keys, without pairing up what lies in a bucket.
 
-Round one compares the members of a bucket with its smallest member only, which is one row a member and key. Verified
-links give components. Round two takes the buckets that still hold members of different components and compares those
-members across components (never inside one): a group of thousands of copies is one component after round one and
-makes no pairs in round two. Together the rounds examine every pair in a common bucket unless it is connected already,
-so no link is lost.
+The hub of a bucket is its smallest member. First each member meets one hub only, that with which it shares the most
+buckets: a row a member, however many keys it has. Verified links give groups. Next, members meet the other hubs of their
+buckets, but only hubs outside their group. Buckets that still hold members of different groups are then compared across
+groups, never inside one, in bands of sizes that can be linked. A group of thousands of copies is one group after the
+first round and makes no rows in the later ones. Together the rounds examine every pair in a common bucket unless it is
+connected already, so no link is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sunlattice.llm.components import connected_components
-from sunlattice.llm.scratch import cut
+from sunlattice.llm.scratch import cut, discard, maybe_in
 
 
 def linked_groups(
     members: DataFrame,
     close: Callable[[str, str], Column],
-    prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+    verify: Callable[[DataFrame], DataFrame],
+    size: str,
+    ratio: float,
 ) -> DataFrame:
     """(node, label) for the members that have a link.
 
     members: a table (not a plan: it is read several times) with uid (long, unique), keys (array of buckets) and what
     `close` needs. close(a, b): a condition on columns with the prefixes a and b that no true link fails (or only with
-    the probability its author states). prepare: is given the members that share a bucket (uid, repeated) and returns a
-    function that takes a table of distinct pairs (a, b) of uids and returns those that are links.
+    the probability its author states). verify: takes a table of distinct pairs (a, b) of uids and returns those that
+    are links. size, ratio: a positive column of which the smaller value is at least `ratio` times the larger one in
+    any link.
     """
     payload = [c for c in members.columns if c not in ("uid", "keys")]
 
-    def side(name: str) -> DataFrame:
-        return members.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in payload])
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs that are `close`."""
+        held = maybe_in(members, "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+
+        def side(name: str) -> DataFrame:
+            return held.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in payload])
+
+        return pairs.join(side("b"), "b").join(side("a"), "a").where(close("a_", "b_")).select("a", "b")
 
     placed = members.select("uid", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(placed.join(shared, "key"))
-    verify = prepare(shared.select("uid"))
-    stars = shared.where("uid <> hub").select(F.col("hub").alias("a"), F.col("uid").alias("b")).distinct()
-    stars = stars.join(side("b"), "b").join(side("a"), "a").where(close("a_", "b_")).select("a", "b")
-    first = cut(verify(cut(stars)))
-    groups = connected_components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    labelled = (
-        shared.where("n > 2")
-        .join(groups.withColumnRenamed("node", "uid"), "uid", "left")
-        .select("key", "uid", "hub", F.coalesce("label", "uid").alias("group"))
-    )
-    mixed = labelled.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi")
-    still = cut(labelled.join(mixed.select("key"), "key").where("uid <> hub"))
-    if still.isEmpty():
+    hubs = cut(placed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    met = cut(maybe_in(placed, "key", hubs.select("key")).join(hubs, "key").where("uid <> hub"))
+    discard(hubs)
+
+    first = cut(met.groupBy("uid").agg(F.mode("hub", True).alias("hub")))
+    found = cut(verify(cut(near(first.select(F.col("hub").alias("a"), F.col("uid").alias("b"))))))
+    groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    def labelled(rows: DataFrame, name: str) -> DataFrame:
+        own = groups.select(F.col("node").alias(name), F.col("label").alias(f"{name}_group"))
+        joined = rows.join(own, name, "left")
+        return joined.withColumn(f"{name}_group", F.coalesce(f"{name}_group", name))
+
+    tried = labelled(first.select("uid", F.col("hub").alias("tried")), "uid")
+    open_ = met.join(tried, "uid").where("hub <> tried").select("uid", "uid_group", "hub").distinct()
+    open_ = labelled(open_, "hub").where("uid_group <> hub_group")
+    more = cut(near(cut(open_.select(F.col("hub").alias("a"), F.col("uid").alias("b")))))
+    if not more.isEmpty():
+        groups = _joined(groups, cut(verify(more)))
+
+    # members of a bucket, its hub aside, that are still in several groups
+    spread = labelled(met.select("key", "uid"), "uid")
+    mixed = spread.groupBy("key").agg(F.min("uid_group").alias("lo"), F.max("uid_group").alias("hi")).where("lo < hi")
+    mixed = cut(mixed.select("key"))
+    if mixed.isEmpty():
         return groups
-    full = still.select("key", "uid", "group").join(members.drop("keys"), "uid")
+    still = cut(labelled(maybe_in(met, "key", mixed).join(mixed, "key").select("key", "uid"), "uid"))
+    full = still.join(maybe_in(members.drop("keys"), "uid", still.select("uid")), "uid")
+    band = F.floor(F.log(F.col(size)) / F.lit(-log(ratio))).cast("int")
+    full = full.withColumn("band", band)
 
-    def open_side(name: str) -> DataFrame:
-        return full.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "group", *payload)])
+    def open_side(name: str, bands: Column) -> DataFrame:
+        return full.select("key", bands.alias("band"), *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "uid_group", *payload)])
 
+    # a is the smaller one; the larger one of a link is in its band or the next
+    smaller = (F.col(f"a_{size}") < F.col(f"b_{size}")) | ((F.col(f"a_{size}") == F.col(f"b_{size}")) & (F.col("a_uid") < F.col("b_uid")))
     across = (
-        open_side("a")
-        .join(open_side("b"), "key")
-        .where(
-            (F.col("a_uid") < F.col("b_uid"))
-            & (F.col("a_group") != F.col("b_group"))
-            & close("a_", "b_")
-        )
-        .select(F.col("a_uid").alias("a"), F.col("b_uid").alias("b"))
+        open_side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        .join(open_side("b", F.col("band")), ["key", "band"])
+        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & close("a_", "b_"))
+        .select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
         .distinct()
     )
-    second = cut(verify(cut(across)))
+    last = cut(across)
+    return groups if last.isEmpty() else _joined(groups, cut(verify(last)))
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Groups after more links."""
     known = groups.select(F.col("node").alias("u"), F.col("label").alias("v"))
-    return connected_components(known.unionByName(second.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    return connected_components(known.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.llm.links import linked_groups
-from sunlattice.llm.scratch import cut, made, maybe_in, release
+from sunlattice.llm.scratch import cut, maybe_in, owner, remove
 
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
 THRESHOLD_PERCENT = 80
@@ -147,7 +147,9 @@ def _close(percent: int):
     return condition
 
 
-def _confirm(texts: DataFrame, shingle_words: int, percent: int):
+def _confirm(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int):
+    """Links among pairs of classes, by the full sets of their texts, which are moved for pairs only."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def full(text: str) -> set:
             w = text.encode().lower().split()
@@ -164,23 +166,44 @@ def _confirm(texts: DataFrame, shingle_words: int, percent: int):
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = texts.select(F.col("uid").alias("a"), F.col("text").alias("ta"))
-        two = texts.select(F.col("uid").alias("b"), F.col("text").alias("tb"))
-        joined = pairs.join(two, "b").join(one, "a").select("a", "b", "ta", "tb")
-        return joined.mapInArrow(run, "a long, b long")
+        own = maybe_in(classes.select("uid", "own"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+
+        def side(name: str) -> DataFrame:
+            return own.select(
+                F.col("uid").alias(name), F.col("own.doc_id").alias(f"doc_{name}"), F.col("own.text_hash").alias(f"hash_{name}")
+            )
+
+        placed = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
+        bodies = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+        bodies = maybe_in(bodies, "doc_id", placed.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
+        bodies = bodies.dropDuplicates(["doc_id", "text_hash"])
+
+        def texts(name: str) -> DataFrame:
+            return bodies.select(
+                F.col("doc_id").alias(f"doc_{name}"), F.col("text_hash").alias(f"hash_{name}"), F.col("text").alias(f"t{name}")
+            )
+
+        joined = placed.join(texts("b"), ["doc_b", "hash_b"]).join(texts("a"), ["doc_a", "hash_a"])
+        return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
     return verify
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """One row a row of `docs`: doc_id, n_shingles, component_id, kept.
+    """One row a row of `docs`: doc_id, n_shingles, component_id, kept, text_hash.
 
     Links join documents whose shingle sets have a Jaccard similarity of percent / 100 or more; component_id is the
     smallest doc_id of the component. Documents without words are linked with nothing and stay. Repeated rows have equal
     results; rows that share a doc_id but not the text are judged by their texts. A row with a null doc_id has the
     component of rows with equal sets if these have ids, else null, and isn't kept. An empty table gives an empty one.
     """
-    mark = made()
+    with owner() as tables:
+        result = cut(_near_duplicates(docs, shingle_words, percent))
+        remove(docs.sparkSession, tables, (result,))
+    return result
+
+
+def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     signed = cut(signatures(docs, shingle_words))
     named = signed.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("set_hi", "set_lo").agg(
@@ -191,36 +214,27 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = THRE
     )
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
     members = classes.select("uid", "keys", "n", "planes")
-
-    def prepare(shared: DataFrame):
-        wanted = cut(shared.distinct().join(classes.select("uid", "own.*"), "uid"))
-        bodies = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-        bodies = maybe_in(bodies, "doc_id", wanted.select("doc_id"))
-        texts = bodies.join(wanted, ["doc_id", "text_hash"]).select("uid", "text").dropDuplicates(["uid"])
-        return _confirm(cut(texts), shingle_words, percent)
-
-    groups = linked_groups(members, _close(percent), prepare)
+    groups = linked_groups(members, _close(percent), _confirm(docs, classes, shingle_words, percent), "n", percent / 100)
     own = classes.select(F.col("uid").alias("node"), F.col("own.doc_id").alias("first"))
     named_groups = groups.join(own, "node")
-    least = named_groups.groupBy("label").agg(F.min("first").alias("component_id"))
+    least = cut(named_groups.groupBy("label").agg(F.min("first").alias("component_id")))
     component = named_groups.join(least, "label").select(F.col("node").alias("uid"), "component_id")
     of_class = (
         classes.select("uid", "set_hi", "set_lo", "own.doc_id")
         .join(component, "uid", "left")
-        .select("set_hi", "set_lo", F.coalesce("component_id", "doc_id").alias("component_id"), F.lit(1).alias("n_"))
+        .select("set_hi", "set_lo", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
-    result = signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(
-        of_class, ["set_hi", "set_lo"], "left"
+    result = signed.select("doc_id", "text_hash", "n_shingles", "set_hi", "set_lo").join(
+        cut(of_class), ["set_hi", "set_lo"], "left"
     )
     component_id = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component_id, F.lit(False)).alias("kept")
-    result = cut(result.select("doc_id", "n_shingles", component_id.alias("component_id"), kept))
-    release(docs.sparkSession, mark, (result,))
-    return result
+    return result.select("doc_id", "n_shingles", component_id.alias("component_id"), kept, "text_hash")
 
 
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
+    found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), shingle_words=2)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 OP3_SQL = r"""

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +34,21 @@ def new_path(spark: SparkSession, kind: str = "tables") -> str:
     return f"{shared_folder(spark)}/{kind}/{uuid.uuid4().hex}"
 
 
-#: Tables that this driver has written and not removed yet, oldest first.
-_made: list[str] = []
+#: The lists of the enclosing `owner` blocks, outermost first.
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
+
+
+@contextmanager
+def owner() -> Iterator[list[str]]:
+    """Gives the list of the tables that `cut` makes in the block. What is left of it then belongs to the outer block."""
+    own: list[str] = []
+    token = _owners.set((*_owners.get(), own))
+    try:
+        yield own
+    finally:
+        _owners.reset(token)
+        if outer := _owners.get():
+            outer[-1].extend(own)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -40,33 +56,28 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _made.append(path)
+    if owners := _owners.get():
+        owners[-1].append(path)
     read = spark.read.schema(df.schema).parquet(path)
     read._scratch_path = path
     return read
 
 
-def made() -> int:
-    """How many tables stand; a mark for `release`."""
-    return len(_made)
-
-
-def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Remove the tables written since a mark, but for those of `keep`. Plans that read removed tables fail afterwards."""
+def remove(spark: SparkSession, paths: list[str], keep: Iterable[DataFrame] = ()) -> None:
+    """Delete the tables of a list but for those of `keep`, which stay in it. Plans that read deleted tables fail then."""
     kept = {df._scratch_path for df in keep}
-    for path in [p for p in _made[since:] if p not in kept]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        _made.remove(path)
+    for path in paths:
+        if path not in kept:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    paths[:] = [p for p in paths if p in kept]
 
 
 def discard(df: DataFrame) -> None:
-    """Remove one table that `cut` has made."""
-    since = _made.index(df._scratch_path)
-    keep = [p for p in _made[since + 1 :]]
-    del _made[since + 1 :]
-    release(df.sparkSession, since)
-    _made.extend(keep)
+    """Delete one table that `cut` has made."""
+    remove(df.sparkSession, [df._scratch_path])
+    for own in _owners.get():
+        own[:] = [p for p in own if p != df._scratch_path]
 
 
 def reducer(ids: DataFrame) -> DataFrame:

@@ -78,52 +78,106 @@ def test_near_duplicates_against_all_pairs(spark, k):
     assert minhash.near_duplicates(df.limit(0), k).count() == 0
 
 
-def plain_simhash(words):
+def plain_tokens(form):
+    """The hashed tokens of a line and its kind: words, pairs of characters, or none."""
     import xxhash
 
-    counts = np.zeros(64, int)
-    for w in words:
-        h = np.frombuffer(np.uint64(xxhash.xxh3_64_intdigest(w.encode())).tobytes(), np.uint8)
-        counts += np.unpackbits(h)
-    return int(np.packbits((2 * counts > len(words)).astype(np.uint8)).view(np.int64)[0])
+    words = form.split()
+    if len(words) >= lines.MIN_WORDS:
+        return 1, [xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+    if len(form) - 1 >= lines.MIN_CHARS - 1 and len(form.encode()) >= lines.MIN_CHARS:
+        return 2, lines.pair_hashes(form.encode()).tolist()
+    return 0, []
+
+
+def plain_blocks(form):
+    """All (kind, band, four blocks) of a line."""
+    kind, tokens = plain_tokens(form)
+    n, out = len(tokens), []
+    if not n:
+        return out
+    edges = [lines.MIN_WORDS * lines.BAND_RATIO**b for b in range(40)]
+    own = max(b for b in range(40) if edges[b] <= n)
+    for band in {own, own - 1 if own and n - 1 < edges[own] else own}:
+        w = -(-int(edges[band] * 1000) // 1000) // lines.PARTS
+        parts = [tokens[:w], tokens[w : 2 * w], tokens[n - 2 * w : n - w], tokens[n - w :]]
+        blocks = []
+        for part in parts:
+            bits = np.array([[(h >> (8 * (k // 8) + 7 - k % 8)) & 1 for k in range(16)] for h in part]).sum(axis=0)
+            blocks.append(tuple((2 * bits > w).tolist()))
+        out.append((kind, band, blocks))
+    return out
+
+
+def plain_line_links(part):
+    """Pairs of lines that agree in two blocks of one band and are similar, among {place: normal form}."""
+    blocks = {f: plain_blocks(f) for f in set(part.values())}
+    near = {}
+    for x, y in combinations(sorted(blocks), 2):
+        meet = any(k == m and p == q and sum(u == v for u, v in zip(b, c, strict=True)) >= 2 for k, p, b in blocks[x] for m, q, c in blocks[y])
+        near[x, y] = meet and lines.edit_distance(x, y) <= int((1 - lines.MIN_SIMILARITY) * max(len(x), len(y)) + 1e-9)
+    return [(a, b) for a, b in combinations(part, 2) if part[a] == part[b] or near[min(part[a], part[b]), max(part[a], part[b])]]
 
 
 def test_lines_against_all_pairs(spark):
     shared = prose(40)
     long = prose(600)
+    huge = prose(2000)
+    short = prose(12)
     texts = []
     for i in range(40):
-        body = [prose(RNG.randint(3, 60)) for _ in range(RNG.randint(1, 6))]
+        body = [prose(RNG.randint(1, 60)) for _ in range(RNG.randint(1, 6))]
         if i % 3 == 0:
             body.append(shared.capitalize() + ("!" if i % 2 else ""))
         if i % 4 == 0:
             body.append(edited(long, 1))
+        if i % 5 == 0:
+            body += [edited(short, 1), short + " end", edited(huge, 2)]
         if i % 7 == 0:
-            body += [body[0], "Home", "Home"]
+            body += [body[0], "Home", "Home", "\u6f22\u5b57" * 20 + "\u6f22" * (i % 2), "***"]
         texts.append("\n".join(body))
     rows = [(100 - i, t) for i, t in enumerate(texts)] + [(200, None), (201, ""), (202, "\n\n"), (203, shared)]
-    df = spark.createDataFrame(rows + [(None, shared)], "doc_id long, text string").withColumn("n_removed", F.lit("clash"))
+    twice = [(300, shared + "\nunseen line"), (300, shared + "\nunseen line"), (301, "the one\nunlike the other"), (301, "the other\nunlike the one")]
+    df = spark.createDataFrame(rows + twice + [(None, shared)], "doc_id long, text string").withColumn("n_removed", F.lit("clash"))
     forms = {(i, n): lines.normal_form(x) for i, t in rows for n, x in enumerate((t or "").split("\n"))}
-    part = {k: f for k, f in forms.items() if len(f.split()) >= lines.MIN_WORDS}
-    hashes = {k: plain_simhash(f.split()) for k, f in part.items()}
-    edges = []
-    for a, b in combinations(part, 2):
-        x, y = part[a], part[b]
-        if bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= lines.MAX_HAMMING:
-            if lines.edit_distance(x, y) <= (1 - lines.MIN_SIMILARITY) * max(len(x), len(y)):
-                edges.append((a, b))
-    roots = find(edges, part)
-    got = {r.doc_id: r for r in lines.dedup_lines(df).collect()}
-    assert len(got) == len(rows) + 1 and got[None].text == shared and got[None].n_removed == 0
+    part = {k: f for k, f in forms.items() if f}
+    roots = find(plain_line_links(part), part)
+    every = lines.dedup_lines(df).collect()
+    got = {r.doc_id: r for r in every}
+    assert len(every) == len(rows) + 5 and got[None].text == shared and got[None].n_removed == 0
     removed = 0
     for i, t in rows:
         stay = [x for n, x in enumerate((t or "").split("\n")) if roots.get((i, n), (i, n)) == (i, n)]
         assert (got[i].text or "") == "\n".join(stay), i
         removed += got[i].n_removed
-    assert removed == sum(k != v for k, v in roots.items()) > 10 and got[200].text is None and got[200].n_lines == 0
+    assert removed == sum(k != v for k, v in roots.items()) > 30 and got[200].text is None and got[200].n_lines == 0
+    assert [r.text for r in every if r.doc_id == 300] == ["unseen line"] * 2
+    assert sorted(r.text for r in every if r.doc_id == 301) == ["the one\nunlike the other", "the other\nunlike the one"]
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("n", "least"), [(9, 0.8), (20, 0.9), (80, 0.9)])
+def test_recall_of_lines_with_one_change(spark, n, least):
+    """Truth is edit similarity alone: a changed character, a replaced, a lost or an added word."""
+    rng = random.Random(n)
+    rows, pairs = [], 0
+    for i in range(120):
+        line = prose(n, rng)
+        words, at = line.split(" "), rng.randrange(n)
+        k = rng.randrange(len(line))
+        other = [
+            line[:k] + rng.choice("qrst") + line[k + 1 :],
+            " ".join(words[:at] + [rng.choice(VOCABULARY)] + words[at + 1 :]),
+            " ".join(words[:at] + words[at + 1 :]),
+            " ".join(words[:at] + [rng.choice(VOCABULARY)] + words[at:]),
+        ][i % 4]
+        if line != other and lines.edit_distance(line, other) <= int((1 - lines.MIN_SIMILARITY) * max(len(line), len(other)) + 1e-9):
+            pairs += 1
+            rows += [(2 * i, line), (2 * i + 1, other)]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.agg(F.sum("n_removed")).first()[0] >= least * pairs > 30
+
+
 def test_edit_distance_and_long_simhash():
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -141,28 +195,14 @@ def test_edit_distance_and_long_simhash():
         assert [lines.within(a, b, most) for most in range(13)] == [plain(a, b) <= most for most in range(13)]
         spaced = " ".join(rng.choice(("ab", "cab", "b")) for _ in range(6)), " ".join(rng.choice(("ab", "cab", "b")) for _ in range(6))
         assert [lines.within(*spaced, most) for most in range(20)] == [plain(*spaced) <= most for most in range(20)]
-    import xxhash
-
-    groups = [prose(n).split() for n in (1, 255, 256, 700, 3)]
-    flat = np.array([xxhash.xxh3_64_intdigest(w.encode()) for g in groups for w in g], np.uint64)
-    assert lines.simhashes(flat, np.array([len(g) for g in groups])).tolist() == [plain_simhash(g) for g in groups]
-
-
-def test_block_keys_meet_within_the_hamming_distance(spark):
-    rng = random.Random(4)
-    pairs = []
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), rng.randint(0, 3)):
-            b ^= 1 << bit
-        signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-        longer = rng.randint(1, 3000)
-        pairs.append((signed(a), signed(b), longer, longer - rng.randint(0, int(0.1 * longer + 1e-9))))
-    df = spark.createDataFrame(pairs, "a long, b long, n int, m int")
-    one, two = (lines.block_keys(F.col(h), F.col(n)) for h, n in (("a", "n"), ("b", "m")))
-    assert df.where(~F.arrays_overlap(one, two)).count() == 0
-    assert df.where((F.size(F.array_distinct(one)) != F.size(one)) | ~F.size(one).isin(10, 20)).where("n > 20").count() == 0
+    forms = [prose(n) for n in (8, 12, 13, 255, 256, 2100, 9)] + ["x" * 30, prose(3000)]
+    for form in forms:
+        tokens = np.array(plain_tokens(form)[1], np.uint64)
+        ends = np.array([len(tokens)])
+        for _, band, blocks in plain_blocks(form):
+            bits = int(lines.simhashes(tokens, ends - len(tokens), ends, np.array([band]))[0])
+            raw = np.unpackbits(np.array([bits], np.int64).view(np.uint8)).reshape(4, 16)
+            assert [tuple(bool(x) for x in b) for b in raw] == blocks
 
 
 def test_sharding(spark):

@@ -7,7 +7,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
-from test_group_operators import edited, find, plain_simhash, prose, shingles
+from test_group_operators import edited, find, plain_line_links, prose, shingles
 from test_row_operators import WORD, base, expected
 
 import corpus_pipeline
@@ -35,14 +35,8 @@ def plain_quality(docs):
 
 def plain_lines(docs):
     part = {(i, n): lines.normal_form(x) for i, t in docs.items() for n, x in enumerate(t.split("\n"))}
-    part = {k: f for k, f in part.items() if len(f.split()) >= lines.MIN_WORDS}
-    hashes = {k: plain_simhash(f.split()) for k, f in part.items()}
-    links = []
-    for a, b in combinations(part, 2):
-        if bin((hashes[a] ^ hashes[b]) & (2**64 - 1)).count("1") <= lines.MAX_HAMMING:
-            most = (1 - lines.MIN_SIMILARITY) * max(len(part[a]), len(part[b])) + 1e-9
-            if lines.edit_distance(part[a], part[b]) <= most:
-                links.append((a, b))
+    part = {k: f for k, f in part.items() if f}
+    links = plain_line_links(part)
     roots = find(links, part)
     out = {}
     for i, t in docs.items():
