@@ -1,6 +1,8 @@
 """Groups of linked members, from shared bucket keys, without pairing up what lies in a bucket.
 
-The hub of a bucket is its smallest member. First each member meets one hub only, that with which it shares the most
+A member's weight is the number of members in all its buckets; the text from which a group of near copies was made shares
+more buckets with them than they do with each other, and so has the largest weight. The hub of a bucket is its member of
+the largest weight. First each member meets one hub only, that with which it shares the most
 buckets: a row a member, however many keys it has. Verified links give groups. Next, members meet the other hubs of their
 buckets, but only hubs outside their group. Buckets that still hold members of different groups are then compared across
 groups, never inside one, in bands of sizes that can be linked. A group of thousands of copies is one group after the
@@ -26,6 +28,7 @@ def linked_groups(
     verify: Callable[[DataFrame], DataFrame],
     size: str,
     ratio: float,
+    sharpen: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]] | None = None,
 ) -> DataFrame:
     """(node, label) for the members that have a link.
 
@@ -33,7 +36,8 @@ def linked_groups(
     `close` needs. close(a, b): a condition on columns with the prefixes a and b that no true link fails (or only with
     the probability its author states). verify: takes a table of distinct pairs (a, b) of uids and returns those that
     are links. size, ratio: a positive column of which the smaller value is at least `ratio` times the larger one in
-    any link.
+    any link. sharpen: takes the uids that are compared across groups and returns a table of them, with `size`, and a
+    stricter `close` for its columns; without it they are compared as before.
     """
     payload = [c for c in members.columns if c not in ("uid", "keys")]
 
@@ -47,9 +51,13 @@ def linked_groups(
         return pairs.join(side("b"), "b").join(side("a"), "a").where(close("a_", "b_")).select("a", "b")
 
     placed = members.select("uid", F.explode("keys").alias("key"))
-    hubs = cut(placed.groupBy("key").agg(F.min("uid").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    met = cut(maybe_in(placed, "key", hubs.select("key")).join(hubs, "key").where("uid <> hub"))
-    discard(hubs)
+    counts = cut(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(maybe_in(placed, "key", counts.select("key")).join(counts, "key"))
+    discard(counts)
+    weights = shared.groupBy("uid").agg(F.sum("n").alias("weight"))
+    shared = cut(shared.select("key", "uid").join(weights, "uid"))
+    hubs = shared.groupBy("key").agg(F.max_by("uid", "weight").alias("hub"))
+    met = cut(shared.select("key", "uid").join(cut(hubs), "key").where("uid <> hub"))
 
     first = cut(met.groupBy("uid").agg(F.mode("hub", True).alias("hub")))
     found = cut(verify(cut(near(first.select(F.col("hub").alias("a"), F.col("uid").alias("b"))))))
@@ -74,7 +82,11 @@ def linked_groups(
     if mixed.isEmpty():
         return groups
     still = cut(labelled(maybe_in(met, "key", mixed).join(mixed, "key").select("key", "uid"), "uid"))
-    full = still.join(maybe_in(members.drop("keys"), "uid", still.select("uid")), "uid")
+    nearer, table = close, maybe_in(members.drop("keys"), "uid", still.select("uid"))
+    if sharpen:
+        table, nearer = sharpen(cut(still.select("uid").distinct()))
+        payload = [c for c in table.columns if c != "uid"]
+    full = still.join(table, "uid")
     band = F.floor(F.log(F.col(size)) / F.lit(-log(ratio))).cast("int")
     full = full.withColumn("band", band)
 
@@ -86,7 +98,7 @@ def linked_groups(
     across = (
         open_side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         .join(open_side("b", F.col("band")), ["key", "band"])
-        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & close("a_", "b_"))
+        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & nearer("a_", "b_"))
         .select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
         .distinct()
     )

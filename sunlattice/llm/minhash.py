@@ -6,7 +6,9 @@ estimated from counted differing positions, corrected for chance matches of b-bi
 on their full sets of shingles. Documents with equal sets are one class from the start.
 
 At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8^5)^30 = 7e-6 and is estimated below the
-margin (four standard deviations) with 3e-5; both fall steeply above 0.8.
+margin (four standard deviations) with 3e-5; both fall steeply above 0.8. Where a large group of near copies has
+neighbours just below the threshold, candidates get signatures of MORE_PERMUTATIONS minima, with the same margin in
+standard deviations, before their texts are compared.
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from sunlattice.llm.links import linked_groups
 from sunlattice.llm.scratch import cut, maybe_in, owner, remove
 
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
+#: Permutations of the sharper signatures of documents in buckets that hold several groups.
+MORE_PERMUTATIONS = 2048
 THRESHOLD_PERCENT = 80
 #: Words that a Python worker keeps hashed, and bytes of text that it takes at once.
 KEPT_WORDS, TEXT_BYTES = 500_000, 4_000_000
-_LONGS = PERMUTATIONS // 64
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -60,6 +63,37 @@ def shingle_set(text: str | None, k: int, words: Words) -> np.ndarray:
     return np.unique(out)
 
 
+class _Minima:
+    """Minima of hashed shingles under fixed permutations, and their packed low bits."""
+
+    def __init__(self, permutations: int):
+        seeds = np.random.default_rng(20240229)
+        self.flip = seeds.integers(0, 1 << 32, (permutations, 1), dtype=np.uint32)
+        self.odd = seeds.integers(0, 1 << 32, (permutations, 1), dtype=np.uint32) | np.uint32(1)
+
+    def of(self, shingles: np.ndarray) -> np.ndarray:
+        short, least = (shingles >> np.uint64(32)).astype(np.uint32), None
+        step = max(1, (1 << 19) // len(self.flip))
+        for at in range(0, len(short), step):  # a slice of a long text at a time
+            now = ((short[at : at + step][None, :] ^ self.flip) * self.odd).min(axis=1)
+            least = now if least is None else np.minimum(least, now)
+        return least
+
+    @staticmethod
+    def planes(minima: np.ndarray) -> np.ndarray:
+        low = minima ^ (minima >> np.uint32(15))
+        low = low * np.uint32(0x2C1B3C6D)
+        low ^= low >> np.uint32(12)
+        bits = np.stack([(low >> np.uint32(p)) & np.uint32(1) for p in range(BITS)], axis=1).astype(np.uint8)
+        return np.packbits(bits.reshape(len(minima), -1), axis=1).view(np.int64)
+
+
+def _lists(x: np.ndarray, mask: np.ndarray) -> pa.Array:
+    flat = pa.array(np.ascontiguousarray(x[mask]).view(np.int64).ravel())
+    ends = np.concatenate([[0], np.cumsum(mask * x.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), flat)
+
+
 _SIGNED = "doc_id long, text_hash long, n_shingles long, set_hi long, set_lo long, keys array<long>, planes array<long>"
 
 
@@ -70,9 +104,7 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
         import xxhash
 
         words = Words()
-        seeds = np.random.default_rng(20240229)
-        flip = seeds.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
-        odd = seeds.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32) | np.uint32(1)
+        permuted = _Minima(PERMUTATIONS)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
@@ -85,26 +117,11 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                     n[i] = len(found)
                     if len(found):
                         digests[i] = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                        short = (found >> np.uint64(32)).astype(np.uint32)
-                        least = None
-                        for at in range(0, len(short), 2048):  # a slice of a long text at a time
-                            now = ((short[at : at + 2048][None, :] ^ flip) * odd).min(axis=1)
-                            least = now if least is None else np.minimum(least, now)
-                        minima[i] = least
+                        minima[i] = permuted.of(found)
                 keys = np.zeros((b - a, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     keys = _mix(keys * _ODD + minima[:, r : ROWS * BANDS : ROWS].astype(np.uint64))
-                low = minima ^ (minima >> np.uint32(15))
-                low = low * np.uint32(0x2C1B3C6D)
-                low ^= low >> np.uint32(12)
-                bits = np.stack([(low >> np.uint32(p)) & np.uint32(1) for p in range(BITS)], axis=1).astype(np.uint8)
-                planes = np.packbits(bits.reshape(b - a, -1), axis=1).view(np.int64)
-
-                def lists(x: np.ndarray, mask: np.ndarray) -> pa.Array:
-                    flat = pa.array(np.ascontiguousarray(x[mask]).view(np.int64).ravel())
-                    ends = np.concatenate([[0], np.cumsum(mask * x.shape[1])]).astype(np.int32)
-                    return pa.ListArray.from_arrays(pa.array(ends), flat)
-
+                planes = permuted.planes(minima)
                 mask = n > 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -113,8 +130,8 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
                         pa.array(n),
                         pa.array(np.ascontiguousarray(digests[:, 0])),
                         pa.array(np.ascontiguousarray(digests[:, 1])),
-                        lists(keys, mask),
-                        lists(planes, mask),
+                        _lists(keys, mask),
+                        _lists(planes, mask),
                     ],
                     names=["doc_id", "text_hash", "n_shingles", "set_hi", "set_lo", "keys", "planes"],
                 )
@@ -123,21 +140,60 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     return rows.mapInArrow(run, _SIGNED)
 
 
-def most_differing(threshold: float, deviations: float = 4.0) -> int:
+def sharper(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int):
+    """For linked_groups: more minima of the documents that stand for some classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, few, many = Words(), _Minima(PERMUTATIONS), _Minima(MORE_PERMUTATIONS)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sets = [shingle_set(text.as_py(), shingle_words, words) for text in batch.column(1)]
+            every = np.ones(len(sets), bool)
+            planes = [_lists(m.planes(np.stack([m.of(s) for s in sets])), every) for m in (few, many)]
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *planes], names=["uid", "n", "planes", "more"])
+
+    def sharpen(uids: DataFrame) -> tuple[DataFrame, object]:
+        own = maybe_in(classes.select("uid", "own.doc_id", "own.text_hash"), "uid", uids).join(uids, "uid")
+        own = cut(own)
+        bodies = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+        bodies = maybe_in(bodies, "doc_id", own.select("doc_id")).dropDuplicates(["doc_id", "text_hash"])
+        texts = bodies.join(own, ["doc_id", "text_hash"]).select("uid", "text")
+        close = _close(percent)
+        limit, longs = most_differing(percent / 100, MORE_PERMUTATIONS), MORE_PERMUTATIONS // 64
+
+        def closer(a: str, b: str) -> Column:
+            def apart(i: Column) -> Column:
+                either = None
+                for p in range(BITS):
+                    plane = F.get(f"{a}more", i + p * longs).bitwiseXOR(F.get(f"{b}more", i + p * longs))
+                    either = plane if either is None else either.bitwiseOR(plane)
+                return F.bit_count(either)
+
+            every = F.sequence(F.lit(0), F.lit(longs - 1))
+            return close(a, b) & (F.aggregate(every, F.lit(0), lambda n, i: n + apart(i)) <= limit)
+
+        return cut(texts.mapInArrow(run, "uid long, n long, planes array<long>, more array<long>")), closer
+
+    return sharpen
+
+
+def most_differing(threshold: float, permutations: int = PERMUTATIONS, deviations: float = 4.0) -> int:
     """Differing b-bit positions that a pair at the threshold exceeds only beyond so many standard deviations."""
     chance = 1 / (1 << BITS)
     p = threshold + (1 - threshold) * chance
-    return int(PERMUTATIONS * (1 - p) + deviations * sqrt(PERMUTATIONS * p * (1 - p)))
+    return int(permutations * (1 - p) + deviations * sqrt(permutations * p * (1 - p)))
 
 
 def _close(percent: int):
-    limit = most_differing(percent / 100)
+    limit, longs = most_differing(percent / 100), PERMUTATIONS // 64
 
     def condition(a: str, b: str) -> Column:
         small, large = F.least(f"{a}n", f"{b}n"), F.greatest(f"{a}n", f"{b}n")
         differing = None
-        for i in range(_LONGS):
-            planes = [F.get(f"{a}planes", F.lit(p * _LONGS + i)).bitwiseXOR(F.get(f"{b}planes", F.lit(p * _LONGS + i))) for p in range(BITS)]
+        for i in range(longs):
+            planes = [F.get(f"{a}planes", F.lit(p * longs + i)).bitwiseXOR(F.get(f"{b}planes", F.lit(p * longs + i))) for p in range(BITS)]
             either = planes[0]
             for p in planes[1:]:
                 either = either.bitwiseOR(p)
@@ -214,7 +270,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataF
     )
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
     members = classes.select("uid", "keys", "n", "planes")
-    groups = linked_groups(members, _close(percent), _confirm(docs, classes, shingle_words, percent), "n", percent / 100)
+    groups = linked_groups(members, _close(percent), _confirm(docs, classes, shingle_words, percent), "n", percent / 100, sharper(docs, classes, shingle_words, percent))
     own = classes.select(F.col("uid").alias("node"), F.col("own.doc_id").alias("first"))
     named_groups = groups.join(own, "node")
     least = cut(named_groups.groupBy("label").agg(F.min("first").alias("component_id")))
