@@ -18,16 +18,21 @@ from sunlattice.llm.words import SPACES, bound, has_word, lines_of, word_count,
 #: Fixed by contract.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 20, 30, 8
-#: Line rules.
+#: Line rules. A line ends in one of FINAL, with any of CLOSING and then of the six blank characters after it.
+FINAL, CLOSING = ".!?…:;。！？", "\"'”’»)]"
 ENDS = r"""[.!?…:;。！？]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 SEPARATORS = r"(?:^|\s)[|•·»›>](?=\s|$)"
 MAX_SEPARATORS = 3
 MAX_SYMBOL_PERCENT = 10
 BOILERPLATE_WORDS = 30
+#: Phrases of menus, notices and placeholders in the four languages of the corpus.
 BOILERPLATE = (
-    r"(?i)\b(?:lorem ipsum|enable javascript|cookie policy|use of cookies|terms of (?:use|service)|privacy policy|"
+    r"(?iu)\b(?:lorem ipsum|enable javascript|cookie policy|use of cookies|terms of (?:use|service)|privacy policy|"
     r"all rights reserved|sign in|log in|click here|read more|share this|subscribe now|skip to content|"
-    r"back to top|powered by)\b"
+    r"back to top|powered by|"
+    r"tous droits réservés|politique de confidentialité|conditions d'utilisation|en savoir plus|se connecter|retour en haut|"
+    r"alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|jetzt weiterlesen|jetzt anmelden|nach oben scrollen|"
+    r"todos los derechos reservados|política de privacidad|términos y condiciones|leer más|iniciar sesión|volver arriba)\b"
 )
 #: A document may lose at most this part of its words to the line rules.
 MAX_LOSS_PERCENT = 50
@@ -70,14 +75,23 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return bound(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
 
 
-def line_fails(line: Column) -> Column:
-    """Punctuation, navigation and boilerplate rules for one line that has a word."""
+def ends_well(line: Column) -> Column:
+    """Whether the line matches ENDS, without a search."""
+    bare = F.rtrim(F.rtrim(line, F.lit(SPACES)), F.lit(CLOSING))
+    return F.substring(bare, -1, 1).isin(*FINAL)
+
+
+def line_fails(line: Column, symbols: Column, menus: Column, phrases: Column) -> Column:
+    """Punctuation, navigation and boilerplate rules for one line that has a word.
+
+    symbols, menus, phrases: whether the whole text has any symbol, separator or boilerplate phrase; most have none, and
+    so their lines are spared the rule.
+    """
     marks = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    dense = 100 * marks > MAX_SYMBOL_PERCENT * F.length(F.translate(line, SPACES, ""))
-    spaced = F.concat(F.lit(" "), line)
-    menu = F.size(F.split(spaced, SEPARATORS, -1)) > MAX_SEPARATORS
-    stock = line.rlike(BOILERPLATE) & (word_count(line) <= BOILERPLATE_WORDS)
-    return ~line.rlike(ENDS) | dense | menu | stock
+    dense = symbols & (100 * marks > MAX_SYMBOL_PERCENT * F.length(F.translate(line, SPACES, "")))
+    menu = menus & (F.size(F.split(F.concat(F.lit(" "), line), SEPARATORS, -1)) > MAX_SEPARATORS)
+    stock = phrases & line.rlike(BOILERPLATE) & (word_count(line) <= BOILERPLATE_WORDS)
+    return ~ends_well(line) | dense | menu | stock
 
 
 def judge(df: DataFrame, text: str = "text") -> DataFrame:
@@ -87,28 +101,55 @@ def judge(df: DataFrame, text: str = "text") -> DataFrame:
     without its failing lines; blank lines stay) and kept.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = df.withColumn("_lines", lines_of(F.col(text))).withColumn("_words", words_of(F.col(text)))
+    marks = F.length(body) - F.length(F.translate(body, SYMBOLS, ""))
+    rules = [marks > 0, body.rlike(r"(?:^|\s)[|•·»›>](?:\s|$)"), body.rlike(BOILERPLATE)]
+    lines = df.withColumns(
+        {
+            "_lines": lines_of(F.col(text)),
+            "_words": words_of(F.col(text)),
+            "_symbols": marks,
+            "_rules": F.struct(*[r.alias(n) for r, n in zip(rules, ("symbols", "menus", "phrases"), strict=True)]),
+        }
+    )
+
+    def cleaned(of: Column) -> Column:
+        """Each line with its verdict, once."""
+        judged = F.transform(
+            of,
+            lambda x: F.struct(
+                x.alias("line"),
+                (has_word(x) & line_fails(x, *[F.col("_rules")[n] for n in ("symbols", "menus", "phrases")])).alias("bad"),
+            ),
+        )
+
+        def parts(j: Column) -> Column:
+            bad = F.transform(F.filter(j, lambda x: x["bad"]), lambda x: x["line"])
+            good = F.transform(F.filter(j, lambda x: ~x["bad"]), lambda x: x["line"])
+            lost = word_count(F.array_join(bad, "\n")).cast("long")
+            clean = F.when(F.size(bad) == 0, F.col(text)).otherwise(F.array_join(good, "\n"))
+            return F.struct(lost.alias("lost"), clean.alias("text"))
+
+        return bound(judged, parts)
+
     filled = F.filter("_lines", has_word)
     counted = lines.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.col("_symbols").cast("long"),
             "n_dup_lines": bound(filled, lambda f: F.size(f) - F.size(F.array_distinct(f))).cast("long"),
             "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-            "_failed": F.filter("_lines", lambda x: has_word(x) & line_fails(x)),
+            "_clean": cleaned(F.col("_lines")),
         }
-    ).drop("_words")
+    ).drop("_words", "_lines", "_symbols", "_rules")
     ruled = counted.withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS)
             | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words")),
-            "lost_words": word_count(F.array_join("_failed", "\n")).cast("long"),
-            "clean_text": F.when(F.size("_failed") == 0, F.col(text)).otherwise(
-                F.array_join(F.filter("_lines", lambda x: ~(has_word(x) & line_fails(x))), "\n")
-            ),
+            "lost_words": F.col("_clean.lost"),
+            "clean_text": F.col("_clean.text"),
         }
-    ).drop("_lines", "_failed")
+    ).drop("_clean")
     return ruled.withColumn(
         "kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= MAX_LOSS_PERCENT * F.col("n_words"))
     )
@@ -141,7 +182,7 @@ bad AS (
         > 10 * length(regexp_replace(x, '[ \t-\r]', '', 'g'))
      OR len(regexp_split_to_array(regexp_replace(' ' || x || ' ', '\s([|•·»›>])\s', chr(1) || ' ', 'g')
                                   , chr(1))) > 3
-     OR (regexp_matches(x, '(?i)\b(?:lorem ipsum|enable javascript|cookie policy|use of cookies|terms of (?:use|service)|privacy policy|all rights reserved|sign in|log in|click here|read more|share this|subscribe now|skip to content|back to top|powered by)\b')
+     OR (regexp_matches(x, '__PHRASES__')
          AND len(regexp_extract_all(x, '[^ \t-\r]+')) <= 30)
   GROUP BY r),
 m AS (
@@ -155,4 +196,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
        NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost <= 50 * n_words AS kept
 FROM m
-"""
+""".replace("__PHRASES__", BOILERPLATE.replace("(?iu)", "(?i)").replace("'", "''"))
