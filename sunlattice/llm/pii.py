@@ -2,10 +2,11 @@
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers with code-point offsets. What they find are the
 protected entities. How strongly a term reveals an entity is estimated from the corpus: with p(c) the share of distinct
-texts that hold entity c, p(t) that of texts that hold term t, and p(c, t) that of texts with a context of c (CONTEXT
-characters on either side) that holds t, the disclosure is PMI(c; t) / IC(c), which is 1 if t occurs with c only. Copies
-of a text count once. Terms of MIN_CONTEXTS distinct contexts or more with a disclosure of at least THRESHOLD are spans too
-(kind "term"), in every document that holds the entity; `sanitise` generalises entities to their kind and removes terms.
+texts that hold entity c, p(t) that of texts that hold term t, and p(c, t) that of texts that hold both (or, with a
+context of n characters, that have t within n characters of c), the disclosure is PMI(c; t) / IC(c), which is 1 if t occurs
+with c only, and never more. All counts are of distinct texts, so copies of a text count once. Terms that MIN_TEXTS texts
+or more have with an entity and whose disclosure is at least THRESHOLD are spans too (kind "term"), in every document that
+holds the entity; `sanitise` generalises entities to their kind and removes terms.
 
 Column functions only. Regular expressions start at run boundaries and use possessive quantifiers, so a text of one
 very long token costs linear time.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sunlattice.llm.scratch import cut, reducer, split_by
+from sunlattice.llm.scratch import cut, maybe_in, reducer, split_by
 from sunlattice.llm.words import bound, words_of
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,7 +32,7 @@ PATTERNS = {
 #: Cheap tests that any match implies.
 _HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-CONTEXT, MIN_CONTEXTS, THRESHOLD = 300, 3, 0.75
+MIN_TEXTS, THRESHOLD = 3, 0.75
 #: A term: a run of letters of this length or more.
 MIN_LETTERS = 4
 
@@ -118,39 +119,71 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value.otherwise(_digits(span["value"])))
 
 
+def _replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with mark(span) in place of each span; of overlapping ones the first counts, the longer if they start
+    together."""
+    order = F.array_sort(
+        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind")))
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def step(a: Column, s: Column) -> Column:
+        gap = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        new = F.concat(a["text"], gap, F.when(s["start"] >= a["at"], mark(s)).otherwise(F.lit("")))
+        return F.struct(F.greatest(a["at"], -s["back"]).alias("at"), new.alias("text"))
+
+    def finish(a: Column) -> Column:
+        return F.concat(a["text"], F.substring(text, a["at"] + 1, F.length(text)))
+
+    return F.aggregate(order, start, step, finish)
+
+
 def _terms(text: Column) -> Column:
     """Distinct lower-case runs of letters of MIN_LETTERS or more."""
     letters = F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
     return F.array_distinct(F.filter(F.split(letters, " ", -1), lambda w: F.length(w) >= MIN_LETTERS))
 
 
+def _together(base: DataFrame, min_texts: int, context: int | None) -> DataFrame:
+    """(entity, n_entity, doc_key, term): the terms that texts have with each of their entities.
+
+    base: doc_key, text and spans of the rows with entities. Entities of fewer than min_texts texts are left out.
+    """
+    once = base.dropDuplicates(["doc_key"])
+    # entities themselves are no terms
+    around = _terms(_replaced(F.col("text"), F.col("spans"), lambda s: F.lit(" ")))
+    held = once.select("doc_key", F.explode("spans").alias("s"))
+    pairs = cut(held.select("doc_key", _entity(F.col("s")).alias("entity")).distinct())
+    often = pairs.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= min_texts)
+    wanted = cut(pairs.join(often, "entity"))
+    texts = once.join(wanted.select("doc_key").distinct(), "doc_key", "left_semi")
+    if context is None:
+        terms = texts.select("doc_key", F.explode(around).alias("term"))
+        return wanted.join(terms, "doc_key")
+    seen = texts.withColumn("around", around).select("doc_key", "text", "around", F.explode("spans").alias("s"))
+    near = F.concat(
+        F.substring(F.col("text"), F.greatest(F.col("s.start") - context, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(context))),
+        F.lit(" \n "),
+        F.substring(F.col("text"), F.col("s.end") + 1, F.lit(context)),
+    )
+    terms = seen.select("doc_key", _entity(F.col("s")).alias("entity"), F.explode(F.array_intersect(_terms(near), "around")).alias("term")).distinct()
+    return wanted.join(terms, ["doc_key", "entity"])
+
+
 def disclosing_terms(
-    base: DataFrame, docs: DataFrame, min_contexts: int = MIN_CONTEXTS, threshold: float = THRESHOLD
+    base: DataFrame, docs: DataFrame, min_texts: int = MIN_TEXTS, threshold: float = THRESHOLD, context: int | None = None
 ) -> DataFrame:
-    """(entity, term, disclosure) from the corpus: `base` has doc_key, text and spans of the rows with entities."""
+    """(doc_key, entity, term, disclosure): the terms that each text holds and that disclose an entity it holds.
+
+    `base` has doc_key, text and spans of the rows with entities, `docs` all rows. context: how many characters from an
+    entity a term may stand to count as together with it; the whole text by default.
+    """
     keyed = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("doc_key", F.xxhash64("text"))
     texts = cut(keyed.groupBy("doc_key").agg(F.count("*").alias("n")))
     total = texts.count()
-    seen = base.select("doc_key", "text", F.explode("spans").alias("s"))
-    near = F.concat(
-        F.substring(F.col("text"), F.greatest(F.col("s.start") - CONTEXT, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(CONTEXT))),
-        F.lit(" \n "),
-        F.substring(F.col("text"), F.col("s.end") + 1, F.lit(CONTEXT)),
-    )
-    contexts = cut(
-        seen.select(_entity(F.col("s")).alias("entity"), "doc_key", _terms(near).alias("terms"))
-        .withColumn("context", F.xxhash64("terms"))
-    )
-    holding = contexts.groupBy("entity").agg(F.countDistinct("doc_key").alias("n_entity"))
-    often = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n")).where(F.col("n") >= min_contexts)
-    together = (
-        contexts.join(often.select("entity"), "entity", "left_semi")
-        .select("entity", "doc_key", "context", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.countDistinct("context").alias("n_contexts"), F.countDistinct("doc_key").alias("n_both"))
-        .where(F.col("n_contexts") >= min_contexts)
-    )
-    together = cut(together)
+    held = cut(_together(base, min_texts, context))
+    together = held.groupBy("entity", "term").agg(F.first("n_entity").alias("n_entity"), F.count("*").alias("n_both"))
+    together = cut(together.where(F.col("n_both") >= min_texts))
     # only rows whose text may have copies are made distinct
     copied, single = split_by(keyed, "doc_key", reducer(texts.where("n > 1").select("doc_key")))
     candidates = reducer(together.select("term"))
@@ -163,13 +196,13 @@ def disclosing_terms(
     n = F.lit(float(max(total, 1)))
     information = F.log(n / F.col("n_entity"))
     pmi = F.log(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
-    return (
-        together.join(holding, "entity")
-        .join(counts, "term")
+    found = cut(
+        together.join(counts, "term")
         .where(information > 0)
         .select("entity", "term", (pmi / information).alias("disclosure"))
         .where(F.col("disclosure") >= threshold)
     )
+    return maybe_in(held.select("doc_key", "entity", "term"), "term", found.select("term")).join(found, ["entity", "term"])
 
 
 def find_spans(docs: DataFrame, **options) -> DataFrame:
@@ -182,13 +215,8 @@ def find_spans(docs: DataFrame, **options) -> DataFrame:
     found = base_spans(F.col("text"))
     plain = docs.select(*columns, F.concat(*[found[k] for k in KINDS]).alias("spans"))
     base = cut(plain.where(F.size("spans") > 0).withColumn("doc_key", F.xxhash64("text")))
-    terms = disclosing_terms(base, docs, **options).groupBy("entity").agg(F.collect_set("term").alias("terms"))
     of_text = (
-        base.select("doc_key", F.explode("spans").alias("s"))
-        .select("doc_key", _entity(F.col("s")).alias("entity"))
-        .distinct()
-        .join(terms, "entity")
-        .select("doc_key", F.explode("terms").alias("term"))
+        disclosing_terms(base, docs, **options)
         .groupBy("doc_key")
         .agg(F.sort_array(F.collect_set("term")).alias("_terms"))
     )
@@ -206,19 +234,11 @@ def joined(spans: Column) -> Column:
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """`docs` with entities generalised to their kind, as [EMAIL], and disclosing terms removed; overlaps are merged."""
     spanned = find_spans(docs, **options)
-    order = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
 
-    def step(a: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        gap = F.substring(F.col("text"), a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        new = F.concat(a["text"], gap, F.when(s["start"] >= a["at"], mark).otherwise(F.lit("")))
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), new.alias("text"))
-
-    def finish(a: Column) -> Column:
-        return F.concat(a["text"], F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    def mark(s: Column) -> Column:
+        return F.when(s["kind"] == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    clean = F.when(F.size("spans") > 0, F.aggregate(order, start, step, finish)).otherwise(F.col("text"))
+    clean = F.when(F.size("spans") > 0, _replaced(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
     return spanned.withColumn("text", clean)
 
 

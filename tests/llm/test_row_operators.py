@@ -131,30 +131,117 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     assert not any(got[i] for i in range(120, 320))
 
 
+@pytest.mark.parametrize("context", [None, 25])
+def test_disclosures_against_counts_of_texts(spark, context):
+    import math
+    import random
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 7))) for _ in range(60)]
+    people = ["ann@corp.example", "+1 555 010 9999", "bob@corp.example", "Ann@Corp.example", "10.1.2.3"]
+    own = {p.lower(): rng.sample(words, 4) for p in people}
+    texts = []
+    for _ in range(120):
+        body = rng.choices(words, k=rng.randint(4, 14))
+        if rng.random() < 0.3:
+            p = rng.choice(people)
+            body.insert(rng.randrange(len(body)), p)
+            if rng.random() < 0.8:
+                body.insert(rng.randrange(len(body)), rng.choice(own[p.lower()]) + "zz")
+        texts += [" ".join(body)] * rng.choice((1, 1, 1, 2, 30))
+    rows = list(enumerate([*texts, None, ""]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    base = pii.find_spans(df, min_texts=10**6).where(F.size("spans") > 0).withColumn("doc_key", F.xxhash64("text"))
+    got = pii.disclosing_terms(base, df, threshold=0.0, context=context)
+    got = {(r.entity, r.term): r.disclosure for r in got.select("entity", "term", "disclosure").distinct().collect()}
+
+    def terms(text):
+        return {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) >= pii.MIN_LETTERS}
+
+    distinct = {t or "" for _, t in rows}
+    held, near, counts = {}, {}, Counter(t for text in distinct for t in terms(text))
+    for text in distinct:
+        around, at = "", 0
+        for start, end in sorted((s, e) for _, s, e in expected(text)):
+            around, at = around + text[at:start] + " ", end
+        around = terms(around + text[at:])
+        for kind, start, end in expected(text):
+            entity = f"{kind}:" + (text[start:end].lower() if kind == "email" else re.sub("[^0-9]", "", text[start:end]) if kind != "ip" else text[start:end])
+            held.setdefault(entity, set()).add(text)
+            seen = around if context is None else (terms(text[max(0, start - context) : start]) | terms(text[end : end + context])) & around
+            for t in seen:
+                near.setdefault((entity, t), set()).add(text)
+    want = {}
+    for (entity, t), both in near.items():
+        n, c = len(distinct), len(held[entity])
+        if len(both) >= pii.MIN_TEXTS and c >= pii.MIN_TEXTS:
+            want[entity, t] = math.log(len(both) * n / (c * counts[t])) / math.log(n / c)
+    want = {k: v for k, v in want.items() if v >= 0}
+    assert set(got) == set(want) and len(want) > 5 and max(want.values()) > 0.75
+    assert all(abs(got[k] - v) < 1e-9 and v <= 1 + 1e-12 for k, v in want.items())
+
+
 def dice(a, b):
     return 2 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
 
 
+def plain_licenses(text):
+    templates = [(name, anchor, licenses.normal_words(t), set(licenses.bigrams_of(t))) for name, anchor, t in licenses.TEMPLATES]
+    units = [] if text is None else ([(-1, text)] if "\n" in text else []) + list(enumerate(text.split("\n")))
+    want = []
+    for n, unit in units:
+        grams = set(licenses.bigrams_of(unit))
+        score, order = max((dice(grams, g), -i) for i, (_, _, _, g) in enumerate(templates))
+        if score >= licenses.THRESHOLD:
+            want.append((n, templates[-order][0], round(score, 9)))
+    words, best = licenses.normal_words(text or ""), {}
+    for name, anchor, own, g in templates:
+        for at, w in enumerate(words):
+            if w == anchor:
+                start = max(at - own.index(anchor), 0)
+                score = dice(set(licenses.bigrams_of(" ".join(words[start : start + len(own)]))), g)
+                if score >= licenses.THRESHOLD:
+                    best[name] = max(best.get(name, 0), score)
+    known = {name for _, name, _ in want}
+    return want, {(name, round(score, 9)) for name, score in best.items() if name not in known}
+
+
+def wrapped(text, width=80):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width))
+
+
 def test_license_scan_against_all_templates(spark):
-    lines = [text for _, text in licenses.TEMPLATES] + [
+    full = {name: text for name, _, text in licenses.TEMPLATES}  # the longest form comes last
+    lines = [text for _, _, text in licenses.TEMPLATES] + [
         "LICENSED under the Apache License -- version 2.0!",
         "Released under some other License.",
         "Nothing here",
         "",
         "under CC BY-NC 4.0.",
     ]
-    rows = [(i, x) for i, x in enumerate(lines)] + [(99, "\n".join(lines)), (100, None), (101, LONG), (None, lines[0])]
-    templates = [(name, set(licenses.bigrams_of(text))) for name, text in licenses.TEMPLATES]
+    mit = wrapped(next(t for n, _, t in licenses.TEMPLATES if n == "MIT" and "NONINFRINGEMENT" in t))
+    rows = [(i, x) for i, x in enumerate(lines)] + [
+        (99, "\n".join(lines)),
+        (100, None),
+        (101, LONG),
+        (102, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit),
+        (103, "Some words. This project is licensed under the MIT License, see the file for details and more."),
+        (104, LONG + "\n" + wrapped(full["BSD-2-Clause"], 60) + "\n" + LONG),
+        (105, "apache " * 300),
+        (106, "warranty"),
+        (None, lines[0]),
+    ]
+    found = {}
     for r in licenses.scan(docs(spark, rows)).collect():
-        text = r.text
-        units = [] if text is None else ([(-1, text)] if "\n" in text else []) + list(enumerate(text.split("\n")))
-        want = []
-        for n, unit in units:
-            grams = set(licenses.bigrams_of(unit))
-            score, order = max((dice(grams, g), -i) for i, (_, g) in enumerate(templates))
-            if score >= licenses.THRESHOLD:
-                want.append((n, templates[-order][0], round(score, 9)))
-        assert [(x.line, x.license, round(x.score, 9)) for x in r.licenses] == want
+        want, inside = plain_licenses(r.text)
+        got = [(x.line, x.license, round(x.score, 9)) for x in r.licenses]
+        assert [x for x in got if x[0] > -2] == want, r.doc_id
+        assert {x[1:] for x in got if x[0] == -2} == inside and len([x for x in got if x[0] == -2]) == len(inside), r.doc_id
+        found[r.doc_id] = {x[1] for x in got}
+    assert "MIT" in found[102] and "MIT" in found[103] and "BSD-2-Clause" in found[104]
+    assert not found[101] and not found[106]
 
 
 def test_sentencepiece_ids_are_the_librarys(spark):
