@@ -11,7 +11,7 @@ from sunlattice.functions import aoi, finance, numeric, scoring, spectral
 from sunlattice.operators import denoise as dn
 from sunlattice.operators import features, focal, resample, scenes, segments, series, terrain, zonal
 from sunlattice.plans import pipeline
-from sunlattice.plans.fixtures import CUBE, GRID, ITEMS, PIXELS, SITES, cube, grid, items, pixels, sites, table
+from sunlattice.plans.fixtures import CUBE, GRID, ITEMS, PIXELS, SCENES, SITES, cube, grid, items, pixels, scene_cells, scene_items, sites, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
@@ -429,7 +429,7 @@ def scene_cloud_cover(s, d):
 @register(
     "asof_nearest_tolerance",
     """WITH g AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 HOUR)) AS target),
-    k AS (SELECT DISTINCT user_id FROM events WHERE user_id < 20), l AS (SELECT user_id, target FROM k, g),
+    k AS (SELECT DISTINCT user_id FROM events), l AS (SELECT user_id, target FROM k, g),
     j AS (SELECT l.user_id, l.target, e.value, row_number() OVER (PARTITION BY l.user_id, l.target
       ORDER BY abs(epoch_us(e.ts) - epoch_us(l.target)), e.ts DESC, e.value) AS n FROM l LEFT JOIN events e ON e.user_id = l.user_id AND abs(epoch_us(e.ts) - epoch_us(l.target)) <= 1800000000)
     SELECT user_id, target, value FROM j WHERE n = 1""",
@@ -437,7 +437,7 @@ def scene_cloud_cover(s, d):
 def asof_nearest_tolerance(s, d):
     e = table(s, d, "events")
     hours = F.expr("sequence(timestamp_ntz'2024-01-01', timestamp_ntz'2024-01-30', interval 1 hour)")
-    left = e.select("user_id").where("user_id < 20").distinct().select("user_id", F.explode(hours).alias("target"))
+    left = e.select("user_id").distinct().select("user_id", F.explode(hours).alias("target"))
     return series.asof_nearest(left, e, ["user_id"], "target", "ts", "value", 1800)
 
 
@@ -587,7 +587,13 @@ def _rugosity_sql() -> str:
     return f"WITH {GRID}, {_z_sql()}, s AS (SELECT yi, xi, {_WHOLE} AS w, {', '.join(cols)} FROM z) SELECT yi, xi, CASE WHEN w IS NOT NULL THEN round(({' + '.join(areas)}) / 900, 6) + 0.0::DOUBLE END AS v FROM s"
 
 
+#: The SQL of each attribute without rounding.
+_ATTRIBUTE: dict[str, str] = {}
+
+
 def _terrain_query(name: str, column: str, sql: str):
+    _ATTRIBUTE[column] = sql.replace("round(", "(").replace(", 6) + 0.0::DOUBLE", ")")
+
     @register(name, sql)
     def plan(s, d):
         made = terrain.neighbours(grid(s, d))
@@ -647,7 +653,7 @@ def mosaic_first(s, d):
 
 @register(
     "bilinear",
-    f"""WITH {GRID}, t AS (SELECT p_size, yi * 0.7::DOUBLE AS fy, xi * 0.9::DOUBLE + 0.3::DOUBLE AS fx FROM grid WHERE p_size < 9),
+    f"""WITH {GRID}, t AS (SELECT p_size, yi * 0.7::DOUBLE AS fy, xi * 0.9::DOUBLE + 0.3::DOUBLE AS fx FROM grid),
     c AS (SELECT fy, fx, floor(fy) AS y0, floor(fx) AS x0, fy - floor(fy) AS v, fx - floor(fx) AS u FROM t),
     w AS (SELECT fy, fx, y0 + dy AS y, x0 + dx AS x, (CASE dy WHEN 0 THEN 1 - v ELSE v END) * (CASE dx WHEN 0 THEN 1 - u ELSE u END) AS w FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(dy, dx)),
     j AS (SELECT fy, fx, w, elevation FROM w LEFT JOIN grid ON yi = y AND xi = x WHERE w > 0)
@@ -655,7 +661,7 @@ def mosaic_first(s, d):
 )
 def bilinear(s, d):
     g = grid(s, d)
-    t = g.where("p_size < 9").select("raster_id", (F.col("yi") * 0.7).alias("fy"), (F.col("xi") * 0.9 + 0.3).alias("fx"))
+    t = g.select("raster_id", (F.col("yi") * 0.7).alias("fy"), (F.col("xi") * 0.9 + 0.3).alias("fx"))
     return resample.bilinear(g, t).select(F.round("fy", 6).alias("fy"), F.round("fx", 6).alias("fx"), F.round("elevation", 6).alias("elevation"))
 
 
@@ -734,8 +740,49 @@ def polygon_area(s, d):
 # --- denoising -------------------------------------------------------------------------------------------------------
 
 
+_IMAGE = f"""{GRID}, box AS (SELECT min(yi) AS y0, max(yi) AS y1, min(xi) AS x0, max(xi) AS x1, avg(elevation) AS mean FROM grid),
+img AS (SELECT y::INTEGER AS yi, x::INTEGER AS xi, coalesce(elevation, mean) AS z, elevation IS NOT NULL AS ok
+  FROM box CROSS JOIN LATERAL (SELECT unnest(range(y0, y1 + 1)) AS y) CROSS JOIN LATERAL (SELECT unnest(range(x0, x1 + 1)) AS x) LEFT JOIN grid ON grid.yi = y AND grid.xi = x)"""
+
+
+def _kernel_sql(r: int, value: str) -> str:
+    return f"""WITH {_IMAGE}, n AS (SELECT a.yi, a.xi, a.z AS c, b.z AS v, dy, dx FROM img a CROSS JOIN box CROSS JOIN range(-{r}, {r + 1}) p(dy) CROSS JOIN range(-{r}, {r + 1}) q(dx)
+      JOIN img b ON b.yi = greatest(y0, least(y1, a.yi + dy)) AND b.xi = greatest(x0, least(x1, a.xi + dx)) WHERE a.ok)
+    SELECT yi, xi, round({value}, 6) AS elevation FROM n GROUP BY yi, xi"""
+
+
+def _mean_sql(weight: str) -> str:
+    return f"sum({weight} * v) / sum({weight})"
+
+
+_NEAR = "(dy * dy + dx * dx) / (2 * 0.75::DOUBLE ** 2)"
+_BY_ROW, _BY_COLUMN = "OVER (PARTITION BY yi ORDER BY xi)", "OVER (PARTITION BY xi ORDER BY yi)"
+_WHOLE_ROW, _WHOLE_COLUMN = (w[:-1] + " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)" for w in (_BY_ROW, _BY_COLUMN))
+
+
+def _flow_sql(step: str, window: str) -> str:
+    d = f"({step}(z) {window} - z)"
+    return f"CASE WHEN ok AND coalesce({step}(ok) {window}, false) THEN exp(-(({d} / 30.0::DOUBLE) ** 2)) * {d} ELSE 0 END"
+
+
+_DENOISE_SQL = {
+    "gaussian": _kernel_sql(3, _mean_sql(f"exp(-{_NEAR})")),
+    "bilateral": _kernel_sql(3, _mean_sql(f"exp(-{_NEAR} - (v - c) ** 2 / 2.0::DOUBLE)")),
+    "adaptive": _kernel_sql(2, "CASE WHEN abs(min(c) - avg(v)) > 2.0::DOUBLE * stddev_pop(v) THEN avg(v) ELSE min(c) END"),
+    "anisotropic": f"""WITH RECURSIVE {_IMAGE}, s AS (SELECT 0 AS i, yi, xi, z, ok FROM img
+      UNION ALL SELECT i + 1, yi, xi, z + 0.15::DOUBLE * ({" + ".join(_flow_sql(f, w) for f in ("lead", "lag") for w in (_BY_ROW, _BY_COLUMN))}), ok FROM s WHERE i < 20)
+    SELECT yi, xi, round(z, 6) AS elevation FROM s WHERE i = 20 AND ok""",
+    "tv": f"""WITH RECURSIVE {_IMAGE}, s AS (SELECT 0 AS i, yi, xi, z, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, ok FROM img
+      UNION ALL SELECT i + 1, yi, xi, z + 0.15::DOUBLE * (px - coalesce(lag(px) {_BY_ROW}, last_value(px) {_WHOLE_ROW}) + py - coalesce(lag(py) {_BY_COLUMN}, last_value(py) {_WHOLE_COLUMN})), px, py, ok
+      FROM (SELECT i, yi, xi, z, a / greatest(1.0::DOUBLE, sqrt(a * a + b * b)) AS px, b / greatest(1.0::DOUBLE, sqrt(a * a + b * b)) AS py, ok
+        FROM (SELECT *, px + 0.125::DOUBLE / 0.15::DOUBLE * (coalesce(lead(z) {_BY_ROW}, first_value(z) {_BY_ROW}) - z) AS a,
+          py + 0.125::DOUBLE / 0.15::DOUBLE * (coalesce(lead(z) {_BY_COLUMN}, first_value(z) {_BY_COLUMN}) - z) AS b FROM s WHERE i < 50)))
+    SELECT yi, xi, round(z, 6) AS elevation FROM s WHERE i = 50 AND ok""",
+}
+
+
 def _denoise_query(method: str):
-    @register(f"denoise_{method}")
+    @register(f"denoise_{method}", _DENOISE_SQL.get(method))
     def plan(s, d):
         out = dn.denoise(grid(s, d).select("raster_id", "yi", "xi", "elevation"), method)
         return out.select("yi", "xi", F.round("elevation_denoised", 6).alias("elevation"))
@@ -749,22 +796,37 @@ for _method in dn.METHODS:
 
 # --- pipelines -------------------------------------------------------------------------------------------------------
 
-_VECTOR = f"""{SITES}, {GRID}, {_z_sql()}, tr AS (SELECT yi, xi, degrees(atan(sqrt((((z3 + 2 * z6 + z9) - (z1 + 2 * z4 + z7)) / 240.0::DOUBLE) ** 2 + (((z7 + 2 * z8 + z9) - (z1 + 2 * z2 + z3)) / 240.0::DOUBLE) ** 2))) AS slope, z5 AS reprojected_dem FROM z),
-rows AS (SELECT s.site_id, t.* FROM sites s JOIN tr t ON t.yi = s.site_id % 5),
-dem AS (SELECT site_id, {", ".join(f"avg({v}) AS {v}_mean, quantile_cont({v}, 0.5) AS {v}_median, stddev_pop({v}) AS {v}_std, min({v}) AS {v}_min, max({v}) AS {v}_max" for v in ("slope", "reprojected_dem"))} FROM rows GROUP BY site_id),
-sun AS (SELECT user_id AS site_id, avg(value) AS solar_radiation_mean, quantile_cont(value, 0.5) AS solar_radiation_median, stddev_pop(value) AS solar_radiation_std, min(value) AS solar_radiation_min, max(value) AS solar_radiation_max FROM events GROUP BY user_id),
-vec AS (SELECT sites.site_id, lat, lon, dem.* EXCLUDE (site_id), sun.* EXCLUDE (site_id) FROM sites LEFT JOIN dem ON dem.site_id = sites.site_id LEFT JOIN sun ON sun.site_id = sites.site_id)"""
+
+
+def _five(v: str, source: str | None = None) -> str:
+    x = source or v
+    return f"avg({x}) AS {v}_mean, quantile_cont({x}, 0.5) AS {v}_median, stddev_pop({x}) AS {v}_std, min({x}) AS {v}_min, max({x}) AS {v}_max"
+
+
+_EMBEDDED = [f"emb_A{i:02d}" for i in range(pipeline.EMBEDDING)]
+_VARIABLES = [*pipeline.TERRAIN, "solar_radiation", "ewma_perc", *_EMBEDDED]
+_VECTOR = f"""{SITES}, {GRID}, {CUBE},
+tr AS (SELECT grid.yi, grid.elevation AS reprojected_dem, {", ".join(f"{c}.v AS {c}" for c in _ATTRIBUTE)} FROM grid {" ".join(f"JOIN ({q}) {c} ON {c}.yi = grid.yi AND {c}.xi = grid.xi" for c, q in _ATTRIBUTE.items())}),
+dem AS (SELECT yi AS zone, {", ".join(_five(v) for v in pipeline.TERRAIN)} FROM tr GROUP BY yi),
+sun AS (SELECT user_id AS zone, {_five("solar_radiation", "value")} FROM events GROUP BY user_id),
+al AS (SELECT t, CASE WHEN lag(t) OVER (ORDER BY t) IS NOT NULL THEN 1 - (1 - 0.1::DOUBLE) ** ((t - lag(t) OVER (ORDER BY t)) / 1.0::DOUBLE) END AS alpha_eff FROM days),
+fold AS (SELECT pixel, {_SEEN} AS l FROM cube JOIN al ON al.t = cube.t GROUP BY pixel),
+cloud AS (SELECT pixel % 50 AS zone, {_five("ewma_perc", "v")} FROM (SELECT pixel, list_reduce(l, {_FOLD}).v AS v FROM fold) GROUP BY zone),
+emb AS (SELECT label AS zone, {", ".join(_five(v, f"embedding[{i + 1}]::DOUBLE") for i, v in enumerate(_EMBEDDED))} FROM embeddings GROUP BY label),
+vec AS (SELECT sites.site_id, lat, lon, dem.* EXCLUDE (zone), sun.* EXCLUDE (zone), cloud.* EXCLUDE (zone), emb.* EXCLUDE (zone) FROM sites
+  LEFT JOIN dem ON dem.zone = site_id % (SELECT max(yi) + 1 FROM grid) LEFT JOIN sun ON sun.zone = site_id
+  LEFT JOIN cloud ON cloud.zone = site_id % 50 LEFT JOIN emb ON emb.zone = site_id % (SELECT max(label) + 1 FROM embeddings))"""
 
 
 @register(
     "feature_vector",
     f"WITH {_VECTOR} SELECT site_id, lat AS latitude, lon AS longitude, "
-    + ", ".join(f"round({v}_{k}, 6) AS {v}_{k}" for v in ("slope", "reprojected_dem", "solar_radiation") for k in features.STATS)
+    + ", ".join(f"round({v}_{k}, 6) + 0.0::DOUBLE AS {v}_{k}" for v in _VARIABLES for k in features.STATS)
     + " FROM vec",
 )
 def feature_vector(s, d):
     v = pipeline.feature_vectors(s, d)
-    return v.select(*[F.round(c, 6).alias(c) if c.endswith(features.STATS) else F.col(c) for c in v.columns])
+    return v.select(*[(F.round(c, 6) + F.lit(0.0)).alias(c) if c.endswith(features.STATS) else F.col(c) for c in v.columns])
 
 
 @register(
@@ -783,13 +845,50 @@ def evaluate_sites(s, d):
     return pipeline.evaluate_sites(s, d)
 
 
+def _scene_stencil(source: str, column: str, target: str, low: int, high: int, erode: bool) -> str:
+    value = f"CASE WHEN count(*) = {(high - low + 1) ** 2} THEN min(b.{column}) ELSE 0 END" if erode else f"max(b.{column})"
+    return (
+        f"{target} AS (SELECT a.scene_id, a.yi, a.xi, {value} AS {column} FROM {source} a JOIN {source} b ON b.scene_id = a.scene_id "
+        f"AND b.yi BETWEEN a.yi + {low} AND a.yi + {high} AND b.xi BETWEEN a.xi + {low} AND a.xi + {high} GROUP BY ALL)"
+    )
+
+
+_CELL_INDEX = _INDEX.replace(f"{PIXELS}, ", "", 1).replace("FROM pixels", "FROM read")
+
+
 @register(
     "cloud_statistics",
-    f"""WITH {_ALPHA}, f AS (SELECT pixel, {_SEEN} AS l FROM cube JOIN al ON al.t = cube.t GROUP BY pixel), e AS (SELECT pixel, list_reduce(l, {_FOLD}).v AS v FROM f)
-    SELECT count(v) AS n, round(avg(v), 6) AS ewma_perc_mean, round(quantile_cont(v, 0.5), 6) AS ewma_perc_median, round(stddev_pop(v), 6) AS ewma_perc_std,
-      round(min(v), 6) AS ewma_perc_min, round(max(v), 6) AS ewma_perc_max FROM e""",
+    f"""WITH {SCENES}, target AS (SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2019-01-01', INTERVAL 30 DAY)) AS target),
+    ranked AS (SELECT target, id, datetime, row_number() OVER (PARTITION BY target ORDER BY abs(epoch(datetime) - epoch(target)), datetime, id) AS k FROM items, target WHERE cloud <= 60),
+    chosen AS (SELECT DISTINCT id AS scene_id, datetime AS t FROM ranked WHERE k = 1),
+    read AS (SELECT cells.*, t FROM cells JOIN chosen ON chosen.scene_id = cells.scene_id), {_CELL_INDEX},
+    f AS (SELECT *, coalesce(fmask & 3 > 0 OR (vis_mean > 0.23 AND b02 > 0.20 AND hot > 0.04 AND blue_nir > 0.90 AND whiteness < 0.28), false) AS is_cloud, fmask & 15 > 0 AS qa FROM i),
+    p AS (SELECT *, is_cloud::INT AS cloud, ((fmask >> 3) & 1)::INT AS shadow, coalesce((((b01 > 0.075 AND b02 > 0.070 AND coastal_swir > 0.55)
+      OR (hot > -0.01 AND blue_nir > 0.58 AND b11 < 0.20)) AND whiteness < 0.40 AND vis_mean > 0.07) AND ((fmask >> 6) = 3 OR ((fmask >> 6) = 2 AND hot > 0))
+      AND NOT (fmask & 48 > 0 OR ndwi > 0.12) AND NOT (qa OR is_cloud), false)::INT AS haze, (b01 + b02 + b03 + b04 + b8a + b11 + b12) IS NOT NULL AS valid FROM f),
+    {_scene_stencil("p", "cloud", "c1", -1, 1, False)}, {_scene_stencil("c1", "cloud", "c2", -1, 1, True)}, {_scene_stencil("c2", "cloud", "c3", 0, 1, False)},
+    {_scene_stencil("p", "shadow", "s1", -1, 1, False)}, {_scene_stencil("s1", "shadow", "s2", -1, 1, True)},
+    {_scene_stencil("p", "haze", "h1", -1, 0, True)}, {_scene_stencil("h1", "haze", "h2", 0, 1, False)},
+    m AS (SELECT p.scene_id, p.t, p.yi, p.xi, valid::INT AS valid, greatest(c3.cloud, s2.shadow, h2.haze) * valid::INT AS hit FROM p JOIN c3 USING (scene_id, yi, xi) JOIN s2 USING (scene_id, yi, xi) JOIN h2 USING (scene_id, yi, xi)),
+    k AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4),
+    j AS (SELECT a.scene_id, a.t, a.yi, a.xi, sum(b.hit) AS c, sum(b.valid) AS v FROM m a, k JOIN m b ON b.scene_id = a.scene_id AND b.yi = greatest(0, least(11, a.yi + dy)) AND b.xi = greatest(0, least(11, a.xi + dx)) GROUP BY ALL),
+    al AS (SELECT t, CASE WHEN lag(t) OVER (ORDER BY t) IS NOT NULL THEN 1 - (1 - 0.1::DOUBLE) ** ((epoch(t) - epoch(lag(t) OVER (ORDER BY t))) / 86400.0::DOUBLE / 30.0::DOUBLE) END AS a FROM chosen),
+    l AS (SELECT yi, xi, list_prepend(struct_pack(v := NULL::DOUBLE, a := 0::DOUBLE), list(struct_pack(v := CASE WHEN j.v >= 8 THEN 100.0::DOUBLE * c / j.v END, a := al.a) ORDER BY j.t)) AS l FROM j JOIN al ON al.t = j.t GROUP BY yi, xi)
+    SELECT yi::INTEGER AS yi, xi::INTEGER AS xi, round(list_reduce(l, {_FOLD}).v, 6) AS ewma_perc FROM l""",
 )
 def cloud_statistics(s, d):
+    hours = F.expr("sequence(timestamp_ntz'2018-01-01', timestamp_ntz'2019-01-01', interval 30 days)")
+    targets = s.range(1).select(F.explode(hours).alias("target"))
+    final = pipeline.cloud_statistics(scene_items(s, d), scene_cells(s, d), targets, 60.0, 2, min_valid=8, nominal_days=30.0)
+    return final.select("yi", "xi", F.round("ewma_final", 6).alias("ewma_perc"))
+
+
+@register(
+    "ewma_share_statistics",
+    f"""WITH {_ALPHA}, f AS (SELECT pixel, {_SEEN} AS l FROM cube JOIN al ON al.t = cube.t GROUP BY pixel), e AS (SELECT pixel, list_reduce(l, {_FOLD}).v AS v FROM f)
+    SELECT count(v) AS n, {", ".join(f"round({x}, 6) AS ewma_perc_{k}" for k, x in (("mean", "avg(v)"), ("median", "quantile_cont(v, 0.5)"), ("std", "stddev_pop(v)"), ("min", "min(v)"), ("max", "max(v)")))} FROM e""",
+)
+def ewma_share_statistics(s, d):
     final = series.ewma_final(_scene_cube(s, d)[0], ["pixel"], "t", "pct").select(F.lit(0).alias("site_id"), F.col("ewma_final").alias("ewma_perc"))
     stats = features.five_stats(final, ["ewma_perc"], ["site_id"])
     n = final.groupBy("site_id").agg(F.count("ewma_perc").alias("n"))

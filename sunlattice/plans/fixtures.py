@@ -92,3 +92,33 @@ CUBE = """daily AS (SELECT user_id AS pixel, ts::DATE AS t, least(100.0::DOUBLE,
 days AS (SELECT unnest(generate_series(min(ts::DATE), max(ts::DATE), INTERVAL 1 DAY))::DATE AS t FROM events),
 cube AS (SELECT p.pixel, d.t, daily.pct FROM (SELECT DISTINCT user_id AS pixel FROM events) p CROSS JOIN days d
   LEFT JOIN daily ON daily.pixel = p.pixel AND daily.t = d.t)"""
+
+
+#: Cells a side of a scene.
+SCENE = 12
+BANDS = ("b01", "b02", "b03", "b04", "b8a", "b11", "b12")
+
+
+def scene_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scene_id, yi, xi, bands, fmask on full squares of SCENE cells; bands are NULL where there is no pixel."""
+    p = pixels(spark, sf_dir)
+    seen = p.groupBy(
+        F.col("l_suppkey").alias("scene_id"), (F.col("l_orderkey") % SCENE).cast("int").alias("yi"), (F.col("l_partkey") % SCENE).cast("int").alias("xi")
+    ).agg(*[F.avg(b).alias(b) for b in BANDS], F.max("fmask").alias("fmask"))
+    every = p.select(F.col("l_suppkey").alias("scene_id")).distinct().select("scene_id", F.explode(F.sequence(F.lit(0), F.lit(SCENE * SCENE - 1))).alias("c"))
+    every = every.select("scene_id", F.floor(F.col("c") / SCENE).cast("int").alias("yi"), (F.col("c") % SCENE).cast("int").alias("xi"))
+    return every.join(seen, ["scene_id", "yi", "xi"], "left").withColumn("fmask", F.coalesce("fmask", F.lit(0)))
+
+
+def scene_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, datetime, cloud of the scenes: one every 77 hours."""
+    s, k = table(spark, sf_dir, "supplier"), F.col("s_suppkey")
+    at = F.timestamp_add("HOUR", 77 * k, F.lit("2018-01-01").cast("timestamp_ntz"))
+    return s.select(k.alias("id"), at.alias("datetime"), F.pmod(k * 37, F.lit(101)).cast("double").alias("cloud"))
+
+
+SCENES = f"""{PIXELS},
+seen AS (SELECT l_suppkey AS scene_id, l_orderkey % {SCENE} AS yi, l_partkey % {SCENE} AS xi, {", ".join(f"avg({b}) AS {b}" for b in BANDS)}, max(fmask) AS fmask FROM pixels GROUP BY ALL),
+cells AS (SELECT e.scene_id, e.yi, e.xi, {", ".join(BANDS)}, coalesce(fmask, 0) AS fmask FROM (SELECT scene_id, yi, xi FROM (SELECT DISTINCT l_suppkey AS scene_id FROM pixels), range({SCENE}) y(yi), range({SCENE}) x(xi)) e
+  LEFT JOIN seen ON seen.scene_id = e.scene_id AND seen.yi = e.yi AND seen.xi = e.xi),
+items AS (SELECT s_suppkey AS id, TIMESTAMP '2018-01-01' + to_hours(77 * s_suppkey) AS datetime, ((s_suppkey * 37) % 101)::DOUBLE AS cloud FROM supplier)"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sunlattice.functions import finance, scoring, spectral
 from sunlattice.operators import features, focal, scenes, segments, series, terrain
-from sunlattice.plans.fixtures import grid, sites, table
+from sunlattice.plans.fixtures import cube, grid, sites, table
 
 TERRAIN = (
     "reprojected_dem",
@@ -92,17 +92,56 @@ def classify_regions(terrain_table: DataFrame, variable: str = "max_curvature",
     return clustered, segments.class_statistics(classed), segments.polygons(clustered)
 
 
+def collect_features(base: DataFrame, parts: list[tuple[DataFrame, list[str], Column]], key: str = "site_id") -> DataFrame:
+    """`base` (a row a site) with the five statistics of every part's variables; of equal names the last part's stays.
+
+    A part is a table with a `zone`, its variables, and the zone that a site sees, as a column of `base`. A zone that
+    many sites see is reduced once and joined to all of them; a site without a zone of a part has NULL there.
+    """
+    out = base
+    for table_, variables, zone in parts:
+        stats = features.five_stats(table_, variables, ["zone"])
+        seen = base.select(key, zone.alias("zone")).join(stats, "zone").drop("zone")
+        out = features.merge_right_wins(out, seen, key)
+    return out
+
+
+def embedding_columns(df: DataFrame, column: str, size: int, prefix: str = "emb_A") -> tuple[DataFrame, list[str]]:
+    """`df` with the elements of an array column as columns of their own, and the names of these."""
+    names = [f"{prefix}{i:02d}" for i in range(size)]
+    return df.select("*", *[F.get(column, F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
+
+
+EMBEDDING = 64
+
+
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites with terrain and insolation statistics on the driver tables (a site sees one row of the grid)."""
-    s = sites(spark, sf_dir)
-    t = terrain_rows(grid(spark, sf_dir)).select("yi", "slope", "reprojected_dem")
-    # equal rows of the grid serve many sites: reduce each once, then join
-    by_row = features.five_stats(t.where("yi < 5"), ["slope", "reprojected_dem"], ["yi"])
-    dem = s.select("site_id", F.pmod("site_id", F.lit(5)).cast("int").alias("yi")).join(F.broadcast(by_row), "yi").drop("yi")
-    sun = table(spark, sf_dir, "events").select(F.col("user_id").alias("site_id"), F.col("value").alias("solar_radiation"))
-    insolation = features.five_stats(sun, ["solar_radiation"], ["site_id"])
+    """Sites with terrain, insolation, cloud and embedding statistics on the driver tables.
+
+    A site sees one row of the grid, the events of its own number, a fiftieth of the cloud cube's cells and the
+    embeddings of one label.
+    """
+    s, i = sites(spark, sf_dir), F.col("site_id")
+    elevation = grid(spark, sf_dir)
+    ground = terrain_rows(elevation).withColumn("zone", F.col("yi").cast("long"))
+    n_rows = elevation.agg(F.max("yi") + 1).scalar()
+    sun = table(spark, sf_dir, "events").select(F.col("user_id").alias("zone"), F.col("value").alias("solar_radiation"))
+    clouds = cube(spark, sf_dir)
+    steps = series.alpha_eff(clouds.select("t").distinct(), "t", 0.1, 1.0)
+    final = series.ewma_final(clouds.join(steps, "t"), ["pixel"], "t", "pct")
+    final = final.select((F.col("pixel") % 50).alias("zone"), F.col("ewma_final").alias("ewma_perc"))
+    vectors, names = embedding_columns(table(spark, sf_dir, "embeddings"), "embedding", EMBEDDING)
+    labels = vectors.agg(F.max("label") + 1).scalar()
     base = s.withColumnsRenamed({"lat": "latitude", "lon": "longitude"})
-    return features.merge_right_wins(features.merge_right_wins(base, dem, "site_id"), insolation, "site_id")
+    return collect_features(
+        base,
+        [
+            (ground, list(TERRAIN), F.pmod(i, n_rows)),
+            (sun, ["solar_radiation"], i),
+            (final, ["ewma_perc"], i % 50),
+            (vectors.withColumn("zone", F.col("label").cast("long")), names, F.pmod(i, labels)),
+        ],
+    )
 
 
 SURROGATE_SQL = "0.12::DOUBLE + coalesce(solar_radiation_mean, 0) / 2500.0::DOUBLE + cos(radians(lat)) * 0.05::DOUBLE - coalesce(slope_mean, 0) / 2000.0::DOUBLE"
