@@ -2,12 +2,11 @@
 
 A member's weight is the number of members in all its buckets; the text from which a group of near copies was made shares
 more buckets with them than they do with each other, and so has the largest weight. The hub of a bucket is its member of
-the largest weight. First each member meets one hub only, that with which it shares the most
-buckets: a row a member, however many keys it has. Verified links give groups. Next, members meet the other hubs of their
-buckets, but only hubs outside their group. Buckets that still hold members of different groups are then compared across
-groups, never inside one, in bands of sizes that can be linked. A group of thousands of copies is one group after the
-first round and makes no rows in the later ones. Together the rounds examine every pair in a common bucket unless it is
-connected already, so no link is lost.
+the largest weight. First each member meets HUBS hubs at most, those with which it shares the most buckets: so many rows a
+member, however many keys it has. Verified links give groups. Buckets that still hold members of different groups are then
+compared across groups, never inside one, in bands of sizes that can be linked, and each pair in one of its buckets only.
+A group of thousands of copies is one group after the first round and makes no rows in the second. Together the rounds
+examine every pair in a common bucket unless it is connected already, so no link is lost.
 """
 
 from __future__ import annotations
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 from sunlattice.llm.components import connected_components
 from sunlattice.llm.scratch import cut, discard, maybe_in
 
+#: Hubs that a member meets in the first round.
+HUBS = 3
+
 
 def linked_groups(
     members: DataFrame,
@@ -59,49 +61,45 @@ def linked_groups(
     hubs = shared.groupBy("key").agg(F.max_by("uid", "weight").alias("hub"))
     met = cut(shared.select("key", "uid").join(cut(hubs), "key").where("uid <> hub"))
 
-    first = cut(met.groupBy("uid").agg(F.mode("hub", True).alias("hub")))
-    found = cut(verify(cut(near(first.select(F.col("hub").alias("a"), F.col("uid").alias("b"))))))
+    often = F.transform(F.array_distinct("hubs"), lambda h: F.struct((-F.size(F.filter("hubs", lambda x: x == h))).alias("n"), h.alias("hub")))
+    hubs = met.groupBy("uid").agg(F.collect_list("hub").alias("hubs"))  # a hub a key at most
+    first = hubs.select("uid", F.explode(F.slice(F.array_sort(often), 1, HUBS)).alias("h"))
+    tested = cut(near(cut(first.select(F.col("h.hub").alias("a"), F.col("uid").alias("b")))))
+    found = cut(verify(tested))
     groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    def labelled(rows: DataFrame, name: str) -> DataFrame:
-        own = groups.select(F.col("node").alias(name), F.col("label").alias(f"{name}_group"))
-        joined = rows.join(own, name, "left")
-        return joined.withColumn(f"{name}_group", F.coalesce(f"{name}_group", name))
-
-    tried = labelled(first.select("uid", F.col("hub").alias("tried")), "uid")
-    open_ = met.join(tried, "uid").where("hub <> tried").select("uid", "uid_group", "hub").distinct()
-    open_ = labelled(open_, "hub").where("uid_group <> hub_group")
-    more = cut(near(cut(open_.select(F.col("hub").alias("a"), F.col("uid").alias("b")))))
-    if not more.isEmpty():
-        groups = _joined(groups, cut(verify(more)))
-
-    # members of a bucket, its hub aside, that are still in several groups
-    spread = labelled(met.select("key", "uid"), "uid")
+    # the members of buckets that are still in several groups
+    labels = groups.select(F.col("node").alias("uid"), "label")
+    spread = shared.select("key", "uid").join(labels, "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("uid_group"))
+    spread = cut(spread)
     mixed = spread.groupBy("key").agg(F.min("uid_group").alias("lo"), F.max("uid_group").alias("hi")).where("lo < hi")
     mixed = cut(mixed.select("key"))
     if mixed.isEmpty():
         return groups
-    still = cut(labelled(maybe_in(met, "key", mixed).join(mixed, "key").select("key", "uid"), "uid"))
+    still = cut(maybe_in(spread, "key", mixed).join(mixed, "key"))
+    mine = still.groupBy("uid").agg(F.collect_list("key").alias("mine"))
     nearer, table = close, maybe_in(members.drop("keys"), "uid", still.select("uid"))
     if sharpen:
         table, nearer = sharpen(cut(still.select("uid").distinct()))
         payload = [c for c in table.columns if c != "uid"]
-    full = still.join(table, "uid")
+    full = still.join(cut(table.join(mine, "uid")), "uid")
     band = F.floor(F.log(F.col(size)) / F.lit(-log(ratio))).cast("int")
     full = full.withColumn("band", band)
 
     def open_side(name: str, bands: Column) -> DataFrame:
-        return full.select("key", bands.alias("band"), *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "uid_group", *payload)])
+        return full.select("key", bands.alias("band"), *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "uid_group", "mine", *payload)])
 
-    # a is the smaller one; the larger one of a link is in its band or the next
+    # a pair counts in the first of the buckets that both are in; a is the smaller one; the larger one of a link is in its band or the next
     smaller = (F.col(f"a_{size}") < F.col(f"b_{size}")) | ((F.col(f"a_{size}") == F.col(f"b_{size}")) & (F.col("a_uid") < F.col("b_uid")))
+    once = F.col("key") == F.array_min(F.array_intersect("a_mine", "b_mine"))
     across = (
         open_side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         .join(open_side("b", F.col("band")), ["key", "band"])
-        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & nearer("a_", "b_"))
+        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & nearer("a_", "b_") & once)
         .select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
-        .distinct()
     )
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    across = across.join(known, ["a", "b"], "left_anti")
     last = cut(across)
     return groups if last.isEmpty() else _joined(groups, cut(verify(last)))
 

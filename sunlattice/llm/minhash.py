@@ -27,7 +27,7 @@ from sunlattice.llm.scratch import cut, maybe_in, owner, remove
 
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
 #: Permutations of the sharper signatures of documents in buckets that hold several groups.
-MORE_PERMUTATIONS = 2048
+MORE_PERMUTATIONS = 1024
 THRESHOLD_PERCENT = 80
 #: Words that a Python worker keeps hashed, and bytes of text that it takes at once.
 KEPT_WORDS, TEXT_BYTES = 500_000, 4_000_000
