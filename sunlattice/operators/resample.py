@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from math import ceil, cos, radians, sqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: WGS84 and the UTM grid.
@@ -19,12 +19,19 @@ MAX_SIDE, MAX_BYTES, SAFETY = 32_600, 50_331_648, 0.88
 M_PER_DEGREE = 111_320.0
 
 
-def utm_zone(lon: Column) -> Column:
-    return F.least(F.floor((lon + 180.0) / 6.0) + 1, F.lit(60)).cast("int")
+def utm_zone(lon: Column, lat: Column | None = None) -> Column:
+    """The zone of a longitude; with a latitude, also by the exceptions of south-west Norway and Svalbard."""
+    plain = F.least(F.floor((lon + 180.0) / 6.0) + 1, F.lit(60))
+    if lat is None:
+        return plain.cast("int")
+    norway = (lat >= 56.0) & (lat < 64.0) & (lon >= 3.0) & (lon < 12.0)
+    svalbard = (lat >= 72.0) & (lat <= 84.0) & (lon >= 0.0) & (lon < 42.0)
+    far = F.when(lon < 9.0, 31).when(lon < 21.0, 33).when(lon < 33.0, 35).otherwise(37)
+    return F.when(norway, 32).when(svalbard, far).otherwise(plain).cast("int")
 
 
 def utm_epsg(lat: Column, lon: Column) -> Column:
-    return (F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon)).cast("int")
+    return (F.when(lat >= 0, 32600).otherwise(32700) + utm_zone(lon, lat)).cast("int")
 
 
 def utm_forward(lat: Column, lon: Column, zone: Column | None = None) -> dict[str, Column]:
@@ -78,6 +85,53 @@ def bilinear(grid: DataFrame, targets: DataFrame, value: str = "elevation", keys
     return joined.groupBy(*targets.columns).agg(F.when(whole, F.sum(F.col("w") * F.col("_z"))).alias(value))
 
 
+def reproject(grid: DataFrame, frame: dict[str, float], zone: int, south: bool, value: str = "elevation", keys: tuple[str, ...] = ("raster_id",), cell_m: float = 30.0) -> DataFrame:
+    """A longitude/latitude grid on the metric UTM grid that covers it: bilinear, NULL without four source cells.
+
+    frame: lon0, lat0 (the centre of cell 0, 0), dlon, dlat (steps, dlat negative from the north). Target cells are made
+    by range from the extent of each raster, mapped back to source cells and joined on integer indices.
+    """
+    k = list(keys)
+    lon, lat = frame["lon0"] + F.col("xi") * frame["dlon"], frame["lat0"] + F.col("yi") * frame["dlat"]
+    metres = grid.select(*k, *[c.alias(n) for n, c in utm_forward(lat, lon, F.lit(zone)).items()])
+    box = metres.groupBy(*k).agg(
+        *[F.floor(F.min(c) / cell_m).cast("int").alias(f"lo_{c}") for c in ("easting", "northing")],
+        *[F.floor(F.max(c) / cell_m).cast("int").alias(f"hi_{c}") for c in ("easting", "northing")],
+    )
+    rows = box.select("*", F.explode(F.sequence("lo_northing", "hi_northing")).alias("n"))
+    cells = rows.select(*k, "n", "hi_northing", "lo_easting", F.explode(F.sequence("lo_easting", "hi_easting")).alias("e"))
+    back = utm_inverse((F.col("e") + 0.5) * cell_m, (F.col("n") + 0.5) * cell_m, F.lit(zone), F.lit(south))
+    targets = cells.select(
+        *k,
+        (F.col("hi_northing") - F.col("n")).alias("row"),
+        (F.col("e") - F.col("lo_easting")).alias("column"),
+        ((F.col("e") + 0.5) * cell_m).alias("easting"),
+        ((F.col("n") + 0.5) * cell_m).alias("northing"),
+        ((back["lat"] - frame["lat0"]) / frame["dlat"]).alias("fy"),
+        ((back["lon"] - frame["lon0"]) / frame["dlon"]).alias("fx"),
+    )
+    made = bilinear(grid, targets, value, keys)
+    return made.select(*k, F.col("row").alias("yi"), F.col("column").alias("xi"), "easting", "northing", value)
+
+
+def spacing(df: DataFrame, axis: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The median distance of neighbouring coordinates of an axis (its resolution), for each key."""
+    k = list(keys)
+    places = df.select(*k, axis).where(F.col(axis).isNotNull()).distinct()
+    step = F.abs(F.col(axis) - F.lag(axis).over(Window.partitionBy(*(k or [F.lit(0)])).orderBy(axis)))
+    return places.withColumn("step", step).groupBy(*k).agg(F.median("step").alias("resolution"))
+
+
+def to_long(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value") -> DataFrame:
+    """A row a band instead of a column a band."""
+    return df.unpivot(keys, bands, band, value)
+
+
+def to_wide(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value") -> DataFrame:
+    """A column a band instead of a row a band; the bands are given, so no pass looks for them."""
+    return df.groupBy(*keys).pivot(band, bands).agg(F.first(value))
+
+
 def block_mean(grid: DataFrame, k: int, value: str = "elevation", keys: tuple[str, ...] = ("raster_id",)) -> DataFrame:
     rows, columns = F.floor(F.col("yi") / k).cast("int").alias("yi"), F.floor(F.col("xi") / k).cast("int").alias("xi")
     return grid.groupBy(*keys, rows, columns).agg(F.avg(value).alias(value))

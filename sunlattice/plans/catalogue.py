@@ -286,7 +286,9 @@ def export_pixels(s, d):
 @register(
     "utm_zone",
     f"""WITH {SITES} SELECT site_id, least(floor((lon + 180) / 6) + 1, 60)::INTEGER AS zone,
-      (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + least(floor((lon + 180) / 6) + 1, 60))::INTEGER AS epsg FROM sites""",
+      (CASE WHEN lat >= 0 THEN 32600 ELSE 32700 END + CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32
+      WHEN lat BETWEEN 72 AND 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END
+      ELSE least(floor((lon + 180) / 6) + 1, 60) END)::INTEGER AS epsg FROM sites""",
 )
 def utm_zone(s, d):
     return sites(s, d).select("site_id", resample.utm_zone(F.col("lon")).alias("zone"), resample.utm_epsg(F.col("lat"), F.col("lon")).alias("epsg"))
@@ -633,6 +635,25 @@ _terrain_query("terrain_rugosity", "rugosity", _rugosity_sql())
 # --- resampling and zones --------------------------------------------------------------------------------------------
 
 
+@register(
+    "bands_long_and_wide",
+    f"WITH {PIXELS} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(b01, 6) AS b01, round(b02, 6) AS b02, round(b8a, 6) AS b8a FROM pixels",
+)
+def bands_long_and_wide(s, d):
+    keys, bands = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["b01", "b02", "b8a"]
+    long = resample.to_long(pixels(s, d).select(*keys, *bands), bands, keys)
+    return resample.to_wide(long, bands, keys).select(*keys, *[F.round(b, 6).alias(b) for b in bands])
+
+
+@register(
+    "axis_spacing",
+    f"""WITH {SITES}, u AS (SELECT DISTINCT site_id % 7 AS g, lat FROM sites), d AS (SELECT g, abs(lat - lag(lat) OVER (PARTITION BY g ORDER BY lat)) AS step FROM u)
+    SELECT g, round(quantile_cont(step, 0.5), 6) AS resolution FROM d GROUP BY g""",
+)
+def axis_spacing(s, d):
+    return resample.spacing(sites(s, d).withColumn("g", F.col("site_id") % 7), "lat", ("g",)).select("g", F.round("resolution", 6).alias("resolution"))
+
+
 @register("block_mean", f"WITH {GRID} SELECT (yi // 4)::INTEGER AS yi, (xi // 4)::INTEGER AS xi, round(avg(elevation), 6) AS elevation FROM grid GROUP BY ALL")
 def block_mean(s, d):
     return resample.block_mean(grid(s, d), 4).select("yi", "xi", F.round("elevation", 6).alias("elevation"))

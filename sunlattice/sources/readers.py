@@ -6,11 +6,22 @@ Column pruning and filters reach the file scan because every reader is a plain D
 from __future__ import annotations
 
 import json
+import operator
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    GreaterThan,
+    GreaterThanOrEqual,
+    InputPartition,
+    LessThan,
+    LessThanOrEqual,
+)
 
 #: Catalogue providers and their collections.
 PROVIDERS = {"pc": "hls2-s30", "nasa": "HLSS30.v2.0"}
@@ -54,13 +65,13 @@ def pick_radiation(columns: list[str]) -> str:
 
 
 def insolation_csv(spark: SparkSession, path: str) -> DataFrame:
-    """time, solar_radiation of a CSV with a header; text that is no number is NULL."""
+    """time, solar_radiation of a CSV with a header, in no certain order; text that is no number is NULL."""
     raw = spark.read.option("header", True).csv(path)
     time = next((c for c in TIMES if c in raw.columns), None)
     if time is None:
         raise ValueError("no time column")
     value = F.col(pick_radiation(raw.columns)).try_cast("float").alias("solar_radiation")
-    return raw.select(F.col(time).try_cast("timestamp").cast("timestamp_ntz").alias("time"), value).orderBy("time")
+    return raw.select(F.col(time).try_cast("timestamp").cast("timestamp_ntz").alias("time"), value)
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
@@ -95,7 +106,8 @@ class CatalogueSource(DataSource):
     """Items of a catalogue given as inline JSON pages, one input partition a page: spark.read.format("catalogue").
 
     Options: pages (a JSON list of pages, each a list of items with id, datetime, cloud), provider. Failing pages are
-    retried by Spark's task retry. Filters on `cloud` are applied while reading.
+    retried by Spark's task retry. With the option pushdown=true (which needs spark.sql.python.filterPushdown.enabled)
+    comparisons of `cloud`, `datetime` and `id` with constants are applied while reading; other filters are left to Spark.
     """
 
     @classmethod
@@ -106,18 +118,35 @@ class CatalogueSource(DataSource):
         return "provider string, id string, datetime string, cloud double"
 
     def reader(self, schema) -> DataSourceReader:
-        return _CatalogueReader(self.options)
+        pushed = str(self.options.get("pushdown", "false")).lower() == "true"
+        return (_FilteringReader if pushed else _CatalogueReader)(self.options)
+
+
+_TESTS = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
 
 
 class _CatalogueReader(DataSourceReader):
     def __init__(self, options: dict):
         self.collection = provider(options.get("provider", "pc"))
         self.pages = json.loads(options.get("pages", "[]"))
+        self.tests: list[tuple[str, str, object]] = []
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(page) for page in self.pages]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        named = {kind.__name__: test for kind, test in _TESTS.items()}
         for item in partition.value:
             cloud = item.get("cloud")
-            yield self.collection, str(item["id"]), item.get("datetime"), None if cloud is None else float(cloud)
+            row = {"id": str(item["id"]), "datetime": item.get("datetime"), "cloud": None if cloud is None else float(cloud)}
+            if all(row[c] is not None and named[kind](row[c], value) for c, kind, value in self.tests):
+                yield self.collection, row["id"], row["datetime"], row["cloud"]
+
+
+class _FilteringReader(_CatalogueReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if type(f) in _TESTS and f.attribute in (("cloud",), ("datetime",), ("id",)):
+                self.tests.append((f.attribute[0], type(f).__name__, f.value))
+            else:
+                yield f

@@ -120,3 +120,41 @@ def test_cloud_statistics_pipeline(spark):
     got = pipeline.cloud_statistics(items, pixels, targets, 20.0, 1, min_valid=1).collect()
     # the closing clears the outer frame of a full mask, so inner cells see cloud and edges see less
     assert len(got) == 16 and all(0 <= r.ewma_final <= 100 for r in got) and max(r.ewma_final for r in got) > 80
+
+
+def test_reprojection_of_a_plane(spark):
+    from sunlattice.operators import resample
+
+    frame = {"lon0": 15.0, "lat0": 50.0, "dlon": 0.0004, "dlat": -0.0003}
+    df = spark.createDataFrame([("r", y, x) for y in range(20) for x in range(20)], "raster_id string, yi int, xi int")
+    at = resample.utm_forward(frame["lat0"] + F.col("yi") * frame["dlat"], frame["lon0"] + F.col("xi") * frame["dlon"], F.lit(33))
+    df = df.withColumn("elevation", 0.5 * at["easting"] + 0.25 * at["northing"])
+    rows = resample.reproject(df, frame, 33, False).collect()
+    inner = [r for r in rows if r.elevation is not None]
+    assert len(inner) > 200 and len(inner) < len(rows)
+    assert all(abs(r.elevation - 0.5 * r.easting - 0.25 * r.northing) < 0.01 for r in inner)
+    assert min(r.yi for r in rows) == 0 and min(r.xi for r in rows) == 0
+    assert resample.reproject(df.limit(0), frame, 33, False).count() == 0
+
+
+def test_zone_exceptions(spark):
+    from sunlattice.operators import resample
+
+    df = spark.createDataFrame([(60.0, 4.0), (60.0, 2.0), (78.0, 10.0), (78.0, 35.0), (-60.0, 4.0), (0.0, 180.0)], "lat double, lon double")
+    got = [r.e for r in df.select(resample.utm_epsg(F.col("lat"), F.col("lon")).alias("e")).collect()]
+    assert got == [32632, 32631, 32633, 32637, 32731, 32660]
+
+
+def test_catalogue_source_takes_filters(spark):
+    import json
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(readers.CatalogueSource)
+    pages = [[{"id": "a", "datetime": "2018-01-01", "cloud": 5}, {"id": "b", "datetime": "2018-02-01", "cloud": None}], [{"id": "c", "datetime": "2018-03-01", "cloud": 50}]]
+    items = spark.read.format("catalogue").option("pages", json.dumps(pages)).option("pushdown", "true").load()
+    assert [r.id for r in items.where("cloud <= 20").collect()] == ["a"]
+    assert sorted(r.id for r in items.where("datetime >= '2018-02-01'").collect()) == ["b", "c"]
+    assert sorted(r.id for r in items.where("cloud is null or cloud > 20").collect()) == ["b", "c"]
+    reader = readers.CatalogueSource({"pages": json.dumps(pages), "pushdown": "true"}).reader(None)
+    left = list(reader.pushFilters([readers.LessThanOrEqual(("cloud",), 20.0), readers.EqualTo(("provider",), "x")]))
+    assert len(left) == 1 and [r[1] for p in reader.partitions() for r in reader.read(p)] == ["a"]
