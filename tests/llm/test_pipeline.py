@@ -7,6 +7,7 @@ from collections import defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_group_operators import edited, find, plain_line_links, prose, shingles
 from test_row_operators import WORD, base, expected
 
@@ -111,3 +112,30 @@ def test_stages_keep_the_columns(spark):
     docs = spark.createDataFrame([(1, "x " * 30 + ".", "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_stages_take_empty_tables_nulls_and_clashing_names(spark):
+    schema = "doc_id long, text string, n_words string, kept int, spans string, n_lines double, _row int, n_chars long"
+    line = "The one line of the text is long enough to be judged by all of the rules that there are here, and then some."
+    rows = [(1, line, "a", 1, "b", 0.5, 7, 3), (1, line, "a", 1, "b", 0.5, 7, 3), (None, line + " More.", "c", 2, "d", 1.5, 8, 4), (3, None, None, None, None, None, None, None), (4, "", "e", 3, "f", 2.5, 9, 0)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, "clash")
+        assert got.dtypes == docs.dtypes, name
+        found = got.collect()
+        first = [r for r in found if r.doc_id == 1]
+        assert len(first) == 2 and all((r.n_words, r.kept, r.spans, r.n_lines, r._row) == ("a", 1, "b", 0.5, 7) for r in first), name
+        assert all(r.n_chars == len(r.text) for r in first) or name == "minhash_neardup"
+        assert len(found) == (3 if name == "quality_rules" else 5), name
+        assert stage(spark, docs.limit(0), "clash").count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "clash").count() == 5
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "clash").count() == 0
+
+
+def test_terms_fire_in_the_pipeline_stage(spark):
+    rows = [(i, f"the meeting {'alpha beta gamma delta'.split()[i]} zebrafish of boss@corp.example was short") for i in range(4)]
+    rows += [(100 + i, f"another meeting without anybody, number {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r for r in corpus_pipeline.pii_sanitisation(spark, docs, "terms").collect()}
+    assert len(got) == 44 and all("zebrafish" not in got[i].text and "[EMAIL]" in got[i].text and "meeting" in got[i].text for i in range(4))
+    assert all(got[i].text == t for i, t in rows[4:]) and all(r.n_chars == len(r.text) for r in got.values())
