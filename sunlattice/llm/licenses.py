@@ -292,7 +292,7 @@ def _sql() -> str:
     )
     grams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
-WITH t(i, license, anchor, before, n, g) AS (VALUES {rows}),
+WITH t(i, license, anchor, ahead, n, g) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 u AS (
   SELECT r, unnest(range(len(l))) AS line, unnest(l) AS unit
@@ -307,13 +307,13 @@ m AS (
   SELECT r, line, license, score FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY score DESC, i) AS k FROM s WHERE score >= {THRESHOLD})
   WHERE k = 1),
 x AS (SELECT r, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM d WHERE text IS NOT NULL),
-a AS (SELECT r, w AS whole, unnest(range(len(w))) AS at, unnest(w) AS anchor FROM x),
-v AS (SELECT r, i, license, g, list_slice(whole, greatest(at - before, 0) + 1, greatest(at - before, 0) + n) AS w FROM a JOIN t ON t.anchor = a.anchor),
+a AS (SELECT r, w AS whole, unnest(range(len(w))) AS place, unnest(w) AS anchor FROM x),
+v AS (SELECT r, i, license, g, list_slice(whole, greatest(place - ahead, 0) + 1, greatest(place - ahead, 0) + n) AS w FROM a JOIN t ON t.anchor = a.anchor),
 z AS (SELECT r, i, license, 2.0::DOUBLE * len(list_intersect({grams}, g)) / (len({grams}) + len(g)) AS score FROM v),
 y AS (
   SELECT r, -2 AS line, license, max(score) AS score FROM z WHERE score >= {THRESHOLD}
   AND NOT EXISTS (SELECT 1 FROM m WHERE m.r = z.r AND m.license = z.license) GROUP BY r, license),
-o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, line, license) AS best, count(*) OVER (PARTITION BY r) AS n FROM (FROM m UNION ALL FROM y))
+o AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, line, license) AS best, count(*) OVER (PARTITION BY r) AS n FROM (SELECT r, line, license, score FROM m UNION ALL SELECT r, line, license, score FROM y))
 SELECT d.doc_id, coalesce(o.n, 0)::BIGINT AS n_matches, o.license, round(o.score, 6) AS score, o.line::INTEGER AS line
 FROM d LEFT JOIN o ON o.r = d.r AND o.best = 1
 """
