@@ -490,6 +490,27 @@ def gapfill_ffill_bfill(s, d):
     return series.ffill_bfill(cube(s, d), ["pixel"], "t", "pct", "filled").select("pixel", "t", F.round("filled", 6).alias("filled"))
 
 
+@register(
+    "insolation_switch",
+    f"""WITH {SITES}, b AS (SELECT site_id, lat - 0.02::DOUBLE * (site_id % 4) AS a1, lat + 0.02::DOUBLE * (site_id % 4) AS a2, lon - 0.02::DOUBLE * (site_id % 3) AS o1, lon + 0.02::DOUBLE * (site_id % 3) AS o2 FROM sites),
+    h AS (SELECT user_id AS site_id, date_trunc('hour', ts) AS time, value, event_id FROM events),
+    p AS (SELECT site_id, time, avg(value) AS v FROM h WHERE site_id % 5 > 0 GROUP BY ALL),
+    s AS (SELECT p.site_id, p.time, (a1 + a2) / 2 AS latitude, (o1 + o2) / 2 AS longitude, v FROM p JOIN b ON b.site_id = p.site_id WHERE a2 - a1 <= 0.1 AND o2 - o1 <= 0.1),
+    g AS (SELECT h.site_id, time, (event_id % 2)::DOUBLE AS latitude, (event_id % 3)::DOUBLE AS longitude, avg(CASE WHEN event_id % 7 > 0 THEN value END) AS v FROM h
+      WHERE h.site_id IN (SELECT site_id FROM b) AND h.site_id NOT IN (SELECT site_id FROM s) GROUP BY ALL HAVING v IS NOT NULL)
+    SELECT site_id, time, round(latitude, 6) AS latitude, round(longitude, 6) AS longitude, round(v, 6) AS solar_radiation FROM (FROM s UNION ALL FROM g)""",
+)
+def insolation_switch(s, d):
+    i = F.col("site_id")
+    box = {"min_lat": F.col("lat") - 0.02 * (i % 4), "max_lat": F.col("lat") + 0.02 * (i % 4), "min_lon": F.col("lon") - 0.02 * (i % 3), "max_lon": F.col("lon") + 0.02 * (i % 3)}
+    h = table(s, d, "events").select(F.col("user_id").alias("site_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), "value", "event_id")
+    points = h.where("site_id % 5 > 0").groupBy("site_id", "time").agg(F.avg("value").alias("solar_radiation"))
+    e = F.col("event_id")
+    slices = h.select("site_id", "time", (e % 2).cast("double").alias("latitude"), (e % 3).cast("double").alias("longitude"), F.when(e % 7 > 0, F.col("value")).alias("ssrd"))
+    found = pipeline.insolation(sites(s, d).withColumns(box), points, slices)
+    return found.select("site_id", "time", *[F.round(c, 6).alias(c) for c in ("latitude", "longitude", "solar_radiation")])
+
+
 @register("gapfill_zero", f"WITH {CUBE} SELECT pixel, t, round(coalesce(pct, 0), 6) AS filled FROM cube")
 def gapfill_zero(s, d):
     return series.fill_zero(cube(s, d), "pct", "filled").select("pixel", "t", F.round("filled", 6).alias("filled"))

@@ -55,6 +55,24 @@ def fill_gaps(cube: DataFrame, method: str, keys: list[str], t: str, value: str,
     return series.fill_zero(cube, value, value) if method == "zero" else cube
 
 
+def insolation(areas: DataFrame, points: DataFrame, slices: DataFrame, small: float = 0.1) -> DataFrame:
+    """site_id, time, latitude, longitude, solar_radiation of each area, from one of two sources.
+
+    areas: site_id and its box. Where both spans are at most `small` degrees and there is a point series (site_id, time,
+    solar_radiation), that is taken, at the middle of the box; elsewhere the grid slices (site_id, time, latitude,
+    longitude, ssrd; several a time), averaged for each time and cell. Slices without a value have failed and are left out.
+    """
+    box = areas.select("site_id", "min_lat", "max_lat", "min_lon", "max_lon")
+    narrow = (F.col("max_lat") - F.col("min_lat") <= small) & (F.col("max_lon") - F.col("min_lon") <= small)
+    middle = [((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2).alias(n) for c, n in (("lat", "latitude"), ("lon", "longitude"))]
+    series_ = points.join(box.where(narrow).select("site_id", *middle), "site_id")
+    gridded = slices.join(series_.select("site_id").distinct(), "site_id", "left_anti").join(box.select("site_id"), "site_id", "left_semi")
+    value = F.when(~F.isnan("ssrd"), F.col("ssrd"))
+    averaged = gridded.groupBy("site_id", "time", "latitude", "longitude").agg(F.avg(value).alias("solar_radiation")).where("solar_radiation is not null")
+    columns = ["site_id", "time", "latitude", "longitude", "solar_radiation"]
+    return series_.select(columns).unionByName(averaged.select(columns))
+
+
 def interpolate_space(cube: DataFrame, t: str, value: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Along longitude, then along latitude, extrapolating at the ends."""
     out = cube
