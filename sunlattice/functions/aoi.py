@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,6 +134,34 @@ def parse_time_property(text: Column) -> dict[str, Column]:
     }
 
 
+def series_request(json: Column) -> dict[str, Column]:
+    """Box and times of a FeatureCollection's first feature (others are ignored); all NULL if it is none.
+
+    A point has a box without extent, a polygon that of its first ring. A `time` of three items is start, end and step, the
+    step cut to whole hours (none shorter than one); of any other number it is a list of dates.
+    """
+    g = F.from_json(json, GEOJSON)
+    feature = F.when(g["type"] == "FeatureCollection", F.get(g["features"], F.lit(0)))
+    at, rings = point_of(feature["geometry"]["coordinates"]), F.from_json(feature["geometry"]["coordinates"], f"array<{RING}>")
+    point = feature["geometry"]["type"] == "Point"
+    ring = F.get(rings, F.lit(0))
+
+    def side(which: Callable[[Column], Column], pick: Callable[[Column], Column]) -> Column:
+        return F.when(point, which(at)).otherwise(pick(F.transform(ring, which)))
+
+    items = F.from_json(feature["properties"]["time"], "array<string>")
+    start, end = parse_time(F.get(items, F.lit(0))), parse_time(F.get(items, F.lit(1)))
+    hours = F.floor(duration_seconds(F.get(items, F.lit(2))) / 3600).cast("int")
+    stepped = F.when((end >= start) & (hours >= 1), F.sequence(start, end, F.make_dt_interval(F.lit(0), hours)))
+    return {
+        "min_lon": side(_x, F.array_min),
+        "min_lat": side(_y, F.array_min),
+        "max_lon": side(_x, F.array_max),
+        "max_lat": side(_y, F.array_max),
+        "times": F.when(F.size(items) == 3, stepped).otherwise(F.transform(items, parse_time)),
+    }
+
+
 def adjust_area(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column, width: float = 0.1) -> dict[str, Column]:
     """Spans narrower than `width` degrees are widened about their middle; longitudes by width / cos(latitude)."""
     mid_lat, mid_lon = (lat_min + lat_max) / 2.0, (lon_min + lon_max) / 2.0

@@ -120,3 +120,22 @@ def test_cloud_cover_and_epsg(spark):
         e=scenes.item_epsg(F.lit("none"), F.lit("32633")),
     )
     assert (r.a, r.b, r.c, r.d, r.e) == (0.0, 1e9, 32737, 32637, 32633)
+
+
+def test_series_requests(spark):
+    import json
+
+    def asked(geometry, time, kind="FeatureCollection"):
+        feature = {"type": "Feature", "geometry": geometry, "properties": {"time": time}}
+        text = json.dumps({"type": kind, "features": [feature, feature]})
+        return one(spark, **aoi.series_request(F.lit(text)))
+
+    square = {"type": "Polygon", "coordinates": [[[1.0, 5.0], [3.0, 5.0], [3.0, 6.0], [1.0, 5.0]]]}
+    r = asked(square, ["2018-01-01", "2018-01-02", "PT12H30M"])
+    assert (r.min_lon, r.min_lat, r.max_lon, r.max_lat) == (1, 5, 3, 6)
+    assert [t.isoformat() for t in r.times] == ["2018-01-01T00:00:00", "2018-01-01T12:00:00", "2018-01-02T00:00:00"]
+    r = asked({"type": "Point", "coordinates": [10.0, 20.0]}, ["2018-01-01", "2018-03-05"])
+    assert (r.min_lon, r.max_lat) == (10, 20) and [t.day for t in r.times] == [1, 5]
+    assert asked(square, ["2018-01-01", "2018-01-02", "PT30M"]).times is None
+    assert asked(square, ["2018-01-02", "2018-01-01", "PT1H"]).times is None
+    assert asked(square, ["2018-01-01"], "Feature").times is None
