@@ -403,8 +403,9 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     touched, untouched = split_by(base, "_doc", known)
     same = untouched.withColumn("n_removed", F.lit(0).cast("long")).drop("_own", "_text", "_doc")
     left = F.transform(F.array(lines_of(F.col("text"))), _without)[0]
+    # merged at every size: the lists grow with the corpus and are never broadcast
     changed = (
-        touched.join(drops, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
+        touched.join(drops.hint("merge"), (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
         .withColumn("n_removed", F.coalesce(F.size("_drop"), F.lit(0)).cast("long"))
         .withColumn("text", F.when(F.col("_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(left))
     )
