@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from sunlattice.llm import ann, licenses, lines, minhash, packing, pii, quality, sentencepieces, sharding, warc
+from sunlattice.llm import ann, licenses, lines, minhash, packing, pii, quality, runs, sentencepieces, sharding, tries, vectors, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_pii_sanitisation": pii.op8_pii_sanitisation,
         "op9_bestfit_packing": packing.op9_bestfit_packing,
         "op10_sentencepiece": sentencepieces.op10_sentencepiece,
+        "op11_int8_embedding_neardup": vectors.op11_int8_embedding_neardup,
+        "op12_periodic_runs": runs.op12_periodic_runs,
+        "op13_conversation_trie": tries.op13_conversation_trie,
         "pipeline": corpus_pipeline.pipeline,
     }
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict:
         "op5_warc_revisits": warc.OP5_SQL,
         "op6_quality_rules": quality.OP6_SQL,
         "op7_license_scan": licenses.OP7_SQL,
+        "op11_int8_embedding_neardup": vectors.OP11_SQL,
+        "op13_conversation_trie": tries.OP13_SQL,
     }

@@ -51,11 +51,11 @@ def owner() -> Iterator[list[str]]:
             outer[-1].extend(own)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and return a DataFrame that reads them."""
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write the rows to the shared folder, a folder for each value of the column `by`, and return a DataFrame that reads them."""
     spark = df.sparkSession
     path = new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*[by] if by else []).parquet(path)
     if owners := _owners.get():
         owners[-1].append(path)
     read = spark.read.schema(df.schema).parquet(path)
