@@ -60,20 +60,18 @@ def radius_cells(radius_m: float, resolution_m: float) -> int:
 def disc_sums(df: DataFrame, values: list[str], r: int, keys: tuple[str, ...] = ("raster_id",)) -> DataFrame:
     """Sums over the disc x^2 + y^2 <= r^2 with edge cells replicated, for dense rasters: adds <value>_disc.
 
-    By chords: prefix sums along each row give every row's part of a disc for each of the r + 1 half widths in one window
-    pass; a cell then adds the parts of 2r + 1 rows, aggregated as weights of (row, cell) pairs, so a cell makes 2r + 1
-    rows instead of one for each of the disc's cells.
+    By chords: windows along each row give the row's part of a disc for each of the r + 1 half widths; windows along each
+    column then add the parts of 2r + 1 rows, so a cell is the sum of 2r + 1 chords instead of all of the disc's cells.
     """
     k = list(keys)
     row = Window.partitionBy(*k, "yi").orderBy("xi")
     whole = Window.partitionBy(*k, "yi")
     widths = [isqrt(r * r - d * d) for d in range(r + 1)]
-    size = F.max("yi").over(Window.partitionBy(*k))
-    parts = df.withColumn("_rows", size).withColumn("_last", F.max("xi").over(whole))
+    parts = df.withColumn("_first", F.min("xi").over(whole)).withColumn("_last", F.max("xi").over(whole))
     for v in values:
         for w in sorted(set(widths)):
             inner = F.sum(v).over(row.rangeBetween(-w, w))
-            left = F.greatest(F.lit(w) - F.col("xi"), F.lit(0)) * F.first(v).over(row.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+            left = F.greatest(F.col("_first") + w - F.col("xi"), F.lit(0)) * F.first(v).over(row.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             right = F.greatest(F.col("xi") + w - F.col("_last"), F.lit(0)) * F.last(v).over(row.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
             parts = parts.withColumn(f"_{v}_{w}", inner + left + right)
     column = Window.partitionBy(*k, "xi").orderBy("yi")
@@ -92,7 +90,7 @@ def disc_sums(df: DataFrame, values: list[str], r: int, keys: tuple[str, ...] =
                 at = F.col(name)
             total = total + at
         out = out.withColumn(f"{v}_disc", total)
-    return out.drop("_rows", "_last", *[f"_{v}_{w}" for v in values for w in set(widths)])
+    return out.drop("_first", "_last", *[f"_{v}_{w}" for v in values for w in set(widths)])
 
 
 def cloud_percentage(df: DataFrame, r: int, min_valid: int = 50, keys: tuple[str, ...] = ("raster_id",)) -> DataFrame:

@@ -122,14 +122,25 @@ def spacing(df: DataFrame, axis: str, keys: tuple[str, ...] = ()) -> DataFrame:
     return places.withColumn("step", step).groupBy(*k).agg(F.median("step").alias("resolution"))
 
 
-def to_long(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value") -> DataFrame:
-    """A row a band instead of a column a band."""
-    return df.unpivot(keys, bands, band, value)
+def to_long(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value", row: str | None = None) -> DataFrame:
+    """A row a band instead of a column a band. With `row` each row gets a number of that name, which keeps rows of equal
+    keys apart on the way back; without it keys are meant to be unique."""
+    numbered = df.withColumn(row, F.monotonically_increasing_id()) if row else df
+    return numbered.unpivot([*keys, *([row] if row else [])], bands, band, value)
 
 
-def to_wide(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value") -> DataFrame:
-    """A column a band instead of a row a band; the bands are given, so no pass looks for them."""
-    return df.groupBy(*keys).pivot(band, bands).agg(F.first(value))
+def to_wide(df: DataFrame, bands: list[str], keys: list[str], band: str = "band", value: str = "value", row: str | None = None) -> DataFrame:
+    """A column a band instead of a row a band; the bands are given, so no pass looks for them.
+
+    `row` is the number that `to_long` gave. Without it each key must have one value a band: a second one is an error,
+    as there is no telling which rows belong together.
+    """
+    if row:
+        return df.groupBy(*keys, row).pivot(band, bands).agg(F.first(value)).drop(row)
+    counts = df.groupBy(*keys, band).agg(F.first(value).alias(value), F.count("*").alias("_n"))
+    repeated = F.raise_error(F.lit(f"rows repeat a key of {', '.join(keys)}: give a row number"))
+    single = counts.withColumn(value, F.when(F.col("_n") == 1, F.col(value)).otherwise(repeated))
+    return single.groupBy(*keys).pivot(band, bands).agg(F.first(value))
 
 
 def block_mean(grid: DataFrame, k: int, value: str = "elevation", keys: tuple[str, ...] = ("raster_id",)) -> DataFrame:

@@ -74,10 +74,18 @@ def interpolate(df: DataFrame, keys: list[str], x: str, value: str, out: str, li
 
 
 def drop_missing(df: DataFrame, t: str, cell: list[str], value: str) -> DataFrame:
-    """Without the times and the cells that have no value at all (both judged on the original rows)."""
-    times = F.count(value).over(Window.partitionBy(t))
-    cells = F.count(value).over(Window.partitionBy(*cell))
-    return df.withColumn("_t", times).withColumn("_c", cells).where("_t > 0 and _c > 0").drop("_t", "_c")
+    """Without the times and the cells that have no value at all (both judged on the original rows).
+
+    Times and cells with a value are aggregated first, so that no task holds all cells of a time.
+    """
+    some = df.where(F.col(value).isNotNull())
+
+    def within(rows: DataFrame, keys: list[str]) -> DataFrame:
+        held = some.select([F.col(k).alias(f"_{k}") for k in keys]).distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+        return rows.join(held, same, "left_semi")
+
+    return within(within(df, [t]), cell)
 
 
 def alpha_eff(scenes: DataFrame, t: str, alpha: float, nominal_days: float, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -12,27 +12,19 @@ from sunlattice.operators import denoise as dn
 from sunlattice.operators import features, focal, resample, scenes, segments, series, terrain, zonal
 from sunlattice.plans import pipeline
 from sunlattice.plans.fixtures import CUBE, GRID, ITEMS, PIXELS, SCENES, SITES, cube, grid, items, pixels, scene_cells, scene_items, sites, table
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(plan):
-        _QUERIES[name] = plan
-        if sql:
-            _ORACLE[name] = sql
-        return plan
-
-    return add
+from sunlattice.plans.registry import ORACLE, PLANS, register
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    from sunlattice.plans import catalogue_areas  # its SQL is made of this module's parts
+
+    assert catalogue_areas
+    return dict(PLANS)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    queries()
+    return dict(ORACLE)
 
 
 def r6(**columns) -> list:
@@ -317,30 +309,35 @@ def utm_round_trip(s, d):
     return m.select("site_id", *r6(**resample.utm_inverse(F.col("easting"), F.col("northing"), F.col("zone"), F.col("lat") < 0)))
 
 
-_DURATIONS = ("P1DT12H", "PT0S", "P1M", "P30D", "PT90M", "P2W", "PT1H30M15S", "P", "PT", "P1DT", "-P1D", "P01DT00H")
-
-
 @register(
     "parse_iso_duration",
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"('{t}', {v}::BIGINT)"
-        for t, v in zip(_DURATIONS, (129600, "NULL", "NULL", 2592000, 5400, "NULL", 5415, "NULL", "NULL", "NULL", "NULL", 86400), strict=True)
-    )
-    + ") AS t(text, seconds)",
+    """WITH k AS (SELECT o_orderkey, o_orderkey % 9 AS d, o_orderkey % 23 AS h, o_orderkey % 57 AS m, o_orderkey % 6 AS kind FROM orders)
+    SELECT o_orderkey, nullif(CASE kind WHEN 0 THEN 86400 * d WHEN 1 THEN 3600 * h + 60 * m WHEN 2 THEN 86400 * d + 3600 * h WHEN 3 THEN 60 * m + 15 END, 0)::BIGINT AS seconds FROM k""",
 )
 def parse_iso_duration(s, d):
-    return s.createDataFrame([(t,) for t in _DURATIONS], "text string").select("text", aoi.duration_seconds(F.col("text")).alias("seconds"))
+    k = F.col("o_orderkey")
+    days, hours, minutes = ((k % n).cast("string") for n in (9, 23, 57))
+    text = (
+        F.when(k % 6 == 0, F.concat(F.lit("P"), days, F.lit("D")))
+        .when(k % 6 == 1, F.concat(F.lit("PT"), hours, F.lit("H"), minutes, F.lit("M")))
+        .when(k % 6 == 2, F.concat(F.lit("P"), days, F.lit("DT"), hours, F.lit("H")))
+        .when(k % 6 == 3, F.concat(F.lit("PT"), minutes, F.lit("M15S")))
+        .when(k % 6 == 4, F.concat(F.lit("P"), days, F.lit("W")))
+        .otherwise(F.concat(F.lit("-P"), days, F.lit("D")))
+    )
+    return table(s, d, "orders").select("o_orderkey", aoi.duration_seconds(text).alias("seconds"))
 
 
 @register(
     "schedule_points",
-    "SELECT unnest(generate_series(TIMESTAMP '2018-01-01', TIMESTAMP '2019-01-01', INTERVAL 30 DAY)) AS target",
+    """SELECT o_orderkey, unnest(generate_series(o_orderdate::TIMESTAMP, o_orderdate::TIMESTAMP + to_days((o_orderkey % 90)::INTEGER), to_days((10 + o_orderkey % 30)::INTEGER))) AS target FROM orders""",
 )
 def schedule_points(s, d):
-    span = s.createDataFrame([("2018-01-01", "2019-01-01", "P30D")], "a string, b string, step string")
-    points = aoi.schedule(aoi.parse_time(F.col("a")), aoi.parse_time(F.col("b")), aoi.duration(F.col("step")))
-    return span.select(F.explode(points).alias("target"))
+    k, day = F.col("o_orderkey"), F.to_date("o_orderdate")
+    start, end = day.cast("string"), F.date_add(day, (k % 90).cast("int")).cast("string")
+    step = F.concat(F.lit("P"), (10 + k % 30).cast("string"), F.lit("D"))
+    points = aoi.schedule(aoi.parse_time(start), aoi.parse_time(end), aoi.duration(step))
+    return table(s, d, "orders").select("o_orderkey", F.explode(points).alias("target"))
 
 
 @register(
@@ -662,8 +659,8 @@ _terrain_query("terrain_rugosity", "rugosity", _rugosity_sql())
 )
 def bands_long_and_wide(s, d):
     keys, bands = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], ["b01", "b02", "b8a"]
-    long = resample.to_long(pixels(s, d).select(*keys, *bands), bands, keys)
-    return resample.to_wide(long, bands, keys).select(*keys, *[F.round(b, 6).alias(b) for b in bands])
+    long = resample.to_long(pixels(s, d).select(*keys, *bands), bands, keys, row="n")
+    return resample.to_wide(long, bands, keys, row="n").select(*keys, *[F.round(b, 6).alias(b) for b in bands])
 
 
 @register(

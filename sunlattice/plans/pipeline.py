@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunlattice.functions import finance, scoring, spectral
+from sunlattice.operators import areas as area_cells
 from sunlattice.operators import features, focal, scenes, segments, series, terrain
 from sunlattice.plans.fixtures import cube, grid, sites, table
 
@@ -100,6 +101,34 @@ def cloud_statistics(
     return series.ewma_final(percent.join(F.broadcast(steps), "t"), ["yi", "xi"], "t", "cloud_percentage_local")
 
 
+def area_cloud_statistics(
+    areas: DataFrame, targets: DataFrame, items: DataFrame, pixels: DataFrame, max_cloud: float, r: int, mode: str = "balanced", min_valid: int = 50, days: int = 20, alpha: float = 0.1, nominal_days: float = 1.0
+) -> DataFrame:
+    """area_id, yi, xi and the final cloud average of each cell of every area's box: one plan for all areas.
+
+    areas: area_id, tile, ring (in cell units of the tile), rectangle; targets: area_id, target; items: tile, id, datetime,
+    cloud; pixels: scene_id, yi, xi, bands, fmask. Each target takes the nearest scene of the area's tile within `days`
+    (`nearest_in_window`), each scene of an area counts once. Masks are made on the whole box; outside the ring bands are
+    then missing and the mask is 0, so those cells are no valid ones of a neighbourhood. Areas without a scene have no rows.
+    """
+    tiles = areas.select("area_id", "tile").distinct()
+    asked = targets.join(tiles, "area_id")
+    nearest = area_cells.nearest_in_window(items, asked.select("tile", "target").distinct(), "tile", days, max_cloud)
+    chosen = asked.join(nearest.where("scene_id is not null"), ["tile", "target"])
+    chosen = chosen.select("area_id", "tile", "scene_id", F.col("scene_time").alias("t")).distinct()
+    strips = area_cells.area_strips(areas, ["area_id", "tile"], rectangle="rectangle").join(chosen, ["area_id", "tile"]).drop("tile")
+    cells = area_cells.cells_of(pixels, strips, "scene_id")
+    keys = ("area_id", "scene_id")
+    made = cells.withColumns(spectral.indices())
+    parts = {k: c.cast("int") for k, c in spectral.hybrid_parts(mode).items()}
+    flagged = made.withColumns(parts | {"valid": spectral.valid_observation()}).select(*keys, "t", "yi", "xi", "inside", "valid", *parts)
+    masked = focal.hybrid_mask(flagged, keys)
+    masked = masked.withColumns({"mask": F.when(F.col("inside"), F.col("mask")).otherwise(0), "valid": F.col("valid") & F.col("inside")})
+    percent = focal.cloud_percentage(masked, r, min_valid, keys)
+    steps = series.alpha_eff(chosen.select("area_id", "t").distinct(), "t", alpha, nominal_days, ("area_id",))
+    return series.ewma_final(percent.join(steps, ["area_id", "t"]), ["area_id", "yi", "xi"], "t", "cloud_percentage_local")
+
+
 def classify_regions(terrain_table: DataFrame, variable: str = "max_curvature", threshold: float = 0.1, min_pixels: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(cells with class and cluster, class statistics, polygons)."""
     name = variable if variable in terrain_table.columns else {"maximum_curvature": "max_curvature"}.get(variable, variable)
