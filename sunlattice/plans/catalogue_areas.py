@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sunlattice.operators import areas
+from sunlattice.operators import areas, resample, warp
 from sunlattice.plans import pipeline
-from sunlattice.plans.catalogue import _CELL_INDEX, _FOLD, _scene_stencil
-from sunlattice.plans.fixtures import PIXELS, SCENES, pixels, scene_cells, scene_items, sites, table
+from sunlattice.plans.catalogue import _CELL_INDEX, _DENOISE_SQL, _FOLD, _scene_stencil
+from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
 
 #: Outline of the areas of suppliers, about their middle and in units of their radius; not convex.
@@ -137,3 +137,94 @@ def area_cloud_statistics(s, d):
     return final.select("area_id", "yi", "xi", F.round("ewma_final", 6).alias("ewma_perc"))
 
 
+# --- grids of several projections ------------------------------------------------------------------------------------
+
+_SCALE = resample.K0 * resample.RADIUS
+
+
+def _forward_sql(name: str, source: str, zone: str, south: str = "false") -> str:
+    """CTEs up to `name`: the columns of `source` (with lat and lon), easting and northing."""
+    e = " + ".join(["ee"] + [f"({a!r}::DOUBLE * cos({2 * j} * xx) * sinh({2 * j} * ee))" for j, a in enumerate(resample.ALPHA, 1)])
+    n = " + ".join(["xx"] + [f"({a!r}::DOUBLE * sin({2 * j} * xx) * cosh({2 * j} * ee))" for j, a in enumerate(resample.ALPHA, 1)])
+    k = 2 * resample.N**0.5 / (1 + resample.N)
+    return f"""{name}_1 AS (SELECT *, sinh(atanh(sin(radians(lat))) - {k!r}::DOUBLE * atanh({k!r}::DOUBLE * sin(radians(lat)))) AS tt, radians(lon) - radians(6.0::DOUBLE * {zone} - 183.0::DOUBLE) AS ll FROM {source}),
+    {name}_2 AS (SELECT *, atan2(tt, cos(ll)) AS xx, atanh(sin(ll) / sqrt(1 + tt * tt)) AS ee FROM {name}_1),
+    {name} AS (SELECT * EXCLUDE (tt, ll, xx, ee), 500000.0::DOUBLE + {_SCALE!r}::DOUBLE * ({e}) AS easting, CASE WHEN {south} THEN 1e7::DOUBLE ELSE 0 END + {_SCALE!r}::DOUBLE * ({n}) AS northing FROM {name}_2)"""
+
+
+def _inverse_sql(name: str, source: str, zone: str, south: str = "false") -> str:
+    """CTEs up to `name`: the columns of `source` (with px and py in metres), lat and lon."""
+    x = " - ".join(["xx"] + [f"({b!r}::DOUBLE * sin({2 * j} * xx) * cosh({2 * j} * ee))" for j, b in enumerate(resample.BETA, 1)])
+    y = " - ".join(["ee"] + [f"({b!r}::DOUBLE * cos({2 * j} * xx) * sinh({2 * j} * ee))" for j, b in enumerate(resample.BETA, 1)])
+    phi = " + ".join(["chi"] + [f"({d!r}::DOUBLE * sin({2 * j} * chi))" for j, d in enumerate(resample.DELTA, 1)])
+    return f"""{name}_1 AS (SELECT *, (py - CASE WHEN {south} THEN 1e7::DOUBLE ELSE 0 END) / {_SCALE!r}::DOUBLE AS xx, (px - 500000.0::DOUBLE) / {_SCALE!r}::DOUBLE AS ee FROM {source}),
+    {name}_2 AS (SELECT *, {x} AS x2, {y} AS y2 FROM {name}_1), {name}_3 AS (SELECT *, asin(sin(x2) / cosh(y2)) AS chi FROM {name}_2),
+    {name} AS (SELECT * EXCLUDE (xx, ee, x2, y2, chi), degrees({phi}) AS lat, degrees(atan2(sinh(y2), cos(x2))) + 6.0::DOUBLE * {zone} - 183.0::DOUBLE AS lon FROM {name}_3)"""
+
+
+def _corners_sql(name: str, source: str, keys: str) -> str:
+    """CTE of (keys, yi, xi, sy, sx, w, near) from places fy, fx."""
+    return f"""{name} AS (SELECT {keys}, yi, xi, floor(fy) + a AS sy, floor(fx) + b AS sx, (CASE a WHEN 0 THEN 1 - (fy - floor(fy)) ELSE fy - floor(fy) END) * (CASE b WHEN 0 THEN 1 - (fx - floor(fx)) ELSE fx - floor(fx) END) AS w,
+      floor(fy + 0.5) = floor(fy) + a AND floor(fx + 0.5) = floor(fx) + b AS near FROM {source}, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, b))"""
+
+
+_SCENE_FRAMES = "frames AS (SELECT s_suppkey AS scene_id, 31 + s_suppkey % 3 AS zone, CASE s_suppkey % 3 WHEN 0 THEN 690000.0::DOUBLE WHEN 1 THEN 500000.0::DOUBLE ELSE 270000.0::DOUBLE END + s_suppkey % 5 * 2900 AS x0, 5300000.0::DOUBLE + s_suppkey % 7 * 3100 AS y0 FROM supplier)"
+
+
+@register(
+    "scenes_on_one_grid",
+    f"""WITH {SCENES}, {_SCENE_FRAMES}, mid AS (SELECT *, x0 + 16500 AS px, y0 - 16500 AS py FROM frames), {_inverse_sql("middeg", "mid", "zone")}, {_forward_sql("midto", "middeg", "32")},
+    cand AS (SELECT scene_id, zone, x0, y0, (round((6000000.0::DOUBLE - northing) / 3000) + a)::INTEGER AS yi, (round((easting - 1500.0::DOUBLE) / 3000) + b)::INTEGER AS xi FROM midto, range(-14, 15) p(a), range(-14, 15) q(b)),
+    spot AS (SELECT *, 1500.0::DOUBLE + xi * 3000.0::DOUBLE AS px, 6000000.0::DOUBLE - yi * 3000.0::DOUBLE AS py FROM cand), {_inverse_sql("deg", "spot", "32")}, {_forward_sql("met0", "deg", "zone")},
+    place AS (SELECT scene_id, yi, xi, round((northing - y0) / -3000.0::DOUBLE, 6) AS fy, round((easting - x0) / 3000.0::DOUBLE, 6) AS fx FROM met0), {_corners_sql("corner", "place", "scene_id")},
+    met AS (SELECT corner.*, cells.b04, cells.fmask, cells.scene_id IS NOT NULL AS hit FROM corner LEFT JOIN cells ON cells.scene_id = corner.scene_id AND cells.yi = sy AND cells.xi = sx WHERE w > 0 OR near)
+    SELECT scene_id, yi, xi, CASE WHEN count(*) FILTER (w > 0) = count(b04) FILTER (w > 0) THEN round(sum(w * b04) FILTER (w > 0), 6) END AS b04, max(fmask) FILTER (near) AS fmask
+    FROM met GROUP BY scene_id, yi, xi HAVING bool_or(hit)""",
+)
+def scenes_on_one_grid(s, d):
+    k = F.col("s_suppkey")
+    frames = table(s, d, "supplier").select(
+        k.alias("scene_id"),
+        (31 + k % 3).cast("int").alias("zone"),
+        F.lit(False).alias("south"),
+        (F.when(k % 3 == 0, 690000.0).when(k % 3 == 1, 500000.0).otherwise(270000.0) + k % 5 * 2900).alias("x0"),
+        (5300000.0 + k % 7 * 3100).alias("y0"),
+        F.lit(3000.0).alias("dx"),
+        F.lit(-3000.0).alias("dy"),
+        F.lit(12).alias("rows"),
+        F.lit(12).alias("columns"),
+    )
+    common = warp.onto(frames, zone=32, south=False, x0=1500.0, y0=6000000.0, dx=3000.0, dy=-3000.0)
+    moved = warp.warp(scene_cells(s, d), common, ["b04"], ("fmask",), ("scene_id",))
+    return moved.select("scene_id", "yi", "xi", F.round("b04", 6).alias("b04"), "fmask")
+
+
+_EDGE = sorted({(a, b) for i in range(warp.SIDE + 1) for a, b in ((i / warp.SIDE, 0.0), (i / warp.SIDE, 1.0), (0.0, i / warp.SIDE), (1.0, i / warp.SIDE))})
+_GAUSS = _DENOISE_SQL["gaussian"].replace(f"WITH {GRID}, ", "").replace("grid", "metric").replace("round(", "(").replace(", 6) AS elevation", ") AS elevation")
+
+
+def _round_trip_sql() -> str:
+    image, _, kernel = _GAUSS.partition("\n    SELECT yi, xi, ")
+    edge = ", ".join(f"({a}::DOUBLE, {b}::DOUBLE)" for a, b in _EDGE)
+    return f"""WITH {GRID}, size AS (SELECT max(yi) + 1 AS nrow, {WIDTH} AS ncol FROM grid),
+    edge AS (SELECT a, b, nrow, ncol, 9.0::DOUBLE + (ncol * a - 0.5) * 0.0005::DOUBLE AS lon, 48.5::DOUBLE - (nrow * b - 0.5) * 0.0005::DOUBLE AS lat FROM size, (VALUES {edge}) v(a, b)), {_forward_sql("edged", "edge", "32")},
+    f AS (SELECT *, x_lo + c / 2 AS x0, y_hi - c / 2 AS y0, ceil((y_hi - y_lo) / c) AS m, ceil((x_hi - x_lo) / c) AS n FROM (
+      SELECT min(easting) AS x_lo, max(easting) AS x_hi, min(northing) AS y_lo, max(northing) AS y_hi, any_value(nrow) AS nrow, any_value(ncol) AS ncol,
+      sqrt((max(easting) FILTER (a = 1 AND b = 1) - max(easting) FILTER (a = 0 AND b = 0)) ** 2 + (max(northing) FILTER (a = 1 AND b = 1) - max(northing) FILTER (a = 0 AND b = 0)) ** 2) / sqrt(any_value(nrow) ** 2 + any_value(ncol) ** 2) AS c FROM edged)),
+    spot AS (SELECT y::INTEGER AS yi, x::INTEGER AS xi, x0 + x * c AS px, y0 - y * c AS py FROM f CROSS JOIN LATERAL (SELECT unnest(range(0, m::BIGINT)) AS y) CROSS JOIN LATERAL (SELECT unnest(range(0, n::BIGINT)) AS x)), {_inverse_sql("deg", "spot", "32")},
+    place AS (SELECT yi, xi, round((lat - 48.5::DOUBLE) / -0.0005::DOUBLE, 6) AS fy, round((lon - 9.0::DOUBLE) / 0.0005::DOUBLE, 6) AS fx FROM deg), {_corners_sql("corner", "place", "1 AS k")},
+    metric AS (SELECT corner.yi, corner.xi, CASE WHEN count(*) = count(elevation) THEN sum(w * elevation) END AS elevation FROM corner LEFT JOIN grid ON grid.yi = sy AND grid.xi = sx WHERE w > 0
+      GROUP BY corner.yi, corner.xi HAVING count(elevation) > 0),
+    {image}, quiet AS (SELECT yi, xi, {kernel}),
+    own AS (SELECT yi, xi, 9.0::DOUBLE + xi * 0.0005::DOUBLE AS lon, 48.5::DOUBLE - yi * 0.0005::DOUBLE AS lat FROM grid), {_forward_sql("ownto", "own", "32")},
+    back AS (SELECT ownto.yi, ownto.xi, round((northing - y0) / -c, 6) AS fy, round((easting - x0) / c, 6) AS fx FROM ownto, f), {_corners_sql("corner2", "back", "1 AS k")}
+    SELECT corner2.yi, corner2.xi, CASE WHEN count(*) = count(quiet.elevation) THEN round(sum(w * quiet.elevation), 4) END AS elevation FROM corner2 LEFT JOIN quiet ON quiet.yi = sy AND quiet.xi = sx WHERE w > 0 GROUP BY corner2.yi, corner2.xi"""
+
+
+@register("denoise_utm_round_trip", _round_trip_sql())
+def denoise_utm_round_trip(s, d):
+    cells = grid(s, d).select("raster_id", "yi", "xi", "elevation")
+    sizes = cells.groupBy("raster_id").agg((F.max("yi") + 1).alias("rows"))
+    place = {"zone": F.lit(None).cast("int"), "south": F.lit(False), "x0": F.lit(9.0), "y0": F.lit(48.5), "dx": F.lit(0.0005), "dy": F.lit(-0.0005), "columns": F.lit(WIDTH)}
+    frames = sizes.withColumns(place)
+    return warp.denoise_round_trip(cells, frames, "gaussian").select("yi", "xi", F.round("elevation_denoised", 4).alias("elevation"))
