@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sunlattice.operators import areas, resample, warp
+from sunlattice.operators import areas, resample, segments, warp
 from sunlattice.plans import pipeline
-from sunlattice.plans.catalogue import _CELL_INDEX, _DENOISE_SQL, _FOLD, _scene_stencil
+from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil
 from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
 
@@ -228,3 +228,37 @@ def denoise_utm_round_trip(s, d):
     place = {"zone": F.lit(None).cast("int"), "south": F.lit(False), "x0": F.lit(9.0), "y0": F.lit(48.5), "dx": F.lit(0.0005), "dy": F.lit(-0.0005), "columns": F.lit(WIDTH)}
     frames = sizes.withColumns(place)
     return warp.denoise_round_trip(cells, frames, "gaussian").select("yi", "xi", F.round("elevation_denoised", 4).alias("elevation"))
+
+
+# --- outlines of regions ---------------------------------------------------------------------------------------------
+
+
+@register(
+    "region_outlines",
+    f"""{_COMPONENTS}, z AS (SELECT slope_class, label, count(*) AS size FROM n JOIN r ON r.id = n.id GROUP BY ALL),
+    m AS (SELECT *, row_number() OVER (PARTITION BY slope_class ORDER BY label) AS nth FROM z),
+    c AS MATERIALIZED (SELECT n.yi, n.xi, (CASE WHEN n.slope_class = 0 THEN nth ELSE -nth END)::INTEGER AS cluster_id FROM n JOIN r ON r.id = n.id JOIN m ON m.slope_class = n.slope_class AND m.label = r.label WHERE size >= 5),
+    sides AS (SELECT c.cluster_id, count(*) AS perimeter FROM c CROSS JOIN (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) WHERE NOT EXISTS (FROM c o WHERE o.cluster_id = c.cluster_id AND o.yi = c.yi + dy AND o.xi = c.xi + dx) GROUP BY ALL),
+    quads AS (SELECT cluster_id, yi + a AS y, xi + b AS x, count(*) AS k, sum(CASE WHEN a = b THEN 1 ELSE -1 END) AS lean FROM c CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) q(a, b) GROUP BY ALL),
+    turns AS (SELECT cluster_id, sum(CASE WHEN k % 2 = 1 THEN 1 WHEN k = 2 AND abs(lean) = 2 THEN 2 ELSE 0 END) AS corners FROM quads GROUP BY cluster_id)
+    SELECT cluster_id, count(*) AS cells, any_value(perimeter)::BIGINT AS perimeter, any_value(corners)::BIGINT AS corners FROM c JOIN sides USING (cluster_id) JOIN turns USING (cluster_id) GROUP BY cluster_id""",
+)
+def region_outlines(s, d):
+    rings = segments.outlines(segments.cluster_ids(_classes(s, d), 5))
+
+    def steps(c):
+        near = F.col(c)
+        moved = F.zip_with(near, F.concat(F.slice(near, 2, F.size(near)), F.slice(near, 1, 1)), lambda a, b: F.abs(b - a))
+        return F.aggregate(moved, F.lit(0).cast("long"), lambda t, v: t + v)
+
+    return rings.groupBy("cluster_id").agg(
+        F.expr("sum(area2) div 2").alias("cells"), F.sum(steps("ys") + steps("xs")).alias("perimeter"), F.sum(F.size("ys")).cast("long").alias("corners")
+    )
+
+
+@register("polygons_simplified")
+def polygons_simplified(s, d):
+    cells = segments.cluster_ids(_classes(s, d), 5)
+    size = cells.groupBy("raster_id").agg((F.max("yi") + 1).alias("rows"), (F.max("xi") + 1).alias("columns"))
+    frame = size.withColumns({"lon0": F.lit(9.0), "lat0": F.lit(48.5), "lon1": F.lit(9.0) + (F.col("columns") - 1) * 0.0003, "lat1": F.lit(48.5) - (F.col("rows") - 1) * 0.0003})
+    return segments.polygons_in_degrees(cells, frame).select("cluster_id", "class", "class_name", F.round("area_deg2", 12).alias("area_deg2"), "ring")

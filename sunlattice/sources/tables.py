@@ -22,4 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/iterations/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._cut_path = path
+    return read
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that `cut` has made. Plans that still read it fail then."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
