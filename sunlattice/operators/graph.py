@@ -16,21 +16,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
     is written to the shared folder; rounds go on, logarithmically many in practice, until the edges stay the same.
     """
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = mark(now)
-    while seen[0]:
+    mark = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u"))}
+    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **mark)
+    while now.noted["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         hung = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = hung.groupBy("u").agg(F.min("v").alias("m"))
         rest = hung.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, cut(rest.unionByName(down.withColumnRenamed("m", "v")).distinct())
+        before, now = now, cut(rest.unionByName(down.withColumnRenamed("m", "v")).distinct(), **mark)
         discard(before)
-        last, seen = seen, mark(now)
-        if seen == last:
+        if now.noted == before.noted:
             break
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)

@@ -100,10 +100,10 @@ def components8(df: DataFrame, column: str = "slope_class", keys: tuple[str, ...
     crossing = [F.floor(F.col(a) / tile) != F.floor(F.col(b) / tile) for a, b in (("yi", "ny"), ("xi", "nx"))]
     toward = toward.where(crossing[0] | crossing[1]).select(*k, column, "ny", "nx", F.col("part").alias("_u"))
     there = border.select(*k, column, F.col("yi").alias("ny"), F.col("xi").alias("nx"), F.col("part").alias("_v"))
-    touching = cut(toward.join(there, [*k, column, "ny", "nx"]).select(*k, "_u", "_v").distinct())
+    touching = cut(toward.join(there, [*k, column, "ny", "nx"]).select(*k, "_u", "_v").distinct(), n=F.count("*"))
     node = lambda n: F.struct(*k, F.col(n).alias("part"))
     low = parts
-    if not touching.isEmpty():
+    if touching.noted["n"]:
         regions = connected_components(touching.select(node("_u").alias("u"), node("_v").alias("v")))
         found = regions.select(*[F.col("node")[c].alias(c) for c in (*k, "part")], F.col("label")["part"].alias("_low"))
         low = parts.join(found, [*k, "part"], "left").withColumn("part", F.coalesce("_low", "part")).drop("_low")
@@ -250,11 +250,11 @@ def outlines(df: DataFrame, keys: tuple[str, ...] = ("raster_id",), tile: int =
         same = [pa.array([table[c][0].as_py()] * n, table[c].type) for c in k]
         return pa.table([*same, *[pa.array(v, arrow.get(c, pa.int64())) for c, v in made.items()]], names=[*k, *made])
 
-    paths = cut(dealt.groupBy(*k, "_ty", "_tx").applyInArrow(trace, schema))
+    paths = cut(dealt.groupBy(*k, "_ty", "_tx").applyInArrow(trace, schema), crossing=F.count_if(F.col("first") != F.col("next")))
     node = lambda n: F.struct(*k, F.col(n).alias("side"))
     crossing = paths.where(F.col("first") != F.col("next"))
     ring = F.col("first")
-    if not crossing.isEmpty():
+    if paths.noted["crossing"]:
         joined = connected_components(crossing.select(node("first").alias("u"), node("next").alias("v")))
         found = joined.select(*[F.col("node")[c].alias(c) for c in k], F.col("node")["side"].alias("first"), F.col("label")["side"].alias("_ring"))
         paths, ring = paths.join(found, [*k, "first"], "left"), F.coalesce("_ring", "first")

@@ -19,8 +19,8 @@ from sunlattice.operators.resample import ALPHA, BETA, DELTA, EASTING, K0, RADIU
 FRAME = ("zone", "south", "x0", "y0", "dx", "dy", "rows", "columns")
 #: Places along each side of a raster that are mapped to find what it covers, and the cells added around that.
 SIDE, MARGIN = 16, 1
-#: Digits of a place in cell units: a millionth of a cell, so that rounding never asks for a neighbour of no weight.
-DIGITS = 6
+#: Digits of a place in cell units, so that rounding never asks for a neighbour of no weight.
+DIGITS = 9
 
 
 def _staged(df: DataFrame, *steps: dict[str, Column]) -> DataFrame:

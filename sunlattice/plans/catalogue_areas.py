@@ -37,7 +37,7 @@ _INSIDE = "(SELECT count(*) FILTER ((y1 > yi) <> (y2 > yi) AND xi < (x2 - x1) *
     p AS (SELECT l_suppkey % 10 AS raster_id, l_orderkey % 100 AS yi, l_partkey % 100 AS xi, b04, fmask FROM pixels),
     c AS (SELECT area_id, p.* FROM p JOIN box ON box.area_id % 10 = p.raster_id AND xi BETWEEN x_lo AND x_hi AND yi BETWEEN y_lo AND y_hi),
     m AS (SELECT c.*, {_INSIDE} AS inside FROM c)
-    SELECT area_id, count(*) AS cells, count(*) FILTER (inside) AS inside, round(avg(b04) FILTER (inside), 6) AS b04_mean,
+    SELECT area_id, count(*) AS cells, count(*) FILTER (inside) AS inside, round(avg(b04) FILTER (inside), 12) AS b04_mean,
       sum(CASE WHEN inside THEN fmask ELSE 0 END)::BIGINT AS mask_sum FROM m GROUP BY area_id""",
 )
 def area_masks(s, d):
@@ -48,7 +48,7 @@ def area_masks(s, d):
     )
     masked = areas.masked_cells(cells, areas.area_strips(rings, ["area_id", "raster_id"]), "raster_id", ["b04"], "fmask")
     return masked.groupBy("area_id").agg(
-        F.count("*").alias("cells"), F.count_if("inside").alias("inside"), F.round(F.avg("b04"), 6).alias("b04_mean"), F.sum("fmask").alias("mask_sum")
+        F.count("*").alias("cells"), F.count_if("inside").alias("inside"), F.round(F.avg("b04"), 12).alias("b04_mean"), F.sum("fmask").alias("mask_sum")
     )
 
 
@@ -176,8 +176,8 @@ _SCENE_FRAMES = "frames AS (SELECT s_suppkey AS scene_id, 31 + s_suppkey % 3 AS
     f"""WITH {SCENES}, {_SCENE_FRAMES}, mid AS (SELECT *, x0 + 16500 AS px, y0 - 16500 AS py FROM frames), {_inverse_sql("middeg", "mid", "zone")}, {_forward_sql("midto", "middeg", "32")},
     cand AS (SELECT scene_id, zone, x0, y0, (round((6000000.0::DOUBLE - northing) / 3000) + a)::INTEGER AS yi, (round((easting - 1500.0::DOUBLE) / 3000) + b)::INTEGER AS xi FROM midto, range(-14, 15) p(a), range(-14, 15) q(b)),
     spot AS (SELECT *, 1500.0::DOUBLE + xi * 3000.0::DOUBLE AS px, 6000000.0::DOUBLE - yi * 3000.0::DOUBLE AS py FROM cand), {_inverse_sql("deg", "spot", "32")}, {_forward_sql("met0", "deg", "zone")},
-    place AS (SELECT scene_id, yi, xi, round((northing - y0) / -3000.0::DOUBLE, 6) AS fy, round((easting - x0) / 3000.0::DOUBLE, 6) AS fx FROM met0), {_corners_sql("corner", "place", "scene_id")},
-    met AS (SELECT corner.*, cells.b04, cells.fmask, cells.scene_id IS NOT NULL AS hit FROM corner LEFT JOIN cells ON cells.scene_id = corner.scene_id AND cells.yi = sy AND cells.xi = sx WHERE w > 0 OR near)
+    place AS (SELECT scene_id, yi, xi, round((CASE zone WHEN 32 THEN py ELSE northing END - y0) / -3000.0::DOUBLE, 9) AS fy, round((CASE zone WHEN 32 THEN px ELSE easting END - x0) / 3000.0::DOUBLE, 9) AS fx FROM met0), {_corners_sql("corner", "place", "scene_id")},
+    met AS (SELECT corner.*, sqrt(cells.b04 + 0.1::DOUBLE) AS b04, cells.fmask, cells.scene_id IS NOT NULL AS hit FROM corner LEFT JOIN cells ON cells.scene_id = corner.scene_id AND cells.yi = sy AND cells.xi = sx WHERE w > 0 OR near)
     SELECT scene_id, yi, xi, CASE WHEN count(*) FILTER (w > 0) = count(b04) FILTER (w > 0) THEN round(sum(w * b04) FILTER (w > 0), 6) END AS b04, max(fmask) FILTER (near) AS fmask
     FROM met GROUP BY scene_id, yi, xi HAVING bool_or(hit)""",
 )
@@ -195,7 +195,7 @@ def scenes_on_one_grid(s, d):
         F.lit(12).alias("columns"),
     )
     common = warp.onto(frames, zone=32, south=False, x0=1500.0, y0=6000000.0, dx=3000.0, dy=-3000.0)
-    moved = warp.warp(scene_cells(s, d), common, ["b04"], ("fmask",), ("scene_id",))
+    moved = warp.warp(scene_cells(s, d).withColumn("b04", F.sqrt(F.col("b04") + 0.1)), common, ["b04"], ("fmask",), ("scene_id",))
     return moved.select("scene_id", "yi", "xi", F.round("b04", 6).alias("b04"), "fmask")
 
 
@@ -212,12 +212,12 @@ def _round_trip_sql() -> str:
       SELECT min(easting) AS x_lo, max(easting) AS x_hi, min(northing) AS y_lo, max(northing) AS y_hi, any_value(nrow) AS nrow, any_value(ncol) AS ncol,
       sqrt((max(easting) FILTER (a = 1 AND b = 1) - max(easting) FILTER (a = 0 AND b = 0)) ** 2 + (max(northing) FILTER (a = 1 AND b = 1) - max(northing) FILTER (a = 0 AND b = 0)) ** 2) / sqrt(any_value(nrow) ** 2 + any_value(ncol) ** 2) AS c FROM edged)),
     spot AS (SELECT y::INTEGER AS yi, x::INTEGER AS xi, x0 + x * c AS px, y0 - y * c AS py FROM f CROSS JOIN LATERAL (SELECT unnest(range(0, m::BIGINT)) AS y) CROSS JOIN LATERAL (SELECT unnest(range(0, n::BIGINT)) AS x)), {_inverse_sql("deg", "spot", "32")},
-    place AS (SELECT yi, xi, round((lat - 48.5::DOUBLE) / -0.0005::DOUBLE, 6) AS fy, round((lon - 9.0::DOUBLE) / 0.0005::DOUBLE, 6) AS fx FROM deg), {_corners_sql("corner", "place", "1 AS k")},
+    place AS (SELECT yi, xi, round((lat - 48.5::DOUBLE) / -0.0005::DOUBLE, 9) AS fy, round((lon - 9.0::DOUBLE) / 0.0005::DOUBLE, 9) AS fx FROM deg), {_corners_sql("corner", "place", "1 AS k")},
     metric AS (SELECT corner.yi, corner.xi, CASE WHEN count(*) = count(elevation) THEN sum(w * elevation) END AS elevation FROM corner LEFT JOIN grid ON grid.yi = sy AND grid.xi = sx WHERE w > 0
       GROUP BY corner.yi, corner.xi HAVING count(elevation) > 0),
     {image}, quiet AS (SELECT yi, xi, {kernel}),
     own AS (SELECT yi, xi, 9.0::DOUBLE + xi * 0.0005::DOUBLE AS lon, 48.5::DOUBLE - yi * 0.0005::DOUBLE AS lat FROM grid), {_forward_sql("ownto", "own", "32")},
-    back AS (SELECT ownto.yi, ownto.xi, round((northing - y0) / -c, 6) AS fy, round((easting - x0) / c, 6) AS fx FROM ownto, f), {_corners_sql("corner2", "back", "1 AS k")}
+    back AS (SELECT ownto.yi, ownto.xi, round((northing - y0) / -c, 9) AS fy, round((easting - x0) / c, 9) AS fx FROM ownto, f), {_corners_sql("corner2", "back", "1 AS k")}
     SELECT corner2.yi, corner2.xi, CASE WHEN count(*) = count(quiet.elevation) THEN round(sum(w * quiet.elevation), 4) END AS elevation FROM corner2 LEFT JOIN quiet ON quiet.yi = sy AND quiet.xi = sx WHERE w > 0 GROUP BY corner2.yi, corner2.xi"""
 
 

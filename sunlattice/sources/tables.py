@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **noted: Column) -> DataFrame:
     """Write the rows to the shared folder named by spark.checkpoint.dir and read them back.
 
+    `noted` are aggregates that are computed while the rows are written; the result has them as the dict `noted`.
+
     In local mode without that setting a temporary folder is used; on a cluster the setting is required.
     """
     spark = df.sparkSession
@@ -21,9 +23,10 @@ def cut(df: DataFrame) -> DataFrame:
         base = f"file://{tempfile.mkdtemp(prefix='sunlattice-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/iterations/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    (df.observe(seen, *[c.alias(n) for n, c in noted.items()]) if noted else df).write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
-    read._cut_path = path
+    read._cut_path, read.noted = path, seen.get if noted else {}
     return read
 
 
