@@ -143,8 +143,8 @@ TEMPLATES = (
         "commercial or non-commercial, and by any means.",
     ),
 )
-#: Every anchor implies a match of this in the text.
-_HINT = r"(?i)\b(?:mit|sublicense|fee|redistribution|apache|gnu|mozilla|cc|commons|warranty|unencumbered)\b"
+#: Every anchor implies a match of this in the text; words end where those of the normal form do, at any other character.
+_HINT = r"(?i)(?<![a-z0-9])(?:mit|sublicense|fee|redistribution|apache|gnu|mozilla|cc|commons|warranty|unencumbered)(?![a-z0-9])"
 
 
 def normal_words(text: str) -> list[str]:

@@ -227,6 +227,8 @@ def test_license_scan_against_all_templates(spark):
         (100, None),
         (101, LONG),
         (102, "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + mit),
+        (130, "Some words before it. This project is licensed under the _MIT_ License. See the file for details and for more."),
+        (131, "Some words before it. This project is licensed under the __MIT__\u00e9License. See the file for details and more."),
         (103, "Some words. This project is licensed under the MIT License, see the file for details and more."),
         (104, LONG + "\n" + wrapped(full["BSD-2-Clause"], 60) + "\n" + LONG),
         (105, "apache " * 300),
@@ -241,7 +243,7 @@ def test_license_scan_against_all_templates(spark):
         assert {x[1:] for x in got if x[0] == -2} == inside and len([x for x in got if x[0] == -2]) == len(inside), r.doc_id
         found[r.doc_id] = {x[1] for x in got}
     assert "MIT" in found[102] and "MIT" in found[103] and "BSD-2-Clause" in found[104]
-    assert not found[101] and not found[106]
+    assert "MIT" in found[130] and "MIT" in found[131] and not found[101] and not found[106]
 
 
 def test_sentencepiece_ids_are_the_librarys(spark):
