@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sunlattice.operators import areas, resample, segments, warp
@@ -9,6 +11,8 @@ from sunlattice.plans import pipeline
 from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil
 from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
+from sunlattice.sources import geotiff
+from sunlattice.sources.tables import shared_folder
 
 #: Outline of the areas of suppliers, about their middle and in units of their radius; not convex.
 _OUTLINE = ((-1.0, -0.9), (0.2, -0.35), (1.1, -0.8), (0.6, 0.3), (0.9, 1.0), (-0.7, 0.75), (-1.0, -0.9))
@@ -262,3 +266,25 @@ def polygons_simplified(s, d):
     size = cells.groupBy("raster_id").agg((F.max("yi") + 1).alias("rows"), (F.max("xi") + 1).alias("columns"))
     frame = size.withColumns({"lon0": F.lit(9.0), "lat0": F.lit(48.5), "lon1": F.lit(9.0) + (F.col("columns") - 1) * 0.0003, "lat1": F.lit(48.5) - (F.col("rows") - 1) * 0.0003})
     return segments.polygons_in_degrees(cells, frame).select("cluster_id", "class", "class_name", F.round("area_deg2", 12).alias("area_deg2"), "ring")
+
+
+# --- raster files ----------------------------------------------------------------------------------------------------
+
+
+@register(
+    "geotiff_round_trip",
+    f"""WITH {GRID}, b AS (SELECT 'g' || yi // 20 AS raster_id, yi % 20 AS yi, xi, elevation FROM grid),
+    size AS (SELECT raster_id, max(yi) + 1 AS rows FROM b GROUP BY raster_id), every AS (SELECT raster_id, y AS yi, x AS xi, rows FROM size, range(20) a(y), range({WIDTH}) c(x) WHERE y < rows)
+    SELECT e.raster_id, e.yi::INTEGER AS yi, e.xi::INTEGER AS xi, elevation AS value, 9.0::DOUBLE + 0.25::DOUBLE * e.xi AS lon, 'part' AS origin FROM every e
+    LEFT JOIN b ON b.raster_id = e.raster_id AND b.yi = e.yi AND b.xi = e.xi WHERE e.yi BETWEEN 3 AND 16 AND e.xi >= 5""",
+)
+def geotiff_round_trip(s, d):
+    cells = grid(s, d).select(F.concat(F.lit("g"), F.floor(F.col("yi") / 20).cast("string")).alias("raster_id"), (F.col("yi") % 20).alias("yi"), "xi", "elevation")
+    sizes = cells.groupBy("raster_id").agg((F.max("yi") + 1).alias("rows"))
+    place = {"columns": F.lit(WIDTH), "x0": F.lit(9.0), "y0": F.lit(48.5), "dx": F.lit(0.25), "dy": F.lit(-0.25), "epsg": F.lit(4326), "tags": F.create_map(F.lit("origin"), F.lit("part"))}
+    path = f"{shared_folder(s)}/rasters/{uuid.uuid4().hex}"
+    geotiff.write_geotiff(cells, sizes.withColumns(place), path, "elevation")
+    frames = geotiff.geotiff_frames(s, path)
+    read = geotiff.read_geotiff(s, path, top=3, bottom=16, left=5)
+    named = frames.select("raster_id", "x0", "dx", F.col("tags")["origin"].alias("origin"))
+    return read.join(named, "raster_id").select("raster_id", "yi", "xi", "value", (F.col("x0") + F.col("xi") * F.col("dx")).alias("lon"), "origin")

@@ -5,7 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; in local mode without that setting a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='sunlattice-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
 
 
 def cut(df: DataFrame, **noted: Column) -> DataFrame:
@@ -16,13 +27,7 @@ def cut(df: DataFrame, **noted: Column) -> DataFrame:
     In local mode without that setting a temporary folder is used; on a cluster the setting is required.
     """
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='sunlattice-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/iterations/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/iterations/{uuid.uuid4().hex}"
     seen = Observation()
     (df.observe(seen, *[c.alias(n) for n, c in noted.items()]) if noted else df).write.parquet(path)
     read = spark.read.schema(df.schema).parquet(path)
