@@ -414,7 +414,10 @@ class _File:
 
 
 class _Writer(DataSourceArrowWriter):
-    """A file a raster. Files are staged under a name of the attempt; the commit moves those of the attempts that counted."""
+    """A file a raster. Files are staged under a name of the attempt; the commit moves those of the attempts that counted.
+
+    A task that is still running when the write is given up may leave a staged file, which no reader takes for a raster.
+    """
 
     def __init__(self, options: dict) -> None:
         self.path, self.dtype = options["path"].rstrip("/"), options.get("dtype", "f8")
@@ -427,10 +430,10 @@ class _Writer(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files: list[tuple[str, str]] = []
         store, folder = self._at(self.staging)
-        store.create_dir(folder, recursive=True)
         current, name = None, None
 
         def finish() -> None:
+            store.create_dir(folder, recursive=True)
             staged = f"{self.staging}/{uuid.uuid4().hex}"
             current.close(store, self._at(staged)[1])
             files.append((staged, f"{name}.tif"))
