@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sunlattice.operators import areas, resample, segments, warp
+from sunlattice.operators import areas, requests, resample, segments, warp
 from sunlattice.plans import pipeline
-from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil
-from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
+from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil, _z_sql
+from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, SITES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
 from sunlattice.sources import geotiff
 from sunlattice.sources.tables import shared_folder
@@ -288,3 +288,64 @@ def geotiff_round_trip(s, d):
     read = geotiff.read_geotiff(s, path, top=3, bottom=16, left=5)
     named = frames.select("raster_id", "x0", "dx", F.col("tags")["origin"].alias("origin"))
     return read.join(named, "raster_id").select("raster_id", "yi", "xi", "value", (F.col("x0") + F.col("xi") * F.col("dx")).alias("lon"), "origin")
+
+
+# --- requests in tiles -----------------------------------------------------------------------------------------------
+
+def _degree_frame(cells, step=0.0003):
+    """The frame of the grid in degrees, from 9 E and 48 N on."""
+    sizes = cells.groupBy("raster_id").agg((F.max("yi") + 1).alias("rows"))
+    place = {"zone": F.lit(None).cast("int"), "south": F.lit(False), "x0": F.lit(9.0), "y0": F.lit(48.0), "dx": F.lit(step), "dy": F.lit(-step), "columns": F.lit(WIDTH)}
+    return sizes.withColumns(place)
+
+
+@register("terrain_on_tiles", f"WITH {GRID}, {_z_sql()} SELECT yi, xi, round(sqrt({' + '.join(f'(z{i} - z5) ** 2' for i in (1, 2, 3, 4, 6, 7, 8, 9))}), 6) + 0.0::DOUBLE AS tri FROM z")
+def terrain_on_tiles(s, d):
+    cells = grid(s, d).select("raster_id", "yi", "xi", "elevation")
+    frames = _degree_frame(cells)
+    edge = {"min_lon": F.col("x0") - 0.00015, "max_lon": F.col("x0") + (F.col("columns") - 0.5) * 0.0003, "max_lat": F.col("y0") + 0.00015, "min_lat": F.col("y0") - (F.col("rows") - 0.5) * 0.0003}
+    tiles = requests.request_tiles(frames.select("raster_id", *[c.alias(n) for n, c in edge.items()]), max_side=11)
+    made = requests.area_terrain(cells, frames, tiles, ("tile_x", "tile_y"), halo=3)
+    order = F.col("tile_y") * 1000 + F.col("tile_x")
+    joined = resample.mosaic_first(made.withColumn("o", order), "terrain_ruggedness_index", "o", ("yi", "xi"))
+    return joined.select("yi", "xi", (F.round("terrain_ruggedness_index", 6) + F.lit(0.0)).alias("tri"))
+
+
+@register(
+    "request_tiles",
+    f"""WITH RECURSIVE {SITES}, b AS (SELECT site_id, lon AS lon0, lat AS lat0, lon + 1 + site_id % 7 AS lon1, lat + 1 + site_id % 5 AS lat1 FROM sites),
+    g(site_id, lon0, lat0, lon1, lat1, tx, ty, done) AS (
+      SELECT *, greatest(1, ceil(greatest(ceil((lon1 - lon0) * (111320.0::DOUBLE * cos(radians((lat0 + lat1) / 2.0::DOUBLE))) / 30.0::DOUBLE), 1) / 4000))::BIGINT, greatest(1, ceil(greatest(ceil((lat1 - lat0) * 111320.0::DOUBLE / 30.0::DOUBLE), 1) / 4000))::BIGINT, false FROM b
+      UNION ALL
+      SELECT site_id, lon0, lat0, lon1, lat1, CASE WHEN fits THEN tx WHEN nx > 4000 OR (ny <= 4000 AND nx >= ny) THEN tx + 1 ELSE tx END, CASE WHEN fits THEN ty WHEN nx > 4000 OR (ny <= 4000 AND nx >= ny) THEN ty ELSE ty + 1 END, fits
+      FROM (SELECT *, nx <= 4000 AND ny <= 4000 AND nx * ny <= {resample.max_pixels_one_request(2)} AS fits FROM (
+        SELECT g.*, (SELECT max(greatest(ceil((lon1 - lon0) / tx * (111320.0::DOUBLE * cos(radians(lat0 + (lat1 - lat0) * (j + 0.5::DOUBLE) / ty))) / 30.0::DOUBLE), 1)) FROM range(200) r(j) WHERE j < ty) AS nx,
+          greatest(ceil((lat1 - lat0) / ty * 111320.0::DOUBLE / 30.0::DOUBLE), 1) AS ny FROM g WHERE NOT done)))
+    SELECT site_id, x AS tile_x, y AS tile_y, round(lon0 + (lon1 - lon0) * x / tx, 6) AS min_lon, round(lat0 + (lat1 - lat0) * y / ty, 6) AS min_lat, round(lon0 + (lon1 - lon0) * (x + 1) / tx, 6) AS max_lon, round(lat0 + (lat1 - lat0) * (y + 1) / ty, 6) AS max_lat
+    FROM g, range(200) a(x), range(200) b(y) WHERE done AND x < tx AND y < ty""",
+)
+def request_tiles(s, d):
+    box = {"min_lon": F.col("lon"), "min_lat": F.col("lat"), "max_lon": F.col("lon") + 1 + F.col("site_id") % 7, "max_lat": F.col("lat") + 1 + F.col("site_id") % 5}
+    tiles = requests.request_tiles(sites(s, d).select("site_id", *[c.alias(n) for n, c in box.items()]), bands=2, max_side=4000)
+    return tiles.select("site_id", "tile_x", "tile_y", *[F.round(c, 6).alias(c) for c in requests.BOX])
+
+
+def _array_grid_sql() -> str:
+    n = pipeline.EMBEDDING
+    mean, value = (", ".join(x(i) for i in range(n)) for x in (lambda i: f"avg(v[{i + 1}]::DOUBLE) AS e{i}", lambda i: f"CASE WHEN count(*) = count(e{i}) THEN round(sum(w * e{i}), 6) END"))
+    return f"""WITH t AS (SELECT (vec_id % 400) // 20 AS yi, vec_id % 20 AS xi, vec_id AS o, embedding AS v FROM embeddings WHERE vec_id % 23 > 0),
+    m AS (SELECT yi, xi, arg_min(v, o) AS v FROM t GROUP BY yi, xi), c AS (SELECT yi // 2 AS sy, xi // 2 AS sx, {mean} FROM m GROUP BY ALL),
+    place AS (SELECT y AS yi, x AS xi, round((y * 0.7::DOUBLE + 1.3::DOUBLE - 0.5::DOUBLE) / 2, 9) AS fy, round((x * 0.7::DOUBLE + 0.9::DOUBLE - 0.5::DOUBLE) / 2, 9) AS fx FROM range(26) p(y), range(26) q(x)),
+    {_corners_sql("corner", "place", "1 AS k")}
+    SELECT corner.yi::INTEGER AS yi, corner.xi::INTEGER AS xi, [{value}] AS embedding FROM corner LEFT JOIN c ON c.sy = corner.sy AND c.sx = corner.sx WHERE w > 0 GROUP BY corner.yi, corner.xi HAVING count(e0) > 0"""
+
+
+@register("embeddings_on_terrain_grid", _array_grid_sql())
+def embeddings_on_terrain_grid(s, d):
+    v = F.col("vec_id")
+    tiles = table(s, d, "embeddings").where(v % 23 > 0).select(F.lit("e").alias("raster_id"), F.floor(v % 400 / 20).cast("int").alias("yi"), (v % 20).cast("int").alias("xi"), v.alias("o"), "embedding")
+    frame = {"zone": F.lit(None).cast("int"), "south": F.lit(False), "x0": F.lit(0.0), "y0": F.lit(0.0), "dx": F.lit(1.0), "dy": F.lit(-1.0), "rows": F.lit(20), "columns": F.lit(20)}
+    frames = warp.onto(tiles.select("raster_id").distinct().withColumns(frame), zone=None, south=False, x0=0.9, y0=-1.3, dx=0.7, dy=-0.7, rows=26, columns=26)
+    on_grid = requests.arrays_on_grid(tiles, frames, "embedding", pipeline.EMBEDDING, "o", 2)
+    rounded = F.transform("embedding", lambda e: F.round(e, 6))
+    return on_grid.select("yi", "xi", F.coalesce(rounded, F.array_repeat(F.lit(None).cast("double"), pipeline.EMBEDDING)).alias("embedding"))
