@@ -11,7 +11,7 @@ from sunlattice.plans import pipeline
 from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil, _z_sql
 from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, SITES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
-from sunlattice.sources import geotiff
+from sunlattice.sources import geotiff, netcdf
 from sunlattice.sources.tables import shared_folder
 
 #: Outline of the areas of suppliers, about their middle and in units of their radius; not convex.
@@ -349,3 +349,15 @@ def embeddings_on_terrain_grid(s, d):
     on_grid = requests.arrays_on_grid(tiles, frames, "embedding", pipeline.EMBEDDING, "o", 2)
     rounded = F.transform("embedding", lambda e: F.round(e, 6))
     return on_grid.select("yi", "xi", F.coalesce(rounded, F.array_repeat(F.lit(None).cast("double"), pipeline.EMBEDDING)).alias("embedding"))
+
+
+@register(
+    "netcdf_series_round_trip",
+    """SELECT user_id::VARCHAR AS site, date_trunc('hour', ts) AS time, round(sum(value), 2)::FLOAT AS solar_radiation FROM events GROUP BY ALL""",
+)
+def netcdf_series_round_trip(s, d):
+    hourly = table(s, d, "events").groupBy(F.col("user_id").alias("site_id"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time")).agg(F.round(F.sum("value"), 2).alias("solar_radiation"))
+    path = f"{shared_folder(s)}/series/{uuid.uuid4().hex}"
+    netcdf.write_series(hourly, path).agg(F.sum("n")).collect()
+    read = netcdf.insolation_series(s, path)
+    return read.select(F.regexp_extract("path", r"([^/]+)\.nc$", 1).alias("site"), "time", "solar_radiation")

@@ -170,13 +170,13 @@ def raster_name(path: str) -> str:
     return path.rsplit("/", 1)[-1].rsplit(".", 1)[0]
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
 
 
 def _files(path: str) -> list[tuple[str, int]]:
     """(path, bytes) of a file, or of all TIFF files in a folder."""
-    store, inner = _opened(path)
+    store, inner = opened(path)
     info = store.get_file_info(inner)
     found = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(inner, recursive=True, allow_not_found=True))
     start = path[: len(path.rstrip("/")) - len(inner.rstrip("/"))] if path.rstrip("/").endswith(inner.rstrip("/")) else ""
@@ -251,7 +251,7 @@ class _CellReader(_Reader):
         if partition.value is None:
             return
         path, part, parts = partition.value
-        store, inner = _opened(path)
+        store, inner = opened(path)
         try:
             header = with_retries(lambda: read_header(store.open_input_file(inner)), self.tries, self.wait)
             asked = chunks(header, self.window)
@@ -303,7 +303,7 @@ class _FrameReader(_Reader):
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for path, _ in partition.value:
-            store, inner = _opened(path)
+            store, inner = opened(path)
 
             def row(store=store, inner=inner, path=path) -> tuple:
                 with store.open_input_file(inner) as file:
@@ -424,7 +424,7 @@ class _Writer(DataSourceArrowWriter):
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def _at(self, name: str) -> tuple[fs.FileSystem, str]:
-        store, inner = _opened(self.path)
+        store, inner = opened(self.path)
         return store, f"{inner}/{name}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
