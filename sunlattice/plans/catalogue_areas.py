@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from sunlattice.operators import areas, requests, resample, segments, warp
+from sunlattice.functions import aoi
+from sunlattice.operators import areas, features, requests, resample, scenes, segments, warp
 from sunlattice.plans import pipeline
 from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil, _z_sql
 from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, SITES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
-from sunlattice.sources import geotiff, netcdf
+from sunlattice.sources import geotiff, netcdf, sinks
 from sunlattice.sources.tables import shared_folder
 
 #: Outline of the areas of suppliers, about their middle and in units of their radius; not convex.
@@ -361,3 +362,99 @@ def netcdf_series_round_trip(s, d):
     netcdf.write_series(hourly, path).agg(F.sum("n")).collect()
     read = netcdf.insolation_series(s, path)
     return read.select(F.regexp_extract("path", r"([^/]+)\.nc$", 1).alias("site"), "time", "solar_radiation")
+
+
+# --- operators that had no query of their own ------------------------------------------------------------------------
+
+
+@register(
+    "series_requests",
+    f"""WITH {SITES}, e AS (SELECT site_id, lat, lon, CASE WHEN site_id % 3 = 0 THEN 0 ELSE 60 / 111320.0::DOUBLE END AS dy, CASE WHEN site_id % 3 = 0 THEN 0 ELSE 60 / (111320.0::DOUBLE * cos(radians(lat))) END AS dx FROM sites)
+    SELECT site_id, round(lon - dx, 9) AS min_lon, round(lat - dy, 9) AS min_lat, round(lon + dx, 9) AS max_lon, round(lat + dy, 9) AS max_lat,
+      CASE WHEN site_id % 3 = 0 THEN 2 ELSE 121 // (6 + site_id % 5) + 1 END::BIGINT AS times,
+      CASE WHEN site_id % 3 = 0 THEN TIMESTAMP '2020-03-04' ELSE TIMESTAMP '2020-01-01' + to_hours(((121 // (6 + site_id % 5)) * (6 + site_id % 5))::BIGINT) END AS last_time FROM e""",
+)
+def series_requests(s, d):
+    i = F.col("site_id")
+    step = F.concat(F.lit("PT"), (6 + i % 5).cast("string"), F.lit("H59M"))
+    spot = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    day = F.struct(F.array(F.lit("2020-01-02"), F.lit("2020-03-04")).alias("time"))
+    point = F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(F.struct(spot.alias("geometry"), day.alias("properties"))).alias("features")))
+    square = F.regexp_replace(aoi.station_geojson(F.col("lat"), F.col("lon"), "2020-01-01", "2020-01-06T01:00:00", "STEP"), F.lit("STEP"), step)
+    asked = sites(s, d).select("site_id", F.when(i % 3 == 0, point).otherwise(square).alias("json"))
+    found = asked.select("site_id", *[c.alias(n) for n, c in aoi.series_request(F.col("json")).items()])
+    return found.select("site_id", *[F.round(c, 9).alias(c) for c in ("min_lon", "min_lat", "max_lon", "max_lat")], F.size("times").cast("long").alias("times"), F.array_max("times").alias("last_time"))
+
+
+@register(
+    "axes_swapped",
+    f"WITH {SITES} SELECT site_id, round(CASE WHEN site_id % 2 = 0 AND greatest(abs(lon), abs(lon + 0.5)) > 90 THEN lon WHEN site_id % 2 = 0 THEN lat ELSE lon END, 6) AS x, translate('2018-01-01T00:00:' || (site_id % 60)::VARCHAR, ':T', '-_') AS name FROM sites",
+)
+def axes_swapped(s, d):
+    """Rings of odd sites have longitudes first, those of even ones latitudes; a second coordinate beyond 90 gives it away."""
+    i, lon, lat = F.col("site_id"), F.col("lon"), F.col("lat")
+    pair = lambda k: F.when(i % 2 == 0, F.array(lat + k, lon + k)).otherwise(F.array(lon + k, lat + k))
+    ring = F.array(pair(0.0), pair(0.5), pair(0.0))
+    name = aoi.safe_filename(F.concat(F.lit("2018-01-01T00:00:"), (i % 60).cast("string")))
+    return sites(s, d).select("site_id", F.round(aoi.swap_if_latitudes_first(ring)[0][0], 6).alias("x"), name.alias("name"))
+
+
+@register("scenes_head", f"WITH {SCENES} SELECT id, datetime, cloud FROM items WHERE cloud IS NOT NULL ORDER BY datetime, id LIMIT 25")
+def scenes_head(s, d):
+    return scenes.head(scene_items(s, d), 25)
+
+
+@register(
+    "cloud_cover_missing",
+    """WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 4 - 1) * 10.5::DOUBLE END AS a, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 50 + 0.25::DOUBLE END AS b FROM orders)
+    SELECT o_orderkey, coalesce(a, b) AS cloud, coalesce(nullif(a, 0), b) AS parity FROM o""",
+)
+def cloud_cover_missing(s, d):
+    k = F.col("o_orderkey")
+    first, last = F.when(k % 4 > 0, (k % 4 - 1) * 10.5).cast("string"), F.when(k % 3 == 0, k % 50 + 0.25).cast("string")
+    found = table(s, d, "orders").select("o_orderkey", F.create_map(F.lit("eo:cloud_cover"), first, F.lit("cloud_cover"), last).alias("p"))
+    return found.select("o_orderkey", scenes.cloud_cover(F.col("p"), None).alias("cloud"), scenes.cloud_cover(F.col("p"), None, parity=True).alias("parity"))
+
+
+@register(
+    "interpolate_in_space",
+    f"""WITH {GRID}, g AS (SELECT yi % 3 AS t, yi // 3 AS latitude, xi AS longitude, CASE WHEN (yi * 7 + xi * 3) % 5 > 0 THEN elevation END AS v FROM grid WHERE yi < (SELECT max(yi) // 3 * 3 FROM grid)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY t, latitude ORDER BY longitude) AS k, count(*) OVER (PARTITION BY t, latitude) AS n FROM g WHERE v IS NOT NULL),
+    b AS (SELECT g.*, (SELECT max(k) FROM p WHERE p.t = g.t AND p.latitude = g.latitude AND p.longitude <= g.longitude) AS lo, (SELECT max(n) FROM p WHERE p.t = g.t AND p.latitude = g.latitude) AS n FROM g),
+    e AS (SELECT *, CASE WHEN lo IS NULL THEN 1 WHEN lo >= n THEN n - 1 ELSE lo END AS a FROM b)
+    SELECT e.t, e.latitude, e.longitude, round(CASE WHEN e.v IS NOT NULL THEN e.v ELSE p.v + (q.v - p.v) * (e.longitude - p.longitude) / (q.longitude - p.longitude) END, 6) AS v
+    FROM e LEFT JOIN p ON p.t = e.t AND p.latitude = e.latitude AND p.k = e.a LEFT JOIN p q ON q.t = e.t AND q.latitude = e.latitude AND q.k = e.a + 1""",
+)
+def interpolate_in_space(s, d):
+    g = grid(s, d)
+    whole = g.where(F.col("yi") < F.lit(g.agg(F.floor(F.max("yi") / 3) * 3).scalar()))
+    y, x = F.col("yi"), F.col("xi")
+    cells = whole.select((y % 3).alias("t"), F.floor(y / 3).alias("latitude"), x.alias("longitude"), F.when((y * 7 + x * 3) % 5 > 0, F.col("elevation")).alias("v"))
+    return pipeline.interpolate_space(cells, "t", "v").select("t", "latitude", "longitude", F.round("v", 6).alias("v"))
+
+
+@register(
+    "region_features",
+    f"""{_COMPONENTS}, z AS (SELECT slope_class, label, count(*) AS size FROM n JOIN r ON r.id = n.id GROUP BY ALL),
+    m AS (SELECT *, row_number() OVER (PARTITION BY slope_class ORDER BY label) AS nth FROM z)
+    SELECT (CASE WHEN slope_class = 0 THEN nth ELSE -nth END)::INTEGER AS cluster_id, CASE WHEN slope_class = 0 THEN 'Gentle' ELSE 'Steep' END AS class_name, 'Polygon' AS geometry, true AS closed FROM m WHERE size >= 5""",
+)
+def region_features(s, d):
+    """GeoJSON features of the outer rings, read back from their text: one row a cluster."""
+    rings = segments.polygons(segments.cluster_ids(_classes(s, d), 5))
+    text = rings.select(sinks.feature(F.col("ring"), cluster_id=F.col("cluster_id"), class_name=F.col("class_name")).alias("json"))
+    read = text.select(F.from_json("json", "type string, geometry struct<type:string,coordinates:array<array<array<double>>>>, properties struct<cluster_id:int,class_name:string>").alias("f"))
+    ends = F.col("f.geometry.coordinates")[0]
+    return read.groupBy(F.col("f.properties.cluster_id").alias("cluster_id"), F.col("f.properties.class_name").alias("class_name"), F.col("f.geometry.type").alias("geometry")).agg(
+        F.every(ends[0] == F.element_at(ends, -1)).alias("closed")
+    )
+
+
+@register(
+    "grid_layers",
+    f"WITH {GRID}, o AS (SELECT yi, xi, p_size AS size, elevation + 1 AS elevation FROM grid WHERE xi % 3 > 0) SELECT grid.yi, grid.xi, grid.elevation, o.size FROM grid LEFT JOIN o ON o.yi = grid.yi AND o.xi = grid.xi",
+)
+def grid_layers(s, d):
+    g = grid(s, d)
+    other = g.where("xi % 3 > 0").select("raster_id", "yi", "xi", F.col("p_size").alias("size"), (F.col("elevation") + 1).alias("elevation"))
+    return features.merge_grids(g.drop("p_size"), other).select("yi", "xi", "elevation", "size")
