@@ -12,7 +12,7 @@ from sunlattice.plans import pipeline
 from sunlattice.plans.catalogue import _CELL_INDEX, _COMPONENTS, _DENOISE_SQL, _FOLD, _classes, _scene_stencil, _z_sql
 from sunlattice.plans.fixtures import GRID, PIXELS, SCENES, SITES, WIDTH, grid, pixels, scene_cells, scene_items, sites, table
 from sunlattice.plans.registry import register
-from sunlattice.sources import geotiff, netcdf, sinks
+from sunlattice.sources import geotiff, netcdf, sinks, stac
 from sunlattice.sources.tables import shared_folder
 
 #: Outline of the areas of suppliers, about their middle and in units of their radius; not convex.
@@ -458,3 +458,19 @@ def grid_layers(s, d):
     g = grid(s, d)
     other = g.where("xi % 3 > 0").select("raster_id", "yi", "xi", F.col("p_size").alias("size"), (F.col("elevation") + 1).alias("elevation"))
     return features.merge_grids(g.drop("p_size"), other).select("yi", "xi", "elevation", "size")
+
+
+@register(
+    "catalogue_window",
+    """SELECT o_orderkey::VARCHAR AS id, o_orderdate::TIMESTAMP AS datetime, (o_orderkey * 37 % 101)::DOUBLE AS cloud FROM orders
+    WHERE o_orderdate >= DATE '1994-01-01' AND o_orderdate <= DATE '1995-06-30' AND o_orderkey * 37 % 101 <= 30 AND o_custkey * 7 % 300 - 150 <= 40 AND o_custkey * 7 % 300 - 149 >= -60""",
+)
+def catalogue_window(s, d):
+    k, x = F.col("o_orderkey"), F.col("o_custkey") * 7 % 300 - 150
+    items = table(s, d, "orders").select(
+        k.alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("datetime"), (k * 37 % 101).cast("double").alias("cloud"), x.alias("min_lon"), F.lit(10).alias("min_lat"), (x + 1).alias("max_lon"), F.lit(11).alias("max_lat")
+    )
+    path = f"{shared_folder(s)}/catalogues/{uuid.uuid4().hex}"
+    stac.write_catalogue(items, path)
+    found = stac.catalogue_pages(s, f"{path}/index-0.json", (-60.0, 0.0, 40.0, 20.0), "1994-01-01", "1995-06-30", 30.0)
+    return found.select("id", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "cloud")
