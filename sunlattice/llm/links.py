@@ -45,7 +45,8 @@ def linked_groups(
 
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs that are `close`."""
-        held = maybe_in(members, "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+        ends = pairs.select(F.col("a").alias("uid")).distinct().unionByName(pairs.select(F.col("b").alias("uid")).distinct())
+        held = maybe_in(members, "uid", ends)
 
         def side(name: str) -> DataFrame:
             return held.select(F.col("uid").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in payload])
