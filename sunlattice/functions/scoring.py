@@ -65,6 +65,7 @@ def classify(cf: Column) -> dict[str, Column]:
     percent = {k: f"{v * 100:.1f}" for k, v in (("low", LOW), ("high", HIGH))}
     return {
         "cf_category": F.when(lt(cf, LOW), "low").when(lt(cf, HIGH), "medium").otherwise("high"),
+        # fixed values: the response's texts
         "cf_explanation": F.when(lt(cf, LOW), f"Низкий CF: ниже {percent['low']}%.")
         .when(lt(cf, HIGH), f"Средний CF: от {percent['low']}% до {percent['high']}%.")
         .otherwise(f"Высокий CF: выше {percent['high']}%."),

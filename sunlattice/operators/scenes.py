@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Property names of cloud cover, in order of preference, and the tile in an item's id.
 CLOUD_KEYS = ("eo:cloud_cover", "CLOUD_COVERAGE", "cloud_cover")
+TILE_IN_ID = r"\.T(\d{2})([A-Z])[A-Z]{2}\."
 UNKNOWN_CLOUD = 1e9
 
 
@@ -19,8 +21,8 @@ def cloud_cover(properties: Column, default: float | None = UNKNOWN_CLOUD, parit
 
 def item_epsg(item_id: Column, property_epsg: Column | None = None, asset_epsg: Column | None = None) -> Column:
     """EPSG code of an item: its assets', its properties', or that of the tile in its id (.TzzB..)."""
-    zone = F.regexp_extract(item_id, r"\.T(\d{2})([A-Z])[A-Z]{2}\.", 1).try_cast("int")
-    band = F.regexp_extract(item_id, r"\.T(\d{2})([A-Z])[A-Z]{2}\.", 2)
+    zone = F.regexp_extract(item_id, TILE_IN_ID, 1).try_cast("int")
+    band = F.regexp_extract(item_id, TILE_IN_ID, 2)
     from_tile = F.when(band >= "N", 32600 + zone).otherwise(32700 + zone)
     given = [c.cast("int") for c in (asset_epsg, property_epsg) if c is not None]
     return F.coalesce(*given, from_tile)

@@ -28,6 +28,7 @@ PROVIDERS = {"pc": "hls2-s30", "nasa": "HLSS30.v2.0"}
 ITEM = (
     "id string, properties map<string,string>, assets map<string,struct<href:string,epsg:int>>, bbox array<double>"
 )
+#: Names of the radiation variable, in order of preference, and of the time column.
 RADIATION = ("surface_solar_radiation_downwards", "ssrd", "solar_radiation")
 TIMES = ("time", "date", "valid_time")
 
