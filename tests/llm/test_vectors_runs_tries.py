@@ -56,8 +56,7 @@ def linked(rows, threshold=0.98):
     return sorted(((r[0], links[i], least[i], r[0] == least[i]) for i, r in enumerate(rows)), key=repr)
 
 
-@pytest.mark.parametrize("kind", ["float", "double"])
-@pytest.mark.parametrize("block", [8192, 9])
+@pytest.mark.parametrize("kind, block", [("float", 8192), ("double", 9)])
 def test_near_duplicate_vectors(spark, monkeypatch, kind, block):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
     rows = vector_rows()
