@@ -37,6 +37,8 @@ BAND_RATIO = 1.6
 #: Lines of at most so many characters are compared by Spark's own edit distance, longer ones in Arrow batches.
 SHORT_CHARS = 2_000
 TEXT_BYTES = 4_000_000
+#: Bins in which pairs of characters of a line are counted before it is compared across groups.
+PAIR_BINS = 128
 _NOT_WORD = re.compile(r"[\W_]+")
 #: The same for bytes: ASCII letters to lower case, digits and newlines stay, other ASCII becomes a space.
 _TABLE = bytes(
@@ -312,6 +314,54 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(place, form): the normal forms of the lines at some places (and of others, which a join on place drops)."""
+    split = _identified(docs).select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
+    lines = split.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).select(_place(), "line")
+    form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
+    return maybe_in(lines, "place", places).select("place", form.alias("form")).dropDuplicates(["place"])
+
+
+def pair_bins(form: str) -> np.ndarray:
+    """Counts of pairs of neighbouring characters in PAIR_BINS bins, 255 at most, eight to a long."""
+    codes = np.frombuffer(form.encode("utf-32-le"), np.uint32)
+    bins = (codes[:-1] * np.uint32(37) + codes[1:]) % np.uint32(PAIR_BINS)
+    return np.minimum(np.bincount(bins, minlength=PAIR_BINS), 255).astype(np.uint8).view(np.int64)
+
+
+def _sharper(docs: DataFrame, classes: DataFrame, similarity: float):
+    """For linked_groups: counts of pairs of characters of the lines that stand for some classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            longs = np.concatenate([np.zeros(0, np.int64), *[pair_bins(form.as_py()) for form in batch.column(3)]])
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (PAIR_BINS // 8)
+            bins = pa.ListArray.from_arrays(pa.array(ends), pa.array(longs))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bins], names=["uid", "n_chars", "shape", "pairs"])
+
+    def sharpen(uids: DataFrame) -> tuple[DataFrame, object]:
+        own = maybe_in(classes.select("uid", "n_chars", "shape", "place"), "uid", uids)
+        own = cut(own.join(uids, "uid"))
+        held = own.join(_forms(docs, own.select("place")), "place").select("uid", "n_chars", "shape", "form")
+        kinds = {c: dict(classes.dtypes)[c] for c in ("uid", "n_chars", "shape")}
+        schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", pairs array<bigint>"
+        close = _close(similarity)
+
+        def closer(a: str, b: str) -> Column:
+            # an edit takes two pairs away and adds two at most
+            def apart(i: Column) -> Column:
+                x, y = F.get(f"{a}pairs", i), F.get(f"{b}pairs", i)
+                lanes = [F.abs(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
+                return sum(lanes[1:], lanes[0])
+
+            total = F.aggregate(F.sequence(F.lit(0), F.lit(PAIR_BINS // 8 - 1)), F.lit(0).cast("long"), lambda n, i: n + apart(i))
+            return close(a, b) & (total <= 4 * _most(F.col(f"{a}n_chars"), F.col(f"{b}n_chars"), similarity))
+
+        return cut(held.mapInArrow(run, schema)), closer
+
+    return sharpen
+
+
 def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
     """Links among pairs of classes, by the edit distance of their first lines, which are moved for pairs only."""
 
@@ -330,11 +380,7 @@ def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
             return own.select(F.col("uid").alias(name), F.col("place").alias(f"at_{name}"))
 
         placed = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
-        split = _identified(docs).select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
-        lines = split.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).select(_place(), "line")
-        lines = maybe_in(lines, "place", placed.select(F.explode(F.array("at_a", "at_b")).alias("place")))
-        form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
-        lines = cut(lines.select("place", form.alias("form")).dropDuplicates(["place"]))
+        lines = cut(_forms(docs, placed.select(F.explode(F.array("at_a", "at_b")).alias("place"))))
 
         def forms(name: str, to: str) -> DataFrame:
             return lines.select(F.col("place").alias(f"at_{name}"), F.col("form").alias(to))
@@ -368,7 +414,7 @@ def removed_lines(docs: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFr
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
     fuzzy = classes.where("simhash is not null")
     members = fuzzy.select("uid", block_keys(F.col("simhash"), F.col("below"), F.col("band")).alias("keys"), "shape", "n_chars")
-    groups = linked_groups(members, _close(similarity), _confirm(docs, classes, similarity), "n_chars", similarity)
+    groups = linked_groups(members, _close(similarity), _confirm(docs, classes, similarity), "n_chars", similarity, _sharper(docs, classes, similarity))
 
     own = maybe_in(classes.select(F.col("uid").alias("node"), "doc_id", "line_no"), "node", groups.select("node"))
     grouped = cut(groups.join(own, "node").select("node", "label", F.struct("doc_id", "line_no", "node").alias("own")))

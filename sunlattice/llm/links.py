@@ -2,11 +2,12 @@
 
 A member's weight is the number of members in all its buckets; the text from which a group of near copies was made shares
 more buckets with them than they do with each other, and so has the largest weight. The hub of a bucket is its member of
-the largest weight. First each member meets HUBS hubs at most, those with which it shares the most buckets: so many rows a
-member, however many keys it has. Verified links give groups. Buckets that still hold members of different groups are then
-compared across groups, never inside one, in bands of sizes that can be linked, and each pair in one of its buckets only.
-A group of thousands of copies is one group after the first round and makes no rows in the second. Together the rounds
-examine every pair in a common bucket unless it is connected already, so no link is lost.
+the largest weight. First each member meets one hub, that with which it shares the most buckets: a row a member at most,
+however many keys it has. Where it is not linked to the same hub already, it then meets the next of the HUBS hubs that
+come first for it, so members of a large group of near copies cost one row each. Verified links give groups. Buckets that
+still hold members of different groups are then compared across groups, never inside one, in bands of sizes that can be
+linked, and each pair in one of its buckets only. A group of thousands of copies is one group by then and makes no rows.
+Together the rounds examine every pair in a common bucket unless it is connected already, so no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from sunlattice.llm.components import connected_components
 from sunlattice.llm.scratch import cut, discard, maybe_in
 
-#: Hubs that a member meets in the first round.
+#: Hubs that a member meets at most before groups are compared.
 HUBS = 3
 
 
@@ -64,9 +65,22 @@ def linked_groups(
 
     often = F.transform(F.array_distinct("hubs"), lambda h: F.struct((-F.size(F.filter("hubs", lambda x: x == h))).alias("n"), h.alias("hub")))
     hubs = met.groupBy("uid").agg(F.collect_list("hub").alias("hubs"))  # a hub a key at most
-    first = hubs.select("uid", F.explode(F.slice(F.array_sort(often), 1, HUBS)).alias("h"))
-    tested = cut(near(cut(first.select(F.col("h.hub").alias("a"), F.col("uid").alias("b")))))
+    ranked = hubs.select("uid", F.posexplode(F.slice(F.array_sort(often), 1, HUBS)).alias("rank", "h"))
+    ranked = cut(ranked.select(F.col("h.hub").alias("a"), F.col("uid").alias("b"), "rank"))
+    tested = cut(near(ranked.where("rank = 0").select("a", "b")))
     found = cut(verify(tested))
+    if HUBS > 1:
+        # ends that are linked to one hub (or are it) are connected already
+        roots = cut(found.select(F.col("b").alias("uid"), F.col("a").alias("root")))
+
+        def rooted(pairs: DataFrame, end: str) -> DataFrame:
+            own = roots.select(F.col("uid").alias(end), F.col("root").alias(f"root_{end}"))
+            return pairs.join(own, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+
+        apart = rooted(rooted(ranked.where("rank > 0"), "a"), "b").where("root_a <> root_b").select("a", "b")
+        more = cut(near(cut(apart)))
+        found = cut(found.unionByName(verify(more)))
+        tested = tested.unionByName(more)
     groups = connected_components(found.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     # the members of buckets that are still in several groups
