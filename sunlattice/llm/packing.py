@@ -3,8 +3,8 @@
 Tokens: the byte-level vocabulary file named by `vocabulary`; each distinct space-separated chunk of an Arrow batch is
 encoded once and the rest is array gathering, which gives the same ids as encoding whole texts (see _Encoder).
 
-Packing: pieces are dealt to blocks of about BLOCK_ROWS documents by hash; each block starts from best-fit
-decreasing and improves by moves, one-for-one and two-for-one exchanges that increase the sum of squared fills, which
+Packing: full pieces are sequences of their own. The others, one a document at most, are dealt to blocks of about
+BLOCK_ROWS pieces by hash; each block starts from best-fit decreasing and improves by moves, one-for-one and two-for-one exchanges that increase the sum of squared fills, which
 empties the least filled sequences. A block wastes less than one sequence against packing all at once, needs memory
 for its own sizes only, and blocks run in parallel.
 """
@@ -22,9 +22,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunlattice.llm.scratch import cut
+
 CAPACITY = 1024
 END_ID = 2
 BLOCK_ROWS = 8192
@@ -271,13 +273,17 @@ def pack_documents(docs: DataFrame, **files) -> DataFrame:
     token (the end id); rows with a null or repeated doc_id are packed like any other; an empty table gives an empty one;
     very long texts are cut into full pieces, the first of which may be shorter. Other columns are dropped.
     """
-    blocks = max(1, -(-docs.count() // BLOCK_ROWS))
-    # equal rows are numbered, so that a row repeated very often is dealt to many blocks
-    same = Window.partitionBy("doc_id", "piece", "start", "length", "ids_crc32").orderBy(F.lit(0))
-    pieces = token_pieces(docs, **files).withColumn("copy", F.floor(F.row_number().over(same) / BLOCK_ROWS))
-    spread = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(blocks)).cast("long")
-    blocked = pieces.withColumn("block", spread).drop("copy")
-    return blocked.groupBy("block").applyInPandas(_pack_block, _PACKED)
+    pieces = cut(token_pieces(docs, **files))
+    part = pieces.where(F.col("length") < CAPACITY)
+    blocks = max(1, -(-part.count() // BLOCK_ROWS))
+    # rows of the written table are numbered, so that a row repeated very often is dealt to many blocks
+    numbered = part.withColumn("row", F.monotonically_increasing_id())
+    blocked = numbered.select(*part.columns, F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("long").alias("block"))
+    packed = blocked.groupBy("block").applyInPandas(_pack_block, _PACKED)
+    # numbers below zero, as blocks count from zero
+    own = (-1 - F.monotonically_increasing_id()).alias("sequence_id")
+    full = pieces.where(F.col("length") == CAPACITY).select(*pieces.columns, own, F.lit(0).cast("long").alias("offset"))
+    return packed.unionByName(full)
 
 
 def op9_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

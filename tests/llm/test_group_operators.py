@@ -225,6 +225,40 @@ def test_sharding(spark):
     assert sharding.interleave(df.limit(0), 8).count() == 0
 
 
+def test_pair_bins_bound_edit_distances():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = [rng.choice("abcdé 語") for _ in range(rng.randint(2, 400))]
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            k = rng.randrange(len(b) + 1)
+            b[k : k + rng.randint(0, 1)] = rng.choice(("", "x", "b"))
+        a, b = "".join(a), "".join(b) or "x"
+        x, y = (lines.pair_bins(t).view(np.uint8).astype(int) for t in (a, b))
+        assert np.abs(x - y).sum() <= 4 * lines.edit_distance(a, b)
+
+
+def test_packing_of_full_pieces_and_of_a_row_repeated_past_a_block(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 100)
+    rows = [(1, "one two three")] * 450 + [(2, "word " * 9000), (3, None), (None, "x " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_documents(df).collect()
+    full = [r for r in got if r.length == packing.CAPACITY]
+    assert len(full) >= 10 and all(r.offset == 0 for r in full)
+    filled = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in filled.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
+    assert sum(r.doc_id == 1 for r in got) == 450
+    assert len({r.sequence_id >> 32 for r in got if r.doc_id == 1}) > 1
+    assert len(filled) <= -(-sum(r.length for r in got) // packing.CAPACITY) + 6
+
+
 def test_packing(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
