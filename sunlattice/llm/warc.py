@@ -4,12 +4,13 @@ Headers (id, address, payload digest, length), never payloads, are shuffled by d
 becomes the response and the others are joined to it as revisits. Payloads move once, keyed by page id and digest, so
 a digest with a third of all rows deals out only headers, and the join on the digest is one that Spark can split.
 Archives go through Spark's own text writer (a record is one value, the record end is the line separator), so they
-land in any store that Spark can write to, with task commit and retry; they are read through the binary source.
+land in any store that Spark can write to, with task commit and retry. They are read as they were written: the text
+source gives what stands between record ends, a task puts the stream together again and parses a record at a time, so it
+holds one record and one Arrow batch, however large an archive is.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import io
 from base64 import b32encode
@@ -24,8 +25,10 @@ from sunlattice.llm.scratch import cut, new_path
 
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of one archive at most, which bounds what a reader holds.
+#: Records of one archive at most, which bounds the work of a reader's task.
 RECORDS_PER_FILE = 10_000
+#: Rows of a batch that a reader returns.
+BATCH_ROWS = 4_096
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -155,38 +158,59 @@ _READ = pa.schema(
 )
 
 
-def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for content in batch.column(0):
+class _Stream(io.RawIOBase):
+    """The bytes of archives from what stood between their record ends; a file's last end may be one too many."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch]):
+        self.chunks = (chunk for batch in batches for value in batch.column(0) for chunk in (value.as_buffer(), END.encode()))
+        self.left = memoryview(b"")
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        while not len(self.left):
+            chunk = next(self.chunks, None)
+            if chunk is None:
+                return 0
+            self.left = memoryview(chunk).cast("B")
+        n = min(len(target), len(self.left))
+        target[:n] = self.left[:n]
+        self.left = self.left[n:]
+        return n
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_READ)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for headers, block in parse_records(io.BufferedReader(_Stream(batches), 1 << 20)):
+        payload = block.partition(END.encode())[2]
+        revisit = headers["warc-type"] == "revisit"
+        digest = b32encode(hashlib.sha1(payload).digest()).decode()
+        said = headers["warc-payload-digest"].removeprefix("sha1:")
+        if not revisit and digest != said:
+            raise ValueError(f"the payload of {headers['warc-record-id']} is not the one that was written")
+        page = headers.get("x-page-id")
+        own = (headers["warc-type"], headers["warc-record-id"], headers.get("warc-refers-to"))
+        rows.append((int(page) if page else None, *own, None if revisit else len(payload), said))
+        if len(rows) == BATCH_ROWS:
+            yield _as_batch(rows)
             rows = []
-            with gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())) as raw:
-                for headers, block in parse_records(io.BufferedReader(raw, 1 << 20)):
-                    payload = block.partition(END.encode())[2]
-                    revisit = headers["warc-type"] == "revisit"
-                    digest = b32encode(hashlib.sha1(payload).digest()).decode()
-                    said = headers["warc-payload-digest"].removeprefix("sha1:")
-                    if not revisit and digest != said:
-                        raise ValueError(f"the payload of {headers['warc-record-id']} is not the one that was written")
-                    page = headers.get("x-page-id")
-                    rows.append(
-                        (
-                            int(page) if page else None,
-                            headers["warc-type"],
-                            headers["warc-record-id"],
-                            headers.get("warc-refers-to"),
-                            None if revisit else len(payload),
-                            said,
-                        )
-                    )
-            columns = list(zip(*rows, strict=True)) or [()] * len(_READ)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ, strict=True)], schema=_READ)
+    yield _as_batch(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row a record of the archives below `path`; payloads are checked against their digests, not returned."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(
-        _parse_files,
+    """One row a record of the archives below `path`; payloads are checked against their digests, not returned.
+
+    A compressed archive is never split, so a task reads whole archives, one after the other.
+    """
+    parts = spark.read.option("lineSep", END).option("pathGlobFilter", "*.gz").text(path)
+    return parts.select(F.col("value").cast("binary")).mapInArrow(
+        _parse,
         "page_id long, record_type string, record_id string, refers_to_id string, payload_bytes long, payload_digest string",
     )
 

@@ -358,6 +358,21 @@ def test_warc_round_trip(spark, tmp_path):
     assert short.count() == 0
 
 
+def test_record_ends_inside_payloads_and_one_archive_of_many_large_pages(spark, tmp_path):
+    odd = ["x\r\n", "\r\n\r\n", "\r\n\r\n\r\n", "\r", "\n\r\n\r\r\n\r\n", "a\r\n\r", "\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc", "é\r\n\r\n語"]
+    texts = [*odd, *[f"{i} " + "page of some length " * 10_000 for i in range(300)], *odd]
+    df = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/large"
+    warc.write_archives(warc.resolve(df).coalesce(1), path)
+    assert len(list((tmp_path / "large").glob("*.gz"))) == 1
+    got = {r.page_id: r for r in warc.follow_revisits(warc.read_archives(spark, path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        first = texts.index(t)
+        assert got[i].payload_bytes == len(t.encode()), i
+        assert got[i].refers_to == (None if first == i else first), i
+
+
 @pytest.mark.parametrize("text", ["", "a", "é"])
 def test_crc_is_that_of_utf8(spark, text):
     assert spark.range(1).select(F.crc32(F.lit(text).cast("binary"))).first()[0] == zlib.crc32(text.encode())
