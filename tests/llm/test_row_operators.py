@@ -131,6 +131,47 @@ def test_copies_do_not_hide_disclosing_terms(spark):
     assert not any(got[i] for i in range(120, 320))
 
 
+def test_terms_of_a_domain_whose_addresses_occur_once(spark):
+    rows = [f"user{i}x wrote from u{i}@lab.example about the zebrafish of {'alpha beta gamma delta'.split()[i % 4]}" for i in range(6)]
+    rows += [f"another note about the weather of day {i}" for i in range(80)]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: {r.text[s.start : s.end] for s in r.spans if s.kind == "term"} for r in pii.find_spans(df).collect()}
+    assert all("zebrafish" in got[i] and "about" not in got[i] for i in range(6))
+    assert not any(got[i] for i in range(6, 86))
+
+
+def test_many_spans_in_one_text_cost_time_in_proportion(spark):
+    import time
+
+    def text(n):
+        return "".join(f"é{'x' * (i % 7)} a{i}@mail{i % 5}.example\n語 " for i in range(n))
+
+    def timed(n):
+        body = text(n)
+        df = spark.createDataFrame([(1, body)], "doc_id long, text string").coalesce(1)
+        begin = time.time()
+        row = df.select(pii.base_spans(F.col("text"))["email"].alias("spans"), "text").select(
+            "spans", pii._replaced(F.col("text"), F.col("spans"), lambda s: F.lit("[E]")).alias("clean")
+        ).first()
+        took = time.time() - begin
+        assert [(s.start, s.end) for s in row.spans] == [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", body)]
+        assert row.clean == re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[E]", body)
+        return took
+
+    timed(2_000)
+    few, many = min(timed(5_000) for _ in range(2)), timed(50_000)
+    assert many < 10 * few + 5, (few, many)
+
+
+@pytest.mark.parametrize("values", [[], [5], [1, 2, 3], list(range(101)), [3, 0, 7, 7, 1, 9, 2, 2, 8, 4]])
+def test_running_sums_and_maxima(spark, values):
+    from itertools import accumulate
+
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    row = df.select(pii.running(F.col("v"), lambda a, x: a + x).alias("s"), pii.running(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).first()
+    assert list(row.s) == list(accumulate(values)) and list(row.m) == list(accumulate(values, max))
+
+
 @pytest.mark.parametrize("context", [None, 25])
 def test_disclosures_against_counts_of_texts(spark, context):
     import math
@@ -156,7 +197,7 @@ def test_disclosures_against_counts_of_texts(spark, context):
     got = {(r.entity, r.term): r.disclosure for r in got.select("entity", "term", "disclosure").distinct().collect()}
 
     def terms(text):
-        return {w for w in re.findall(r"[^\W\d_]+", text.lower()) if len(w) >= pii.MIN_LETTERS}
+        return set(re.findall(r"[^\W\d_]+", text.lower()))
 
     distinct = {t or "" for _, t in rows}
     held, near, counts = {}, {}, Counter(t for text in distinct for t in terms(text))
@@ -166,7 +207,8 @@ def test_disclosures_against_counts_of_texts(spark, context):
             around, at = around + text[at:start] + " ", end
         around = terms(around + text[at:])
         for kind, start, end in expected(text):
-            entity = f"{kind}:" + (text[start:end].lower() if kind == "email" else re.sub("[^0-9]", "", text[start:end]) if kind != "ip" else text[start:end])
+            value, digits = text[start:end], re.sub("[^0-9]", "", text[start:end])
+            entity = f"{kind}:" + {"email": value.lower().partition("@")[2], "ip": value.partition(".")[0], "card": digits[:6], "phone": digits[:4]}[kind]
             held.setdefault(entity, set()).add(text)
             seen = around if context is None else (terms(text[max(0, start - context) : start]) | terms(text[end : end + context])) & around
             for t in seen:
