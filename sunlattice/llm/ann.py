@@ -2,9 +2,11 @@
 
 Equal vectors are one item of the index (with the k + 1 smallest ids, more can't be among the k nearest), so a vector
 that many rows share takes one place in candidate lists. Coarse centroids and codebooks are fitted on TRAIN items chosen
-by hash; every item is indexed. How many lists are probed and how many items reranked is measured on the table: the exact
+by hash; every item is indexed. The index works on vectors that are moved by the median of those items and scaled by a
+power of two to the size of their median, so that its results don't depend on where and how large vectors are. How many lists are probed and how many items reranked is measured on the table: the exact
 neighbours of SAMPLE queries chosen by hash are found by brute force, and the numbers are the least (PROBES and RERANK at
-least) that find a share of TARGET of them. A query probes its nearest lists until they are so many and hold as many items
+least) that find a share of TARGET of them; of equally distant items the smaller ids count, and items that the codes don't
+tell apart from a neighbour count as before it. A query probes its nearest lists until they are so many and hold as many items
 as are reranked. Lists and the queries that probe them are dealt out in blocks, so a list with a third of all items is
 searched by many tasks, and each task returns the best items of each query by asymmetric distance, as many as are reranked
 and none beyond what the fitted items show to be too far. Those are reranked on original vectors.
@@ -26,7 +28,7 @@ from sunlattice.llm.scratch import cut
 LISTS, PARTS, CODES, TRAIN, ROUNDS = 128, 16, 256, 16_384, 8
 PROBES, RERANK = 32, 200
 #: Queries by which probes and reranked items are chosen, and the share of their neighbours to be found.
-SAMPLE, TARGET = 256, 0.97
+SAMPLE, TARGET = 256, 0.99
 #: Items and queries of one search task.
 ITEM_BLOCK, QUERY_BLOCK = 8_192, 1_024
 
@@ -53,9 +55,15 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 
 
 class Model:
-    """Coarse centroids and, for each part of a residual, a codebook."""
+    """Coarse centroids and, for each part of a residual, a codebook. All but `inner` take vectors that `inner` gave."""
 
     def __init__(self, sample: np.ndarray, seed: int = 7):
+        middle = np.median(sample, axis=0)
+        with np.errstate(over="ignore"):
+            size = np.median(np.abs(sample - middle).max(1))
+        self.scale = 2.0 ** -np.clip(np.frexp(size)[1], -1000, 1000) if 0 < size < np.inf else 1.0
+        self.middle = middle * self.scale
+        sample = self.inner(sample)
         self.centres = k_means(sample, LISTS, ROUNDS, seed)
         residual = sample - self.centres[_nearest(sample, self.centres)]
         self.edges = [a[0] for a in np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))] + [sample.shape[1]]
@@ -65,6 +73,9 @@ class Model:
         ]
         self.fitted = self.encode(sample)
 
+    def inner(self, x: np.ndarray) -> np.ndarray:
+        return x * self.scale - self.middle
+
     def parts(self) -> Iterator[tuple[int, int, np.ndarray]]:
         return zip(self.edges, self.edges[1:], self.books, strict=False)
 
@@ -87,15 +98,15 @@ class Model:
                 q = queries[i : i + 128]
                 d = np.where(probed[i : i + 128][:, lists], _distances(q, vectors), np.inf)
                 nth = np.partition(d, n - 1, axis=1)[:, n - 1]
-                out[i : i + 128] = nth * (1 + 1e-5) + 1e-9 * (q * q).sum(1)  # distances of items are summed in single precision
+                out[i : i + 128] = nth * (1 + 1e-5) + 1e-9 * (q * q).sum(1)  # distances of items are summed in another order
         return out
 
     def asymmetric(self, queries: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of queries to the coded items of list `at`, from one table a part."""
         residual = queries - self.centres[at]
-        total = np.zeros((len(queries), len(codes)), np.float32)
+        total = np.zeros((len(queries), len(codes)))
         for j, (a, b, book) in enumerate(self.parts()):
-            total += _distances(residual[:, a:b], book).astype(np.float32)[:, codes[:, j]]
+            total += _distances(residual[:, a:b], book)[:, codes[:, j]]
         return total
 
 
@@ -117,31 +128,41 @@ def effort(asked: np.ndarray, items: DataFrame, coded: DataFrame, model, k: int)
     `asked` are vectors of items. One pass over the items finds the exact neighbours of each, a second one the places of
     those by asymmetric distance among all items.
     """
+    asked = model.value.inner(asked)
+    norms = (asked * asked).sum(1)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
+        kept = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int32, np.float64)]
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x, ids = model.value.inner(_matrix(batch.column(1))), batch.column(0).to_numpy()
             if not len(x):
                 continue
-            lists, codes = model.value.encode(x)
-            # own vector included: it is always the first
-            d, coarse = _distances(asked, x), _distances(asked, model.value.decode(lists, codes))
-            new = np.stack([d, np.broadcast_to(lists, d.shape), coarse])
-            kept = new if kept is None else np.concatenate([kept, new], 2)
-            kept = np.take_along_axis(kept, kept[0].argsort(1, kind="stable")[None, :, : k + 1], 2)
-        if kept is not None:
-            of = np.repeat(np.arange(len(asked)), kept.shape[2])
-            columns = [of, kept[0].ravel(), kept[1].ravel().astype(np.int32), kept[2].ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["s", "d", "list", "coarse"])
-
-    found = items.select("uid", "v").mapInArrow(nearest, "s long, d double, list int, coarse double")
-    nth = F.row_number().over(Window.partitionBy("s").orderBy("d", "coarse"))
+            # own vector included: it is always the first; distances that differ by rounding only are equal
+            grain = 1e-12 * norms[:, None] + np.finfo(float).tiny
+            d = np.round(np.maximum(_distances(asked, x), 0) / grain) * grain
+            last = min(k, len(x) - 1)
+            s, i = np.nonzero(d <= np.partition(d, last, axis=1)[:, last][:, None])
+            of, far = np.concatenate([kept[0], s]), np.concatenate([kept[1], d[s, i]])
+            at = np.concatenate([np.full(len(kept[0]), -1), i])
+            order = np.lexsort((np.concatenate([kept[2], ids[i]]), far, of))
+            sizes = np.bincount(of, minlength=len(asked))
+            order = order[np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes) <= k]
+            old, new = order[at[order] < 0], order[at[order] >= 0]
+            lists, codes = model.value.encode(x[at[new]])
+            coarse = ((asked[of[new]] - model.value.decode(lists, codes)) ** 2).sum(1)
+            fresh = [of[new], far[new], ids[at[new]], lists.astype(np.int32), coarse]
+            kept = [np.concatenate([column[old], more]) for column, more in zip(kept, fresh, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept], names=["s", "d", "id", "list", "coarse"])
+
+    found = items.select(F.array_min("ids"), "v").mapInArrow(nearest, "s long, d double, id long, list int, coarse double")
+    nth = F.row_number().over(Window.partitionBy("s").orderBy("d", "id"))
     near = found.withColumn("n", nth).where(F.col("n").between(2, k + 1)).select("s", "list", "coarse").collect()
     if not near:
         return PROBES, RERANK
     of, lists, coarse = (np.array([r[c] for r in near]) for c in ("s", "list", "coarse"))
 
+    reach = coarse * (1 + 1e-9) + 1e-11 * norms[of]
+
     def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(of), np.int64)
         for batch in batches:
@@ -151,13 +172,13 @@ def effort(asked: np.ndarray, items: DataFrame, coded: DataFrame, model, k: int)
                 for i in range(0, len(at), 4096):
                     d = np.sort(_distances(asked, model.value.decode(at[i : i + 4096], codes[i : i + 4096])), axis=1)
                     for s in np.unique(of):
-                        total[of == s] += np.searchsorted(d[s], coarse[of == s] - 1e-9)
+                        total[of == s] += np.searchsorted(d[s], reach[of == s], side="right")
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(of))), pa.array(total)], names=["i", "n"])
 
     counts = coded.select("list", "code").mapInArrow(ahead, "i long, n long").groupBy("i").agg(F.sum("n").alias("n"))
     before = np.zeros(len(of), np.int64)
     for row in counts.collect():  # SAMPLE * k rows at most
-        before[row["i"]] = row["n"]
+        before[row["i"]] = row["n"] - 1
     places = _distances(asked, model.value.centres).argsort(1, kind="stable").argsort(1)[of, lists]
 
     def least(needed: np.ndarray, share: float) -> int:
@@ -199,7 +220,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, codes = model.value.encode(_matrix(batch.column(1)))
+            lists, codes = model.value.encode(model.value.inner(_matrix(batch.column(1))))
             coded = pa.array([c.tobytes() for c in codes], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lists.astype(np.int32)), coded], names=["uid", "list", "code"]
@@ -219,7 +240,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.array([sizes.get(n, 0) for n in range(len(model.value.centres))])
         for batch in batches:
-            asking = _matrix(batch.column(1))
+            asking = model.value.inner(_matrix(batch.column(1)))
             away = _distances(asking, model.value.centres)
             order = away.argsort(1, kind="stable")
             before = held[order].cumsum(1) - held[order]
@@ -263,7 +284,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
         uids, qids = held["uid"].to_numpy(), asking["qid"].to_numpy()
         out = []
         for at in range(0, len(asking), 128):
-            d = model.value.asymmetric(np.stack(asking["v"].iloc[at : at + 128]).astype(np.float64), int(key[0]), codes)
+            vectors = model.value.inner(np.stack(asking["v"].iloc[at : at + 128]).astype(np.float64))
+            d = model.value.asymmetric(vectors, int(key[0]), codes)
             whole = d.shape[1] <= n_rerank
             best = np.tile(np.arange(d.shape[1]), (len(d), 1)) if whole else np.argpartition(d, n_rerank - 1, axis=1)[:, :n_rerank]
             least = np.take_along_axis(d, best, 1)
@@ -279,7 +301,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, row_id: str = "vec
     found = (
         placed_queries.groupBy(*keys)
         .cogroup(placed_items.groupBy(*keys))
-        .applyInPandas(search_block, "qid long, uid long, d float")
+        .applyInPandas(search_block, "qid long, uid long, d double")
     )
     best = F.row_number().over(Window.partitionBy("qid").orderBy("d", "uid"))
     candidates = found.withColumn("n", best).where(F.col("n") <= n_rerank)

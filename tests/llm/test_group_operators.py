@@ -346,3 +346,17 @@ def test_probes_are_enough_without_clusters(spark):
         d[q] = np.inf
         hits += len(found & set(d.argsort()[:10].tolist()))
     assert hits >= 0.95 * 10 * len(got)
+
+
+@pytest.mark.parametrize("size", [1e25, 1e-25, "some"])
+def test_nearest_vectors_of_any_size(spark, size):
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(1500, 16))
+    rows *= np.where(rng.random((1500, 1)) < 0.1, 1e22, 1.0) if size == "some" else size
+    rows = rows.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect()
+    assert len(got) == 30
+    far = lambda q: np.sqrt(((rows.astype(np.float64) - rows[q].astype(np.float64)) ** 2).sum(1))
+    hits = sum(len(set(r.ids) & set(np.lexsort((np.arange(1500), far(r.query_id)))[:11].tolist()) - {r.query_id}) for r in got)
+    assert hits >= 0.95 * 300
