@@ -40,7 +40,7 @@ def linked_groups(
     the probability its author states). verify: takes a table of distinct pairs (a, b) of uids and returns those that
     are links. size, ratio: a positive column of which the smaller value is at least `ratio` times the larger one in
     any link. sharpen: takes the uids that are compared across groups and returns a table of them, with `size`, and a
-    stricter `close` for its columns; without it they are compared as before.
+    stricter `close` for its columns, which have those of `close` too; without it they are compared as before.
     """
     payload = [c for c in members.columns if c not in ("uid", "keys")]
 
@@ -110,7 +110,7 @@ def linked_groups(
     across = (
         open_side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)))
         .join(open_side("b", F.col("band")), ["key", "band"])
-        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & nearer("a_", "b_") & once)
+        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & close("a_", "b_") & once & nearer("a_", "b_"))
         .select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
     )
     known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -8,7 +8,8 @@ on their full sets of shingles. Documents with equal sets are one class from the
 At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8^5)^30 = 7e-6 and is estimated below the
 margin (four standard deviations) with 3e-5; both fall steeply above 0.8. Where a large group of near copies has
 neighbours just below the threshold, candidates get signatures of MORE_PERMUTATIONS minima, with the same margin in
-standard deviations, before their texts are compared.
+standard deviations, and bitmaps of their hashed sets, before their texts are compared. A bit that only one of two
+bitmaps has is at least one shingle that the other set lacks, so bitmaps bound the similarity from above and lose no link.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from sunlattice.llm.scratch import cut, maybe_in, owner, remove
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
 #: Permutations of the sharper signatures of documents in buckets that hold several groups.
 MORE_PERMUTATIONS = 1024
+#: Bits of the bitmaps of their sets, a power of two.
+SET_BITS = 1 << 13
 THRESHOLD_PERCENT = 80
 #: Words that a Python worker keeps hashed, and bytes of text that it takes at once.
 KEPT_WORDS, TEXT_BYTES = 500_000, 4_000_000
@@ -88,6 +91,13 @@ class _Minima:
         return np.packbits(bits.reshape(len(minima), -1), axis=1).view(np.int64)
 
 
+def set_bitmap(shingles: np.ndarray) -> np.ndarray:
+    """One bit for each value of the leading bits of the hashes of a set."""
+    bits = np.zeros(SET_BITS, np.uint8)
+    bits[(shingles >> np.uint64(65 - SET_BITS.bit_length())).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _lists(x: np.ndarray, mask: np.ndarray) -> pa.Array:
     flat = pa.array(np.ascontiguousarray(x[mask]).view(np.int64).ravel())
     ends = np.concatenate([[0], np.cumsum(mask * x.shape[1])]).astype(np.int32)
@@ -151,8 +161,9 @@ def sharper(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: in
             sets = [shingle_set(text.as_py(), shingle_words, words) for text in batch.column(1)]
             every = np.ones(len(sets), bool)
             planes = [_lists(m.planes(np.stack([m.of(s) for s in sets])), every) for m in (few, many)]
+            planes.append(_lists(np.stack([set_bitmap(s) for s in sets]), every))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *planes], names=["uid", "n", "planes", "more"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *planes], names=["uid", "n", "planes", "more", "bits"])
 
     def sharpen(uids: DataFrame) -> tuple[DataFrame, object]:
         own = maybe_in(classes.select("uid", "own.doc_id", "own.text_hash"), "uid", uids).join(uids, "uid")
@@ -172,9 +183,17 @@ def sharper(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: in
                 return F.bit_count(either)
 
             every = F.sequence(F.lit(0), F.lit(longs - 1))
-            return close(a, b) & (F.aggregate(every, F.lit(0), lambda n, i: n + apart(i)) <= limit)
-
-        return cut(texts.mapInArrow(run, "uid long, n long, planes array<long>, more array<long>")), closer
+            words = F.sequence(F.lit(0), F.lit(SET_BITS // 64 - 1))
+            both = F.aggregate(words, F.lit(0), lambda n, i: n + F.bit_count(F.get(f"{a}bits", i).bitwiseAND(F.get(f"{b}bits", i))))
+            # shingles of one set less the bits that only it has
+            n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
+            most = F.least(n_a - F.col(f"{a}filled"), n_b - F.col(f"{b}filled")) + both
+            may_link = (100 + percent) * most >= percent * (n_a + n_b)
+            return close(a, b) & (F.aggregate(every, F.lit(0), lambda n, i: n + apart(i)) <= limit) & may_link
+
+        made = texts.mapInArrow(run, "uid long, n long, planes array<long>, more array<long>, bits array<long>")
+        filled = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
+        return cut(made.withColumn("filled", filled)), closer
 
     return sharpen
 
@@ -222,7 +241,8 @@ def _confirm(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: i
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = maybe_in(classes.select("uid", "own"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+        ends = pairs.select(F.col("a").alias("uid")).distinct().unionByName(pairs.select(F.col("b").alias("uid")).distinct())
+        own = maybe_in(classes.select("uid", "own"), "uid", ends)
 
         def side(name: str) -> DataFrame:
             return own.select(
@@ -231,7 +251,7 @@ def _confirm(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: i
 
         placed = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
         bodies = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
-        bodies = maybe_in(bodies, "doc_id", placed.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
+        bodies = maybe_in(bodies, "doc_id", own.join(ends.distinct(), "uid").select("own.doc_id"))
         bodies = bodies.dropDuplicates(["doc_id", "text_hash"])
 
         def texts(name: str) -> DataFrame:

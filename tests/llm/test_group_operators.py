@@ -360,3 +360,35 @@ def test_nearest_vectors_of_any_size(spark, size):
     far = lambda q: np.sqrt(((rows.astype(np.float64) - rows[q].astype(np.float64)) ** 2).sum(1))
     hits = sum(len(set(r.ids) & set(np.lexsort((np.arange(1500), far(r.query_id)))[:11].tolist()) - {r.query_id}) for r in got)
     assert hits >= 0.95 * 300
+
+
+def test_texts_just_below_the_threshold_of_a_large_group_are_not_moved(spark, monkeypatch):
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(300)]
+
+    def changed(n, tag):
+        words = list(base)
+        for i in rng.sample(range(1, 299, 2), n):
+            words[i] = f"{tag}x{i}"
+        return " ".join(words)
+
+    texts = [" ".join(base)] + [changed(2, f"m{i}") for i in range(60)] + [changed(18, f"o{i}") for i in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    confirm, moved = minhash._confirm, []
+
+    def counted(*args):
+        verify = confirm(*args)
+
+        def run(pairs):
+            moved.append(pairs.count())
+            return verify(pairs)
+
+        return run
+
+    monkeypatch.setattr(minhash, "_confirm", counted)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, 2).collect()}
+    sets = {i: shingles(t, 2) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    roots = find(links, sets)
+    assert got == {i: roots[i] for i in got}
+    assert sum(moved) <= 4 * len(texts)
