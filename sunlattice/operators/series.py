@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -27,12 +27,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: st
     return best.select(*left.columns, F.col("_best.v").alias(value))
 
 
+def _ahead(keys: list[str]) -> WindowSpec:
+    """This row and all after it, in the order of the row numbers `_i`: frames that grow from the end, as Spark computes one
+    that shrinks towards the end anew for each row."""
+    return Window.partitionBy(*keys).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def ffill_bfill(df: DataFrame, keys: list[str], t: str, value: str, out: str) -> DataFrame:
     """The last value before, else the first one after."""
     w = Window.partitionBy(*keys).orderBy(t)
     before = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn(out, F.coalesce(before, after))
+    base = df.withColumn("_before", before).withColumn("_i", F.row_number().over(w))
+    after = F.last(value, True).over(_ahead(keys))
+    return base.withColumn(out, F.coalesce("_before", after)).drop("_before", "_i")
 
 
 def fill_zero(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -45,10 +52,10 @@ def interpolate(df: DataFrame, keys: list[str], x: str, value: str, out: str, li
     limit fills only the first so many cells of a gap (counted along x). A series with fewer than two values stays.
     """
     w = Window.partitionBy(*keys).orderBy(x)
-    past, future = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    past, future = w.rowsBetween(Window.unboundedPreceding, 0), _ahead(keys)
     point = F.when(F.col(value).isNotNull(), F.struct(F.col(x).cast("double").alias("x"), F.col(value).alias("v")))
     base = df.withColumn("_p", point).withColumn("_i", F.row_number().over(w))
-    base = base.withColumn("_a", F.last("_p", True).over(past)).withColumn("_b", F.first("_p", True).over(future))
+    base = base.withColumn("_a", F.last("_p", True).over(past)).withColumn("_b", F.last("_p", True).over(future))
     edge = Window.partitionBy(*keys)
     # the second and the last but one points of the series, for extrapolation
     rank_up = F.sum(F.when(F.col("_p").isNotNull(), 1).otherwise(0)).over(past)

@@ -1,6 +1,8 @@
 """Plans whose work must not grow faster than the input."""
 
-from sunlattice.operators import areas
+import pytest
+
+from sunlattice.operators import areas, series
 from sunlattice.plans import catalogue_areas
 
 
@@ -18,3 +20,12 @@ def test_areas_meet_cells_not_pixels(spark, monkeypatch):
     monkeypatch.setattr(areas, "masked_cells", counted)
     catalogue_areas.area_masks(spark, "/root/testdata/sf0.001")
     assert seen and all(n == cells for n, cells in seen)
+
+
+@pytest.mark.parametrize("fill", ["interpolate", "ffill_bfill"])
+def test_no_frame_shrinks_row_by_row(spark, fill):
+    df = spark.range(5).selectExpr("0 AS k", "id AS t", "CASE WHEN id IN (1, 3) THEN id * 2.0D END AS v")
+    made = getattr(series, fill)(df, ["k"], "t", "v", "out")
+    assert "currentrow$(), unboundedfollowing$()" not in plan(made)
+    want = [0.0, 2.0, 4.0, 6.0, 8.0] if fill == "interpolate" else [2.0, 2.0, 2.0, 6.0, 6.0]
+    assert [r.out for r in made.orderBy("t").collect()] == want
