@@ -136,7 +136,8 @@ def to_wide(df: DataFrame, bands: list[str], keys: list[str], band: str = "band"
     as there is no telling which rows belong together.
     """
     if row:
-        return df.groupBy(*keys, row).pivot(band, bands).agg(F.first(value)).drop(row)
+        # one aggregation, whose first half puts the bands of a row together before anything is shuffled
+        return df.groupBy(*keys, row).agg(*[F.first(F.when(F.col(band) == b, F.col(value)), True).alias(b) for b in bands]).drop(row)
     counts = df.groupBy(*keys, band).agg(F.first(value).alias(value), F.count("*").alias("_n"))
     repeated = F.raise_error(F.lit(f"rows repeat a key of {', '.join(keys)}: give a row number"))
     single = counts.withColumn(value, F.when(F.col("_n") == 1, F.col(value)).otherwise(repeated))

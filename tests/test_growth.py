@@ -2,7 +2,7 @@
 
 import pytest
 
-from sunlattice.operators import areas, series
+from sunlattice.operators import areas, resample, series
 from sunlattice.plans import catalogue_areas
 
 
@@ -29,3 +29,10 @@ def test_no_frame_shrinks_row_by_row(spark, fill):
     assert "currentrow$(), unboundedfollowing$()" not in plan(made)
     want = [0.0, 2.0, 4.0, 6.0, 8.0] if fill == "interpolate" else [2.0, 2.0, 2.0, 6.0, 6.0]
     assert [r.out for r in made.orderBy("t").collect()] == want
+
+
+def test_bands_are_put_together_in_one_exchange(spark):
+    df = spark.range(4).selectExpr("id % 2 AS k", "id * 1.0D AS a", "CAST(NULL AS DOUBLE) AS b")
+    wide = resample.to_wide(resample.to_long(df, ["a", "b"], ["k"], row="n"), ["a", "b"], ["k"], row="n")
+    assert plan(wide).count("Exchange") == 1
+    assert sorted(map(tuple, wide.select("k", "a", "b").collect())) == [(0, 0.0, None), (0, 2.0, None), (1, 1.0, None), (1, 3.0, None)]
