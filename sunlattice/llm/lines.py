@@ -34,7 +34,7 @@ MIN_WORDS, MIN_CHARS = 8, 24
 PARTS = 4
 #: Lines are in bands by their number of words (or pairs); a band begins at this ratio to the one before.
 BAND_RATIO = 1.6
-#: Lines of at most so many characters are compared by Spark's own edit distance, longer ones in Arrow batches.
+#: Lines of at most so many characters that bounds don't settle are compared by Spark's own edit distance, longer ones in Arrow batches.
 SHORT_CHARS = 2_000
 TEXT_BYTES = 4_000_000
 #: Bins in which pairs of characters of a line are counted before it is compared across groups.
@@ -281,17 +281,23 @@ def within(a: str, b: str, most: int) -> bool:
     What is left between equal ends bounds it from above, and so does replacing word by word. It is bounded from below
     by the counts of pairs of neighbouring characters: an edit changes two pairs at most in either text.
     """
+    near, a, b = _settled(a, b, most)
+    return edit_distance(a, b) <= most if near is None else near
+
+
+def _settled(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
+    """What bounds tell of the distance (null: nothing), and the texts without what their ends have in common."""
     if abs(len(a) - len(b)) > most:
-        return False
+        return False, a, b
     a, b = _differing(a, b)
     if max(len(a), len(b)) <= most:
-        return True
+        return True, a, b
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y, strict=True) if v != w) <= most:
-        return True
+        return True, a, b
     if np.abs(_pair_counts(a) - _pair_counts(b)).sum() > 4 * most:
-        return False
-    return edit_distance(a, b) <= most
+        return False, a, b
+    return None, a, b
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -329,49 +335,62 @@ def pair_bins(form: str) -> np.ndarray:
     return np.minimum(np.bincount(bins, minlength=PAIR_BINS), 255).astype(np.uint8).view(np.int64)
 
 
-def _sharper(docs: DataFrame, classes: DataFrame, similarity: float):
-    """For linked_groups: counts of pairs of characters of the lines that stand for some classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            longs = np.concatenate([np.zeros(0, np.int64), *[pair_bins(form.as_py()) for form in batch.column(3)]])
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * (PAIR_BINS // 8)
-            bins = pa.ListArray.from_arrays(pa.array(ends), pa.array(longs))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], bins], names=["uid", "n_chars", "shape", "pairs"])
+def _bring(docs: DataFrame, classes: DataFrame):
+    """For linked_groups: the lines that stand for some classes."""
 
-    def sharpen(uids: DataFrame) -> tuple[DataFrame, object]:
-        own = maybe_in(classes.select("uid", "n_chars", "shape", "place"), "uid", uids)
+    def bring(uids: DataFrame) -> DataFrame:
+        own = maybe_in(classes.select("uid", "place"), "uid", uids)
         own = cut(own.join(uids, "uid"))
-        held = own.join(_forms(docs, own.select("place")), "place").select("uid", "n_chars", "shape", "form")
-        kinds = {c: dict(classes.dtypes)[c] for c in ("uid", "n_chars", "shape")}
-        schema = ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", pairs array<bigint>"
-        close = _close(similarity)
+        return own.join(_forms(docs, own.select("place")), "place").select("uid", "form")
+
+    return bring
+
+
+def _judge(similarity: float):
+    """For linked_groups: edit distances of the lines of a tile, in which counts of pairs of characters come first."""
+
+    def judge(table: pa.Table):
+        forms = table["form"].to_pylist()
+        sizes = np.fromiter(map(len, forms), np.int64, len(forms))
+        bins = np.stack([pair_bins(form) for form in forms]).view(np.uint8).astype(np.int16) if len(forms) > 8 else None
 
-        def closer(a: str, b: str) -> Column:
+        def may(i: int, others: np.ndarray) -> np.ndarray:
+            most = np.floor((1 - similarity) * np.maximum(sizes[i], sizes[others]) + 1e-9)
+            near = np.abs(sizes[others] - sizes[i]) <= most
+            others, most = others[near], most[near]
+            if bins is None or not len(others):
+                return others
             # an edit takes two pairs away and adds two at most
-            def apart(i: Column) -> Column:
-                x, y = F.get(f"{a}pairs", i), F.get(f"{b}pairs", i)
-                lanes = [F.abs(F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(y, 8 * k).bitwiseAND(F.lit(255))) for k in range(8)]
-                return sum(lanes[1:], lanes[0])
+            return others[np.abs(bins[others] - bins[i]).sum(axis=1) <= 4 * most]
 
-            total = F.aggregate(F.sequence(F.lit(0), F.lit(PAIR_BINS // 8 - 1)), F.lit(0).cast("long"), lambda n, i: n + apart(i))
-            return close(a, b) & (total <= 4 * _most(F.col(f"{a}n_chars"), F.col(f"{b}n_chars"), similarity))
+        def linked(i: int, j: int) -> bool:
+            return within(forms[i], forms[j], int((1 - similarity) * max(sizes[i], sizes[j]) + 1e-9))
 
-        return cut(held.mapInArrow(run, schema)), closer
+        return may, linked
 
-    return sharpen
+    return judge
 
 
 def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
     """Links among pairs of classes, by the edit distance of their first lines, which are moved for pairs only."""
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, xs, ys, limits = [], [], [], []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()  # null if it is settled
-                keep.append(x is None or within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                x, y = x.as_py(), y.as_py()
+                longer = max(len(x), len(y))
+                most = int((1 - similarity) * longer + 1e-9)
+                near, x, y = _settled(x, y, most)
+                if near is None and longer > SHORT_CHARS:
+                    near = edit_distance(x, y) <= most
+                keep.append(near is not False)
+                if near is not False:  # null if it is settled
+                    xs.append(None if near else x)
+                    ys.append(None if near else y)
+                    limits.append(most)
+            ends = batch.select([0, 1]).filter(pa.array(keep, pa.bool_())).columns
+            yield pa.RecordBatch.from_arrays([*ends, pa.array(xs, pa.string()), pa.array(ys, pa.string()), pa.array(limits, pa.int32())], names=["a", "b", "x", "y", "most"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         own = maybe_in(classes.select("uid", "place"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
@@ -386,12 +405,8 @@ def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
             return lines.select(F.col("place").alias(f"at_{name}"), F.col("form").alias(to))
 
         both = placed.join(forms("b", "y"), "at_b").join(forms("a", "x"), "at_a")
-        both = both.withColumn("most", _most(F.length("x"), F.length("y"), similarity))
-        short = F.greatest(F.length("x"), F.length("y")) <= SHORT_CHARS
-        both = both.select("a", "b", "x", "y", short.alias("short"), F.when(short, F.expr("levenshtein(x, y, most) >= 0")).alias("near"))
-        both = both.where("not short or near")
-        left = [F.when(~F.col("short"), F.col(c)).alias(c) for c in ("x", "y")]
-        return both.select("a", "b", *left).mapInArrow(linked, "a long, b long")
+        open_pairs = both.select("a", "b", "x", "y").mapInArrow(settle, "a long, b long, x string, y string, most int")
+        return open_pairs.where("x is null or levenshtein(x, y, most) >= 0").select("a", "b")
 
     return verify
 
@@ -414,7 +429,7 @@ def removed_lines(docs: DataFrame, similarity: float = MIN_SIMILARITY) -> DataFr
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
     fuzzy = classes.where("simhash is not null")
     members = fuzzy.select("uid", block_keys(F.col("simhash"), F.col("below"), F.col("band")).alias("keys"), "shape", "n_chars")
-    groups = linked_groups(members, _close(similarity), _confirm(docs, classes, similarity), "n_chars", similarity, _sharper(docs, classes, similarity))
+    groups = linked_groups(members, _close(similarity), _confirm(docs, classes, similarity), _bring(docs, classes), _judge(similarity))
 
     own = maybe_in(classes.select(F.col("uid").alias("node"), "doc_id", "line_no"), "node", groups.select("node"))
     grouped = cut(groups.join(own, "node").select("node", "label", F.struct("doc_id", "line_no", "node").alias("own")))

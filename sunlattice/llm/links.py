@@ -5,16 +5,19 @@ more buckets with them than they do with each other, and so has the largest weig
 the largest weight. First each member meets one hub, that with which it shares the most buckets: a row a member at most,
 however many keys it has. Where it is not linked to the same hub already, it then meets the next of the HUBS hubs that
 come first for it, so members of a large group of near copies cost one row each. Verified links give groups. Buckets that
-still hold members of different groups are then compared across groups, never inside one, in bands of sizes that can be
-linked, and each pair in one of its buckets only. A group of thousands of copies is one group by then and makes no rows.
+still hold members of different groups are then compared across groups, never inside one, in tiles of at most two blocks
+of a bucket: a task holds a tile and returns only links that join groups, so rows grow with members, not with pairs. A
+group of thousands of copies is one group by then; once an outsider is linked to one of them, the others are passed over.
 Together the rounds examine every pair in a common bucket unless it is connected already, so no link is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from math import log
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,24 +26,26 @@ from sunlattice.llm.scratch import cut, discard, maybe_in
 
 #: Hubs that a member meets at most before groups are compared.
 HUBS = 3
+#: Members of a block of a bucket, about.
+BLOCK = 256
+Judge = Callable[[pa.Table], tuple[Callable[[int, np.ndarray], np.ndarray], Callable[[int, int], bool]]]
 
 
 def linked_groups(
     members: DataFrame,
     close: Callable[[str, str], Column],
     verify: Callable[[DataFrame], DataFrame],
-    size: str,
-    ratio: float,
-    sharpen: Callable[[DataFrame], tuple[DataFrame, Callable[[str, str], Column]]] | None = None,
+    bring: Callable[[DataFrame], DataFrame],
+    judge: Judge,
 ) -> DataFrame:
     """(node, label) for the members that have a link.
 
     members: a table (not a plan: it is read several times) with uid (long, unique), keys (array of buckets) and what
     `close` needs. close(a, b): a condition on columns with the prefixes a and b that no true link fails (or only with
     the probability its author states). verify: takes a table of distinct pairs (a, b) of uids and returns those that
-    are links. size, ratio: a positive column of which the smaller value is at least `ratio` times the larger one in
-    any link. sharpen: takes the uids that are compared across groups and returns a table of them, with `size`, and a
-    stricter `close` for its columns, which have those of `close` too; without it they are compared as before.
+    are links. bring: takes the table of the uids that are compared across groups and returns what `judge` needs of them.
+    judge: for the rows of a tile, two functions of row numbers: may(i, others) leaves out of an array of rows some that
+    are not linked to row i, and linked(i, j) tells whether two are.
     """
     payload = [c for c in members.columns if c not in ("uid", "keys")]
 
@@ -60,13 +65,15 @@ def linked_groups(
     discard(counts)
     weights = shared.groupBy("uid").agg(F.sum("n").alias("weight"))
     shared = cut(shared.select("key", "uid").join(weights, "uid"))
-    hubs = shared.groupBy("key").agg(F.max_by("uid", "weight").alias("hub"))
-    met = cut(shared.select("key", "uid").join(cut(hubs), "key").where("uid <> hub"))
+    hub_of = cut(shared.groupBy("key").agg(F.max_by("uid", "weight").alias("hub")))
+    met = shared.select("key", "uid").join(hub_of, "key").where("uid <> hub")
 
     often = F.transform(F.array_distinct("hubs"), lambda h: F.struct((-F.size(F.filter("hubs", lambda x: x == h))).alias("n"), h.alias("hub")))
-    hubs = met.groupBy("uid").agg(F.collect_list("hub").alias("hubs"))  # a hub a key at most
-    ranked = hubs.select("uid", F.posexplode(F.slice(F.array_sort(often), 1, HUBS)).alias("rank", "h"))
-    ranked = cut(ranked.select(F.col("h.hub").alias("a"), F.col("uid").alias("b"), "rank"))
+    hubs = met.groupBy("uid").agg(F.collect_list(F.struct("key", "hub")).alias("at")).withColumn("hubs", F.col("at.hub"))  # a hub a key at most
+    first = hubs.select("uid", "at", F.slice(F.array_sort(often), 1, HUBS)["hub"].alias("first"))
+    unmet = F.filter("at", lambda x: ~F.array_contains("first", x["hub"]))["key"]
+    first = cut(first.select("uid", "first", unmet.alias("unmet")))
+    ranked = first.select("uid", F.posexplode("first").alias("rank", "hub")).select(F.col("hub").alias("a"), F.col("uid").alias("b"), "rank")
     tested = cut(near(ranked.where("rank = 0").select("a", "b")))
     found = cut(verify(tested))
     if HUBS > 1:
@@ -91,32 +98,67 @@ def linked_groups(
     mixed = cut(mixed.select("key"))
     if mixed.isEmpty():
         return groups
-    still = cut(maybe_in(spread, "key", mixed).join(mixed, "key"))
+    # a hub that all others of its bucket have met has no pair left there; most buckets hold two or three members
+    owed = first.select(F.explode("unmet").alias("key")).distinct().withColumn("owed", F.lit(True))
+    still = maybe_in(spread, "key", mixed).join(mixed, "key").join(maybe_in(hub_of, "key", mixed), "key")
+    still = cut(still.join(owed, "key", "left").where("uid <> hub or owed").select("key", "uid", "uid_group"))
+    mixed = still.groupBy("key").agg(F.min("uid_group").alias("lo"), F.max("uid_group").alias("hi")).where("lo < hi")
+    still = cut(still.join(mixed.select("key"), "key"))
+    if still.isEmpty():
+        return groups
     mine = still.groupBy("uid").agg(F.collect_list("key").alias("mine"))
-    nearer, table = close, maybe_in(members.drop("keys"), "uid", still.select("uid"))
-    if sharpen:
-        table, nearer = sharpen(cut(still.select("uid").distinct()))
-        payload = [c for c in table.columns if c != "uid"]
-    full = still.join(cut(table.join(mine, "uid")), "uid")
-    band = F.floor(F.log(F.col(size)) / F.lit(-log(ratio))).cast("int")
-    full = full.withColumn("band", band)
-
-    def open_side(name: str, bands: Column) -> DataFrame:
-        return full.select("key", bands.alias("band"), *[F.col(c).alias(f"{name}_{c}") for c in ("uid", "uid_group", "mine", *payload)])
-
-    # a pair counts in the first of the buckets that both are in; a is the smaller one; the larger one of a link is in its band or the next
-    smaller = (F.col(f"a_{size}") < F.col(f"b_{size}")) | ((F.col(f"a_{size}") == F.col(f"b_{size}")) & (F.col("a_uid") < F.col("b_uid")))
-    once = F.col("key") == F.array_min(F.array_intersect("a_mine", "b_mine"))
-    across = (
-        open_side("a", F.explode(F.array(F.col("band"), F.col("band") + 1)))
-        .join(open_side("b", F.col("band")), ["key", "band"])
-        .where(smaller & (F.col("a_uid_group") != F.col("b_uid_group")) & close("a_", "b_") & once & nearer("a_", "b_"))
-        .select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"))
-    )
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = across.join(known, ["a", "b"], "left_anti")
-    last = cut(across)
-    return groups if last.isEmpty() else _joined(groups, cut(verify(last)))
+    table = bring(cut(still.select("uid").distinct()))
+    dealt = _dealt(still.join(cut(table.join(mine, "uid")), "uid"))
+    last = cut(dealt.mapInArrow(partial(_across, judge=judge), "a long, b long"))
+    return groups if last.isEmpty() else _joined(groups, last)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows of buckets, sorted by tile: (key, lo, hi, part, rows' columns). A tile holds block lo of a bucket, or lo and hi."""
+    blocks = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    other = rows.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("uid"), "blocks").cast("int"))
+    other = other.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = other.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "part": (F.col("own") > F.col("other")).cast("int")})
+    named = tiles.select("key", "lo", "hi", "part", *rows.drop("key").columns)
+    return named.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+
+def _across(batches: Iterator[pa.RecordBatch], judge: Judge) -> Iterator[pa.RecordBatch]:
+    """The links that join groups of one tile after the other."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = (now if held is None else pa.concat_tables([held, now])).combine_chunks()
+        tile = [held[c].to_numpy() for c in ("key", "lo", "hi")]
+        starts = np.flatnonzero(np.any([np.diff(c) != 0 for c in tile], axis=0)) + 1
+        edges = [0, *starts.tolist()]
+        for a, b in zip(edges, edges[1:], strict=False):
+            yield from _tile_links(held.slice(a, b - a), judge)
+        held = held.slice(edges[-1])  # the last tile may go on
+    if held is not None:
+        yield from _tile_links(held, judge)
+
+
+def _tile_links(table: pa.Table, judge: Judge) -> Iterator[pa.RecordBatch]:
+    """Links between groups of a tile, each of them joining two groups that weren't connected before; pairs of members that
+    are connected already are passed over, and a pair is compared in the first of the buckets that both are in."""
+    uid, group, part = (table[c].to_numpy() for c in ("uid", "uid_group", "part"))
+    key, two = table["key"][0].as_py(), table["lo"][0].as_py() != table["hi"][0].as_py()
+    root, mine = np.unique(group, return_inverse=True)[1], [frozenset(m) for m in table["mine"].to_pylist()]
+    if root.max() == 0:
+        return
+    may, linked = judge(table)
+    spot, ends = np.arange(len(uid)), []
+    for i in spot[part == 0]:
+        others = np.flatnonzero((root != root[i]) & ((part == 1) if two else (spot > i)))
+        for j in may(i, others).tolist():
+            if root[i] != root[j] and min(mine[i] & mine[j]) == key and linked(i, j):
+                ends.append((uid[i], uid[j]))
+                root[root == root[j]] = root[i]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:

@@ -7,9 +7,8 @@ on their full sets of shingles. Documents with equal sets are one class from the
 
 At a similarity of 0.8 a pair shares no band with a probability of (1 - 0.8^5)^30 = 7e-6 and is estimated below the
 margin (four standard deviations) with 3e-5; both fall steeply above 0.8. Where a large group of near copies has
-neighbours just below the threshold, candidates get signatures of MORE_PERMUTATIONS minima, with the same margin in
-standard deviations, and bitmaps of their hashed sets, before their texts are compared. A bit that only one of two
-bitmaps has is at least one shingle that the other set lacks, so bitmaps bound the similarity from above and lose no link.
+neighbours just below the threshold, bitmaps of hashed sets come before their texts are compared. A bit that only one of
+two bitmaps has is at least one shingle that the other set lacks, so bitmaps bound the similarity from above and lose no link.
 """
 
 from __future__ import annotations
@@ -27,9 +26,7 @@ from sunlattice.llm.links import linked_groups
 from sunlattice.llm.scratch import cut, maybe_in, owner, remove
 
 PERMUTATIONS, ROWS, BANDS, BITS = 256, 5, 30, 4
-#: Permutations of the sharper signatures of documents in buckets that hold several groups.
-MORE_PERMUTATIONS = 1024
-#: Bits of the bitmaps of their sets, a power of two.
+#: Bits of the bitmaps of sets of documents in buckets that hold several groups, a power of two.
 SET_BITS = 1 << 13
 THRESHOLD_PERCENT = 80
 #: Words that a Python worker keeps hashed, and bytes of text that it takes at once.
@@ -150,52 +147,56 @@ def signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
     return rows.mapInArrow(run, _SIGNED)
 
 
-def sharper(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: int):
-    """For linked_groups: more minima of the documents that stand for some classes."""
+def _bring(docs: DataFrame, classes: DataFrame):
+    """For linked_groups: the texts that stand for some classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, few, many = Words(), _Minima(PERMUTATIONS), _Minima(MORE_PERMUTATIONS)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sets = [shingle_set(text.as_py(), shingle_words, words) for text in batch.column(1)]
-            every = np.ones(len(sets), bool)
-            planes = [_lists(m.planes(np.stack([m.of(s) for s in sets])), every) for m in (few, many)]
-            planes.append(_lists(np.stack([set_bitmap(s) for s in sets]), every))
-            sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *planes], names=["uid", "n", "planes", "more", "bits"])
-
-    def sharpen(uids: DataFrame) -> tuple[DataFrame, object]:
-        own = maybe_in(classes.select("uid", "own.doc_id", "own.text_hash"), "uid", uids).join(uids, "uid")
-        own = cut(own)
+    def bring(uids: DataFrame) -> DataFrame:
+        own = cut(maybe_in(classes.select("uid", "own.doc_id", "own.text_hash"), "uid", uids).join(uids, "uid"))
         bodies = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
         bodies = maybe_in(bodies, "doc_id", own.select("doc_id")).dropDuplicates(["doc_id", "text_hash"])
-        texts = bodies.join(own, ["doc_id", "text_hash"]).select("uid", "text")
-        close = _close(percent)
-        limit, longs = most_differing(percent / 100, MORE_PERMUTATIONS), MORE_PERMUTATIONS // 64
-
-        def closer(a: str, b: str) -> Column:
-            def apart(i: Column) -> Column:
-                either = None
-                for p in range(BITS):
-                    plane = F.get(f"{a}more", i + p * longs).bitwiseXOR(F.get(f"{b}more", i + p * longs))
-                    either = plane if either is None else either.bitwiseOR(plane)
-                return F.bit_count(either)
-
-            every = F.sequence(F.lit(0), F.lit(longs - 1))
-            words = F.sequence(F.lit(0), F.lit(SET_BITS // 64 - 1))
-            both = F.aggregate(words, F.lit(0), lambda n, i: n + F.bit_count(F.get(f"{a}bits", i).bitwiseAND(F.get(f"{b}bits", i))))
+        return bodies.join(own, ["doc_id", "text_hash"]).select("uid", "text")
+
+    return bring
+
+
+def _judge(shingle_words: int, percent: int):
+    """For linked_groups: similarities of the full sets of a tile, in which bitmaps of hashed sets come first."""
+
+    def judge(table: pa.Table):
+        texts, words = table["text"].to_pylist(), Words()
+        sets = [shingle_set(text, shingle_words, words) for text in texts]
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        bits = np.stack([set_bitmap(s) for s in sets]) if len(sets) > 8 else None
+        filled = np.bitwise_count(bits).sum(axis=1, dtype=np.int64) if bits is not None else None
+
+        def may(i: int, others: np.ndarray) -> np.ndarray:
+            others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
+            if bits is None or not len(others):
+                return others
             # shingles of one set less the bits that only it has
-            n_a, n_b = F.col(f"{a}n"), F.col(f"{b}n")
-            most = F.least(n_a - F.col(f"{a}filled"), n_b - F.col(f"{b}filled")) + both
-            may_link = (100 + percent) * most >= percent * (n_a + n_b)
-            return close(a, b) & (F.aggregate(every, F.lit(0), lambda n, i: n + apart(i)) <= limit) & may_link
+            both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(n[i] - filled[i], n[others] - filled[others]) + both
+            return others[(100 + percent) * most >= percent * (n[i] + n[others])]
 
-        made = texts.mapInArrow(run, "uid long, n long, planes array<long>, more array<long>, bits array<long>")
-        filled = F.aggregate("bits", F.lit(0), lambda n, x: n + F.bit_count(x))
-        return cut(made.withColumn("filled", filled)), closer
+        def linked(i: int, j: int) -> bool:
+            # equal shingles have equal hashes, so hashed sets have at least as much in common
+            if (100 + percent) * len(np.intersect1d(sets[i], sets[j], True)) < percent * (n[i] + n[j]):
+                return False
+            return _similar(_full_set(texts[i], shingle_words), _full_set(texts[j], shingle_words), percent)
 
-    return sharpen
+        return may, linked
+
+    return judge
+
+
+def _full_set(text: str, shingle_words: int) -> set:
+    w = text.encode().lower().split()
+    return set(zip(*[w[i:] for i in range(shingle_words)], strict=False)) if len(w) >= shingle_words else {tuple(w)}
+
+
+def _similar(a: set, b: set, percent: int) -> bool:
+    both = len(a & b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def most_differing(threshold: float, permutations: int = PERMUTATIONS, deviations: float = 4.0) -> int:
@@ -226,18 +227,12 @@ def _confirm(docs: DataFrame, classes: DataFrame, shingle_words: int, percent: i
     """Links among pairs of classes, by the full sets of their texts, which are moved for pairs only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def full(text: str) -> set:
-            w = text.encode().lower().split()
-            return set(zip(*[w[i:] for i in range(shingle_words)], strict=False)) if len(w) >= shingle_words else {tuple(w)}
-
         for batch in batches:
             keep, last, kept = [], None, set()
             for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
                 if a != last:
-                    last, kept = a, full(ta.as_py())
-                other = full(tb.as_py())
-                both = len(kept & other)
-                keep.append(100 * both >= percent * (len(kept) + len(other) - both))
+                    last, kept = a, _full_set(ta.as_py(), shingle_words)
+                keep.append(_similar(kept, _full_set(tb.as_py(), shingle_words), percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -290,7 +285,7 @@ def _near_duplicates(docs: DataFrame, shingle_words: int, percent: int) -> DataF
     )
     classes = cut(classes.select(F.monotonically_increasing_id().alias("uid"), "*"))
     members = classes.select("uid", "keys", "n", "planes")
-    groups = linked_groups(members, _close(percent), _confirm(docs, classes, shingle_words, percent), "n", percent / 100, sharper(docs, classes, shingle_words, percent))
+    groups = linked_groups(members, _close(percent), _confirm(docs, classes, shingle_words, percent), _bring(docs, classes), _judge(shingle_words, percent))
     own = classes.select(F.col("uid").alias("node"), F.col("own.doc_id").alias("first"))
     named_groups = groups.join(own, "node")
     least = cut(named_groups.groupBy("label").agg(F.min("first").alias("component_id")))

@@ -392,3 +392,45 @@ def test_texts_just_below_the_threshold_of_a_large_group_are_not_moved(spark, mo
     roots = find(links, sets)
     assert got == {i: roots[i] for i in got}
     assert sum(moved) <= 4 * len(texts)
+
+
+def test_lines_beside_a_large_group_make_no_row_a_pair(spark, monkeypatch):
+    rng = random.Random(23)
+    base = [f"word{i:02d}{rng.choice('abcdef')}" for i in range(50)]
+
+    def mixed():
+        middle = base[17:33]
+        rng.shuffle(middle)
+        return base[:17] + middle + base[33:]
+
+    def changed(tag):
+        words = list(base)
+        words[rng.randrange(17, 33)] = tag
+        return words
+
+    texts = [" ".join(w) for w in [base, *[changed(f"m{i}") for i in range(60)], *[mixed() for _ in range(30)]]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    confirm, moved = lines._confirm, []
+
+    def counted(*args):
+        verify = confirm(*args)
+
+        def run(pairs):
+            moved.append(pairs.count())
+            return verify(pairs)
+
+        return run
+
+    monkeypatch.setattr(lines, "_confirm", counted)
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()}
+    forms = {(i, 0): lines.normal_form(t) for i, t in enumerate(texts)}
+    roots = find(plain_line_links(forms), forms)
+    assert got == {i: int(roots.get((i, 0), (i, 0)) != (i, 0)) for i in got}
+    assert sum(moved) <= 4 * len(texts)
+
+
+def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
+    from sunlattice.llm import links
+
+    monkeypatch.setattr(links, "BLOCK", 8)
+    test_lines_beside_a_large_group_make_no_row_a_pair(spark, monkeypatch)
