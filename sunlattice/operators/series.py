@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+#: Tolerances in a span of an as-of join.
+SPAN = 64
+
+
 def seconds(c: Column) -> Column:
     return F.unix_micros(c.cast("timestamp")) / F.lit(1e6)
 
@@ -13,18 +17,34 @@ def seconds(c: Column) -> Column:
 def asof_nearest(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, value: str, tolerance_s: int) -> DataFrame:
     """Each left row with the value of the nearest right row of its key within the tolerance, NULL if there is none.
 
-    Equal distances go to the later right row. The join is an equi-join on (key, time div tolerance): right rows go to
-    their own cell and both neighbours, so no key is paired with all of its rows.
+    Equal distances go to the later right row, of equal times to the smaller value (a missing one last). Both sides are dealt
+    by (key, span of SPAN tolerances) and shuffled once; right rows near the border of a span go to the next one too. In a
+    span, two windows look back and ahead, so no rows are paired and no key's rows are together.
     """
-    cell = lambda t: F.floor(seconds(F.col(t)) / tolerance_s).cast("long")
-    l = left.withColumn("_row", F.monotonically_increasing_id()).withColumn("_cell", cell(left_time))  # noqa: E741
-    r = right.select(*on, F.col(right_time).alias("_rt"), F.col(value).alias("_rv"), cell(right_time).alias("_rc"))
-    r = r.withColumn("_cell", F.explode(F.array(F.col("_rc") - 1, F.col("_rc"), F.col("_rc") + 1))).drop("_rc")
-    gap = F.abs(seconds(F.col(left_time)) - seconds(F.col("_rt")))
-    joined = l.join(r, [*on, "_cell"], "left")
-    near = F.when(gap <= tolerance_s, F.struct(gap.alias("gap"), (-seconds(F.col("_rt"))).alias("late"), F.col("_rv").alias("v")))
-    best = joined.groupBy(*left.columns, "_row").agg(F.min(near).alias("_best"))
-    return best.select(*left.columns, F.col("_best.v").alias(value))
+    most = int(tolerance_s * 1_000_000)
+    span = lambda t: F.floor(t / (SPAN * most)).cast("long")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    known = F.col(left_time).isNotNull()
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    v = F.col(value)
+    r = right.where(F.col(right_time).isNotNull()).select(*on, micros(right_time).alias("_t"), F.struct(micros(right_time).alias("t"), v.isNull().alias("none"), v.alias("v")).alias("_r"))
+    r = r.withColumn("_span", F.explode(F.array_distinct(F.array(*[span(F.col("_t") + d) for d in (-most, 0, most)]))))
+    l = left.where(known).withColumns({"_t": micros(left_time), "_left": F.lit(True)})  # noqa: E741
+    rows = l.withColumn("_span", span(F.col("_t"))).unionByName(r, allowMissingColumns=True)
+
+    def latest(t: Column) -> Column:
+        # of equal times right rows come first, with the value that counts as the last of them
+        w = Window.partitionBy(*on, "_span").orderBy(t, F.asc_nulls_first("_left"), F.desc("_r.none"), F.desc("_r.v"))
+        return F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+
+    seen = rows.withColumn("_b", latest(F.asc("_t"))).withColumn("_a", latest(F.desc("_t"))).where("_left")
+    to_b, to_a = F.col("_t") - F.col("_b.t"), F.col("_a.t") - F.col("_t")
+    ahead_first = (to_a <= most) & (F.col("_b").isNull() | (to_a <= to_b))
+    best = F.when(ahead_first, F.col("_a.v")).when(to_b <= most, F.col("_b.v"))
+    found = seen.select(*left.columns, best.alias(value))
+    none = left.where(~known).select(*left.columns, F.lit(None).cast(right.schema[value].dataType).alias(value))
+    return found.unionByName(none)
 
 
 def _ahead(keys: list[str]) -> WindowSpec:

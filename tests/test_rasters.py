@@ -1,6 +1,7 @@
 """Grid and series operators against numpy and hand-computed values."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
@@ -74,6 +75,26 @@ def test_asof_ties_go_to_the_later_row(spark):
     assert [r.v for r in got] == [2.0, None]
 
 
+def test_asof_against_a_loop_and_with_one_shuffle_of_each_side(spark):
+    rng = random.Random(4)
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    left = [(rng.choice([1, 2, None]), rng.choice([None, *range(0, 9000, 7)])) for _ in range(300)]
+    right = [(rng.choice([1, 2, None]), rng.randrange(0, 9000), rng.choice([None, 1.0, 2.0, 3.0])) for _ in range(400)]
+    right += [(k, t, 0.5) for k, t, _ in right[:100]]
+    rows = [(i, k, None if t is None else at(t)) for i, (k, t) in enumerate(left)]
+    ldf = spark.createDataFrame(rows, "i int, k int, t timestamp_ntz")
+    rdf = spark.createDataFrame([(k, at(t), v) for k, t, v in right], "k int, s timestamp_ntz, v double")
+    made = series.asof_nearest(ldf, rdf, ["k"], "t", "s", "v", 1800)
+    got = {r.i: r.v for r in made.collect()}
+    for i, (k, t) in enumerate(left):
+        near = [(abs(s - t), -s, v is None, v or 0, v) for q, s, v in right if None not in (k, t) and q == k and abs(s - t) <= 30]
+        assert got[i] == (min(near)[4] if near else None)
+    assert len(got) == len(left)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    final = plan[plan.rindex("Initial Plan") :] if "Initial Plan" in plan else plan
+    assert final.count("Exchange hashpartitioning") == 1 and "Join" not in final
+
+
 def test_components_and_polygons(spark):
     m = [[0, 0, 1, 1], [0, 1, 1, 0], [1, 1, 0, 0], [1, None, 0, 0]]
     ids = segments.cluster_ids(raster(spark, m, "slope_class", "int"), 2)
