@@ -140,3 +140,15 @@ def test_graph_components(spark):
     nodes = {x for e in edges if None not in e and e[0] != e[1] for x in e}
     assert got == {x: part[x] for x in nodes}
     assert graph.connected_components(spark.createDataFrame([], "u int, v int")).count() == 0
+
+
+def test_rings_that_close_in_a_tile_are_not_grouped(spark, monkeypatch):
+    m = [[1 if y % 3 and x % 3 else None for x in range(24)] for y in range(24)]
+    rows = [("r", y, x, v) for y, row in enumerate(m) for x, v in enumerate(row)]
+    cells = spark.createDataFrame(rows, "raster_id string, yi int, xi int, slope_class int")
+    ids = segments.cluster_ids(cells, 2)
+    made = segments.outlines(ids)
+    assert "FlatMapGroupsInArrow" not in made._jdf.queryExecution().optimizedPlan().toString()
+    whole = sorted((r.cluster_id, r.area2, r.ys, r.xs) for r in made.collect())
+    assert len(whole) == 64 and all(r[1] == 8 for r in whole)
+    assert whole == sorted((r.cluster_id, r.area2, r.ys, r.xs) for r in segments.outlines(ids, tile=4).collect())
