@@ -434,3 +434,27 @@ def test_blocks_of_a_bucket_meet_each_other(spark, monkeypatch):
 
     monkeypatch.setattr(links, "BLOCK", 8)
     test_lines_beside_a_large_group_make_no_row_a_pair(spark, monkeypatch)
+
+
+def test_tiles_hold_each_pair_of_groups_once_and_no_pairs_of_one(spark, monkeypatch):
+    from sunlattice.llm import links
+
+    buckets = [(5, 3), (40, 30), (40, 1), (100, 95), (100, 60), (9, 9)]  # members, and members of the first group
+    rows = [(k, u, 0 if u < g else u, "x" * (u % 20), [k]) for k, (n, g) in enumerate(buckets) for u in range(n)]
+    df = spark.createDataFrame(rows, "key long, uid long, uid_group long, text string, mine array<long>")
+    want = sorted((a[0], a[1], b[1]) for a, b in combinations(rows, 2) if a[0] == b[0] and a[2] != b[2])
+    for members, size in ((8, 10**9), (1000, 100), (1000, 10**6)):
+        monkeypatch.setattr(links, "BLOCK", members)
+        monkeypatch.setattr(links, "BLOCK_BYTES", size, raising=False)
+        tiles = {}
+        for r in links._dealt(df).collect():
+            tiles.setdefault((r.key, r.lo, r.hi), []).append(r)
+        made = []
+        for (key, lo, hi), held in tiles.items():
+            for a, b in combinations(held, 2):
+                if a.uid_group != b.uid_group and (lo == hi or a.part != b.part):
+                    made.append((key, *sorted((a.uid, b.uid))))
+        assert sorted(made) == want
+        if members == 8:
+            # 95 of 100 in one group: each of them once, the others once a block of it and once among themselves
+            assert sum(len(held) for (key, _, _), held in tiles.items() if key == 3) <= 95 + 5 * (12 + 1)
