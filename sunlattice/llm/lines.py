@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sunlattice.llm.hashes import short_hashes
 from sunlattice.llm.links import linked_groups
 from sunlattice.llm.scratch import cut, maybe_in, owner, reducer, remove, split_by
 from sunlattice.llm.words import lines_of
@@ -56,14 +57,54 @@ def normal_form(line: str) -> str:
     return _NOT_WORD.sub(" ", line.lower()).strip()
 
 
-def normal_lines(text: str) -> list[list[bytes]]:
-    """The words of the normal form of each line of a text."""
-    if not text.isascii():
-        text = text.lower()
-        for c in set(text.encode().translate(None, _ASCII_BYTES).decode()):
-            if not c.isalnum():
-                text = text.replace(c, " ")
-    return [line.split() for line in text.encode().translate(_TABLE).split(b"\n")]
+def _lower(text: bytes) -> bytes:
+    """A text of which _TABLE leaves the normal forms of its lines, but for runs of spaces and spaces at their ends."""
+    if text.isascii():
+        return text
+    lower = text.decode().lower()
+    for c in set(lower.encode().translate(None, _ASCII_BYTES).decode()):
+        if not c.isalnum():
+            lower = lower.replace(c, " ")
+    return lower.encode()
+
+
+class NormalLines:
+    """The lines of some texts that have a letter or digit, cut into words for all texts at once.
+
+    row: the text of each line; number: its place there; begin: its first word; n: its number of words; flat, length: its
+    normal form, one after the other. Words lie in `letters` without what parts them, up to `ends`.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        texts = list(map(_lower, texts))
+        text = np.frombuffer(b"\n".join([b"", *texts, b""]).translate(_TABLE), np.uint8)
+        breaks = text == 10
+        apart = breaks | (text == 32)
+        starts, ends = (np.flatnonzero(x) + 1 for x in (apart[:-1] & ~apart[1:], apart[1:] & ~apart[:-1]))
+        line = np.searchsorted(np.flatnonzero(breaks), starts) - 1
+        self.begin = np.flatnonzero(np.diff(line, prepend=-1))
+        self.n = np.diff(self.begin, append=len(line))
+        # of what parts words, one byte stays between two of a line
+        last = self.begin + self.n - 1
+        self.letters, self.ends = text[~apart], np.cumsum(ends - starts)
+        apart[np.delete(ends, last)] = False
+        self.flat = text[~apart]
+        self.length = np.add.reduceat(ends - starts, self.begin) + self.n - 1 if len(line) else self.n
+        per_text = np.fromiter((t.count(b"\n") + 1 for t in texts), np.int64, len(texts))
+        first = np.cumsum(per_text) - per_text
+        self.row = np.repeat(np.arange(len(texts)), per_text)[line[self.begin]]
+        self.number = line[self.begin] - first[self.row]
+
+    def forms(self) -> list[bytes]:
+        flat, ends = self.flat.tobytes(), np.cumsum(self.length)
+        return [flat[a:b] for a, b in zip((ends - self.length).tolist(), ends.tolist(), strict=True)]
+
+    def word_hashes(self, words: dict[bytes, int]) -> np.ndarray:
+        """The hash of each word; `words` is asked for long ones."""
+        found, left = short_hashes(self.letters, self.ends)
+        for i, end, start in zip(left.tolist(), self.ends[left].tolist(), self.ends[left - 1].tolist(), strict=True):
+            found[i] = words[self.letters[start if i else 0 : end].tobytes()]
+        return found
 
 
 def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,14 +116,12 @@ def _pieces(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return run, starts[run] + 255 * (np.arange(len(run)) - np.repeat(firsts, parts)), firsts
 
 
-def shapes(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """For each form: characters in each of eight classes, 255 at most, as one long; and its number of characters.
+def shapes(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each form, of so many bytes: characters in each of eight classes, 255 at most, as one long; and its number of characters.
 
     One edit changes two of the counts by one at most, so forms whose counts differ by more than twice a distance in
     total are further apart than it.
     """
-    flat = np.frombuffer(b"".join(forms), np.uint8)
-    lengths = np.fromiter(map(len, forms), np.int64, len(forms))
     _, starts, firsts = _pieces(lengths)
     counts = np.add.reduceat(_SHAPE[flat], starts).view(np.uint8).reshape(-1, 8)
     counts = np.add.reduceat(counts, firsts, axis=0, dtype=np.int64)
@@ -150,47 +189,39 @@ def hashed_lines(docs: DataFrame) -> DataFrame:
             part = (np.cumsum(sizes) - sizes) // TEXT_BYTES
             edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(sizes)]
             for a, b in zip(edges, edges[1:], strict=False):
-                rows, numbers, again, forms, lengths, by_words, hashed = [], [], [], [], [], [], []
-                for row, text in enumerate(batch.column(2).slice(a, b - a)):
-                    seen = set()
-                    for number, found in enumerate(normal_lines(text.as_py() or "")):
-                        if found:
-                            form = b" ".join(found)
-                            rows.append(row)
-                            numbers.append(number)
-                            again.append(form in seen)
-                            seen.add(form)
-                            forms.append(form)
-                            lengths.append(0)
-                            by_words.append(True)
-                            if len(found) >= MIN_WORDS:
-                                lengths[-1] = len(found)
-                                hashed.append(np.fromiter(map(words.__getitem__, found), np.uint64, len(found)))
-                            elif len(form) >= MIN_CHARS and len(pairs := pair_hashes(form)) >= MIN_CHARS - 1:
-                                lengths[-1], by_words[-1] = len(pairs), False
-                                hashed.append(pairs)
-                if not rows:
+                found = NormalLines(pc.fill_null(batch.column(2).slice(a, b - a).cast(pa.binary()), b"").to_pylist())
+                if not len(found.n):
                     continue
+                forms = found.forms()
                 digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, forms)), np.int64).reshape(-1, 2)
-                shape, chars = shapes(forms)
-                tokens = np.array(lengths, np.int64)
+                order = np.lexsort((digest[:, 1], digest[:, 0], found.row))
+                alike = (np.diff(digest[order], axis=0) == 0).all(axis=1) & (np.diff(found.row[order]) == 0)
+                again = np.zeros(len(forms), bool)
+                again[order[1:][alike]] = True
+                shape, chars = shapes(found.flat, found.length)
+                by_words = found.n >= MIN_WORDS
+                by_pairs = np.flatnonzero(~by_words & (chars >= MIN_CHARS))
+                pairs = [pair_hashes(forms[i]) for i in by_pairs.tolist()]
+                tokens = np.where(by_words, found.n, 0)
+                tokens[by_pairs] = chars[by_pairs] - 1
                 fuzzy = tokens > 0
-                similar, below = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
-                band, low = np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-                if hashed:
-                    flat, ends = np.concatenate(hashed), np.cumsum(tokens)
-                    band[fuzzy] = band_of(tokens[fuzzy])
-                    low[fuzzy] = (band[fuzzy] > 0) & (band_of(np.maximum(tokens[fuzzy] - 1, MIN_WORDS)) < band[fuzzy])
-                    similar[fuzzy] = simhashes(flat, (ends - tokens)[fuzzy], ends[fuzzy], band[fuzzy])
-                    if low.any():
-                        below[low] = simhashes(flat, (ends - tokens)[low], ends[low], band[low] - 1)
-                    band = np.where(np.array(by_words), band, -1 - band).astype(np.int32)
-                take = pa.array(np.array(rows) + a)
+                similar, below = np.zeros(len(forms), np.int64), np.zeros(len(forms), np.int64)
+                band, low = np.zeros(len(forms), np.int64), np.zeros(len(forms), bool)
+                band[fuzzy] = band_of(tokens[fuzzy])
+                low[fuzzy] = (band[fuzzy] > 0) & (band_of(np.maximum(tokens[fuzzy] - 1, MIN_WORDS)) < band[fuzzy])
+                begin = found.begin.copy()
+                begin[by_pairs] = np.cumsum(tokens[by_pairs]) - tokens[by_pairs]
+                for flat, of in ((found.word_hashes(words), by_words), (np.concatenate([*pairs, np.zeros(0, np.uint64)]), fuzzy & ~by_words)):
+                    for into, some, bands in ((similar, of, band), (below, of & low, band - 1)):
+                        if some.any():
+                            into[some] = simhashes(flat, begin[some], (begin + tokens)[some], bands[some])
+                band = np.where(by_words, band, -1 - band)
+                take = pa.array(found.row + a)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         batch.column(1).take(take),
-                        pa.array(numbers, pa.int32()),
+                        pa.array(found.number.astype(np.int32)),
                         pa.array(again),
                         pa.array(np.ascontiguousarray(digest[:, 0])),
                         pa.array(np.ascontiguousarray(digest[:, 1])),
@@ -282,7 +313,7 @@ def within(a: str, b: str, most: int) -> bool:
     by the counts of pairs of neighbouring characters: an edit changes two pairs at most in either text.
     """
     near, a, b = _settled(a, b, most)
-    return edit_distance(a, b) <= most if near is None else near
+    return edit_distance(a, b, most) <= most if near is None else near
 
 
 def _settled(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
@@ -300,8 +331,9 @@ def _settled(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
     return None, a, b
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance by bit-parallel columns (Myers), after what the ends have in common."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance by bit-parallel columns (Myers), after what the ends have in common; if it is above `most`, some
+    number above that. A column lowers the distance by one at most."""
     a, b = _differing(a, b)
     if not a or not b:
         return len(a) + len(b)
@@ -310,7 +342,10 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | (1 << i)
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    give_up = 2 * (len(a) + len(b)) if most is None else most + len(b)
+    for column, c in enumerate(b):
+        if score + column > give_up:
+            return score + column - len(b)
         eq = where.get(c, 0)
         diagonal = (((eq & plus) + plus) ^ plus) | eq | minus
         up, down = minus | ~(diagonal | plus) & full, plus & diagonal
@@ -320,12 +355,15 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def _forms(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(place, form): the normal forms of the lines at some places (and of others, which a join on place drops)."""
-    split = _identified(docs).select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
-    lines = split.select("doc_id", "text_hash", F.posexplode("lines").alias("line_no", "line")).select(_place(), "line")
+def _forms(docs: DataFrame, at: DataFrame) -> DataFrame:
+    """(place, form): the normal forms of the lines at some (doc_id, place), and of others, which a join on place drops."""
+    # most documents have none of these lines and are not split
+    some = maybe_in(_identified(docs), "doc_id", at.select("doc_id"))
+    split = some.select("doc_id", "text_hash", lines_of(F.col("text")).alias("lines"))
+    # outer, though no text is without lines: else Spark asks of every text of the corpus first whether its split is empty
+    lines = split.select("doc_id", "text_hash", F.posexplode_outer("lines").alias("line_no", "line")).select(_place(), "line")
     form = F.trim(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}]+", " "))
-    return maybe_in(lines, "place", places).select("place", form.alias("form")).dropDuplicates(["place"])
+    return maybe_in(lines, "place", at.select("place")).select("place", form.alias("form")).dropDuplicates(["place"])
 
 
 def pair_bins(form: str) -> np.ndarray:
@@ -339,9 +377,9 @@ def _bring(docs: DataFrame, classes: DataFrame):
     """For linked_groups: the lines that stand for some classes."""
 
     def bring(uids: DataFrame) -> DataFrame:
-        own = maybe_in(classes.select("uid", "place"), "uid", uids)
+        own = maybe_in(classes.select("uid", "doc_id", "place"), "uid", uids)
         own = cut(own.join(uids, "uid"))
-        return own.join(_forms(docs, own.select("place")), "place").select("uid", "form")
+        return own.join(_forms(docs, own), "place").select("uid", "form")
 
     return bring
 
@@ -383,7 +421,7 @@ def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
                 most = int((1 - similarity) * longer + 1e-9)
                 near, x, y = _settled(x, y, most)
                 if near is None and longer > SHORT_CHARS:
-                    near = edit_distance(x, y) <= most
+                    near = edit_distance(x, y, most) <= most
                 keep.append(near is not False)
                 if near is not False:  # null if it is settled
                     xs.append(None if near else x)
@@ -393,13 +431,14 @@ def _confirm(docs: DataFrame, classes: DataFrame, similarity: float):
             yield pa.RecordBatch.from_arrays([*ends, pa.array(xs, pa.string()), pa.array(ys, pa.string()), pa.array(limits, pa.int32())], names=["a", "b", "x", "y", "most"])
 
     def verify(pairs: DataFrame) -> DataFrame:
-        own = maybe_in(classes.select("uid", "place"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
+        own = maybe_in(classes.select("uid", "doc_id", "place"), "uid", pairs.select(F.explode(F.array("a", "b")).alias("uid")))
 
         def side(name: str) -> DataFrame:
-            return own.select(F.col("uid").alias(name), F.col("place").alias(f"at_{name}"))
+            return own.select(F.col("uid").alias(name), F.col("place").alias(f"at_{name}"), F.col("doc_id").alias(f"doc_{name}"))
 
         placed = cut(pairs.join(side("a"), "a").join(side("b"), "b"))
-        lines = cut(_forms(docs, placed.select(F.explode(F.array("at_a", "at_b")).alias("place"))))
+        ends = placed.select(F.inline(F.array(*[F.struct(F.col(f"doc_{x}").alias("doc_id"), F.col(f"at_{x}").alias("place")) for x in "ab"])))
+        lines = cut(_forms(docs, ends))
 
         def forms(name: str, to: str) -> DataFrame:
             return lines.select(F.col("place").alias(f"at_{name}"), F.col("form").alias(to))
@@ -458,7 +497,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
         drops = cut(removed_lines(docs, **options).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("drop").alias("_drop")))
         remove(docs.sparkSession, tables, (drops,))
         known = reducer(drops.select(F.xxhash64("_id", "_hash").alias("_doc")))
-    base = docs.drop("n_lines", "n_removed").withColumn("n_lines", F.size(lines_of(F.col("text"))).cast("long"))
+    base = docs.drop("n_lines", "n_removed").withColumn("n_lines", _line_count(F.col("text")))
     own = {"_own": F.col("doc_id").cast("long"), "_text": F.xxhash64("text")}
     base = base.withColumns(own).withColumn("_doc", F.xxhash64("_own", "_text"))
     touched, untouched = split_by(base, "_doc", known)
@@ -473,6 +512,12 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     return same.unionByName(changed.select(same.columns))
 
 
+def _line_count(text: Column) -> Column:
+    """The number of lines, without making an array of them; null has none."""
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.coalesce(breaks + 1, F.lit(0)).cast("long")
+
+
 def _without(lines: Column) -> Column:
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_drop")
     return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")

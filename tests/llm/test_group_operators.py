@@ -458,3 +458,42 @@ def test_tiles_hold_each_pair_of_groups_once_and_no_pairs_of_one(spark, monkeypa
         if members == 8:
             # 95 of 100 in one group: each of them once, the others once a block of it and once among themselves
             assert sum(len(held) for (key, _, _), held in tiles.items() if key == 3) <= 95 + 5 * (12 + 1)
+
+
+def test_hashes_of_words_are_those_of_the_library():
+    import xxhash
+
+    from sunlattice.llm.hashes import short_hashes
+    from sunlattice.llm.minhash import Words
+
+    rng = random.Random(4)
+    words = [rng.randbytes(rng.randint(1, 20)) for _ in range(5000)] + [b"\xff" * n for n in range(1, 18)]
+    found, left = short_hashes(np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words]))
+    assert left.tolist() == [i for i, w in enumerate(words) if len(w) > 16]
+    assert all(int(found[i]) == xxhash.xxh3_64_intdigest(w) for i, w in enumerate(words) if len(w) <= 16)
+    texts = ["", "\n \n", "İstanbul ΑΣ x-Y\x85z\n\x1c日本 Über", "a" * 40 + " B  c\r\n--\nA b c", "x" * 17]
+    part = lines.NormalLines([t.encode() for t in texts])
+    forms = [(i, n, f) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if (f := lines.normal_form(x))]
+    assert list(zip(part.row.tolist(), part.number.tolist(), [f.decode() for f in part.forms()], strict=True)) == forms
+    tokens = [w.encode() for _, _, f in forms for w in f.split(" ")]
+    assert part.word_hashes(Words()).tolist() == [xxhash.xxh3_64_intdigest(w) for w in tokens]
+    assert part.n.tolist() == [len(f.split(" ")) for _, _, f in forms]
+
+
+def test_texts_without_wanted_lines_are_not_split(spark, tmp_path):
+    spark.createDataFrame([(i, f"line {i}\nother line") for i in range(50)], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    at = lines._identified(docs).where("doc_id = 7").select("doc_id", "text_hash", F.lit(1).alias("line_no")).select("doc_id", lines._place())
+    found = lines._forms(docs, at)
+    assert [r.form for r in found.join(at, "place").select("form").collect()] == ["other line"]
+    assert found._jdf.queryExecution().executedPlan().toString().count("split(") == 1
+
+
+def test_distances_above_a_limit_are_not_counted_to_the_end():
+    rng = random.Random(5)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))
+        b = "".join(c for c in a if rng.random() < 0.8) + "".join(rng.choice("abcd") for _ in range(rng.randint(0, 6)))
+        exact, most = lines.edit_distance(a, b), rng.randint(0, 12)
+        bounded = lines.edit_distance(a, b, most)
+        assert bounded == exact if exact <= most else bounded > most
